@@ -19,11 +19,31 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.tokenize_to_records(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+g AS (SELECT t, max(page_id) AS top, count(*) AS n, sha1(t) AS h FROM p GROUP BY t),
+b AS (SELECT t, top, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (5 * (3 - i % 4))) & 31))::INT, 1)), '') AS payload_digest FROM g)
+SELECT p.page_id, octet_length(encode(p.t))::BIGINT AS payload_bytes, b.payload_digest,
+       CASE WHEN p.page_id = b.top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = b.top THEN NULL ELSE b.top END AS refers_to
+FROM p JOIN b ON p.t = b.t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op6_token_records": op6_token_records,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc": OP1_SQL,
+    }
