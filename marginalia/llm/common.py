@@ -173,3 +173,39 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
 def crc_is_held_out(doc_id_text: str) -> str:
     """SQL of the fixed fold: crc32 of the id as text, modulo 4, is 2."""
     return f"crc32(cast({doc_id_text} AS string)) % 4 = 2"
+
+
+def map_text(df: DataFrame, keep: list[str], function, added: str, text: str = "text", most_chars: int = 4_000_000) -> DataFrame:
+    """The columns of `keep` as they are, and columns that `function` makes of whole texts.
+
+    function: list of texts (null: empty) -> one list or array for each column
+    of `added`, a DDL string.  Kept columns stay in Arrow, so that ids and
+    nulls come through unchanged.  Few characters are handled at a time.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    small_batches(df.sparkSession)
+    rows = df.select(*keep, df[text].alias("__text"))
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([*rows.schema.fields[:-1], *new.fields])
+    arrow_new = to_arrow_schema(new)
+    n_keep = len(keep)
+
+    def run(batches):
+        for batch in batches:
+            texts = strings(batch.column(n_keep).to_pylist())
+            start = 0
+            while start < len(texts):
+                end, size = start, 0
+                while end < len(texts) and (end == start or size + len(texts[end]) <= most_chars):
+                    size += len(texts[end])
+                    end += 1
+                part = batch.slice(start, end - start)
+                made = function(texts[start:end])
+                arrays = [*part.columns[:n_keep], *[pa.array(m, type=f.type, from_pandas=False) for m, f in zip(made, arrow_new, strict=True)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:n_keep], *arrow_new.names])
+                start = end
+
+    return rows.mapInArrow(run, schema)

@@ -49,10 +49,24 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linecrf
+
+    return linecrf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_mixing": op2_mixing,
+        "op3_language_id": op3_language_id,
+        "op5_quality_classifier": op5_quality_classifier,
         "op6_token_records": op6_token_records,
         "op8_quality_rules": op8_quality_rules,
     }

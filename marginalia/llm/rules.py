@@ -18,7 +18,6 @@ are judged alike; a text's length only matters as a number.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,17 +107,11 @@ def statistics(text: str) -> tuple[int, ...]:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and STATS, one row per document (doc_id, text)."""
-    names = [x.split()[0] for x in STATS.split(", ")]
 
-    def measure(frames):
-        for pdf in common.text_batches(frames):
-            got = np.array([statistics(t) for t in common.strings(pdf["text"])], np.int64).reshape(len(pdf), len(names))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array} | {c: got[:, k] for k, c in enumerate(names)})
+    def measure(texts):
+        return list(zip(*map(statistics, texts), strict=True))
 
-    common.small_batches(docs.sparkSession)
-    ids = docs.select("doc_id").schema[0].dataType.simpleString()
-    # text as the id column keeps null ids apart from numbers
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(measure, f"doc_id string, {STATS}").withColumn("doc_id", F.col("doc_id").cast(ids))
+    return common.map_text(docs, ["doc_id"], measure, STATS)
 
 
 #: What is believed of a rule beforehand: how often it votes bad, abstains, votes good on bad and on good documents.
