@@ -61,6 +61,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    documents = table(spark, sf_dir, "documents")
+    return pii.find(documents, pii.fit(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -68,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_token_records": op6_token_records,
+        "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
     }
 
