@@ -24,11 +24,13 @@ spans of different kinds may overlap, those of one kind do not.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -440,16 +442,29 @@ def examples(texts: list[str], seed: int, n: int = 2500) -> tuple[np.ndarray, np
     return codes, tags
 
 
+def trained(spark: SparkSession, codes: np.ndarray, tags: np.ndarray, seed: int, **options) -> Tagger:
+    """train() as one Spark task, whose worker does small products on one thread."""
+    codes, tags = codes.astype(np.int8), tags.astype(np.int8)
+
+    def work(frames):
+        for _ in frames:
+            made = train(codes.astype(np.int64), tags.astype(np.int64), seed=seed, **options)
+            yield pd.DataFrame({"model": [pickle.dumps(tuple(made))]})
+
+    return Tagger(*pickle.loads(spark.range(0, 1, 1, 1).mapInPandas(work, "model binary").first()["model"]))
+
+
 def fit(docs: DataFrame, sample: int = 1500, seed: int = 11, **options) -> Tagger:
     """A tagger from at most about `sample` documents that have triggers, 20,000 characters of each at most."""
+    spark = docs.sparkSession
     some = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
     n = some.count()
     if n == 0:
-        return train(*examples([], seed), seed=seed, **options)
-    share = int(min(1.0, 10 * sample / n) * 1_000_000)
+        return trained(spark, *examples([], seed), seed, **options)
+    share = int(min(1.0, 20 * sample / n) * 1_000_000)
     some = some.filter(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1_000_000)) < share).filter(F.col("text").rlike(TRIGGER_SQL))
     texts = [r["text"] for r in some.select("doc_id", F.expr("substr(text, 1, 20000)").alias("text")).orderBy(F.xxhash64(F.lit(9), "doc_id"), "text").limit(sample).collect()]
-    return train(*examples(texts, seed), seed=seed, **options)
+    return trained(spark, *examples(texts, seed), seed, **options)
 
 
 COUNTS = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
