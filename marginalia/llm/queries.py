@@ -68,6 +68,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents, pii.fit(documents))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_records": op6_token_records,
         "op7_pii": op7_pii,
         "op8_quality_rules": op8_quality_rules,
+        "op10_decontamination": op10_decontamination,
     }
 
 
