@@ -93,7 +93,7 @@ def learn(labelled: DataFrame, size: int = 300, sample: int = 8000, languages: i
 
     def flushed(held):
         for lang, known in held.items():
-            yield pd.DataFrame({"lang": lang, "gram": np.fromiter(known.keys(), np.int64, len(known)), "n": np.fromiter(known.values(), np.int64, len(known))})
+            yield pd.DataFrame({"lang": pd.Series([lang] * len(known), dtype=object), "gram": np.fromiter(known.keys(), np.int64, len(known)), "n": np.fromiter(known.values(), np.int64, len(known))})
 
     sums = chosen.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     from pyspark.sql import Window

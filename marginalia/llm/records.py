@@ -211,7 +211,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
         if data is not None:
             data.close()
             index.close()
-            yield pd.DataFrame({"part": [part], "path": [path], "docs": [n_docs], "tokens": [n_tokens]})
+            yield pd.DataFrame({"part": [part], "path": pd.Series([path], dtype=object), "docs": [n_docs], "tokens": [n_tokens]})
 
     return common.materialize(rows.select("doc_id", "text").mapInPandas(put, "part int, path string, docs long, tokens long"), "manifest")
 

@@ -162,7 +162,7 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 4096, chu
         for f in files:
             f.close()
         if files:
-            yield pd.DataFrame({"path": [f.name for f in files], "records": [f.records for f in files]})
+            yield pd.DataFrame({"path": pd.Series([f.name for f in files], dtype=object), "records": [f.records for f in files]})
 
     return common.materialize(with_types(pages, min_revisit_bytes).mapInPandas(put, "path string, records long"), "manifest")
 
