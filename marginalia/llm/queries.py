@@ -80,11 +80,18 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import linededup
+
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_mixing": op2_mixing,
         "op3_language_id": op3_language_id,
+        "op4_line_dedup": op4_line_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_token_records": op6_token_records,
         "op7_pii": op7_pii,
