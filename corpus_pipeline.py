@@ -1,12 +1,60 @@
-"""Stages that turn raw documents into training records."""
+"""From raw documents to training records, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+kept; `run` writes each stage's rows as Parquet in the shared folder and
+reads them again for the next one.  All stages but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from marginalia.llm import common, decontaminate, langid, mixing, neardup, records
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language; those without letters or unlike any language go."""
+    return langid.accepted(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return neardup.without_duplicates(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an item of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Records of token ids, written and read back."""
+    import public_tokenizers
+
+    return records.tokenize_to_records(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing_to_weights),
+    ("token-ID / binary output", token_records),
+]
+
+#: The mix and the tokenizer's ids can't be told in SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError("stages are added one by one")
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = common.materialize(stage(spark, docs, sf_dir), f"stage{k + 1}")
+    return docs
