@@ -1,4 +1,8 @@
-"""Registry of the named queries and their SQL."""
+"""Registry of the named queries and their SQL.
+
+A query is a function of (spark, sf_dir); its SQL is what DuckDB runs on the
+same tables.  Queries are listed by family in the modules beside this one.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import documents, markup_queries, relations
+
+FAMILIES = (markup_queries, documents, relations)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for family in FAMILIES for k, v in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for family in FAMILIES for k, v in family.SQL.items()}
