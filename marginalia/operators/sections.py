@@ -70,12 +70,13 @@ def located(points: DataFrame, sections: DataFrame, key: str, at: str = "pos", w
     A range join by buckets: sections are spread over the buckets of width
     `width` that they touch, points have one, and the equal buckets join.
     """
-    first = sections.groupBy(key).agg(F.min("start").alias("_first"))
-    own = points.join(first, key, "left").withColumn("_at", F.greatest(F.col(at), F.coalesce("_first", F.col(at)))).withColumn("_b", F.floor(F.col("_at") / width))
-    spread = sections.filter("end > start").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
-    inside = (own[key] == spread[key]) & (own["_b"] == spread["_b"]) & (own["_at"] >= spread["start"]) & (own["_at"] < spread["end"])
-    joined = own.join(spread, inside, "left")
-    return joined.select(*[own[c] for c in points.columns], spread["file"], spread["start"], spread["end"])
+    names = points.columns
+    first = sections.groupBy(F.col(key).alias("_key")).agg(F.min("start").alias("_first"))
+    own = points.join(first, F.col(key) == F.col("_key"), "left").withColumn("_at", F.greatest(F.col(at), F.coalesce("_first", F.col(at)))).withColumn("_b", F.floor(F.col("_at") / width))
+    spread = sections.filter("end > start").withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+    spread = spread.select(F.col(key).alias("_section_key"), "file", "start", "end", "_bucket")
+    inside = (F.col(key) == F.col("_section_key")) & (F.col("_b") == F.col("_bucket")) & (F.col("_at") >= F.col("start")) & (F.col("_at") < F.col("end"))
+    return own.select(*names, "_at", "_b").join(spread, inside, "left").select(*names, "file", "start", "end")
 
 
 def abstract(c: Column | str) -> Column:

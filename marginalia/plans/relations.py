@@ -1 +1,276 @@
-QUERIES, SQL = {}, {}
+"""Queries over tables: lookups, merges, shares, caches, geometry."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import anchors, citations, journals, merging, projects
+from ..sources import bibtex
+from . import corpora
+from .base import Family, table
+
+family = Family()
+QUERIES, SQL = family.queries, family.sql
+
+# -- bibliography and DOIs
+
+_DOI = "CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN concat('11.', p_partkey, '/x') ELSE concat('10.', 1000 + p_partkey % 9000, '/p', p_partkey) END"
+_TYPE = "CASE WHEN p_partkey % 7 = 0 THEN 'book' WHEN p_partkey % 11 = 0 THEN 'misc' ELSE 'article' END"
+ENTRIES = f"SELECT concat('P', p_partkey) AS key, {_TYPE} AS type, {_DOI} AS doi, left(p_name, 60) AS title, concat(p_brand, ', Ann and Bo ', p_type) AS author, (1990 + p_size % 30)::INT AS year, concat('Journal of ', p_brand) AS journal FROM part WHERE p_partkey <= 600"
+
+
+def _entries(spark, sf_dir):
+    return bibtex.entries(corpora.for_spark(spark, sf_dir, "bibliography"))
+
+
+@family.over(None, ENTRIES)
+def bib_entries(spark, sf_dir):
+    return _entries(spark, sf_dir).select("key", "type", "doi", "title", "author", "year", "journal")
+
+
+_STATUS = f"CASE WHEN doi IS NULL THEN CASE WHEN type IN ('book', 'misc') THEN 'skipped' ELSE 'missing' END WHEN regexp_matches(doi, '^10\\.\\d{{4,}}/\\S+$') THEN 'valid' ELSE 'invalid' END"
+
+
+@family.over(None, f"SELECT {_STATUS} AS status, count(*)::BIGINT AS n, count(*) FILTER (type = 'article')::BIGINT AS expected FROM ({ENTRIES}) GROUP BY 1")
+def doi_status_tally(spark, sf_dir):
+    return citations.doi_status(_entries(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"), F.count_if("expects_doi").alias("expected"))
+
+
+@family.over(None, f"SELECT key, type FROM ({ENTRIES}) WHERE doi IS NULL AND type = 'article'")
+def doi_needed(spark, sf_dir):
+    """FLT-04."""
+    return citations.doi_status(_entries(spark, sf_dir)).filter("status = 'missing' AND expects_doi").select("key", "type")
+
+
+@family.over("part", r"SELECT p_partkey, regexp_matches(d, '^10\.\d{4,}/\S+$') AS ok FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat('10.', p_partkey, '/a') WHEN 1 THEN concat('10.123', p_partkey, '/b') WHEN 2 THEN concat('11.1234/', p_partkey) ELSE concat('10.1234/x y', p_partkey) END AS d FROM c)")
+def doi_format(c):
+    k = F.col("p_partkey")
+    d = F.when(k % 4 == 0, F.concat(F.lit("10."), k, F.lit("/a"))).when(k % 4 == 1, F.concat(F.lit("10.123"), k, F.lit("/b"))).when(k % 4 == 2, F.concat(F.lit("11.1234/"), k)).otherwise(F.concat(F.lit("10.1234/x y"), k))
+    return c.select("p_partkey", X.is_doi(d).alias("ok"))
+
+
+_CAND = """q AS (SELECT p_partkey AS query_key, p_name AS title, p_brand AS journal, 2000 + p_size % 20 AS year FROM part WHERE p_partkey % 50 = 0), x AS (SELECT p_partkey, p_name, p_brand, p_size FROM part),
+    s AS (SELECT query_key, concat('10.1000/', p_partkey) AS doi, (CASE WHEN lower(title) = lower(p_name) THEN 100.0 ELSE 0.0 END) + (CASE WHEN lower(journal) = lower(p_brand) THEN 1.0 ELSE 0.0 END) * 0 + (CASE abs(2000 + p_size % 20 - year) WHEN 0 THEN 50.0 WHEN 1 THEN 20.0 ELSE -50.0 END)::DOUBLE AS score FROM q JOIN x ON x.p_brand = q.journal AND lower(x.p_name) = lower(q.title))"""
+
+
+@family.over(None, f"WITH {_CAND}, r AS (SELECT query_key, doi, score, row_number() OVER (PARTITION BY query_key ORDER BY score DESC, doi) AS k, lead(score) OVER (PARTITION BY query_key ORDER BY score DESC, doi) AS runner_up FROM s) SELECT query_key, doi, score::DOUBLE AS score, CASE WHEN score >= 120 AND (runner_up IS NULL OR score - runner_up >= 30) THEN 'high' WHEN score >= 70 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE k = 1")
+def doi_best_match(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    q = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_key"), F.col("p_name").alias("title"), F.col("p_brand").alias("j"), (2000 + F.col("p_size") % 20).alias("year"))
+    x = part.select(F.concat(F.lit("10.1000/"), "p_partkey").alias("doi"), F.col("p_name").alias("item_title"), F.col("p_brand").alias("item_j"), (2000 + F.col("p_size") % 20).alias("item_year"))
+    pairs = q.join(x, (q.j == x.item_j) & (F.lower("title") == F.lower("item_title")))
+    none = F.lit(None).cast("string")
+    pairs = pairs.withColumn("journal", none).withColumn("author", none).withColumn("base", F.lit(0.0))
+    scored = pairs.withColumn("score", citations.match_score("title", "journal", "year", "author", "item_title", "journal", "item_year", "doi", "author", "base"))
+    return citations.best_matches(scored).select("query_key", "doi", "score", "confidence")
+
+
+@family.over("supplier", "SELECT s_suppkey, s_suppkey % 3 <> 2 AS ok, CASE s_suppkey % 3 WHEN 0 THEN concat('0000-0001-', lpad((s_suppkey % 10000)::VARCHAR, 4, '0'), '-123X') WHEN 1 THEN concat('0000-0002-', lpad((s_suppkey % 10000)::VARCHAR, 4, '0'), '-1234') ELSE concat('0000-2-', s_suppkey) END AS orcid FROM c")
+def orcid_valid(c):
+    k = F.col("s_suppkey")
+    four = F.lpad((k % 10000).cast("string"), 4, "0")
+    o = F.when(k % 3 == 0, F.concat(F.lit("https://orcid.org/0000-0001-"), four, F.lit("-123X"))).when(k % 3 == 1, F.concat(F.lit("0000-0002-"), four, F.lit("-1234"))).otherwise(F.concat(F.lit("0000-2-"), k))
+    return c.select("s_suppkey", X.is_orcid(o).alias("ok"), X.bare_orcid(o).alias("orcid"))
+
+
+@family.over("orders", "SELECT o_orderkey, strftime(o_orderdate, '%-d %B %Y') AS long, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM c")
+def date_variables(c):
+    return c.select("o_orderkey", X.dated(F.lit("D MMMM YYYY"), "o_orderdate").alias("long"), X.dated(F.lit("YYYY-MM-DD"), "o_orderdate").alias("iso"))
+
+
+@family.over("orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ((o_orderkey % 100) * 1000.0)::DOUBLE ELSE 0.0::DOUBLE END AS ms FROM c")
+def retry_after(c):
+    h = F.when(F.col("o_orderkey") % 2 == 0, (F.col("o_orderkey") % 100).cast("string")).otherwise("Wed, 21 Oct 2015 07:28:00 GMT")
+    return c.select("o_orderkey", X.retry_after_ms(h, F.lit("2020-01-01 00:00:00").cast("timestamp")).alias("ms"))
+
+
+@family.over("customer", "SELECT c_custkey, concat('D:', 20200101 + c_custkey % 28, '120000Z') AS raw, concat('2020-01-', lpad((1 + c_custkey % 28)::VARCHAR, 2, '0')) AS date FROM c")
+def pdf_dates(c):
+    raw = F.concat(F.lit("D:"), 20200101 + F.col("c_custkey") % 28, F.lit("120000Z"))
+    return c.select("c_custkey", raw.alias("raw"), X.pdf_date(raw).alias("date"))
+
+
+@family.over("part", "SELECT p_partkey, p_brand AS surname FROM c")
+def first_author(c):
+    a = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_brand", F.lit(", Ann and Bo Li"))).otherwise(F.concat(F.lit("Ann "), "p_brand", F.lit(" and Bo Li")))
+    return c.select("p_partkey", X.surname(a).alias("surname"))
+
+
+# -- merging
+
+_OVER = """CASE WHEN a.type = 'insert' AND b.type = 'insert' AND a."start" = b."start" THEN a.new_text <> b.new_text
+    ELSE NOT ((CASE WHEN a.type = 'insert' THEN a."start" ELSE a."end" END) <= b."start" OR (CASE WHEN b.type = 'insert' THEN b."start" ELSE b."end" END) <= a."start") AND NOT (a.type = b.type AND a.old_text = b.old_text AND a.new_text = b.new_text) END"""
+
+
+@family.over("changes", f"SELECT a.doc_id, a.seq AS a_id, b.seq AS b_id FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.seq < b.seq WHERE {_OVER}")
+def change_overlap_pairs(c):
+    return merging.overlapping_pairs(c, "doc_id", "seq")
+
+
+@family.over("changes")
+def conflict_groups(c):
+    return merging.conflicts(c, "doc_id").select("doc_id", "reviewer", "seq", "conflict", "place")
+
+
+@family.over("changes")
+def conflict_resolutions(c):
+    return merging.conflict_summary(merging.conflicts(c, "doc_id"), "doc_id")
+
+
+@family.over("changes")
+def merge_stats(c):
+    return merging.statistics(merging.conflicts(c, "doc_id"), "doc_id")
+
+
+@family.over("changes", """SELECT doc_id, reviewer_ord, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, "start", "end", type, new_text ORDER BY reviewer_ord, seq) AS r FROM c) WHERE r = 1""")
+def conflict_dedupe(c):
+    return merging.deduplicated(c, "doc_id").select("doc_id", "reviewer_ord", "seq")
+
+
+_EDIT = "CASE WHEN length(text) >= 20 THEN substr(text, 1, 5) || {0} || substr(text, 11, 5) || {1} || substr(text, 16) ELSE text END"
+
+
+def _edits(c):
+    ok = c.filter(F.length("text") >= 20)
+    one = ok.select("doc_id", F.lit("replace").alias("type"), F.lit(5).alias("start"), F.lit(10).alias("end"), F.substring("text", 6, 5).alias("old_text"), F.lit("NEW").alias("new_text"))
+    two = ok.select("doc_id", F.lit("insert").alias("type"), F.lit(15).alias("start"), F.lit(15).alias("end"), F.lit("").alias("old_text"), F.lit("<in>").alias("new_text"))
+    return one.unionByName(two)
+
+
+@family.over("documents", "SELECT doc_id, " + _EDIT.format("'NEW'", "'<in>'") + " AS text FROM c")
+def changes_applied(c):
+    return merging.applied(c.select("doc_id", "text"), _edits(c), "doc_id")
+
+
+@family.over("documents", "SELECT doc_id, " + _EDIT.format("'{~~' || substr(text, 6, 5) || '~>NEW~~}'", "'{++<in>++}'") + " AS text FROM c")
+def changes_annotated(c):
+    return merging.applied(c.select("doc_id", "text"), _edits(c), "doc_id", annotate=True)
+
+
+# -- shares, versions, caches
+
+_BLAME = "SELECT o_orderpriority AS file, concat('u', o_custkey % 17) AS author FROM c"
+
+
+def _blame(c):
+    return c.select(F.col("o_orderpriority").alias("file"), F.concat(F.lit("u"), F.col("o_custkey") % 17).alias("author"))
+
+
+@family.over("orders", f"SELECT file, author, n::BIGINT AS lines, floor(100.0 * n / sum(n) OVER (PARTITION BY file) + 0.5)::BIGINT AS percent FROM (SELECT file, author, count(*) AS n FROM ({_BLAME}) GROUP BY 1, 2)")
+def author_share(c):
+    return projects.author_shares(_blame(c))
+
+
+@family.over("orders", f"SELECT author, count(*)::BIGINT AS lines, count(DISTINCT file)::BIGINT AS files FROM ({_BLAME}) GROUP BY author")
+def contributors(c):
+    return projects.contributors(_blame(c))
+
+
+@family.over("orders", "SELECT concat('f', o_custkey % 50) AS file, o_orderkey::INT AS line, concat('u', o_custkey % 7) AS author FROM c")
+def blame_parse(c):
+    line = F.concat(F.lpad(F.hex(F.col("o_custkey") % 7), 40, "0"), F.lit(" 1 "), "o_orderkey", F.lit(" 1\nauthor u"), F.col("o_custkey") % 7, F.lit("\n\tcode\n"))
+    files = c.select(F.concat(F.lit("f"), F.col("o_custkey") % 50).alias("file"), F.lower(line).alias("t"), "o_orderkey").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))), lambda x: x["t"]), "").alias("text"))
+    return projects.blame_lines(files).select("file", "line", "author")
+
+
+@family.over("orders", "SELECT (o_custkey % 50)::BIGINT AS repo, concat('h', o_orderkey) AS hash, concat('u', o_custkey) AS author, concat('fix | part ', o_orderkey) AS message FROM c")
+def git_log_parse(c):
+    line = F.concat(F.lit("h"), "o_orderkey", F.lit("|2024-01-01|u"), "o_custkey", F.lit("|fix | part "), "o_orderkey")
+    log = c.groupBy((F.col("o_custkey") % 50).alias("repo")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    return projects.log_rows(log, "repo").select("repo", "hash", "author", "message")
+
+
+_TOKENS = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w <> '')"
+
+
+@family.over("documents", f"""+ w AS (SELECT doc_id, w, sum(s) AS n FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS w, -1 AS s FROM c UNION ALL SELECT doc_id, unnest({_TOKENS.format("replace(text, ' the ', ' THE some ')")}), 1 FROM c) GROUP BY 1, 2)
+    SELECT doc_id, sum(greatest(n, 0))::BIGINT AS added, sum(greatest(-n, 0))::BIGINT AS removed FROM w GROUP BY 1""")
+def word_count_diff(c):
+    return projects.word_count_diff(c.withColumn("new", F.replace("text", F.lit(" the "), F.lit(" THE some "))), "doc_id", "text", "new")
+
+
+@family.over("events", "SELECT event_id FROM c WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAYS")
+def cache_ttl(c):
+    return projects.fresh(c, F.lit("2024-01-30 00:00:00").cast("timestamp")).select("event_id")
+
+
+@family.over("events", "SELECT event_id FROM c ORDER BY ts DESC, event_id LIMIT CASE WHEN (SELECT count(*) FROM c) > 1000 THEN 800 ELSE 1000 END")
+def cache_evict(c):
+    return projects.evicted(c, "ts", "event_id").select("event_id")
+
+
+@family.over("events", "SELECT event_type, user_id % 10 AS author, (event_id % 12)::BIGINT AS page, count(*)::BIGINT AS n FROM c GROUP BY GROUPING SETS ((event_type), (user_id % 10), (event_id % 12), ())")
+def pdf_stats_grouping_sets(c):
+    return projects.remark_statistics(c.select("event_type", (F.col("user_id") % 10).alias("author"), (F.col("event_id") % 12).alias("page")), "event_type", "author", "page")
+
+
+@family.over("embeddings", """+ i AS (SELECT vec_id, vec_id % 5 AS page, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM c), q AS (SELECT vec_id AS quad, vec_id % 5 AS page, embedding[3]::DOUBLE - 0.05 AS x1, embedding[3]::DOUBLE + 0.05 AS x2, embedding[4]::DOUBLE - 0.05 AS y1, embedding[4]::DOUBLE + 0.05 AS y2 FROM c)
+    SELECT i.vec_id, q.quad FROM i JOIN q ON i.page = q.page AND x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2""")
+def point_in_quad(c):
+    e = [F.col("embedding")[k].cast("double") for k in range(4)]
+    items = c.select("vec_id", (F.col("vec_id") % 5).alias("page"), e[0].alias("x"), e[1].alias("y"))
+    quads = c.select(F.col("vec_id").alias("quad"), (F.col("vec_id") % 5).alias("page"), (e[2] - 0.05).alias("x1"), (e[2] + 0.05).alias("x2"), (e[3] - 0.05).alias("y1"), (e[3] + 0.05).alias("y2"))
+    return projects.in_quads(items, quads, "page", 0.1).select("vec_id", "quad")
+
+
+@family.over("supplier", "SELECT s_suppkey % 40 AS id, max_by(s_name, s_suppkey) AS name FROM c WHERE s_suppkey > (SELECT max(s_suppkey) / 2 FROM c) OR NOT EXISTS (SELECT 1 FROM c d WHERE d.s_suppkey % 40 = c.s_suppkey % 40 AND d.s_suppkey > (SELECT max(s_suppkey) / 2 FROM c)) GROUP BY 1")
+def profile_overlay(c):
+    half = c.agg((F.max("s_suppkey") / 2).alias("h"))
+    rows = c.crossJoin(F.broadcast(half)).select((F.col("s_suppkey") % 40).alias("id"), F.col("s_name").alias("name"), "s_suppkey", (F.col("s_suppkey") > F.col("h")).alias("custom"))
+    best = rows.groupBy("id", "custom").agg(F.max_by("name", "s_suppkey").alias("name"))
+    return journals.overlaid(best.filter("NOT custom").drop("custom"), best.filter("custom").drop("custom"))
+
+
+@family.over("events", "SELECT user_id, count(*)::BIGINT AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM c) WHERE r <= 10 GROUP BY 1")
+def undo_history(c):
+    return projects.history(c, "user_id", order="event_id").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@family.over("documents", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'modified' ELSE 'unchanged' END AS status FROM c")
+def changed_files(c):
+    old = c.filter("doc_id % 4 <> 0").select("doc_id", "text")
+    new = c.filter("doc_id % 4 <> 1").select("doc_id", F.when(F.col("doc_id") % 4 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return projects.changed_files(old, new, "doc_id")
+
+
+@family.over("conversations", "SELECT conv_id, min(role) AS author FROM c WHERE role <> 'system' GROUP BY conv_id HAVING count(DISTINCT role) = 1")
+def single_reviewer(c):
+    return projects.only_reviewer(c.select("conv_id", F.when(F.col("role") == "system", "Unknown").otherwise(F.col("role")).alias("author")), "conv_id")
+
+
+@family.over("documents", "SELECT doc_id, concat(text, chr(10), chr(10), '{>>Ann: [p.', 1 + doc_id % 3, '] see ', lang, '<<}') AS text FROM c")
+def pdf_comments_appended(c):
+    remarks = c.select("doc_id", (1 + F.col("doc_id") % 3).alias("page"), F.lit("Ann").alias("author"), F.concat(F.lit("see "), "lang").alias("contents")).unionByName(c.select("doc_id", F.lit(9).cast("long").alias("page"), F.lit("B").alias("author"), F.lit("  ").alias("contents")))
+    return projects.remarks_appended(c, remarks, "doc_id")
+
+
+# -- anchors
+
+
+@family.over("documents", "SELECT doc_id, (CASE WHEN a <> '' AND contains(lower(text), lower(a)) THEN 'direct' WHEN a = '' THEN 'empty' ELSE 'failed' END) AS strategy, (CASE WHEN a <> '' THEN instr(lower(text), lower(a)) - 1 ELSE -1 END)::INT AS pos FROM (SELECT doc_id, text, replace(substr(text, 8, 30), 'e', 'E') AS a FROM c)")
+def anchor_tiers(c):
+    s = anchors.strategy("a", "text")
+    return c.select("doc_id", "text", F.replace(F.substring("text", 8, 30), F.lit("e"), F.lit("E")).alias("a")).select("doc_id", s.alias("s")).select("doc_id", "s.strategy", "s.pos")
+
+
+@family.over("documents")
+def anchor_quality_tally(c):
+    a = F.when(F.col("doc_id") % 3 == 0, F.lit("no such anchor anywhere here")).otherwise(F.regexp_replace(F.substring("text", 5, 40), " ", "  "))
+    s = anchors.strategy("a", "text")["strategy"]
+    return projects.quality_tally(c.select("text", a.alias("a")).select(anchors.quality(s).alias("quality")))
+
+
+_WORDS = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: length(w) > 3)"
+
+
+@family.over("documents", f"""+ p AS (SELECT doc_id, text, 60 AS pos, substr(text, 31, 30) AS before, substr(text, 71, 30) AS after FROM c WHERE length(text) >= 120), w AS (SELECT *, lower(substr(text, 11, 50)) AS l, lower(substr(text, 71, 50)) AS r FROM p)
+    SELECT doc_id, (2 * len(list_filter({_WORDS.format('before')}, lambda x: contains(l, x))) + CASE WHEN contains(l, right(lower(before), 30)) THEN 5 ELSE 0 END + 2 * len(list_filter({_WORDS.format('after')}, lambda x: contains(r, x))) + CASE WHEN contains(r, left(lower(after), 30)) THEN 5 ELSE 0 END)::INT AS score FROM w""")
+def context_score(c):
+    p = c.filter(F.length("text") >= 120).select("doc_id", "text", F.substring("text", 31, 30).alias("before"), F.substring("text", 71, 30).alias("after"))
+    return p.select("doc_id", anchors.context_score(F.lit(60), "text", "before", "after", F.lit(10)).alias("score"))
+
+
+@family.over("part", "SELECT p_partkey, list_filter(range(0, length(p_name)), lambda i: substr(p_name, (i + 1)::INT, 1) = 'a') AS at FROM c")
+def occurrences(c):
+    return c.select("p_partkey", F.transform(anchors.occurrences("p_name", F.lit("a")), lambda k: k.cast("long")).alias("at"))
