@@ -124,7 +124,7 @@ def nearest(rank: np.ndarray, profiles: list[tuple[str, np.ndarray, np.ndarray]]
     return name, 1.0 - best / (size * len(rank))
 
 
-def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 300, keep: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 300, keep: tuple[str, ...] = (), added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """doc_id, lang_pred, score and the columns of `keep`."""
     sorted_profiles = []
     for lang, own in profiles.items():
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 300, k
         got = [nearest(ranked(*grams(t), size), sorted_profiles, size) for t in texts]
         return [g[0] for g in got], [g[1] for g in got]
 
-    return common.map_text(docs, ["doc_id", *[c for c in keep if c != "doc_id"]], guess, "lang_pred string, score double")
+    return common.map_text(docs, ["doc_id", *[c for c in keep if c != "doc_id"]], guess, f"`{added[0]}` string, `{added[1]}` double")
 
 
 def identify(docs: DataFrame, size: int = 300, sample: int = 8000) -> DataFrame:
@@ -150,4 +150,6 @@ def accepted(docs: DataFrame, least: float = 0.2) -> DataFrame:
     names = docs.columns
     folded = docs.withColumn("_held", F.coalesce(F.expr(common.crc_is_held_out("doc_id")), F.lit(False)))
     profiles = learn(folded.filter(~F.col("_held")).select("doc_id", "text", "lang"))
-    return predict(docs, profiles, keep=tuple(names)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    # names of the own columns that no table has
+    scored = predict(docs, profiles, keep=tuple(names), added=("__lang", "__score"))
+    return scored.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*names)
