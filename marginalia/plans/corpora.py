@@ -25,7 +25,7 @@ CORPORA = {
         SELECT p_partkey, concat('@', CASE WHEN p_partkey % 7 = 0 THEN 'book' WHEN p_partkey % 11 = 0 THEN 'misc' ELSE 'article' END, '{{P', p_partkey, ',', chr(10), '  title = {{', p_name, '}},', chr(10), '  author = {{', p_brand, ', Ann and Bo ', p_type, '}},', chr(10),
                '  year = {{', 1990 + p_size % 30, '}},', chr(10), CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN concat('  doi = {{11.', p_partkey, '/x}},', chr(10)) ELSE concat('  doi = {{https://doi.org/10.', 1000 + p_partkey % 9000, '/p', p_partkey, '}},', chr(10)) END,
                '  journal = {{Journal of ', p_brand, '}}', chr(10), '}}') AS text
-        FROM {part} WHERE p_partkey <= 600""",
+        FROM {part}""",
     "talk": """
         SELECT conv_id, turn, role, concat('{{>>', role, ': ', replace(replace(coalesce(text, ''), '<', '('), chr(10), ' '), CASE WHEN turn % 3 = 2 THEN ' [RESOLVED]' ELSE '' END, '<<}}') AS markup FROM {conversations}""",
     "papers": """
@@ -40,7 +40,7 @@ CORPORA = {
         SELECT doc_id, concat('f', doc_id % 25, '.md') AS file, concat(coalesce(text, ''), chr(10), 'It is very clearly shown that we may really prove the end result.', chr(10), 'The report was finished to quickly test in terms of hedging; obviously.', chr(10), '```', chr(10), '--- x') AS text
         FROM {documents}""",
     "changes": """
-        SELECT l_orderkey % 500 AS doc_id, concat('R', l_suppkey % 4) AS reviewer, CAST(l_suppkey % 4 AS INT) AS reviewer_ord, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq,
+        SELECT CAST(floor(l_orderkey / 60) AS BIGINT) AS doc_id, concat('R', l_suppkey % 4) AS reviewer, CAST(l_suppkey % 4 AS INT) AS reviewer_ord, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq,
                CASE WHEN l_partkey % 5 = 0 THEN 'insert' WHEN l_partkey % 5 = 1 THEN 'delete' ELSE 'replace' END AS type,
                CAST((l_orderkey * 37 + l_linenumber * 11) % 6000 AS INT) AS "start", CAST((l_orderkey * 37 + l_linenumber * 11) % 6000 AS INT) + CASE WHEN l_partkey % 5 = 0 THEN 0 ELSE CAST(l_quantity AS INT) END AS "end",
                CASE WHEN l_partkey % 5 = 0 THEN '' ELSE concat('old', l_orderkey % 9) END AS old_text, CASE WHEN l_partkey % 5 = 1 THEN '' ELSE concat('new', l_partkey % 6) END AS new_text

@@ -217,11 +217,11 @@ def heading_match(c):
     return sections.matched(sections.headings(c, "doc_id"), config).select("doc_id", "title", "file")
 
 
-_BOUNDS = "b0 AS (SELECT user_id, event_id, (event_id * 13 % 5000)::BIGINT AS start FROM c WHERE event_id % 10 = 0), b1 AS (SELECT user_id, start, min(event_id) AS event_id FROM b0 GROUP BY 1, 2), b AS (SELECT user_id, concat('s', event_id) AS file, start, coalesce(lead(start) OVER (PARTITION BY user_id ORDER BY start), 6000) AS \"end\" FROM b1)"
+_BOUNDS = "b0 AS (SELECT user_id, event_id, (event_id * 13 % 5000)::BIGINT AS start FROM c), b1 AS (SELECT user_id, start, min(event_id) AS event_id FROM b0 GROUP BY 1, 2), b AS (SELECT user_id, concat('s', event_id) AS file, start, coalesce(lead(start) OVER (PARTITION BY user_id ORDER BY start), 6000) AS \"end\" FROM b1)"
 
 
 def _bounds(c):
-    b = c.filter("event_id % 10 = 0").select("user_id", (F.col("event_id") * 13 % 5000).alias("start"), "event_id").groupBy("user_id", "start").agg(F.min("event_id").alias("event_id"))
+    b = c.select("user_id", (F.col("event_id") * 13 % 5000).alias("start"), "event_id").groupBy("user_id", "start").agg(F.min("event_id").alias("event_id"))
     return sections.boundaries(b.withColumn("doc_length", F.lit(6000).cast("long")), "user_id", "doc_length").select("user_id", F.concat(F.lit("s"), "event_id").alias("file"), "start", "end")
 
 

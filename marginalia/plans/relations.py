@@ -17,7 +17,7 @@ QUERIES, SQL = family.queries, family.sql
 
 _DOI = "CASE WHEN p_partkey % 3 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN concat('11.', p_partkey, '/x') ELSE concat('10.', 1000 + p_partkey % 9000, '/p', p_partkey) END"
 _TYPE = "CASE WHEN p_partkey % 7 = 0 THEN 'book' WHEN p_partkey % 11 = 0 THEN 'misc' ELSE 'article' END"
-ENTRIES = f"SELECT concat('P', p_partkey) AS key, {_TYPE} AS type, {_DOI} AS doi, left(p_name, 60) AS title, concat(p_brand, ', Ann and Bo ', p_type) AS author, (1990 + p_size % 30)::INT AS year, concat('Journal of ', p_brand) AS journal FROM part WHERE p_partkey <= 600"
+ENTRIES = f"SELECT concat('P', p_partkey) AS key, {_TYPE} AS type, {_DOI} AS doi, left(p_name, 60) AS title, concat(p_brand, ', Ann and Bo ', p_type) AS author, (1990 + p_size % 30)::INT AS year, concat('Journal of ', p_brand) AS journal FROM part"
 
 
 def _entries(spark, sf_dir):
@@ -50,14 +50,14 @@ def doi_format(c):
     return c.select("p_partkey", X.is_doi(d).alias("ok"))
 
 
-_CAND = """q AS (SELECT p_partkey AS query_key, p_name AS title, p_brand AS journal, 2000 + p_size % 20 AS year FROM part WHERE p_partkey % 50 = 0), x AS (SELECT p_partkey, p_name, p_brand, p_size FROM part),
+_CAND = """q AS (SELECT p_partkey AS query_key, p_name AS title, p_brand AS journal, 2000 + p_size % 20 AS year FROM part WHERE p_partkey % 100 = 0), x AS (SELECT p_partkey, p_name, p_brand, p_size FROM part),
     s AS (SELECT query_key, concat('10.1000/', p_partkey) AS doi, (CASE WHEN lower(title) = lower(p_name) THEN 100.0 ELSE 0.0 END) + (CASE WHEN lower(journal) = lower(p_brand) THEN 1.0 ELSE 0.0 END) * 0 + (CASE abs(2000 + p_size % 20 - year) WHEN 0 THEN 50.0 WHEN 1 THEN 20.0 ELSE -50.0 END)::DOUBLE AS score FROM q JOIN x ON x.p_brand = q.journal AND lower(x.p_name) = lower(q.title))"""
 
 
 @family.over(None, f"WITH {_CAND}, r AS (SELECT query_key, doi, score, row_number() OVER (PARTITION BY query_key ORDER BY score DESC, doi) AS k, lead(score) OVER (PARTITION BY query_key ORDER BY score DESC, doi) AS runner_up FROM s) SELECT query_key, doi, score::DOUBLE AS score, CASE WHEN score >= 120 AND (runner_up IS NULL OR score - runner_up >= 30) THEN 'high' WHEN score >= 70 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE k = 1")
 def doi_best_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    q = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_key"), F.col("p_name").alias("title"), F.col("p_brand").alias("j"), (2000 + F.col("p_size") % 20).alias("year"))
+    q = part.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_key"), F.col("p_name").alias("title"), F.col("p_brand").alias("j"), (2000 + F.col("p_size") % 20).alias("year"))
     x = part.select(F.concat(F.lit("10.1000/"), "p_partkey").alias("doi"), F.col("p_name").alias("item_title"), F.col("p_brand").alias("item_j"), (2000 + F.col("p_size") % 20).alias("item_year"))
     pairs = q.join(x, (q.j == x.item_j) & (F.lower("title") == F.lower("item_title")))
     none = F.lit(None).cast("string")
@@ -167,17 +167,17 @@ def contributors(c):
     return projects.contributors(_blame(c))
 
 
-@family.over("orders", "SELECT concat('f', o_custkey % 50) AS file, o_orderkey::INT AS line, concat('u', o_custkey % 7) AS author FROM c")
+@family.over("orders", "SELECT concat('f', o_custkey) AS file, o_orderkey::INT AS line, concat('u', o_custkey % 7) AS author FROM c")
 def blame_parse(c):
     line = F.concat(F.lpad(F.hex(F.col("o_custkey") % 7), 40, "0"), F.lit(" 1 "), "o_orderkey", F.lit(" 1\nauthor u"), F.col("o_custkey") % 7, F.lit("\n\tcode\n"))
-    files = c.select(F.concat(F.lit("f"), F.col("o_custkey") % 50).alias("file"), F.lower(line).alias("t"), "o_orderkey").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))), lambda x: x["t"]), "").alias("text"))
+    files = c.select(F.concat(F.lit("f"), "o_custkey").alias("file"), F.lower(line).alias("t"), "o_orderkey").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "t"))), lambda x: x["t"]), "").alias("text"))
     return projects.blame_lines(files).select("file", "line", "author")
 
 
-@family.over("orders", "SELECT (o_custkey % 50)::BIGINT AS repo, concat('h', o_orderkey) AS hash, concat('u', o_custkey) AS author, concat('fix | part ', o_orderkey) AS message FROM c")
+@family.over("orders", "SELECT o_custkey AS repo, concat('h', o_orderkey) AS hash, concat('u', o_custkey) AS author, concat('fix | part ', o_orderkey) AS message FROM c")
 def git_log_parse(c):
     line = F.concat(F.lit("h"), "o_orderkey", F.lit("|2024-01-01|u"), "o_custkey", F.lit("|fix | part "), "o_orderkey")
-    log = c.groupBy((F.col("o_custkey") % 50).alias("repo")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    log = c.groupBy(F.col("o_custkey").alias("repo")).agg(F.array_join(F.collect_list(line), "\n").alias("text"))
     return projects.log_rows(log, "repo").select("repo", "hash", "author", "message")
 
 
