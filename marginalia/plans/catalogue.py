@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, markup_queries, relations, streams, versions
+from . import documents, figure_queries, markup_queries, relations, streams, versions
 
-FAMILIES = (markup_queries, documents, relations, versions, streams)
+FAMILIES = (markup_queries, documents, relations, figure_queries, versions, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
