@@ -60,7 +60,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 def line_hash(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Running polynomial hashes: entry k is that of the first k words."""
     with np.errstate(over="ignore"):
-        return np.append(np.uint64(0), np.cumsum(h * p[: len(h)], dtype=np.uint64))
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)], dtype=np.uint64)])
 
 
 def name_of(value: np.ndarray, n) -> np.ndarray:
@@ -69,18 +69,6 @@ def name_of(value: np.ndarray, n) -> np.ndarray:
         return common.mix64(np.atleast_1d(value) + np.asarray(n, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def halves(run: np.ndarray, n: int, p_inverse: np.ndarray) -> list[int]:
-    """Keys of the first and last m words, for each m that a partner may ask for."""
-    out = []
-    for m in {n // 2, (n - 1) // 2}:
-        with np.errstate(over="ignore"):
-            first = run[m]
-            last = (run[n] - run[n - m]) * p_inverse[n - m]
-            for side, v in ((1, first), (2, last)):
-                out.append(int(common.mix64(np.array([v + np.uint64(side * 0x51ED270B + m * 8)], np.uint64))[0].astype(np.int64)))
-    return out
-
-
 def variants(h: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Polynomial hashes of the line without its word k, for all k."""
     run = line_hash(h, p)
@@ -88,31 +76,53 @@ def variants(h: np.ndarray, p: np.ndarray) -> np.ndarray:
         return run[:-1] + (run[-1] - run[1:]) * np.uint64(INVERSE)
 
 
+def half_keys(run: np.ndarray, start: np.ndarray, n: np.ndarray, m: np.ndarray, p_inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the first and of the last m words of lines that start at `start` in the running hashes."""
+    with np.errstate(over="ignore"):
+        first = run[start + m] - run[start]
+        last = (run[start + n] - run[start + n - m]) * p_inverse[n - m]
+        by_m = m.astype(np.uint64) * np.uint64(8)
+        return tuple(signed(common.mix64(v + np.uint64(side * 0x51ED270B) + by_m)) for side, v in ((1, first), (2, last)))
+
+
 def describe(texts: list[str], min_words: int) -> tuple[list, ...]:
-    """For each text: line numbers, keys, numbers of words and half keys of its lines."""
-    p, p_inverse = powers(0), powers(0)
-    numbers, keys, counts, half = [], [], [], []
+    """For each text: line numbers, keys, numbers of words and half keys of its lines.
+
+    The words of all lines lie in one array, whose running polynomial hash
+    gives that of any stretch of a line.  The halves are those that a partner
+    of the same length or one word more or less may share.
+    """
+    words: list[str] = []
+    numbers, counts, of_text = [], [], []
     for text in texts:
-        own_numbers, own_keys, own_counts, own_half = [], [], [], []
+        before = len(numbers)
         for k, line in enumerate(text.split("\n")):
-            words = line.split()
-            n = len(words)
-            if not n:
-                continue
-            if n >= len(p):
-                p = powers(2 * n)
-                with np.errstate(over="ignore"):
-                    p_inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, INVERSE, np.uint64))])
-            run = line_hash(words_hashes(words), p)
-            own_numbers.append(k)
-            own_keys.append(int(name_of(run[-1], n)[0].astype(np.int64)))
-            own_counts.append(n)
-            own_half.append(halves(run, n, p_inverse) if n >= min_words else [])
-        numbers.append(own_numbers)
-        keys.append(own_keys)
-        counts.append(own_counts)
-        half.append(own_half)
-    return numbers, keys, counts, half
+            if own := line.split():
+                numbers.append(k)
+                counts.append(len(own))
+                words += own
+        of_text.append(len(numbers) - before)
+    n = np.array(counts, np.int64)
+    start = np.cumsum(n) - n
+    longest = int(n.max(initial=0)) + 1
+    p = powers(longest)
+    with np.errstate(over="ignore"):
+        p_inverse = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(longest, INVERSE, np.uint64))])
+    place = np.arange(len(words)) - np.repeat(start, n)
+    run = line_hash(words_hashes(words), p[place])
+    with np.errstate(over="ignore"):
+        keys = signed(name_of(run[start + n] - run[start], n)).tolist()
+    one, two = n // 2, (n - 1) // 2
+    a, b = half_keys(run, start, n, one, p_inverse)
+    c, d = half_keys(run, start, n, two, p_inverse)
+    half = [[] if size < min_words else [w, x] if same else [w, x, y, z] for size, same, w, x, y, z in zip(counts, (one == two).tolist(), a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)]
+    out: tuple[list, ...] = ([], [], [], [])
+    at = 0
+    for size in of_text:
+        for own, every in zip(out, (numbers, keys, counts, half), strict=True):
+            own.append(every[at : at + size])
+        at += size
+    return out
 
 
 def at(doc: str = "doc", line: str = "line") -> Column:
