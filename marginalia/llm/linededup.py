@@ -15,8 +15,9 @@ under a key is found by a minimum and no pairs are ever listed:
 
 Only lines that can have a near one emit variants.  If one word differs, the
 lines share their first or their last half (of the shorter one's words), so
-lines without such a half in common with another line are left out first;
-this loses nothing.  Witnesses are verified word by word before a line goes.
+lines without such a half in common with another line are left out first,
+and a line that shares one half only varies the words outside of it; this
+loses nothing.  Witnesses are verified word by word before a line goes.
 
 Defined cases: blank lines and null texts never go; lines of fewer than
 `min_words` words only go as exact copies (at one word, any two lines would
@@ -158,25 +159,27 @@ def near_earlier(docs: DataFrame, every: DataFrame, min_words: int) -> DataFrame
     """key, by: lines that have a near line before their first occurrence, and the first place of that one."""
     firsts = every.groupBy("key").agg(F.min(at()).alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves")).filter(F.col("n") >= min_words)
     firsts = common.materialize(firsts.select("key", "at", "halves"), "lines")
-    half = firsts.select("key", F.explode("halves").alias("half"))
+    # first halves stand at even places, last halves at odd ones
+    half = firsts.select("key", F.posexplode("halves").alias("k", "half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    wanted = half.join(shared.hint("merge"), "half").select("key").distinct().join(firsts.select("key", "at"), "key")
-    wanted = common.materialize(wanted.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("at.line", "key")).alias("lines")), "wanted")
+    sides = half.join(shared.hint("merge"), "half").groupBy("key").agg(F.max(F.col("k") % 2 == 0).alias("first"), F.max(F.col("k") % 2 == 1).alias("last"))
+    wanted = sides.join(firsts.select("key", "at").hint("merge"), "key")
+    wanted = common.materialize(wanted.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct("at.line", "key", "first", "last")).alias("lines")), "wanted")
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
-    # the words of these lines, from their first documents
-    texts = ids.join(wanted, "doc").withColumn("pick", F.to_json("lines")).select("doc", F.concat("pick", F.lit("\x00"), "text").alias("text"))
+    # the words of these lines, from their first documents; by a shuffle at every size
+    texts = ids.join(wanted.hint("merge"), "doc").withColumn("pick", F.to_json("lines")).select("doc", F.concat("pick", F.lit("\x00"), "text").alias("text"))
 
     def emit(texts):
         import json
 
         from marginalia.llm.linededup import name_of, powers, variants, words_hashes
 
-        p, keys, ks, ws = powers(0), [], [], []
+        p, keys, os, ks, ws = powers(0), [], [], [], []
         for both in texts:
             pick, _, text = both.partition("\x00")
             rows = text.split("\n")
-            own_keys, own_ks, own_ws = [], [], []
+            own_keys, own_os, own_ks, own_ws = [], [], [], []
             for one in json.loads(pick):
                 if one["line"] >= len(rows):
                     continue
@@ -188,20 +191,22 @@ def near_earlier(docs: DataFrame, every: DataFrame, min_words: int) -> DataFrame
                 h = words_hashes(words)
                 if int(name_of((h * p[: len(h)]).sum(dtype=np.uint64), len(h))[0].astype(np.int64)) != one["key"]:
                     continue  # another row of the same doc_id
-                less = variants(h, p)
+                # behind a shared first half, or before a shared last one, the lines differ
+                n, m = len(h), (len(h) - 1) // 2
+                begin, end = 0 if one["last"] else m, n if one["first"] else n - m
                 own_keys.append(one["key"])
-                own_ks.append(signed(name_of(less, len(h) - 1)).tolist())
+                own_os.append(begin)
+                own_ks.append(signed(name_of(variants(h, p)[begin:end], n - 1)).tolist())
                 own_ws.append(" ".join(words))
-            keys.append(own_keys)
-            ks.append(own_ks)
-            ws.append(own_ws)
-        return keys, ks, ws
+            for every, own in ((keys, own_keys), (os, own_os), (ks, own_ks), (ws, own_ws)):
+                every.append(own)
+        return keys, os, ks, ws
 
-    out = common.map_text(texts, ["doc"], emit, "key array<long>, variants array<array<long>>, words array<string>")
-    out = out.select(F.explode(F.arrays_zip("key", "variants", "words")).alias("l")).select("l.*").dropDuplicates(["key"])
+    out = common.map_text(texts, ["doc"], emit, "key array<long>, begin array<int>, variants array<array<long>>, words array<string>")
+    out = out.select(F.explode(F.arrays_zip("key", "begin", "variants", "words")).alias("l")).select("l.*").dropDuplicates(["key"])
     out = common.materialize(out.join(firsts.select("key", "at"), "key"), "variants")
 
-    own = out.select("key", "at", F.posexplode("variants").alias("place", "v"))
+    own = out.select("key", "at", "begin", F.posexplode("variants").alias("k", "v")).select("key", "at", (F.col("begin") + F.col("k")).alias("place"), "v")
     me = F.struct("at", "key")
     # the same word missing at the same place: a replaced word
     replaced = own.groupBy("v", "place").agg(F.min(me).alias("w"), F.count("*").alias("c")).filter("c > 1")
