@@ -119,8 +119,8 @@ def slots(quota: DataFrame, block_words: int, seed: int, shard_slots: int) -> Da
     return t.select("s", "shard", "slot", F.col("x").alias("block"), take.cast("long").alias("take"))
 
 
-def mix(docs: DataFrame, block_words: int = 256, seed: int = 7, shard_slots: int = 4096) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document (doc_id, text, source)."""
+def taken_words(docs: DataFrame, block_words: int = 256, seed: int = 7, shard_slots: int = 4096) -> DataFrame:
+    """doc_id, s, size, source_size, target, taken of every document (doc_id, text, source)."""
     sized = common.materialize(sizes(docs), "sizes")
     quota = common.materialize(targets(sized), "targets")
     place = packed(sized)
@@ -136,18 +136,58 @@ def mix(docs: DataFrame, block_words: int = 256, seed: int = 7, shard_slots: int
     none = sized.filter("size = 0").select("s", F.lit(None).cast("long").alias("at"), "doc_id", "size")
     every = place.select("s", "at", "doc_id", "size").unionByName(none)
     joined = every.join(taken.select("s", "at", "taken").hint("merge"), ["s", "at"], "left")
-    return joined.join(quota, "s").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return joined.join(quota, "s").select("doc_id", "s", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document (doc_id, text, source)."""
+    return taken_words(docs, **options).drop("s")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix: each row as often as the mix takes its words, rounded.
+#: Order of documents for whole copies: size classes in an octave, and hash buckets in a class.
+CLASSES, SPREAD = 8, 64
+#: Times taken are whole numbers of this part, so that their sums are exact.
+PART_BITS = 20
 
-    Rows are matched by doc_id and a hash of the text; equal rows share what
-    was taken of them evenly.
+
+def copies(took: DataFrame, seed: int = 7) -> DataFrame:
+    """Adds n, the whole copies of all rows of a key, to _k, s, rows, size (of a row), taken (by all rows).
+
+    Cumulative rounding: the times taken are added up along each source from
+    its longest to its shortest documents, and a document gets as many copies
+    as the sum passes whole numbers, from a seeded start.  Each gets the floor
+    of its times or one more, and its times on average; as neighbours are of
+    about the same size, a source's words miss its target by less than its
+    longest documents.
+    """
+    t = took.filter("size > 0").withColumn("times", F.expr(f"(taken * {1 << PART_BITS}) div size"))
+    t = t.withColumn("c", -F.floor(F.log2("size") * CLASSES)).withColumn("b", F.pmod(F.xxhash64(F.lit(seed + 2), "_k"), F.lit(SPREAD)))
+    sums = t.groupBy("s", "c", "b").agg(F.sum("times").alias("sum"))
+    before = F.sum("sum").over(Window.partitionBy("s").orderBy("c", "b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("s", "c", "b", F.coalesce(before, F.lit(0)).alias("base"))
+    within = F.sum("times").over(Window.partitionBy("s", "c", "b").orderBy(F.col("size").desc(), "_k").rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("in", F.coalesce(within, F.lit(0))).join(sums, ["s", "c", "b"])
+    start = F.pmod(F.xxhash64(F.lit(seed + 3), "s"), F.lit(1 << PART_BITS)) + F.col("base") + F.col("in")
+    return t.select("_k", "rows", (F.shiftright(start + F.col("times"), PART_BITS) - F.shiftright(start, PART_BITS)).alias("n"))
+
+
+def mixed_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
+    """The documents of the mix: each row as often as the mix takes its words, in whole copies.
+
+    Rows are matched by doc_id and a hash of the text; equal rows share the
+    copies of all of them evenly.
     """
     key = F.xxhash64("doc_id", "text", "source")
     keyed = docs.withColumn("_k", key)
     ids = keyed.select(F.col("_k").alias("doc_id"), "text", "source")
-    took = mix(ids, **options).groupBy(F.col("doc_id").alias("_k")).agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("_times"))
-    out = keyed.join(took, "_k").withColumn("_n", F.floor(F.col("_times") + 0.5).cast("int")).filter("_n > 0")
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    took = taken_words(ids, seed=seed, **options).groupBy(F.col("doc_id").alias("_k"), "s")
+    took = took.agg(F.count("*").alias("rows"), F.max("size").alias("size"), F.sum("taken").alias("taken"))
+    n = common.materialize(copies(took, seed).filter("n > 0").select("_k", F.col("rows").alias("_rows"), F.col("n").alias("_n")), "copies")
+    one = keyed.join(n.filter("_rows = 1"), "_k")
+    # the rows of a key are told apart only where there are several
+    fixed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    place = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(*fixed)))
+    many = keyed.join(n.filter("_rows > 1"), "_k").withColumn("_r", place)
+    many = many.withColumn("_n", F.expr("_n div _rows + if(_r <= _n % _rows, 1, 0)")).filter("_n > 0").drop("_r")
+    out = one.unionByName(many)
+    return out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)

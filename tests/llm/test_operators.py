@@ -138,6 +138,30 @@ def test_mixing_odd(spark, odd, empty):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixed_words_meet_targets(spark):
+    """One hot source at 0.65 of its words, documents of many blocks, and repeated rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "w " * int(n), "en", "abc"[0 if i % 10 < 7 else 1 + i % 2]) for i, n in enumerate(np.minimum(rng.lognormal(5.5, 1.3, 1500), 8000).astype(int) + 1)]
+    rows += [(9000, "z " * 700, "en", "a")] * 40
+    d = docs(spark, rows)
+    for options in ({}, {"seed": 11}):
+        got = mixing.mix(d, **options).toPandas()
+        source = {r[0]: r[3] for r in rows}
+        want = {source[i]: x for i, x in zip(got.doc_id, got.target, strict=True)}
+        out = [(r["doc_id"], r["source"], r["n"]) for r in mixing.mixed_documents(d, **options).select("doc_id", "source", F.regexp_count("text", F.lit(r"\S+")).alias("n")).collect()]
+        size = {"all": Counter(), "long": Counter()}
+        for i, s, n in out:
+            size["all"][s] += n
+            size["long"][s] += n * (n > 1000)
+        long = got[got["size"] > 1000].groupby(got.doc_id.map(source)).taken.sum()
+        for s in want:
+            assert abs(size["all"][s] / want[s] - 1) < 0.03, (s, size["all"][s], want[s])
+            assert abs(size["long"][s] - long[s]) < 8001
+    took = spark.createDataFrame([(i, "s", 1 + i % 3, 50 + i, (1 + i % 3) * (30 + 2 * i)) for i in range(300)], "_k long, s string, rows long, size long, taken long")
+    for r in mixing.copies(took).join(took.drop("rows"), "_k").collect():
+        assert r["taken"] // r["size"] <= r["n"] <= -(-r["taken"] // r["size"])
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 257])
 def test_permutations(spark, n):
     got = [r["y"] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), 5, F.lit("s")).alias("y")).collect()]
