@@ -9,11 +9,14 @@ size bit map of the benchmark's hashes lets through are joined with the
 benchmark's windows on the hash.
 
 Matches of one document and one item on one diagonal (place in the document
-minus place in the item) are one alignment.  It counts if it has at least
-`least` windows, or all of a shorter item, and if its slots agree: each value
-in the item stands for one value in the document and the other way round, so
-that a question with other numbers or names is caught, and a text that only
-has the same grammar is not.
+minus place in the item) are one alignment.  It counts if at least `least`
+windows, or all of a shorter item,
+* are verbatim, that is, have the item's own values in all slots, whatever the
+  rest of the alignment says; or
+* follow each other with slots that agree: each value of the item stands for
+  one value in the document, so that a question with other numbers or names
+  is caught, and a text that only has the same grammar is not.  Two values of
+  the item may become one.
 
 The bit map has 2 ** BITS bits whatever the size of the benchmark; if it
 fills up it lets more windows through, and the join still decides.
@@ -190,21 +193,50 @@ def document_windows(docs: DataFrame, bits: np.ndarray, lengths: list[int]) -> D
 FEW = 200_000
 
 
+def agreement(found: list) -> tuple[int, int]:
+    """Of the windows (place, pairs of the item's and the document's slot values) of an alignment: how many are verbatim, and the most in order whose slots agree."""
+    verbatim, places = set(), {}
+    for place, same in found:
+        pairs = {(i, d) for i, d in same}
+        places.setdefault(place, set()).update(pairs)
+        if all(i == d for i, d in pairs):
+            verbatim.add(place)
+    rows = [places[k] for k in sorted(places)]
+    # of the stretch from `begin`: each item value's values in the document, with their numbers
+    values: dict[str, dict[str, int]] = {}
+    begin = best = clashes = 0
+    for k, row in enumerate(rows):
+        for i, d in row:
+            own = values.setdefault(i, {})
+            own[d] = own.get(d, 0) + 1
+            clashes += own[d] == 1 and len(own) > 1
+        while clashes:
+            for i, d in rows[begin]:
+                own = values[i]
+                own[d] -= 1
+                if not own[d]:
+                    del own[d]
+                    clashes -= len(own) > 0
+            begin += 1
+        best = max(best, k + 1 - begin)
+    return len(verbatim), best
+
+
 def alignments(docs: DataFrame, benchmark: DataFrame, least: int = 6) -> DataFrame:
-    """doc_id, item_id, windows (matched), verbatim: the contaminated documents with their items."""
+    """doc_id, item_id, windows (matched), verbatim (enough of them): the contaminated documents with their items."""
     own = benchmark_windows(benchmark)
     lengths = sorted(r["length"] for r in own.select("length").distinct().collect())
     found = document_windows(docs, bit_map(own), lengths).withColumnRenamed("place", "at").withColumnRenamed("slots", "values")
     few = own.count() <= FEW
     pairs = found.join(F.broadcast(own) if few else own, "hash")
     pairs = pairs.filter(F.size("slots") == F.size("values")).withColumn("diagonal", F.col("at") - F.col("place"))
-    same = F.arrays_zip(F.transform("slots", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])).alias("i"), F.transform("values", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])).alias("d"))
-    pairs = pairs.withColumn("same", same)
+    name = lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])
+    pairs = pairs.withColumn("same", F.arrays_zip(F.transform("slots", name).alias("i"), F.transform("values", name).alias("d")))
     # an item's windows bound these sets
-    runs = pairs.groupBy("doc_id", "item_id", "diagonal").agg(F.count_distinct("place").alias("windows"), F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("same"))).alias("same"))
-    agree = (F.size(F.array_distinct(F.transform("same", lambda p: p["i"]))) == F.size("same")) & (F.size(F.array_distinct(F.transform("same", lambda p: p["d"]))) == F.size("same"))
-    whole = F.col("windows") >= F.least(F.lit(least), "n")
-    runs = runs.filter(whole & agree).withColumn("verbatim", F.forall("same", lambda p: p["i"] == p["d"]))
+    runs = pairs.groupBy("doc_id", "item_id", "diagonal").agg(F.count_distinct("place").alias("windows"), F.first("n").alias("n"), F.collect_set(F.struct("place", "same")).alias("found"))
+    enough = F.least(F.lit(least), "n")
+    runs = runs.filter(F.col("windows") >= enough).withColumn("agreed", F.udf(agreement, "verbatim int, run int", useArrow=False)("found"))
+    runs = runs.withColumn("verbatim", F.col("agreed.verbatim") >= enough).filter(F.col("verbatim") | (F.col("agreed.run") >= enough))
     return runs.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("verbatim").alias("verbatim"))
 
 

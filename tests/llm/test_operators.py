@@ -517,6 +517,34 @@ def test_slots_must_agree(spark):
     assert got == {1: True, 2: False}
 
 
+def test_verbatim_and_merged_slots(spark):
+    """A long copy with one repeated name changed, a question whose numbers became equal, and texts of the same grammar."""
+    story = "in the morning we saw Anna go down to the river with a basket of bread and cheese for the old man on the other side, and later that day the whole village came and asked Anna for the way"
+    sums = "if a farmer has 3 cows in the field and buys 5 more of them at the market how many are there at the end"
+    pure = "so Anna met Bert and Anna told Carl that Dora saw Bert with Emil and Carl left Dora for Emil"
+    bench = spark.createDataFrame([(1, story), (2, sums), (3, pure)], "item_id long, text string")
+    rows = [
+        (1, "x " + story.replace("asked Anna", "asked Otto")),
+        (2, "x " + sums.replace("3", "4").replace("5", "4")),
+        (3, "so Nora met Olaf and Paul told Quin that Rosa saw Sven with Toni and Ulla left Vera for Wilm"),
+        (4, story[:70]),
+    ]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.report(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [], 4: [1]}
+
+
+def test_agreement_by_brute_force():
+    def one(rows):
+        seen = {}
+        return all(seen.setdefault(i, d) == d for row in rows for i, d in row)
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        rows = [{(f"i{rng.integers(3)}", f"d{rng.integers(3)}") for _ in range(rng.integers(3))} for _ in range(8)]
+        best = max(b - a for a in range(9) for b in range(a, 9) if one(rows[a:b]))
+        assert decontaminate.agreement([(k, list(r)) for k, r in enumerate(rows)])[1] == best
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
