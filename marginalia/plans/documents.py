@@ -194,6 +194,19 @@ def spelling_suggest(spark, sf_dir):
     return style.suggestions(wrong, d).select("wrong", "word", "distance")
 
 
+def unknown_words(documents, dictionary):
+    """word: the distinct words of documents, in lower case, that the dictionary lacks."""
+    return style.words(documents, "doc_id").select(F.lower("word").alias("word")).distinct().join(dictionary, "word", "left_anti")
+
+
+@family.over(None, f"""WITH c AS (SELECT * FROM documents), d AS ({DICTIONARY}), wrong AS (SELECT DISTINCT lower(word) AS w FROM ({TOKENS}) WHERE lower(word) NOT IN (SELECT word FROM d))
+    SELECT w AS wrong, word, levenshtein(w, word)::INT AS distance FROM (SELECT w, word, row_number() OVER (PARTITION BY w ORDER BY levenshtein(w, word), word) AS r FROM wrong, d WHERE abs(length(w) - length(word)) <= 2 AND levenshtein(w, word) BETWEEN 1 AND 2) WHERE r <= 5""")
+def spelling_suggest_documents(spark, sf_dir):
+    """Suggestions for every unknown word of documents."""
+    d = _dictionary(spark, sf_dir)
+    return style.suggestions(unknown_words(table(spark, sf_dir, "documents"), d), d).select("wrong", "word", "distance")
+
+
 # -- sections
 
 @family.over("papers", f"SELECT doc_id, line::INT AS line, length(regexp_extract(line_text, '^(#+)', 1))::INT AS level, trim(regexp_extract(line_text, '^#+\\s+(.+)$', 1)) AS title FROM ({duck_lines('doc_id')}) WHERE regexp_matches(line_text, '^#+\\s+.+$')")

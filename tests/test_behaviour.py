@@ -128,6 +128,32 @@ def test_style_exceptions(spark):
     assert style.issues(docs(spark, "Line one.\nThis is very good."), "doc_id", dictionary=words).count() == 0
 
 
+def test_suggestions_for_all_unknown_words(spark, data):
+    """Every unknown word of documents gets the words that brute force gives."""
+    from marginalia.plans import catalogue, documents
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    known = spark.createDataFrame([(w,) for w in ("question", "station", "stations", "there", "three", "at", "cat")], "word string")
+    d = docs(spark, "Where is the Staton\nand the qestion of there", "a thre cats", None, "")
+    unknown = sorted(r["word"] for r in documents.unknown_words(d, known).collect())
+    assert unknown == ["and", "cats", "qestion", "staton", "the", "thre", "where"]
+    words = [r["word"] for r in known.collect()]
+    want = {(u, w, distance(u, w)) for u in unknown for w in sorted((w for w in words if 1 <= distance(u, w) <= 2), key=lambda w: (distance(u, w), w))[:5]}
+    got = style.suggestions(documents.unknown_words(d, known), known).select("wrong", "word", "distance")
+    assert {tuple(r) for r in got.collect()} == want
+    # the query looks words of documents up, not of the dictionary
+    unknown = {r["word"].lower() for r in catalogue.queries()["spelling_unknown"](spark, data).collect()}
+    wrong = {r["wrong"] for r in catalogue.queries()["spelling_suggest_documents"](spark, data).collect()}
+    assert wrong and wrong <= unknown
+
+
 def test_spelling_words(spark):
     got = {r["word"] for r in style.words(docs(spark, "The NASA and CERN projects.\n```\ncode block\n```\nreal text", "---\ntitle: hidden\n---\nshown"), "doc_id").collect()}
     assert "projects" in got and "real" in got and "shown" in got
