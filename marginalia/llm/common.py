@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "marginalia-checkpoints")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -38,7 +40,28 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.folder = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        fs, path = filesystem(table.folder)
+        fs.delete_dir(path)
+
+
+def threshold(share: float) -> int:
+    """The signed 64-bit hash below which the given share of hashes lies."""
+    return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))
+
+
+def arrow_schema(ddl: str):
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T.StructType.fromDDL(ddl))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -175,27 +198,30 @@ def crc_is_held_out(doc_id_text: str) -> str:
     return f"crc32(cast({doc_id_text} AS string)) % 4 = 2"
 
 
-def map_text(df: DataFrame, keep: list[str], function, added: str, text: str = "text", most_chars: int = 4_000_000) -> DataFrame:
+def map_text(df: DataFrame, keep: list[str], function, added: str, text: str = "text", most_chars: int = 4_000_000, also: str | None = None) -> DataFrame:
     """The columns of `keep` as they are, and columns that `function` makes of whole texts.
 
-    function: list of texts (null: empty) -> one list or array for each column
-    of `added`, a DDL string.  Kept columns stay in Arrow, so that ids and
-    nulls come through unchanged.  Few characters are handled at a time.
+    function: list of texts (null: empty), and of those of the column `also`
+    if there is one -> one list or array for each column of `added`, a DDL
+    string.  Kept columns stay in Arrow, so that ids and nulls come through
+    unchanged.  Few characters are handled at a time.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
     small_batches(df.sparkSession)
-    rows = df.select(*keep, df[text].alias("__text"))
+    more = [df[also].alias("__also")] if also else []
+    rows = df.select(*keep, df[text].alias("__text"), *more)
+    n_keep = len(keep)
     new = T.StructType.fromDDL(added)
-    schema = T.StructType([*rows.schema.fields[:-1], *new.fields])
+    schema = T.StructType([*rows.schema.fields[:n_keep], *new.fields])
     arrow_new = to_arrow_schema(new)
-    n_keep = len(keep)
 
     def run(batches):
         for batch in batches:
-            texts = strings(batch.column(n_keep).to_pylist())
+            columns = [strings(c.to_pylist()) for c in batch.columns[n_keep:]]
+            texts = columns[0]
             start = 0
             while start < len(texts):
                 end, size = start, 0
@@ -203,7 +229,7 @@ def map_text(df: DataFrame, keep: list[str], function, added: str, text: str = "
                     size += len(texts[end])
                     end += 1
                 part = batch.slice(start, end - start)
-                made = function(texts[start:end])
+                made = function(*[c[start:end] for c in columns])
                 arrays = [*part.columns[:n_keep], *[pa.array(m, type=f.type, from_pandas=False) for m, f in zip(made, arrow_new, strict=True)]]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:n_keep], *arrow_new.names])
                 start = end

@@ -28,7 +28,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +36,7 @@ from . import common
 
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, segments int, payload binary, error string"
 PARTS = "origin string, number int, total long, last boolean, block binary, " + RECORD
+MANIFEST = "path string, records long"
 #: Payloads held by so many pages that one task should not get them all; at most so many rows are broadcast.
 HOT_PAYLOADS = 1000
 
@@ -128,8 +129,9 @@ def with_types(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 4096, chunk_bytes: int = 1500, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write one record per page; returns the manifest (path string, records long)."""
     common.small_batches(pages.sparkSession)
+    schema = common.arrow_schema(MANIFEST)
 
-    def put(frames):
+    def put(batches):
         files = []
 
         def file(kind):
@@ -140,31 +142,30 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = 4096, chu
             return f
 
         main = more = None
-        for pdf in frames:
-            for page_id, url, html, to in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["refers_to"], strict=True):
-                main = main or file("pages")
-                payload = html.encode("utf-8", "surrogatepass")
-                me = f"<urn:uuid:{uuid.uuid4()}>"
-                common_fields = [("WARC-Record-ID", me), ("WARC-Date", date), ("WARC-Target-URI", None if url is None else " ".join(url.split())), ("WARC-Page-ID", None if pd.isna(page_id) else int(page_id)), ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"), ("Content-Type", "application/http;msgtype=response")]
-                status = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-                main.records += 1
-                if not pd.isna(to):
-                    profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-                    main.write(record([("WARC-Type", "revisit"), ("WARC-Profile", profile), ("WARC-Refers-To-Page-ID", int(to)), *common_fields], status + b"Content-Length: %d\r\n\r\n" % len(payload)))
-                    continue
-                block = status + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
-                cut = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
-                main.write(record([("WARC-Type", "response"), ("WARC-Segment-Number", 1 if len(cut) > 1 else None), *common_fields], cut[0]))
-                for n, part in enumerate(cut[1:], 2):
-                    more = more or file("continuations")
-                    more.records += 1
-                    more.write(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", me), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(cut) else None)], part))
+        for page_id, url, html, to in (r.values() for batch in batches for r in batch.to_pylist()):
+            main = main or file("pages")
+            payload = html.encode("utf-8", "surrogatepass")
+            me = f"<urn:uuid:{uuid.uuid4()}>"
+            common_fields = [("WARC-Record-ID", me), ("WARC-Date", date), ("WARC-Target-URI", None if url is None else " ".join(url.split())), ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"), ("Content-Type", "application/http;msgtype=response")]
+            status = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+            main.records += 1
+            if to is not None:
+                profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+                main.write(record([("WARC-Type", "revisit"), ("WARC-Profile", profile), ("WARC-Refers-To-Page-ID", to), *common_fields], status + b"Content-Length: %d\r\n\r\n" % len(payload)))
+                continue
+            block = status + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
+            cut = [block[k : k + segment_bytes] for k in range(0, len(block), segment_bytes)]
+            main.write(record([("WARC-Type", "response"), ("WARC-Segment-Number", 1 if len(cut) > 1 else None), *common_fields], cut[0]))
+            for n, part in enumerate(cut[1:], 2):
+                more = more or file("continuations")
+                more.records += 1
+                more.write(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", me), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", len(block) if n == len(cut) else None)], part))
         for f in files:
             f.close()
         if files:
-            yield pd.DataFrame({"path": pd.Series([f.name for f in files], dtype=object), "records": [f.records for f in files]})
+            yield pa.RecordBatch.from_pylist([{"path": f.name, "records": f.records} for f in files], schema)
 
-    return common.materialize(with_types(pages, min_revisit_bytes).mapInPandas(put, "path string, records long"), "manifest")
+    return common.materialize(with_types(pages, min_revisit_bytes).mapInArrow(put, MANIFEST), "manifest")
 
 
 def finish(row: dict, block: bytes, keep_payload: bool) -> dict:
@@ -179,11 +180,6 @@ def finish(row: dict, block: bytes, keep_payload: bool) -> dict:
     return row
 
 
-def frame_of(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    integers = {"page_id", "refers_to", "payload_bytes", "segments", "number", "total"}
-    return pd.DataFrame({c: pd.array([r.get(c) for r in rows], dtype="Int64") if c in integers else pd.Series([r.get(c) for r in rows], dtype=object) for c in names})
-
-
 def names_of(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -191,10 +187,12 @@ def names_of(schema: str) -> list[str]:
 def read_archives(spark: SparkSession, manifest: DataFrame, keep_payload: bool = True) -> DataFrame:
     """The response and revisit records of archives listed in `path`, put together again."""
 
-    def parse(frames):
-        names, rows, held = names_of(PARTS), [], 0
-        for pdf in frames:
-            for path in pdf["path"]:
+    part_schema, record_schema = common.arrow_schema(PARTS), common.arrow_schema(RECORD)
+
+    def parse(batches):
+        rows, held = [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
                 for fields, block in records_of(path):
                     kind = fields.get("warc-type")
                     if kind not in ("response", "revisit", "continuation"):
@@ -212,12 +210,12 @@ def read_archives(spark: SparkSession, manifest: DataFrame, keep_payload: bool =
                     rows.append(row)
                     held += len(block)
                     if len(rows) >= 2000 or held > 16_000_000:
-                        yield frame_of(rows, names)
+                        yield pa.RecordBatch.from_pylist(rows, part_schema)
                         rows, held = [], 0
         if rows:
-            yield frame_of(rows, names)
+            yield pa.RecordBatch.from_pylist(rows, part_schema)
 
-    def put_together(frames):
+    def put_together(batches):
         names, out = names_of(RECORD), []
         origin, head, blocks, numbers, total = None, None, [], [], None
 
@@ -233,10 +231,10 @@ def read_archives(spark: SparkSession, manifest: DataFrame, keep_payload: bool =
                 return row | {"error": "total length differs"}
             return finish(row, block, keep_payload)
 
-        for pdf in frames:
-            for r in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
+        for batch in batches:
+            for r in batch.to_pylist():
                 if r["block"] is None:
-                    out.append(r)
+                    out.append({c: r[c] for c in names})
                 else:
                     if r["origin"] != origin:
                         if origin is not None:
@@ -248,16 +246,16 @@ def read_archives(spark: SparkSession, manifest: DataFrame, keep_payload: bool =
                     blocks.append(r["block"])
                     numbers.append(r["number"])
                 if len(out) >= 2000:
-                    yield frame_of(out, names)
+                    yield pa.RecordBatch.from_pylist(out, record_schema)
                     out = []
         if origin is not None:
             out.append(whole())
         if out:
-            yield frame_of(out, names)
+            yield pa.RecordBatch.from_pylist(out, record_schema)
 
     files = max(1, manifest.count())
-    parts = manifest.select("path").repartition(files).mapInPandas(parse, PARTS)
-    return parts.repartition(F.col("origin")).sortWithinPartitions("origin", "number").mapInPandas(put_together, RECORD)
+    parts = manifest.select("path").repartition(files).mapInArrow(parse, PARTS)
+    return parts.repartition(F.col("origin")).sortWithinPartitions("origin", "number").mapInArrow(put_together, RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, keep_payload: bool = False, **options) -> DataFrame:
