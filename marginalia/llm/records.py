@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +41,7 @@ from . import common
 #: Formats of a frame's head, an index entry and a payload's head.
 HEAD, ENTRY, META = "<QI", "<QIqI", "<qBI"
 NO_ID, WIDE = 1, 2
+MANIFEST = "part int, path string, docs long, tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -186,7 +187,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "_h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_h")
 
-    def put(frames):
+    schema = common.arrow_schema(MANIFEST)
+
+    def put(batches):
         import uuid
 
         from pyspark import TaskContext
@@ -195,14 +198,13 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
 
         part, coder, data, index = TaskContext.get().partitionId(), None, None, None
         n_docs = n_tokens = 0
-        for pdf in frames:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for batch in batches:
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if data is None:
                     coder = encoder(tokenizer_path, end_id)
                     path = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex[:8]}.bin"
                     data, index = common.AtomicFile(path), common.AtomicFile(f"{path}.index")
                 ids = np.frombuffer(coder.encode(text), "<u4")
-                key = None if pd.isna(doc_id) else int(doc_id)
                 framed = frame(pack(key, ids))
                 index.write(struct.pack(ENTRY, data.at, len(framed), key or 0, len(ids)))
                 data.write(framed)
@@ -211,9 +213,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None
         if data is not None:
             data.close()
             index.close()
-            yield pd.DataFrame({"part": [part], "path": pd.Series([path], dtype=object), "docs": [n_docs], "tokens": [n_tokens]})
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "docs": n_docs, "tokens": n_tokens}], schema)
 
-    return common.materialize(rows.select("doc_id", "text").mapInPandas(put, "part int, path string, docs long, tokens long"), "manifest")
+    return common.materialize(rows.select("doc_id", "text").mapInArrow(put, MANIFEST), "manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -230,9 +232,11 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     if not files:
         return spark.createDataFrame([], RESULT)
 
-    def get(frames):
-        for pdf in frames:
-            for path, at in zip(pdf["path"], pdf["start"], strict=True):
+    result = common.arrow_schema(RESULT)
+
+    def get(batches):
+        for batch in batches:
+            for path, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = []
                 for doc_id, ids in records_of(path):
                     out.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
@@ -244,10 +248,10 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     yield table(out)
 
     def table(out):
-        return pd.DataFrame({"doc_id": pd.array([r[0] for r in out], dtype="Int64")} | {c: np.array([r[k] for r in out], np.int64) for k, c in ((1, "start"), (2, "n_tokens"), (3, "ids_crc32"))})
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), result.types, strict=True)], schema=result)
 
     rdd = spark.sparkContext.parallelize(files, len(files))
-    return spark.createDataFrame(rdd, schema).mapInPandas(get, RESULT)
+    return spark.createDataFrame(rdd, schema).mapInArrow(get, RESULT)
 
 
 def tokenize_to_records(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int | None = 2) -> DataFrame:
