@@ -73,8 +73,10 @@ def repeat_words(codes: np.ndarray, kinds: int) -> int:
     """Words that lie in a 3-word window which the text has twice or more."""
     if len(codes) < 3:
         return 0
-    # kinds is at most the number of words, far below the cube root of 2 ** 63
-    windows = (codes[:-2] * kinds + codes[1:-1]) * kinds + codes[2:]
+    pairs = codes[:-1] * kinds + codes[1:]
+    if kinds > 2_000_000:  # three numbers would not fit into 63 bits, so pairs are numbered anew
+        pairs = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+    windows = pairs[:-1] * kinds + codes[2:]
     _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
     again = counts[inverse] > 1
     covered = np.zeros(len(codes), bool)

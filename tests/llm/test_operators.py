@@ -87,6 +87,16 @@ def test_chunks():
         warc.dechunk(b"5\r\nabc")
 
 
+BIG = 2**53 + 1
+
+
+def test_warc_keeps_large_ids_beside_nulls(spark):
+    rows = [(BIG, "u", "<a>"), (BIG + 2, "u", "<a>"), (None, "u", "<b>"), (BIG + 4, "u", "é" * 9000), (BIG + 6, "u", None)]
+    wide = pages(spark, rows).coalesce(1).select("*", F.lit(1).alias("_d"), F.lit(2).alias("refers_to"), F.lit("x").alias("error"), F.lit("y").alias("_k"))
+    got = {(r["page_id"], r["refers_to"], r["record_type"], r["payload_bytes"]) for r in warc.round_trip(spark, wide).collect()}
+    assert got == {(BIG, BIG + 2, "revisit", 3), (BIG + 2, None, "response", 3), (None, None, "response", 3), (BIG + 4, None, "response", 18_000), (BIG + 6, None, "response", 0)}
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark, pages(spark, [])).count() == 0
 
@@ -345,6 +355,12 @@ def test_records(spark, odd, empty, tokenizer):
     assert records.read(spark, records.write(empty, common.new_folder(spark, "test"), path)).count() == 0
 
 
+def test_records_keep_large_ids_beside_nulls(spark, tokenizer):
+    table = docs(spark, [(BIG, "one", None, None), (None, "two", None, None), (BIG + 2, None, None, None)]).coalesce(1).withColumn("_h", F.lit(3)).withColumn("n_tokens", F.lit(4))
+    got = records.tokenize_to_records(spark, table, tokenizer[0]).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, BIG, BIG + 2]
+
+
 def test_damaged_records(tmp_path):
     data = records.frame(records.pack(5, np.array([1, 2, 70_000])))
     (tmp_path / "f").write_bytes(data)
@@ -435,6 +451,42 @@ def test_rules(spark, data, odd, empty):
     assert rules.judge(odd).count() == odd.count() and rules.judge(empty).count() == 0
 
 
+def test_repeated_words_of_many_kinds(monkeypatch):
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        codes = rng.integers(0, 4, 40)
+        assert rules.repeat_words(codes, 4) == rules.repeat_words(codes, 3_000_000)
+    # three of these numbers would wrap around: (a, b, c) and (d, e, f) may not be taken for equal
+    kinds = 2_200_000
+    assert rules.repeat_words(np.arange(kinds), kinds) == 0
+    assert rules.repeat_words(np.concatenate([np.arange(kinds), [5, 6, 7]]), kinds) == 6
+
+
+def test_label_model_learns_what_rules_are_worth():
+    """Votes drawn from a known model: accuracies come out, and the posterior decides better than all-must-pass."""
+    rng = np.random.default_rng(3)
+    n, true = 20_000, rng.random(20_000) < 0.7
+    right = np.array([0.95, 0.9, 0.85, 0.8, 0.6])
+    votes = np.where(rng.random((n, 5)) < right, 1, -1) * np.where(true, 1, -1)[:, None]
+    votes[rng.random((n, 5)) < 0.2] = 0
+    patterns, at, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    prior, p = rules.fit(patterns, counts.astype(float), weight=0.001)
+    assert abs(prior - 0.7) < 0.03 and np.abs(rules.accuracies(prior, p) - right).max() < 0.04
+    kept = rules.posterior(prior, p, patterns)[at.ravel()] >= 0.5
+    assert (kept == true).mean() > 0.93 > ((votes >= 0).all(1) == true).mean()
+
+
+def test_posterior_overrules_single_rules(spark, data):
+    """`kept` is the label model's verdict, row by row, not the base rules alone."""
+    got = rules.judge(spark.read.parquet(f"{data}/documents.parquet")).toPandas()
+    names = [f"vote_{k}" for k in rules.rules()]
+    patterns, at, counts = np.unique(got[names].to_numpy(), axis=0, return_inverse=True, return_counts=True)
+    prior, p = rules.fit(patterns, counts.astype(float))
+    want = rules.posterior(prior, p, patterns)[at.ravel()]
+    assert np.allclose(got.posterior, want) and (got.kept == (~got.base_failed & (want >= 0.5))).all()
+    assert ((got[names] < 0).any(axis=1) & got.kept).any() and (~got.base_failed & ~got.kept).any()
+
+
 # ---------------------------------------------------------------- 9
 
 
