@@ -426,6 +426,102 @@ def test_pii(spark, data, odd, empty):
     assert pii.redact("mail a.b@c.de now", [(5, 0, 13)]) == "mail <email> now"
 
 
+@pytest.fixture(scope="module")
+def tagger(spark, data):
+    return pii.fit(spark.read.parquet(f"{data}/documents.parquet"))
+
+
+def corpus_windows(spark, data, part):
+    rows = spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()
+    return [(w, pii.base_spans(w)) for r in rows if r["text"] and r["doc_id"] % 2 == part for w in pii.cut_windows(r["text"][::-1])]
+
+
+def test_tagger_finds_what_the_patterns_do_not(spark, data, tagger):
+    """Held-out made-up data in forms that the patterns do not know: recall and precision per kind, and none in clean text."""
+    rows = pii.examples(corpus_windows(spark, data, 0), np.random.default_rng(77), 1200, base=0.0, made=1.0)
+    texts = [t for t, _ in rows]
+    base = [pii.base_spans(t) for t in texts]
+    added = pii.added_spans(texts, base, tagger, tagger.sure)
+    wanted, hit, wrong = Counter(), Counter(), 0
+    for (_, gold), own, new in zip(rows, base, added, strict=True):
+        got = {x[:3] for x in new}
+        wrong += len(got - set(gold))
+        for s, k, e in gold:
+            if e < pii.LENGTH and not any(s < e2 and s2 < e for s2, _, e2 in own):
+                wanted[k] += 1
+                hit[k] += (s, k, e) in got
+    assert all(hit[k] >= 0.9 * wanted[k] > 50 for k in range(4)), (hit, wanted)
+    assert wrong <= 0.05 * sum(hit.values())
+    clean = [t for t, s in corpus_windows(spark, data, 1) if not re.search(r"[0-9@]", t)]
+    assert sum(map(len, pii.added_spans(clean, [[] for _ in clean], tagger, tagger.sure))) <= len(clean) / 200
+    for text, want in (("please write to jane [at] example [dot] org today", "jane [at] example [dot] org"), ("you can call (555) 123-4567 now", "(555) 123-4567")):
+        found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), tagger).first()
+        assert want in [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in found["spans"].split(",") if x)]
+        assert found["n_email"] == found["n_phone"] == 0
+
+
+def test_windows_are_reconciled(tagger):
+    """A datum is found wherever it lies against the windows' edges, and long texts get the scores of single windows."""
+    fill = "thing of the other that was in here for them and so on with these "
+    datum, hits = "(0171) 234567", 0
+    places = range(pii.STRIDE - 40, pii.WINDOW + 40, 4)
+    for at in places:
+        text = (fill * 20)[:at] + " " + datum + " " + fill * 5
+        spans = pii.added_spans([text], [[]], tagger, tagger.sure)[0]
+        hits += (at + 1, 3, at + 1 + len(datum)) in {x[:3] for x in spans}
+        assert len(spans) <= 1
+    assert hits >= 0.9 * len(places)
+    # the averaged scores by a plain loop
+    text = (fill * 12 + datum + " ") * 4
+    codes = np.append(pii.codes_of(text), np.full(pii.WINDOW, 95))
+    total, mass = np.zeros((len(text), pii.TAGS)), np.zeros(len(text))
+    for start in range(0, max(1, len(text) - (pii.WINDOW - pii.STRIDE)), pii.STRIDE):
+        part = pii.tag_scores(codes[None, start : start + pii.WINDOW], tagger)[:, 0]
+        end = min(len(text), start + pii.WINDOW)
+        head, tail = start > 0, end < len(text)
+        weight = np.ones(end - start)
+        over = pii.WINDOW - pii.STRIDE
+        if head:
+            weight[:over] = pii.EDGE[:over]
+        if tail:
+            weight[pii.STRIDE :] = pii.EDGE[pii.STRIDE :][: len(weight) - pii.STRIDE]
+        for k in range(end - start):
+            shared = (head and k < over) or (tail and k >= pii.STRIDE)
+            w = weight[k] / (over + 1) if shared else 1.0
+            total[start + k] += w * part[k]
+            mass[start + k] += w
+    places, scores, _ = pii.plausible([text], tagger)
+    assert np.allclose(mass, 1) and len(places) and np.allclose(scores, total[places], atol=1e-3)
+
+
+def test_decoding_by_brute_force():
+    """Best tags, and the probability of a span, over all tag sequences of short stretches."""
+    rng = np.random.default_rng(5)
+    moves = rng.standard_normal((pii.TAGS, pii.TAGS)) + pii.allowed()
+    sizes = np.array([3, 1, 4])
+    starts = np.cumsum(sizes) - sizes
+    scores = rng.standard_normal((8, pii.TAGS)) * 2
+    tags, a, b, z = pii.decode(scores, starts, sizes, moves)
+    for g, (s, n) in enumerate(zip(starts, sizes, strict=True)):
+        ways = np.stack(np.meshgrid(*[range(pii.TAGS)] * n, indexing="ij"), -1).reshape(-1, n)
+        value = scores[s + np.arange(n), ways].sum(1) + moves[0, ways[:, 0]] + moves[ways[:, -1], 0] + moves[ways[:, :-1], ways[:, 1:]].sum(1)
+        assert ways[value.argmax()].tolist() == tags[s : s + n].tolist()
+        assert np.isclose(np.log(np.exp(value).sum()), z[g])
+        for k in range(n):
+            own = np.array([np.exp(value[ways[:, k] == y]).sum() for y in range(pii.TAGS)])
+            assert np.allclose(np.exp(a[s + k] + b[s + k] - z[g]), own / own.sum(), atol=1e-6)
+
+
+def test_tagger_on_odd_texts(tagger):
+    texts = ["", "5", "5" * 50_000, "a" * 3000, "+1 (", "@" * 500, "1.2.3.4 " * 400]
+    base, every = pii.all_spans(texts, tagger)
+    for text, own, all_ in zip(texts, base, every, strict=True):
+        assert set(own) <= set(all_) and all(0 <= s < e <= len(text) for s, _, e in all_)
+        for kind in range(4):
+            ends = [x for x in all_ if x[1] == kind]
+            assert all(x[2] <= y[0] for x, y in zip(ends, ends[1:], strict=False))
+
+
 # ---------------------------------------------------------------- 8
 
 
