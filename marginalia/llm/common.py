@@ -193,6 +193,17 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind as it takes to differ from all columns of the table."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_is_held_out(doc_id_text: str) -> str:
     """SQL of the fixed fold: crc32 of the id as text, modulo 4, is 2."""
     return f"crc32(cast({doc_id_text} AS string)) % 4 = 2"

@@ -8,8 +8,8 @@ possible for an n-gram that the profile lacks.
 
 Profiles are learnt from at most about `sample` labelled documents, chosen by
 a hash of their ids; counts are added up in the executors' batches and then
-by Spark, and only the first `size` of each language reach the driver.  At
-most `languages` languages are learnt, the most frequent ones.
+by Spark, and only the first `size` of each language reach the driver.  All
+languages of the labels are learnt, each from an equal part of the sample.
 
 Defined cases: a null text, or one without letters, is `und` with score 0;
 without any labelled document everything is `und`; ties in frequency go by
@@ -62,18 +62,18 @@ def ranked(numbers: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return numbers[np.lexsort((numbers, -counts))][:size]
 
 
-def learn(labelled: DataFrame, size: int = 300, sample: int = 8000, languages: int = 200) -> dict[str, np.ndarray]:
+def learn(labelled: DataFrame, size: int = 300, sample: int = 8000) -> dict[str, np.ndarray]:
     """Profiles by language, from labelled documents (doc_id, text, lang)."""
     spark = labelled.sparkSession
     common.small_batches(spark)
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    by_lang = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    by_lang = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not by_lang:
         return {}
     # each language gets an equal part of the sample, or all that it has
     part = max(1, sample // len(by_lang))
-    share = F.create_map(*[x for k, n in by_lang.items() for x in (F.lit(k), F.lit(int(min(1.0, part / n) * 1_000_000)))])
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("text", "lang")
+    share = F.create_map(*[x for k, n in by_lang.items() for x in (F.lit(k), F.lit(common.threshold(min(1.0, part / n))))])
+    chosen = labelled.filter(F.xxhash64(F.lit(3), "doc_id") <= share[F.col("lang")]).select("text", "lang")
 
     def count(frames):
         held: dict[str, dict[int, int]] = {}
@@ -148,8 +148,8 @@ def identify(docs: DataFrame, size: int = 300, sample: int = 8000) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """The documents whose language is known: not `und`, and of some likeness to a learnt one."""
     names = docs.columns
-    folded = docs.withColumn("_held", F.coalesce(F.expr(common.crc_is_held_out("doc_id")), F.lit(False)))
-    profiles = learn(folded.filter(~F.col("_held")).select("doc_id", "text", "lang"))
-    # names of the own columns that no table has
-    scored = predict(docs, profiles, keep=tuple(names), added=("__lang", "__score"))
-    return scored.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*names)
+    profiles = learn(docs.select("doc_id", "text", "lang").filter(~F.coalesce(F.expr(common.crc_is_held_out("doc_id")), F.lit(False))))
+    # the prediction's columns get names that the table lacks
+    lang, score = common.free_names(docs, "lang_pred", "score")
+    scored = predict(docs, profiles, keep=tuple(names), added=(lang, score))
+    return scored.filter((F.col(f"`{lang}`") != UNKNOWN) & (F.col(f"`{score}`") >= least)).select(*names)
