@@ -7,9 +7,10 @@ a document is good is the mean of its lines' forward-backward marginals,
 weighted by length, and put on the scale of the labels by a logistic curve.
 
 It is trained from document labels, which all lines of a document inherit,
-on at most about `sample` labelled documents, half of each label, chosen by a
-hash of their ids; of those, ones with over `most_lines` lines stay out.
-The lines' features of the sample go to the driver: that is its bound.
+on at most `sample` labelled documents, about half of each label, chosen by a
+hash of their ids; of those, ones with over `most_lines` lines stay out, and
+so do the ones behind the first `sample_lines` lines.  The lines' ratios of
+the sample go to the driver: that is its bound, some 50 bytes a line.
 
 Defined cases: a text without a word has no lines and gets the share of
 good documents in training as its score; without labels of both kinds that
@@ -22,7 +23,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -79,9 +80,13 @@ def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
         lengths.append(len(line))
         seen.add(line)
         before = line
-    r = np.array(rows, np.float32).reshape(len(rows), len(LIMITS))
+    return cut_at_limits(np.array(rows, np.float32).reshape(len(rows), len(LIMITS))), np.array(lengths, np.float64)
+
+
+def cut_at_limits(r: np.ndarray) -> np.ndarray:
+    """Lines' own features, given their ratios."""
     low, high = np.array(LIMITS, np.float32).T
-    return np.hstack([r, r > low, r > high, np.ones((len(r), 1), np.float32)]).astype(np.float32), np.array(lengths, np.float64)
+    return np.hstack([r, r > low, r > high, np.ones((len(r), 1), np.float32)]).astype(np.float32)
 
 
 def with_neighbours(own: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -199,28 +204,37 @@ def scores_of(texts: list[str], model: Model) -> np.ndarray:
     return np.where(sizes > 0, 1 / (1 + np.exp(-(a * z + b))), model.share)
 
 
-def fit(labelled: DataFrame, sample: int = 6000, most_lines: int = 1000, **options) -> Model:
-    """A model from labelled documents (doc_id, text, quality)."""
-    rows = labelled.filter("quality IN (0, 1)").select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, most_lines: int = 1000, sample_lines: int = 200_000, **options) -> Model:
+    """A model from documents (doc_id, text) and labels (doc_id, quality); the sample is drawn before the join, so that only its texts are moved."""
+    known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if not counts:
         return train([], [], np.empty(0))
-    part = {q: int(min(1.0, sample / 2 / n) * 1_000_000) for q, n in counts.items()}
-    share = F.when(F.col("quality") == 0, part.get(0, 0)).otherwise(part.get(1, 0))
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < share)
+    # each label gives half of the sample, or all that it has; a fifth more is drawn, for shares by hash are not exact
+    shares = {q: min(1.0, 0.6 * sample / n) for q, n in counts.items()}
+    hashed = F.xxhash64(F.lit(5), "doc_id")
+    limit = F.when(F.col("quality") == 0, common.threshold(shares.get(0, 0.0))).otherwise(common.threshold(shares.get(1, 0.0)))
+    share = F.when(F.col("quality") == 0, shares.get(0, 1.0)).otherwise(shares.get(1, 1.0))
+    # some 1.2 * sample rows of three numbers
+    some = known.filter(hashed <= limit).withColumn("u", (hashed / 2.0**64 + 0.5) / share)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
     def features(texts):
-        own, lengths = [], []
+        own, lengths, many = [], [], []
         for t in texts:
             x, n = lines_of(t)
-            keep = len(x) <= most_lines
-            own.append(x.tobytes() if keep else b"")
-            lengths.append(n.tobytes() if keep else b"")
-        return own, lengths
-
-    got = common.map_text(chosen, ["doc_id", "quality"], features, "own binary, lengths binary").orderBy("doc_id", "quality").collect()
-    own = [np.frombuffer(r["own"], np.float32).reshape(-1, OWN) for r in got]
-    model = train(own, [np.frombuffer(r["lengths"], np.float64) for r in got], np.array([r["quality"] for r in got], float), **options)
+            own.append(np.ascontiguousarray(x[:, : len(LIMITS)]).tobytes() if len(x) <= most_lines else None)
+            lengths.append(n.astype(np.int32).tobytes() if len(x) <= most_lines else None)
+            many.append(len(x))
+        return own, lengths, many
+
+    order = ["u", "doc_id", "quality", "own"]
+    got = common.map_text(chosen, order[:3], features, "own binary, lengths binary, lines int").filter("own IS NOT NULL").orderBy(*order).limit(sample)
+    # the window is over the sample alone
+    running = F.sum("lines").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = got.withColumn("running", running).filter(F.col("running") <= sample_lines).orderBy(*order).select("own", "lengths", "quality").collect()
+    own = [cut_at_limits(np.frombuffer(r["own"], np.float32).reshape(-1, len(LIMITS))) for r in rows]
+    model = train(own, [np.frombuffer(r["lengths"], np.int32).astype(np.float64) for r in rows], np.array([r["quality"] for r in rows], float), **options)
     return model._replace(share=counts.get(1, 0) / sum(counts.values()))
 
 
@@ -234,16 +248,4 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from the labels outside the held-out fold."""
     rows = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(F.expr(common.crc_is_held_out("doc_id")), F.lit(False)))
     known = labels.select("doc_id", "quality").filter(~F.expr(common.crc_is_held_out("doc_id")))
-    # the sample comes before the join, so that only its texts are moved
-    return score(rows, fit_sampled(rows, known, **options), keep=("held_out",)).select("doc_id", "held_out", "score", "predicted")
-
-
-def fit_sampled(docs: DataFrame, labels: DataFrame, sample: int = 6000, **options) -> Model:
-    """fit() with labels in a table of their own."""
-    counts = {r["quality"]: r["count"] for r in labels.filter("quality IN (0, 1)").groupBy("quality").count().collect()}
-    part = {q: int(min(1.0, 2 * sample / n) * 1_000_000) for q, n in counts.items()}
-    share = F.when(F.col("quality") == 0, part.get(0, 0)).otherwise(part.get(1, 0))
-    some = labels.filter("quality IN (0, 1)").filter(F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(1_000_000)) < share)
-    # at most about 4 * sample rows of two numbers
-    model = fit(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), sample, **options)
-    return model._replace(share=counts.get(1, 0) / sum(counts.values())) if counts else model
+    return score(rows, fit(rows, known, **options), keep=("held_out",)).select("doc_id", "held_out", "score", "predicted")

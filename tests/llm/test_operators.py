@@ -191,36 +191,62 @@ def test_language_accuracy(spark, data):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in zip(got.doc_id, got.held_out, strict=True))
 
 
-def test_language_by_brute_force():
-    texts = {"en": "the cat and the dog and the bird", "de": "der hund und die katze und der vogel"}
-    size = 50
-
-    def brute(text):
-        c = Counter()
-        for w in re.findall(r"[^\W\d_]+", text.lower()):
-            for n in (1, 2, 3):
-                c.update(g for k in range(len(w) + 3 - n) if not (g := f" {w} "[k : k + n]).isspace())
-        return c
-
-    for t in texts.values():
-        numbers, counts = langid.grams(t)
-        want = brute(t)
-        assert counts.sum() <= sum(want.values()) and len(numbers) <= len(want)
-    profiles = []
-    for lang, t in texts.items():
-        own = langid.ranked(*langid.grams(t), size)
-        order = np.argsort(own)
-        profiles.append((lang, own[order], order))
-    for lang, t in texts.items():
-        rank = langid.ranked(*langid.grams(t), size)
-        name, score = langid.nearest(rank, profiles, size)
-        assert name == lang and score == 1.0
+def brute_grams(text):
+    """Letters, pairs and triples of the words with one blank around each; a blank between two words is shared."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    if not words:
+        return Counter()
+    line = f" {' '.join(words)} "
+    c = Counter(x for x in line if x != " ")
+    c.update(line[k : k + 2] for k in range(len(line) - 1))
+    c.update(x for k in range(len(line) - 2) if (x := line[k : k + 3])[1] != " ")
+    return c
+
+
+def brute_rank(counts, size):
+    key = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], key(x[0])))][:size]
+
+
+def test_language_by_brute_force(spark):
+    """Every prediction and score against ranks and out-of-place distances worked out by hand on strings."""
+    rng = np.random.default_rng(9)
+    vocabulary = {"en": "the cat and dog ran to a big house by the river".split(), "de": "der hund und die katze lief über straße zum großen fluß".split(), "es": "el gato y la niña corren por año hacia una casa".split()}
+    rows = [(i, " ".join(rng.choice(vocabulary[lang], rng.integers(1, 30))) + ["", " 12 _x 3.5", "\n\nÀÉ"][i % 3], lang, "s") for i, lang in enumerate(rng.choice(["en", "de", "es"], 120).tolist())]
+    rows += [(500, None, "en", "s"), (501, "12 34 !!", "de", "s"), (502, "the the the", None, "s")]
+    for size in (20, 300):
+        counts = {}
+        for i, t, lang, _ in rows:
+            if t is not None and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+                # as the operator does, texts of one language are laid side by side
+                counts.setdefault(lang, []).append(t)
+        learnt = {r[2]: r for r in rows}
+        profiles = langid.learn(docs(spark, [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]).coalesce(1), size)
+        assert set(profiles) == set(counts) <= set(learnt)
+        named = {lang: [g for g in brute_rank(brute_grams("\n".join(t)), size)] for lang, t in counts.items()}
+        spelled = lambda n: "".join(chr(int(n) >> (21 * k) & (1 << 21) - 1) for k in (2, 1, 0) if int(n) >> (21 * k))
+        assert {lang: [spelled(n) for n in own] for lang, own in profiles.items()} == named
+        for r in langid.identify(docs(spark, rows).coalesce(1), size).collect():
+            rank = brute_rank(brute_grams(dict((i, t or "") for i, t, _, _ in rows)[r["doc_id"]]), size)
+            far = {lang: sum(abs(p.index(g) - k) if g in p else size for k, g in enumerate(rank)) for lang, p in named.items()}
+            best = min(far, key=lambda x: (far[x], x))
+            assert (r["lang_pred"], r["score"]) == ((best, pytest.approx(1 - far[best] / (size * len(rank)))) if rank else ("und", 0.0))
+
+
+def test_many_languages_are_learnt(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{letters[i % 26]}{letters[i // 26]}" * 3 + " " + letters[i // 26] * 4, f"l{i:03d}", "s") for i in range(260)]
+    known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(langid.learn(docs(spark, known))) == len(known) == len({r[2] for r in known})
 
 
 def test_language_odd(spark, odd, empty):
     got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(odd).collect()}
     assert (1, "und") in got and (2, "und") in got and (3, "und") in got and (4, "en") in got
     assert langid.identify(empty).count() == 0
+    clash = odd.withColumn("_held", F.lit(5)).withColumn("lang_pred", F.lit("z")).withColumn("score", F.lit(9))
+    kept = langid.accepted(clash)
+    assert kept.columns == clash.columns and {(r["_held"], r["lang_pred"], r["score"]) for r in kept.collect()} == {(5, "z", 9)}
     kept = langid.accepted(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id IN (1, 2, 3)").count() == 0 and kept.filter("doc_id = 6").count() == 2
 
@@ -311,6 +337,21 @@ def test_quality_odd(spark, odd, empty):
     assert linecrf.classify(odd, labels).count() == odd.count()
     assert linecrf.classify(odd, labels.limit(0)).filter("score = 0.5").count() == odd.count()
     assert linecrf.classify(empty, labels).count() == 0
+    # a null id has no label; one id with two texts counts with both, and two labels of one id with each
+    twice = docs(spark, [(1, "good text here.\nand more of it.", "en", "a"), (1, "### $$$ ###", "en", "a"), (None, "some", "en", "a"), (3, "fine line.", "en", "a")]).withColumn("quality", F.lit(7)).withColumn("held_out", F.lit(0))
+    got = linecrf.classify(twice, spark.createDataFrame([(1, 1), (1, 0), (3, 1), (None, 0)], "doc_id long, quality int")).collect()
+    assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_quality_sample_is_bounded(spark, data, monkeypatch):
+    d, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    seen = []
+    train = linecrf.train
+    monkeypatch.setattr(linecrf, "train", lambda own, *a, **b: seen.append(own) or train(own, *a, **b))
+    linecrf.fit(d, labels, sample=40)
+    linecrf.fit(d, labels, sample_lines=100)
+    linecrf.fit(d, labels, most_lines=3)
+    assert 20 <= len(seen[0]) <= 40 and sum(map(len, seen[1])) <= 100 and max(map(len, seen[2])) <= 3
 
 
 # ---------------------------------------------------------------- 6
