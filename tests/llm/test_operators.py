@@ -691,7 +691,8 @@ def test_decontamination(spark, odd, empty):
     got = {r["doc_id"]: (r["contaminated"], r["items"]) for r in decontaminate.report(table, bench).collect()}
     assert got[1] == (True, [1]) and got[2] == (True, [1]) and got[4] == (True, [1]) and got[6] == (True, [4])
     assert not got[3][0] and not got[5][0] and not got[7][0]
-    assert {r["doc_id"] for r in decontaminate.clean(table, bench).collect()} == {3, 5, 7} | ({8} if not got[8][0] else set())
+    # a number that stands for two values of the document, but the stretch before it is long enough
+    assert {r["doc_id"] for r in decontaminate.clean(table, bench).collect()} == {3, 5, 7} and got[8] == (True, [1])
     kept = decontaminate.clean(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert decontaminate.report(odd, bench.limit(0)).filter("contaminated").count() == 0
@@ -734,6 +735,106 @@ def test_agreement_by_brute_force():
         assert decontaminate.agreement([(k, list(r)) for k, r in enumerate(rows)])[1] == best
 
 
+def brute_template(text):
+    """(word, kind) in order; kinds: word, num, unit, name."""
+    out, before, start = [], None, True
+    for t in re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n:]", text):
+        if t in ".!?\n:":
+            before, start = None, True
+            continue
+        kind = "num" if t[0].isdigit() else "unit" if t.lower() in decontaminate.UNITS and before == "num" else "name" if t[0] != t[0].lower() and not start and t.lower() not in decontaminate.UNITS else "word"
+        out.append((t.lower(), kind))
+        before, start = ("num" if kind == "num" else None), False
+    return out
+
+
+def brute_fine(text):
+    return re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[^\w\s]|_", text.lower())
+
+
+def brute_contaminated(doc, item, least=6):
+    """Every window of the item against every place of the document, without hashes."""
+    own, other = brute_template(item), brute_template(doc)
+    if len(own) < 4:
+        a, b = brute_fine(item), brute_fine(doc)
+        if len(own) < 2:
+            return bool(a) and a == b
+        size = min(8, len(a))
+        need = min(least, len(a) - size + 1)
+        for d in range(-len(a), len(b)):
+            hits = sum(k + d >= 0 and b[k + d : k + d + size] == a[k : k + size] for k in range(len(a) - size + 1))
+            if hits >= need:
+                return True
+        return False
+    size = min(8, len(own))
+    need = None
+    ways = []
+    for k in range(len(own) - size + 1):
+        w = own[k : k + size]
+        ways.append([slots for slots in (("num", "unit"), ("num", "unit", "name")) if sum(kind not in slots for _, kind in w) >= size / 2 and (slots[-1] != "name" or any(kind == "name" for _, kind in own))])
+        if sum(kind not in ("num", "unit") for _, kind in w) < size / 2:
+            ways[-1].append(())
+    need = min(least, len(ways))
+    for d in range(-len(own), len(other)):
+        found = []
+        for k, slots_of in enumerate(ways):
+            w, v = own[k : k + size], other[max(0, k + d) : k + d + size]
+            if k + d < 0 or len(v) < size:
+                continue
+            pairs = None
+            for slots in slots_of:
+                plain = lambda x: ("", x[1]) if x[1] in slots else (x[0], "")
+                if [plain(x) for x in w] == [plain(x) for x in v]:
+                    pairs = (pairs or set()) | {(f"{x[1]}:{x[0]}", f"{y[1]}:{y[0]}") for x, y in zip(w, v, strict=True) if x[1] in slots}
+            if pairs is not None:
+                found.append(pairs)
+        if sum(all(i == j for i, j in p) for p in found) >= need:
+            return True
+        for a in range(len(found)):
+            for b in range(a + need, len(found) + 1):
+                seen = {}
+                if all(seen.setdefault(i, j) == j for p in found[a:b] for i, j in p):
+                    return True
+    return False
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = np.random.default_rng(21)
+    words, names, units = "the a farmer has cows and buys more of them at market how many".split(), "Anna Bert Carl Dora".split(), "km kg hours".split()
+
+    def text(n):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out.append(str(rng.choice(words)) if x < 0.55 else str(rng.choice(names)) if x < 0.7 else str(rng.integers(2, 6)) + (f" {rng.choice(units)}" if rng.random() < 0.4 else "") if x < 0.93 else str(rng.choice([".", "?", "+", "=", "\n"])))
+        return " ".join(out)
+
+    def varied(t):
+        swap = {str(k): str(k + int(rng.integers(0, 3))) for k in range(2, 6)} | {n: str(rng.choice(names)) for n in names}
+        return " ".join(swap.get(w, w) if rng.random() < 0.97 else str(rng.choice(words)) for w in t.split(" "))
+
+    items = [(k, text(int(rng.integers(1, 24)))) for k in range(30)] + [(100, "2 + 2 = ?"), (101, "Compute 3 4"), (102, "Yes."), (103, "3 5 8 13 21 34 55 89 144 233 377 610 987 1597"), (104, "12 km 13 km 14 km 15 km 16 km 17 km 18 km 19 km"), (105, "= ?")]
+    rows = [(k, text(15) + " " + (varied(t) if rng.random() < 0.8 else t) + " " + text(15)) for k, (_, t) in enumerate(items * 4)]
+    rows += [(900, "we ask what is 2 + 2 = ? in this text"), (901, "please Compute 3 4 now"), (902, "Yes."), (903, "yes. and more"), (904, "the row 3 5 8 13 21 34 55 89 144 233 377 610 987 1597 is known"), (905, "the row 4 6 9 14 22 35 56 90 145 234 378 611 988 1598 is not"), (906, "2 + 3 = ?"), (907, "so 12 km 13 km 14 km 15 km 16 km 17 km 18 km 19 km it is"), (908, "= ?")]
+    got = {r["doc_id"]: r["items"] for r in decontaminate.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {i: sorted(k for k, item in items if brute_contaminated(t, item)) for i, t in rows}
+    assert got == want
+    assert 100 in want[900] and 101 in want[901] and 102 in want[902] and 102 not in want[903] and 103 in want[904] and 103 not in want[905] and 104 in want[907]
+    assert 20 < sum(map(bool, want.values())) < len(rows)
+
+
+def test_rows_without_ids_are_judged(spark):
+    item = "how many cows does the farmer have at the end of the day after he went to the market"
+    rows = [(None, "x " + item), (None, "nothing of the kind"), (None, None), (7, item), (7, "another text of the same id"), (8, item), (8, item)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_key", F.lit("k")).withColumn("items", F.lit(1)).withColumn("item_id", F.lit(2))
+    bench = spark.createDataFrame([(1, item), (None, item + " with 7 kg"), (2, None), (3, ""), (1, "short")], "item_id long, text string").withColumn("n", F.lit(9))
+    kept = decontaminate.clean(table, bench)
+    assert kept.columns == table.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == [("7", "another text of the same id"), ("None", ""), ("None", "nothing of the kind")]
+    got = [(r["doc_id"], r["contaminated"], r["n_items"], r["items"]) for r in decontaminate.report(table, bench).collect()]
+    assert sorted(got, key=str) == sorted([(None, True, 2, [1]), (None, False, 0, []), (None, False, 0, []), (7, True, 2, [1]), (7, False, 0, []), (8, True, 2, [1]), (8, True, 2, [1])], key=str)
+
+
 # ---------------------------------------------------------------- the pipeline
 
 
