@@ -20,8 +20,8 @@ and a line that shares one half only varies the words outside of it; this
 loses nothing.  Witnesses are verified word by word before a line goes.
 
 Defined cases: blank lines and null texts never go; lines of fewer than
-`min_words` words only go as exact copies (at one word, any two lines would
-be near); words are split at white space and compared as they are; rows of
+`min_words` words only go as exact copies (of two words, one is half of the
+line; at one word any two lines would be near); words are split at white space and compared as they are; rows of
 the same doc_id share their line numbers, and lines at equal places never
 remove each other; rows without doc_id come before all others.
 """
@@ -38,6 +38,8 @@ from . import common
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 NO_ID = -(1 << 63)
+#: Words of a line that may go as a near copy.
+MIN_WORDS = 3
 
 
 def powers(n: int) -> np.ndarray:
@@ -168,16 +170,15 @@ def near_earlier(docs: DataFrame, every: DataFrame, min_words: int) -> DataFrame
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
     # the words of these lines, from their first documents; by a shuffle at every size
-    texts = ids.join(wanted.hint("merge"), "doc").withColumn("pick", F.to_json("lines")).select("doc", F.concat("pick", F.lit("\x00"), "text").alias("text"))
+    texts = ids.join(wanted.hint("merge"), "doc").select("doc", "text", F.to_json("lines").alias("pick"))
 
-    def emit(texts):
+    def emit(texts, picks):
         import json
 
         from marginalia.llm.linededup import name_of, powers, variants, words_hashes
 
         p, keys, os, ks, ws = powers(0), [], [], [], []
-        for both in texts:
-            pick, _, text = both.partition("\x00")
+        for text, pick in zip(texts, picks, strict=True):
             rows = text.split("\n")
             own_keys, own_os, own_ks, own_ws = [], [], [], []
             for one in json.loads(pick):
@@ -202,7 +203,7 @@ def near_earlier(docs: DataFrame, every: DataFrame, min_words: int) -> DataFrame
                 every.append(own)
         return keys, os, ks, ws
 
-    out = common.map_text(texts, ["doc"], emit, "key array<long>, begin array<int>, variants array<array<long>>, words array<string>")
+    out = common.map_text(texts, ["doc"], emit, "key array<long>, begin array<int>, variants array<array<long>>, words array<string>", also="pick")
     out = out.select(F.explode(F.arrays_zip("key", "begin", "variants", "words")).alias("l")).select("l.*").dropDuplicates(["key"])
     out = common.materialize(out.join(firsts.select("key", "at"), "key"), "variants")
 
@@ -220,16 +221,16 @@ def near_earlier(docs: DataFrame, every: DataFrame, min_words: int) -> DataFrame
     best = best.join(out.select("key", "at", "words"), "key").filter(F.col("w.at") < F.col("at"))
     best = best.join(out.select(F.col("key").alias("wk"), F.col("words").alias("other")), F.col("w.key") == F.col("wk"))
 
-    def check(texts):
+    def check(texts, others):
         from marginalia.llm.linededup import near
 
-        return ([near(a.split(), b.split()) for a, _, b in (t.partition("\x00") for t in texts)],)
+        return ([near(a.split(" "), b.split(" ")) for a, b in zip(texts, others, strict=True)],)
 
-    pairs = best.select("key", F.col("w.at").alias("by"), F.concat("words", F.lit("\x00"), "other").alias("text"))
-    return common.map_text(pairs, ["key", "by"], check, "near boolean").filter("near").select("key", "by")
+    pairs = best.select("key", F.col("w.at").alias("by"), "words", "other")
+    return common.map_text(pairs, ["key", "by"], check, "near boolean", text="words", also="other").filter("near").select("key", "by")
 
 
-def removals(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, line, near (else an exact copy) of every line that goes."""
     every = common.materialize(lines(docs, min_words), "every")
     firsts = every.groupBy("key").agg(F.min(at()).alias("first"))
@@ -242,7 +243,7 @@ def removals(docs: DataFrame, min_words: int = 8) -> DataFrame:
     return joined.filter(exact | nearly).select("doc", "line", (~exact).alias("near")).distinct()
 
 
-def report(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, removed (line numbers) of every document."""
     gone = removals(docs, min_words).groupBy("doc").agg(F.count_if(~F.col("near")).alias("n_exact"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_list("line")).alias("removed"))
     text = F.coalesce("text", F.lit(""))
@@ -251,9 +252,10 @@ def report(docs: DataFrame, min_words: int = 8) -> DataFrame:
     return every.join(gone, "doc", "left").select("doc_id", "n_lines", F.coalesce("n_exact", F.lit(0)).alias("n_exact"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("removed", none).alias("removed"))
 
 
-def without_duplicates(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def without_duplicates(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the lines that go."""
-    gone = removals(docs, min_words).groupBy("doc").agg(F.collect_set("line").alias("_gone"))
-    rows = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains("_gone", k)), "\n")
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    doc, lines_gone = common.free_names(docs, "doc", "gone")
+    gone = removals(docs.select("doc_id", "text"), min_words).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(lines_gone))
+    rows = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(gone, doc, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(lines_gone, k)), "\n")
+    return rows.withColumn("text", F.when(F.col(lines_gone).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

@@ -285,13 +285,26 @@ def test_line_dedup(spark):
     rows = [(d, "\n".join(lines[k] for k in rng.integers(0, len(lines), 6))) for d in range(30)] + [(90, None), (91, ""), (92, "a " * 5000)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["doc"], r["line"]) for r in linededup.removals(table).collect()}
-    assert got == brute_lines(rows, 8)
+    assert got == brute_lines(rows, linededup.MIN_WORDS)
     kept = {r["doc_id"]: r["text"] for r in linededup.without_duplicates(table).collect()}
     for i, t in rows:
         assert kept[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in got))
 
 
+def test_short_lines_and_nul(spark):
+    """Boilerplate of few words goes, and lines with U+0000 go like others; random lines against brute force."""
+    rng = np.random.default_rng(13)
+    rows = [(1, "Click here to read our privacy policy\nnul \x00 in\x00side a line of words"), (2, "Click here to read our privacy policies\nnul \x00 in\x00side a line of texts"), (3, "two words\ntwo swords\none\ntwo")]
+    rows += [(10 + k, "\n".join(" ".join(rng.choice(list("abcd"), rng.integers(1, 7))) for _ in range(4))) for k in range(40)]
+    got = {(r["doc"], r["line"]) for r in linededup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(2, 0), (2, 1)} <= got and not {(3, 0), (3, 1), (3, 2), (3, 3)} & got
+    assert got == brute_lines(rows, linededup.MIN_WORDS)
+
+
 def test_line_dedup_odd(spark, odd, empty):
+    clash = odd.withColumn("_doc", F.lit(3)).withColumn("doc", F.lit(4)).withColumn("gone", F.lit(5)).withColumn("line", F.lit(6))
+    out = linededup.without_duplicates(clash)
+    assert out.columns == clash.columns and {(r["_doc"], r["doc"], r["gone"], r["line"]) for r in out.collect()} == {(3, 4, 5, 6)}
     out = linededup.without_duplicates(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert linededup.report(empty).count() == 0
