@@ -14,7 +14,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     In each round every id takes the least root among its own and its
     neighbours' and then the root of that root, so that the paths halve.
     Minima are combined before they are moved, so that no id's neighbours
-    meet in one task.  Each round is a table in the shared folder.
+    meet in one task.  Each round is a table in the shared folder, which replaces
+that of the round before; the result is the last one (id, before, root).
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
     both = common.materialize(both, "edges")
@@ -26,7 +27,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         up = roots.select(F.col("id").alias("r"), F.col("root").alias("up"))
         new = common.materialize(step.join(up.hint("merge"), "r", "left").select("id", "before", F.least("r", F.coalesce("up", "r")).alias("root")), "roots")
         changed = new.filter("before <> root").limit(1).count()
-        roots = new.select("id", "root")
+        common.discard(roots)
+        roots = new
         if not changed:
+            common.discard(both)
             return roots
     raise RuntimeError("components did not settle")

@@ -674,13 +674,69 @@ def test_near_duplicates(spark, monkeypatch):
                 t[int(rng.integers(0, 80))] = "changed"
             rows.append((g * 100 + k, " ".join(t)))
     rows += [(5000, ""), (5001, None), (5002, "one two"), (5003, "one two"), (5004, "word " * 9000)]
-    monkeypatch.setattr(neardup, "BLOCK", 3)  # so that groups have several blocks
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.link(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9999).collect()}
-    assert got == brute_links(rows)
+    monkeypatch.setattr(neardup, "BLOCK", 3)  # so that nodes have several blocks
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.link(table).collect()} == brute_links(rows)
+
+
+def test_links_of_documents(spark, data):
+    """Every link of the given documents at the default settings, against all pairs."""
+    d = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    want = brute_links([(r["doc_id"], r["text"]) for r in d.collect()])
+    assert sum(n for _, n in want.values()) > 20
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.link(d).collect()} == want
+
+
+def test_forest_shortens_prefixes_until_recall(spark):
+    """Prefixes are shortened further for links near the threshold than for close copies, and the estimate tells the truth."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(5000)]
+
+    def pairs(share):
+        rows = []
+        for g in range(300):
+            base = rng.choice(words, 240).tolist()
+            cut = int(240 * share)
+            rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:cut] + rng.choice(words, 240 - cut).tolist()))]
+        return rows
+
+    depths = {}
+    for name, share in (("close", 0.985), ("far", 0.905)):
+        rows = pairs(share)
+        _, found, levels = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+        links = sum(n for _, n in brute_links_of_pairs(rows)) // 2
+        assert sum(r["links"] for r in found.collect()) // 2 == levels[-1]["links"] and levels[-1]["links"] >= 0.995 * links > 200
+        depths[name] = [v["depth"] for v in levels]
+        assert all(abs(v["links"] / links - v["recall"]) < 0.05 for v in levels)
+    assert depths["close"][0] == depths["far"][0] == neardup.DEPTH and len(depths["close"]) < len(depths["far"])
+
+
+def brute_links_of_pairs(rows):
+    """(root, links) where only 2g and 2g + 1 can be alike."""
+    out = []
+    for k in range(0, len(rows), 2):
+        out += brute_links(rows[k : k + 2]).values()
+    return out
 
 
-def test_depth():
-    assert neardup.depth_for(0.8, 0.99) == 6 and neardup.depth_for(0.8, 0.0) == neardup.DEPTH
+def test_pairs_are_compared_once():
+    """Over all trees and depths each pair has one owner, the deepest and then first node that it shares."""
+    rng = np.random.default_rng(6)
+    labels = [rng.integers(0, 2, neardup.TREES * neardup.DEPTH).astype(">u2").tobytes() for _ in range(30)]
+    seen = Counter()
+    for depth in range(neardup.DEPTH, 0, -1):
+        for tree in range(neardup.TREES):
+            prefix = defaultdict(list)
+            for k, own in enumerate(labels):
+                prefix[own[tree * neardup.PART : tree * neardup.PART + depth * neardup.VALUE]].append(k)
+            for members in prefix.values():
+                mine = neardup.owned([labels[k] for k in members], tree, depth, None)
+                seen.update((members[a], members[b]) for a, b in zip(*np.nonzero(np.triu(mine)), strict=True))
+    assert set(seen.values()) == {1} and len(seen) == 30 * 29 // 2
+
+
+def test_floor():
+    assert neardup.floor_depth(0.8, 0.999) == 4 and neardup.floor_depth(0.8, 0.0) == neardup.DEPTH
 
 
 def test_near_duplicates_odd(spark, odd, empty):
