@@ -4,11 +4,16 @@ Sizes are words.  The words of a source, its documents in a seeded random
 order, are one stream that is packed into blocks of `block_words`.  The mix
 takes slots of such blocks: a source whose target is T words out of S gets
 T div S whole passes over its blocks and, of one more pass, as many slots as
-the rest needs; the last slot takes only the words still missing.  Every slot
-draws its output shard by a seeded hash, so that the counts of each source
-over the shards are a multinomial draw whose sum is the target; slots are
-mapped to blocks by a pseudorandom permutation of the source's block numbers
-and joined to the blocks by number.
+the rest needs; the last slot takes only the words still missing.
+
+Each source's slots are dealt to the output shards by a multinomial draw:
+`shard_counts` draws a shard for each slot by a seeded hash and counts, so
+that the counts of a source over the shards are multinomial and their sum is
+its target.  The counts make the slots: those of a shard follow on those of
+the shards before it, are mapped to blocks by a pseudorandom permutation of
+the source's block numbers, and joined to the blocks by number.  `shards`
+gives the packed blocks of each shard, and the words taken of a document are
+added up from them.
 
 The permutation is a swap-or-not shuffle: each round pairs x with
 (key - x) mod n and swaps the pair if a hash bit of the larger one says so.
@@ -33,7 +38,9 @@ from . import common
 WORDS = "[^\\x20\\x09-\\x0D]+"
 #: Weights of the sources in order, share of all words, most passes over a source.
 WEIGHTS, SHARE, PASSES = (3, 1, 2), 1.5, 2
-BUCKETS, CHUNK = 1024, 65_536
+BUCKETS, CHUNK = 8192, 65_536
+#: Shards whose counts are added up in one task.
+GROUP = 4096
 #: Stands for the null source in joins; no source can start with it and go on like this.
 NULL_SOURCE = "￿￿null"
 
@@ -44,7 +51,8 @@ def sizes(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE)).alias("s"),
         F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(29), "doc_id", F.octet_length("text")).alias("h"),
+        # rows without an id are told apart by their text
+        F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(31), "text")).otherwise(F.xxhash64(F.lit(29), "doc_id", F.octet_length("text"))).alias("h"),
     )
 
 
@@ -94,45 +102,91 @@ def permuted(x: Column, n: Column, seed: int, *keys: Column, rounds: int = 12) -
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, swap)
 
 
+def plan(quota: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
+    """s, source_size, blocks, whole (passes), rest (words), last (slots of the rest), n (slots), shards (of all sources): one row per source with slots."""
+    t = quota.filter("source_size > 0").select("s", "source_size", F.round("target").cast("long").alias("goal"), F.ceil(F.col("source_size") / block_words).cast("long").alias("blocks"))
+    t = t.withColumn("whole", F.expr("goal div source_size")).withColumn("rest", F.expr("goal % source_size"))
+    t = t.withColumn("last", F.ceil(F.col("rest") / block_words).cast("long")).withColumn("n", F.col("whole") * F.col("blocks") + F.col("last"))
+    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return t.withColumn("shards", F.ceil(F.sum("n").over(everything) / shard_slots)).filter("n > 0")
+
+
+def spread(df: DataFrame, n: str, *keys: str) -> DataFrame:
+    """Adds k = 0 .. n - 1, made in chunks that are dealt out, so that no task makes all rows of a hot source."""
+    c = df.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {CHUNK}"))))
+    c = c.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "c")
+    return c.withColumn("k", F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col(n), (F.col("c") + 1) * CHUNK) - 1))).drop("c")
+
+
+def shard_counts(planned: DataFrame, seed: int) -> DataFrame:
+    """s, shard, n (slots of the source in the shard), before (its slots in earlier shards): multinomial counts that add up to the source's slots."""
+    drawn = spread(planned.select("s", "n", "shards"), "n", "s").select("s", F.pmod(F.xxhash64(F.lit(seed), "s", "k"), "shards").alias("shard"))
+    counts = drawn.groupBy("s", "shard").agg(F.count("*").alias("n")).withColumn("g", F.expr(f"shard div {GROUP}"))
+    sums = counts.groupBy("s", "g").agg(F.sum("n").alias("m"))
+    base = F.sum("m").over(Window.partitionBy("s").orderBy("g").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("s", "g", F.coalesce(base, F.lit(0)).alias("base"))
+    within = F.sum("n").over(Window.partitionBy("s", "g").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("in", F.coalesce(within, F.lit(0))).join(sums, ["s", "g"]).select("s", "shard", "n", (F.col("base") + F.col("in")).alias("before"))
+
+
 def slots(quota: DataFrame, block_words: int, seed: int, shard_slots: int) -> DataFrame:
     """s, shard, slot, block, take (words from the block's start): the mix.
 
-    quota: s, source_size, target.  Slots of a source are made in chunks of
-    CHUNK, so that no task makes all slots of a hot source.
+    quota: s, source_size, target.  The slots of a shard are those that its
+    counts say.
     """
-    blocks = F.ceil(F.col("source_size") / block_words)
-    t = quota.filter("source_size > 0").select("s", "source_size", F.round("target").cast("long").alias("goal"), blocks.cast("long").alias("blocks"))
-    t = t.withColumn("whole", F.expr("goal div source_size")).withColumn("rest", F.expr("goal % source_size"))
-    last = F.ceil(F.col("rest") / block_words).cast("long")
-    t = t.withColumn("last", last).withColumn("n", F.col("whole") * F.col("blocks") + F.col("last"))
-    t = t.withColumn("shards", F.ceil(F.sum("n").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / shard_slots))
-    t = t.filter("n > 0").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}"))))
-    t = t.repartition(int(quota.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s", "c")
-    t = t.withColumn("slot", F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col("n"), (F.col("c") + 1) * CHUNK) - 1)))
+    planned = plan(quota, block_words, shard_slots)
+    counts = common.materialize(shard_counts(planned, seed), "counts")
+    t = spread(counts, "n", "s", "shard").select("s", "shard", (F.col("before") + F.col("k")).alias("slot"))
+    t = t.join(planned.drop("shards").hint("broadcast"), "s") if planned.count() <= MOST_SOURCES else t.join(planned.drop("shards").hint("merge"), "s")
     t = t.withColumn("pass", F.expr("slot div blocks")).withColumn("x", F.expr("slot % blocks"))
     # a part of a pass goes over the full blocks only, if they are enough, so that it meets its goal
     full = F.expr(f"source_size div {block_words}")
     t = t.withColumn("domain", F.when((F.col("pass") == F.col("whole")) & (F.col("last") <= full), full).otherwise(F.col("blocks")))
-    t = t.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "s", "slot"), "shards"))
     t = t.withColumn("x", permuted(F.col("x"), F.col("domain"), seed, F.col("s"), F.col("pass")))
     take = F.when((F.col("last") > 0) & (F.col("slot") == F.col("n") - 1), F.col("rest") - (F.col("last") - 1) * block_words).otherwise(F.lit(block_words))
     return t.select("s", "shard", "slot", F.col("x").alias("block"), take.cast("long").alias("take"))
 
 
-def taken_words(docs: DataFrame, block_words: int = 256, seed: int = 7, shard_slots: int = 4096) -> DataFrame:
-    """doc_id, s, size, source_size, target, taken of every document (doc_id, text, source)."""
-    sized = common.materialize(sizes(docs), "sizes")
-    quota = common.materialize(targets(sized), "targets")
-    place = packed(sized)
+#: Sources whose plan, one row of numbers each, may be broadcast.
+MOST_SOURCES = 10_000
+
+
+def packed_blocks(place: DataFrame, block_words: int) -> DataFrame:
+    """s, block, begin, end (words in the block), at, doc_id, size: the documents' parts of the blocks."""
     first, last = F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}")
     parts = place.withColumn("block", F.explode(F.sequence(first, last)))
-    # a block can be taken in each pass; its takes are words from its start
-    takes = slots(quota, block_words, seed, shard_slots).select("s", "block", "take")
     begin = F.greatest(F.col("at") - F.col("block") * block_words, F.lit(0))
     end = F.least(F.col("at") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
-    words = F.greatest(F.least(end, F.col("take")) - begin, F.lit(0))
+    return parts.select("s", "block", begin.alias("begin"), end.alias("end"), "at", "doc_id", "size")
+
+
+def drawn_parts(sized: DataFrame, quota: DataFrame, block_words: int, seed: int, shard_slots: int) -> DataFrame:
+    """s, shard, slot, block, begin, words, at, doc_id, size: the parts of documents that the mix takes, slot by slot."""
+    parts = packed_blocks(packed(sized), block_words)
+    takes = slots(quota, block_words, seed, shard_slots)
     # both sides grow with the data, though the planner takes slots for a few rows
-    taken = parts.join(takes.hint("merge"), ["s", "block"]).groupBy("s", "at", "doc_id", "size").agg(F.sum(words).alias("taken"))
+    drawn = parts.join(takes.hint("merge"), ["s", "block"])
+    return drawn.withColumn("words", F.least("end", "take") - F.col("begin")).filter("words > 0").drop("end", "take")
+
+
+def shards(docs: DataFrame, block_words: int = 256, seed: int = 7, shard_slots: int = 4096) -> DataFrame:
+    """The output: shard, slot, source (null for the null source), block, pieces (place in the block, doc_id, first word in the document, words), one row per slot."""
+    sized = common.materialize(sizes(docs), "sizes")
+    quota = common.materialize(targets(sized), "targets")
+    p = drawn_parts(sized, quota, block_words, seed, shard_slots)
+    from_word = F.col("block") * block_words + F.col("begin") - F.col("at")
+    pieces = F.array_sort(F.collect_list(F.struct(F.col("begin").alias("place"), "doc_id", from_word.alias("first"), "words")))
+    source = F.when(F.col("s") != NULL_SOURCE, F.col("s"))
+    return p.groupBy("shard", "s", "slot", "block").agg(pieces.alias("pieces")).select("shard", "slot", source.alias("source"), "block", "pieces")
+
+
+def taken_words(docs: DataFrame, block_words: int = 256, seed: int = 7, shard_slots: int = 4096) -> DataFrame:
+    """doc_id, s, size, source_size, target, taken of every document (doc_id, text, source)."""
+    sized = common.materialize(sizes(docs), "sizes")
+    quota = common.materialize(targets(sized), "targets")
+    taken = drawn_parts(sized, quota, block_words, seed, shard_slots).groupBy("s", "at", "doc_id", "size").agg(F.sum("words").alias("taken"))
+    place = packed(sized)
     none = sized.filter("size = 0").select("s", F.lit(None).cast("long").alias("at"), "doc_id", "size")
     every = place.select("s", "at", "doc_id", "size").unionByName(none)
     joined = every.join(taken.select("s", "at", "taken").hint("merge"), ["s", "at"], "left")
@@ -177,17 +231,18 @@ def mixed_documents(docs: DataFrame, seed: int = 7, **options) -> DataFrame:
     Rows are matched by doc_id and a hash of the text; equal rows share the
     copies of all of them evenly.
     """
-    key = F.xxhash64("doc_id", "text", "source")
-    keyed = docs.withColumn("_k", key)
-    ids = keyed.select(F.col("_k").alias("doc_id"), "text", "source")
+    key, rows_, n_, r_, i_ = common.free_names(docs, "key", "rows", "n", "r", "i")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text", "source"))
+    ids = keyed.select(F.col(key).alias("doc_id"), "text", "source")
     took = taken_words(ids, seed=seed, **options).groupBy(F.col("doc_id").alias("_k"), "s")
     took = took.agg(F.count("*").alias("rows"), F.max("size").alias("size"), F.sum("taken").alias("taken"))
-    n = common.materialize(copies(took, seed).filter("n > 0").select("_k", F.col("rows").alias("_rows"), F.col("n").alias("_n")), "copies")
-    one = keyed.join(n.filter("_rows = 1"), "_k")
+    n = common.materialize(copies(took, seed).filter("n > 0").select(F.col("_k").alias(key), F.col("rows").alias(rows_), F.col("n").alias(n_)), "copies")
+    one = keyed.join(n.filter(F.col(rows_) == 1), key)
     # the rows of a key are told apart only where there are several
-    fixed = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
-    place = F.row_number().over(Window.partitionBy("_k").orderBy(F.xxhash64(*fixed)))
-    many = keyed.join(n.filter("_rows > 1"), "_k").withColumn("_r", place)
-    many = many.withColumn("_n", F.expr("_n div _rows + if(_r <= _n % _rows, 1, 0)")).filter("_n > 0").drop("_r")
+    fixed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*fixed)))
+    many = keyed.join(n.filter(F.col(rows_) > 1), key).withColumn(r_, place)
+    share = F.expr(f"`{n_}` div `{rows_}` + if(`{r_}` <= `{n_}` % `{rows_}`, 1, 0)")
+    many = many.withColumn(n_, share).filter(F.col(n_) > 0).drop(r_)
     out = one.unionByName(many)
-    return out.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    return out.withColumn(i_, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n_)))).select(*[F.col(f"`{c}`") for c in docs.columns])

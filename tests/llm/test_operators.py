@@ -140,7 +140,47 @@ def test_mixing(spark, data):
     assert all(abs(taken[s] - want[s]) <= 257 for s in size)
 
 
+def test_shards_are_multinomial_draws(spark, data):
+    """Shards' source counts add up to the targets, vary as a multinomial draw does, and their blocks give the words taken."""
+    quota = spark.createDataFrame([("a", 256 * 30_000, 256.0 * 20_000), ("b", 256 * 9_000, 256.0 * 10_000 + 5), ("c", 700, 0.0)], "s string, source_size long, target double")
+    counts = mixing.shard_counts(mixing.plan(quota, 256, 300), 7).toPandas()
+    assert counts.groupby("s").n.sum().to_dict() == {"a": 20_000, "b": 10_001}
+    n_shards = -(-30_001 // 300)
+    assert set(counts.shard) == set(range(n_shards))
+    for s, total in (("a", 20_000), ("b", 10_001)):
+        own = counts[counts.s == s].sort_values("shard")
+        mean = total / n_shards
+        assert (own.before.to_numpy() == np.append(0, own.n.cumsum()[:-1])).all()
+        # the sum of squares over the mean is a chi-square of n_shards - 1 degrees
+        assert abs(((own.n - mean) ** 2).sum() / mean - (n_shards - 1)) < 5 * np.sqrt(2 * n_shards)
+    size = counts.groupby("shard").n.sum()
+    assert (abs(size - 300) < 6 * np.sqrt(300)).all()
+    drawn = mixing.slots(quota, 256, 7, 300).toPandas()
+    assert drawn.groupby(["s", "shard"]).size().to_dict() == {(r.s, r.shard): r.n for r in counts.itertuples()}
+    assert not drawn.duplicated(["s", "slot"]).any() and drawn[drawn.s == "a"].block.is_unique
+    d = spark.read.parquet(f"{data}/documents.parquet")
+    blocks = mixing.shards(d, shard_slots=32).collect()
+    words = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "") for r in d.select("doc_id", "text").collect()}
+    taken, per_shard = Counter(), Counter()
+    for r in blocks:
+        at = 0
+        per_shard[r["shard"]] += 1
+        for p in r["pieces"]:
+            assert p["place"] == at and p["first"] + p["words"] <= len(words[p["doc_id"]])
+            at += p["words"]
+            taken[p["doc_id"]] += p["words"]
+        assert at <= 256
+    assert taken == {r["doc_id"]: r["taken"] for r in mixing.mix(d, shard_slots=32).collect() if r["taken"]}
+    assert len(per_shard) > 3 and sum(at < 256 for at in (sum(p["words"] for p in r["pieces"]) for r in blocks)) <= 3 * 20
+
+
 def test_mixing_odd(spark, odd, empty):
+    clash = odd.withColumn("_k", F.lit(1)).withColumn("key", F.lit(2)).withColumn("n", F.lit(3)).withColumn("rows", F.lit(4)).withColumn("i", F.lit(5))
+    mixed = mixing.mixed_documents(clash)
+    assert mixed.columns == clash.columns and {(r["_k"], r["key"], r["n"], r["rows"], r["i"]) for r in mixed.collect()} == {(1, 2, 3, 4, 5)}
+    # rows without an id are of their own, whatever their length
+    nameless = docs(spark, [(None, f"word w{k}", "en", "a") for k in range(400)])
+    assert mixing.mix(nameless).count() == 400 and mixing.sizes(nameless).select("h").distinct().count() == 400
     got = mixing.mix(odd).toPandas()
     assert len(got) == odd.count()
     assert (got.taken <= 2 * got["size"]).all() and got[got["size"] == 0].taken.sum() == 0
