@@ -45,7 +45,7 @@ TREES, DEPTH = 16, 8
 VALUE = 2
 PART = DEPTH * VALUE
 #: Classes and shingles of a block: two blocks are what a task holds.
-BLOCK, BLOCK_SHINGLES = 128, 1_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
 #: Buckets of similarity between the threshold and 1.
 BUCKETS = 20
 
@@ -114,23 +114,34 @@ def similarities(sets: list[np.ndarray]) -> np.ndarray:
         inter = np.zeros((2, 2))
         inter[0, 1] = inter[1, 0] = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
     else:
-        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        rows = np.repeat(np.arange(n), sizes.astype(np.int64))
-        uses = np.bincount(codes, minlength=len(values))
-        # shingles of one set only add nothing
-        number = np.cumsum(uses > 1) - 1
-        keep = uses[codes] > 1
-        rows, codes = rows[keep], number[codes[keep]]
-        order = np.argsort(codes, kind="stable")
-        rows, codes = rows[order], codes[order]
-        inter = np.zeros((n, n), np.float32)
-        width = 4096
-        for start in range(0, int(codes[-1]) + 1 if len(codes) else 0, width):
-            a, b = np.searchsorted(codes, [start, start + width])
-            x = np.zeros((n, width), np.float32)
-            x[rows[a:b], codes[a:b] - start] = 1
+        _, codes, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(n), sizes.astype(np.int64))[np.argsort(codes, kind="stable")]
+        start = np.cumsum(uses) - uses
+        inter = np.zeros((n, n))
+        # shingles of many sets by products of matrices, those of few by counting their pairs of rows
+        limit = max(2, n // 8)
+        often = np.flatnonzero(uses > limit)
+        for k in range(0, len(often), 4096):
+            part = often[k : k + 4096]
+            many = uses[part]
+            column = np.repeat(np.arange(len(part)), many)
+            x = np.zeros((n, len(part)), np.float32)
+            x[rows[np.repeat(start[part] - (np.cumsum(many) - many), many) + np.arange(len(column))], column] = 1
             inter += x @ x.T
-        inter = inter.astype(np.float64)
+        held, size = [], 0
+        for m in np.unique(uses[(uses > 1) & (uses <= limit)]).tolist():
+            part = np.flatnonzero(uses == m)
+            step = max(1, 4_000_000 // (m * m))
+            for k in range(0, len(part), step):
+                r = rows[start[part[k : k + step], None] + np.arange(m)]
+                held.append((r[:, :, None] * n + r[:, None, :]).ravel())
+                size += len(held[-1])
+                if size > 4_000_000:
+                    inter += np.bincount(np.concatenate(held), minlength=n * n).reshape(n, n)
+                    held, size = [], 0
+        if held:
+            inter += np.bincount(np.concatenate(held), minlength=n * n).reshape(n, n)
+        np.fill_diagonal(inter, sizes)
     return inter / np.maximum(sizes[:, None] + sizes[None] - inter, 1)
 
 
