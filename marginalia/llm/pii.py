@@ -6,7 +6,9 @@ character of the whole text as outside, or begin or inside of an email, ip,
 card or phone.  It runs over windows that overlap; where they do, their tag
 scores are averaged, weighted by the distance to the window's edge, and the
 text is decoded over the averaged scores, so that no window's edge cuts a
-span.  Runs of characters that are outside by far are not decoded; each
+span.  A valid datum has a digit, an @ or a written-out @ in it (`looks_whole`
+asks for that), so a window in which, and in whose neighbours, there is none
+of these can hold no part of a span that would be added, and is not run.  Runs of characters that are outside by far are not decoded; each
 stretch between them is, as a whole, however long.
 
 A span of the tagger is added if it touches no base span, is valid for its
@@ -52,6 +54,10 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What a window for training is laid around, if the text has it.
 TRIGGER = re.compile(r"[0-9@]")
+#: An @ that is written out: in brackets, or as a word with a dot behind it in the same few words.
+WRITTEN_AT = r"[(\[{<]\s?at\s?[)\]}>]|\bat\b[^@]{1,40}?(?:\bdot\b|[a-z0-9]\.[a-z0-9]|[(\[{<]\s?dot\b)"
+#: What every valid span has in it.
+MUST = re.compile(rf"[0-9@]|{WRITTEN_AT}", re.I | re.A)
 
 
 def luhn(digits: str) -> bool:
@@ -322,6 +328,15 @@ def plausible(texts: list[str], model: Tagger) -> tuple[np.ndarray, np.ndarray,
     last = ends.repeat(n)
     opens = np.zeros(len(first), bool)
     opens[(np.cumsum(n) - n)[n > 0]] = True
+    # windows that can hold a part of a valid span: they or their neighbours in the text have what it must have
+    must = np.array([m.start() for m in MUST.finditer("".join(texts))], np.int64)
+    has = np.searchsorted(must, np.minimum(first + WINDOW, last)) > np.searchsorted(must, first)
+    run = has.copy()
+    run[1:] |= has[:-1] & ~opens[1:]
+    run[:-1] |= has[1:] & ~opens[1:]
+    # where a neighbour is not run, a window's own scores count up to its edge
+    opens[1:] |= ~run[:-1]
+    first, last, opens = first[run], last[run], opens[run]
     codes = np.concatenate([codes_of("".join(texts)).astype(np.int8), np.full(WINDOW, 95, np.int8)])
     places, scores = [np.empty(0, np.int64)], [np.empty((0, TAGS), np.float32)]
     waiting = np.zeros((over, TAGS), np.float32)
@@ -456,7 +471,7 @@ def snapped(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-AT, DOT = re.compile(r"@|[(\[{<]\s?at\s?[)\]}>]|\bat\b", re.I | re.A), re.compile(r"\.|\bdot\b", re.I | re.A)
+AT, DOT = re.compile(rf"@|{WRITTEN_AT}", re.I | re.A), re.compile(r"\.|\bdot\b", re.I | re.A)
 
 
 def looks_whole(text: str, start: int, kind: int, end: int) -> bool:
@@ -471,7 +486,7 @@ def looks_whole(text: str, start: int, kind: int, end: int) -> bool:
         parts = re.findall(r"[0-9]+", own)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 0:
-        return bool((m := AT.search(own)) and m.start() and DOT.search(own, m.end()))
+        return bool((m := AT.search(own)) and m.start() and DOT.search(own, m.start() + 2))
     return 7 <= len(digits) <= 15
 
 
