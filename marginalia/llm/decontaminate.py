@@ -102,15 +102,16 @@ def hashes_at(x: np.ndarray, at: np.ndarray | slice, length: int, seed: int) ->
     """Hashes of the windows of a length that start at the given places."""
     with np.errstate(over="ignore"):
         c = common.constants(length, seed + length)
-        h = x[: len(x) - length + 1][at] * c[0]
+        m = len(x) - length + 1
+        h = x[:m][at] * c[0]
         for j in range(1, length):
-            h = h + x[j : len(x) - length + 1 + j][at] * c[j]
+            h += x[j : j + m][at] * c[j]
         return common.mix64(h)
 
 
 def words_in(taken: np.ndarray, length: int) -> np.ndarray:
-    """Tokens of each window that are no slots."""
-    filled = np.append(0, np.cumsum(taken > 0))
+    """Tokens of each window that are not taken by slots."""
+    filled = np.append(0, np.cumsum(taken))
     return length - (filled[length:] - filled[:-length])
 
 
@@ -122,15 +123,25 @@ def windows(hashes: np.ndarray, slots: np.ndarray, length: int, loose: bool = Fa
     """
     if len(hashes) < length:
         return
-    numeric = np.where(slots == 3, 0, slots)
-    for names in (False, True) if (slots == 3).any() else (False,):
-        taken = slots if names else numeric
-        x = np.where(taken == 1, np.uint64(NUM), np.where(taken == 2, np.uint64(UNIT), np.where(taken == 3, np.uint64(NAME), hashes)))
-        at = np.flatnonzero(words_in(taken, length) >= LEAST_WORDS * length)
-        yield at, hashes_at(x, at if len(at) < len(x) - length + 1 else slice(None), length, 31), names
-    full = np.flatnonzero(words_in(numeric, length) < LEAST_WORDS * length + loose)
-    if len(full):
-        yield full, hashes_at(hashes, full, length, 531), None
+    kinds = np.bincount(slots, minlength=4)
+    x, enough = hashes, np.full(len(hashes) - length + 1, length)
+    if kinds[1] + kinds[2]:
+        x = np.where(slots == 1, np.uint64(NUM), np.where(slots == 2, np.uint64(UNIT), hashes))
+        enough = words_in((slots == 1) | (slots == 2), length)
+    few = enough < LEAST_WORDS * length + loose
+    yield from some_of(x, enough >= LEAST_WORDS * length, length, False)
+    if kinds[3]:
+        name = slots == 3
+        yield from some_of(np.where(name, np.uint64(NAME), x), words_in(slots > 0, length) >= LEAST_WORDS * length, length, True)
+    if few.any():
+        at = np.flatnonzero(few)
+        yield at, hashes_at(hashes, at, length, 531), None
+
+
+def some_of(x: np.ndarray, ok: np.ndarray, length: int, names: bool):
+    h = hashes_at(x, slice(None), length, 31)
+    at = np.flatnonzero(ok)
+    yield at, (h if len(at) == len(h) else h[at]), names
 
 
 def fine_tokens(text: str) -> list[str]:
@@ -254,7 +265,7 @@ BROADCAST_BYTES = 32_000_000
 
 def row_key() -> Column:
     """Rows with the same id and text are judged alike."""
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\n"), F.coalesce("text", F.lit(""))))
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64(F.lit(1), "text"), F.xxhash64(F.lit(2), "text"))
 
 
 def agreement(found: list) -> tuple[int, int]:
