@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 TOKEN = re.compile(r"\s+|\w+|[^\w\s]")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$")
@@ -12,7 +13,8 @@ def edits(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
     """(kind, a from, a to, b from, b to) with kinds equal, delete, insert: a shortest edit script.
 
     Common ends are cut off first; the middle is done by the greedy method of
-    Myers (1986), with the furthest points of each step kept for the way back.
+    Myers (1986), with the furthest points of each step kept for the way back:
+    four bytes for each of the step + 1 diagonals that it moved on.
     """
     start = 0
     while start < len(a) and start < len(b) and a[start] == b[start]:
@@ -25,7 +27,6 @@ def edits(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
     furthest, history = {1: 0}, []
     found = None
     for d in range(n + m + 1):
-        history.append(dict(furthest))
         for k in range(-d, d + 1, 2):
             x = furthest[k + 1] if k == -d or (k != d and furthest[k - 1] < furthest[k + 1]) else furthest[k - 1] + 1
             y = x - k
@@ -37,11 +38,13 @@ def edits(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
                 break
         if found is not None:
             break
+        history.append(array("i", [furthest[k] for k in range(-d, d + 1, 2)]))
     steps, x, y = [], n, m
     for d in range(found or 0, 0, -1):
-        v, k = history[d], x - y
-        before = k + 1 if k == -d or (k != d and v[k - 1] < v[k + 1]) else k - 1
-        px = v[before]
+        # diagonal j of the step before stands at (j + d - 1) / 2
+        v, k = history[d - 1], x - y
+        before = k + 1 if k == -d or (k != d and v[(k + d) // 2 - 1] < v[(k + d) // 2]) else k - 1
+        px = v[(before + d - 1) // 2]
         py = px - before
         while x > px and y > py:
             x, y = x - 1, y - 1
@@ -106,7 +109,8 @@ def annotated(old: str, new: str) -> str:
 
 #: What a diff must not cut: mathematics, citations, references, anchors, images.
 PROTECTED = re.compile(r"\$\$[\s\S]+?\$\$|\$[^$\n]+\$|\[@[^\]]+\]|@(?:fig|tbl|eq):[\w-]+|\{#[^}]+\}|!\[[^\]]*\]\([^)]*\)")
-FIRST = 0xE000
+#: Stand-ins for protected pieces: the supplementary private use areas, of 131,000 characters.
+FIRST = 0xF0000
 
 
 def protected_diff(old: str, new: str) -> str:
@@ -118,7 +122,7 @@ def protected_diff(old: str, new: str) -> str:
     pieces: dict[str, str] = {}
 
     def hide(text: str) -> str:
-        return PROTECTED.sub(lambda m: pieces.setdefault(m[0], chr(FIRST + len(pieces)) if len(pieces) < 6000 else m[0]), text)
+        return PROTECTED.sub(lambda m: pieces.setdefault(m[0], chr(FIRST + len(pieces))), text)
 
     a, b = ([p for p in re.split(r"\n{2,}", hide(t)) if p.strip()] for t in (old, new))
     out, j = [], 0
@@ -138,9 +142,8 @@ def protected_diff(old: str, new: str) -> str:
         j = at + 1
     out += ["{++" + q + "++}" for q in b[j:]]
     text = "\n\n".join(out)
-    for piece, mark in pieces.items():
-        text = text.replace(mark, piece)
-    return text
+    back = {ord(mark): piece for piece, mark in pieces.items()}
+    return text.translate(back)
 
 
 def single_spaced(text: str) -> str:
