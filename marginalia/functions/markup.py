@@ -19,6 +19,8 @@ RANKS = {"insert": 0, "delete": 1, "substitute": 2, "comment": 3}
 RESOLVED = ("[RESOLVED]", "[✓]")
 #: Passes over nested markup.
 PASSES = 20
+#: What stands before anything that looks like a marker.
+UNMARKED = r"(?s)\A.*?(?=\{(?:\+\+|--|~~|==|>>)|\+\+\}|--\}|~[~>]|<<\}|\[|\z)"
 
 
 def all_of(c: Column | str, pattern: str, group: int = 0) -> Column:
@@ -59,12 +61,47 @@ def strip_once(c: Column, keep_comments: bool = False) -> Column:
 def stripped(c: Column | str, keep_comments: bool = False, passes: int = PASSES) -> Column:
     """SCL-01: the text as if all changes were accepted, down to nested and orphaned markers.
 
-    Passes go on as long as there is a marker left; text without any is not
-    looked at again.
+    What stands before the first marker is looked through once and left alone;
+    passes over the rest go on until one changes nothing.
     """
-    some = r"\{\+\+|\+\+\}|\{--|--\}|\{~~|~~\}|~>|\{==|\]\{\.mark\}" + ("" if keep_comments else r"|\{>>")
-    text = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), col(c), lambda t, _: F.when(t.rlike(some), strip_once(t, keep_comments)).otherwise(t))
-    return chain(text, (r"--\}|\+\+\}|~~\}", ""), (r"\{--|\{\+\+|\{~~", ""), (r"~>", ""), (r"\[(?![^\]\n]*\])", ""))
+    some = r"(?=[{+\-~\]])(?:\{\+\+|\+\+\}|\{--|--\}|\{~~|~~\}|~>|\{==|\]\{\.mark\}" + (")" if keep_comments else r"|\{>>)")
+
+    def once(s: Column, _: Column) -> Column:
+        return F.when(s["more"], _bound(strip_once(s["t"], keep_comments), lambda n: F.struct(n.alias("t"), (n != s["t"]).alias("more")))).otherwise(s)
+
+    def rest(t: Column) -> Column:
+        begin = F.struct(t.alias("t"), t.rlike(some).alias("more"))
+        text = F.aggregate(F.sequence(F.lit(1), F.lit(passes)), begin, once, lambda s: s["t"])
+        return chain(text, (r"--\}|\+\+\}|~~\}", ""), (r"\{--|\{\+\+|\{~~", ""), (r"~>", ""), (r"\[(?![^\]\n]*\])", ""))
+
+    text = col(c)
+    return _bound(F.regexp_extract(text, UNMARKED, 0), lambda head: F.when(F.length(head) == F.length(text), text).otherwise(F.concat(head, _bound(F.substr(text, F.length(head) + 1), rest))))
+
+
+def _bound(value: Column, function) -> Column:
+    """function of a value that is computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _without_lone_end(opener: str, closer: str):
+    def kept(piece: Column) -> Column:
+        before = F.left(piece, F.length(piece) - len(closer))
+        return F.when(F.endswith(piece, F.lit(closer)) & ~F.contains(before, F.lit(opener)), before).otherwise(piece)
+
+    return kept
+
+
+def without_orphans(c: Column | str) -> Column:
+    """SCL-06: ends without a beginning go; beginnings without an end leave their content, of a substitution the new text.
+
+    An end has a beginning if one of its kind stands before it with no closing
+    brace between them, so each stretch up to a brace is looked at by itself.
+    """
+    out = col(c)
+    for opener, closer in (("{++", "++}"), ("{--", "--}"), ("{~~", "~~}")):
+        out = F.array_join(F.transform(F.split(out, r"(?<=\})", -1), _without_lone_end(opener, closer)), "")
+    ahead = r"(?=\{[+\-~>]|\z)"
+    return chain(out, (r"\{\+\+([^+]*?)" + ahead, "$1"), (r"\{--([^-]*?)" + ahead, "$1"), (r"\{~~(?!\})[^~]*?~>([^~]*?)" + ahead, "$1"))
 
 
 def is_annotated(c: Column | str) -> Column:

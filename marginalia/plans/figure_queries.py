@@ -76,7 +76,13 @@ def math_simplified(c):
     return c.select("p_partkey", markdown.plain_math(F.concat(F.lit(r"\frac{a}{b} \text{of} \sum_i "), "p_partkey", F.lit(r"\cdot{x} \_y"))).alias("shown"))
 
 
-@family.over("documents")
+#: The marks as RE2 takes them: without back-references, with the kinds of emphasis one by one.
+_PLAIN = "text"
+for _a, _b in [(r"(?m)^---[\s\S]*?---\n*", ""), (r"(?m)^#{1,6}\s+", ""), (r"\*\*(.*?)\*\*|__(.*?)__", r"\1\2"), (r"\*(.*?)\*|_(.*?)_", r"\1\2"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"!\[([^\]]*)\]\([^)]+\)", ""), (r"`([^`]+)`", r"\1"), (r"```[\s\S]*?```", ""), (r"(?m)^>\s*", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"(?m)^[\s]*[-*+]\s+", ""), (r"(?m)^[\s]*\d+\.\s+", ""), (r"\|", " "), (r"(?m)^[-:]+$", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]:
+    _PLAIN = f"regexp_replace({_PLAIN}, {quote(_a)}, {quote(_b)}, 'g')"
+
+
+@family.over("documents", f"SELECT doc_id, {_PLAIN} AS text FROM c")
 def markdown_stripped(c):
     return c.select("doc_id", markdown.plain("text").alias("text"))
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..functions.text import chain
 from ..operators import annotations, citations, crossref, equations, threads
 from . import corpora
 from .base import Family, duck_lines, duck_matches
@@ -58,10 +57,11 @@ def _nest(inner: str, steps) -> str:
 
 
 #: Passes of the rewrite, one after the other; three are enough for the corpora.
-def _passes(n: int) -> str:
+def _passes(n: int, keep_comments: bool = False) -> str:
+    steps = [x for x in _STRIP if not (keep_comments and "<<" in x[0])]
     sql = "SELECT doc_id, text AS t FROM c"
     for _ in range(n):
-        sql = f"SELECT doc_id, {_nest('t', _STRIP)} AS t FROM ({sql})"
+        sql = f"SELECT doc_id, {_nest('t', steps)} AS t FROM ({sql})"
     return f"SELECT doc_id, {_nest('t', [(chr(45) * 2 + r'\}|\+\+\}|~~\}', ''), (r'\{--|\{\+\+|\{~~', ''), ('~>', '')])} AS text FROM ({sql})"
 
 
@@ -75,15 +75,30 @@ def strip_fixpoint(c):
     return c.select("doc_id", markup.stripped("text").alias("text"))
 
 
-@family.over("nested")
+@family.over("nested", _passes(4, keep_comments=True))
 def strip_keeping_comments(c):
     return c.select("doc_id", markup.stripped("text", keep_comments=True).alias("text"))
 
 
-@family.over("nested")
+def _orphans_sql() -> str:
+    """By lists: pieces up to each closing brace lose a lone end, pieces behind each opener tell whether it stays."""
+    t = "SELECT doc_id, text AS t FROM c"
+    for mark in ("++", "--", "~~"):
+        lone = f"ends_with(p, '{mark}') AND NOT contains(left(p, length(p) - 2), '{{{mark}')"
+        t = f"SELECT doc_id, array_to_string(list_transform(ps, lambda p, i: CASE WHEN i = n THEN p WHEN {lone} THEN left(p, length(p) - 2) ELSE p || '}}' END), '') AS t FROM (SELECT doc_id, string_split(t, '}}') AS ps, len(string_split(t, '}}')) AS n FROM ({t}))"
+    opened = {
+        "++": ("regexp_matches(p, '^[^+]*?(\\{[-+~>]|$)')", "p"),
+        "--": ("regexp_matches(p, '^[^-]*?(\\{[-+~>]|$)')", "p"),
+        "~~": ("NOT starts_with(p, '}') AND regexp_matches(p, '^[^~]*?~>[^~]*?(\\{[-+~>]|$)')", "regexp_replace(p, '^[^~]*?~>([^~]*?)(\\{[-+~>]|$)', '\\1\\2')"),
+    }
+    for mark, (unclosed, content) in opened.items():
+        t = f"SELECT doc_id, array_to_string(list_transform(string_split(t, '{{{mark}'), lambda p, i: CASE WHEN i = 1 THEN p WHEN {unclosed} THEN {content} ELSE '{{{mark}' || p END), '') AS t FROM ({t})"
+    return f"SELECT doc_id, t AS text FROM ({t})"
+
+
+@family.over("nested", _orphans_sql())
 def orphans_swept(c):
-    """SCL-06."""
-    return c.select("doc_id", chain("text", (r"(?<!\{\+\+[^}]{0,500})\+\+\}", ""), (r"(?<!\{--[^}]{0,500})--\}", ""), (r"\{\+\+(?![^{]*\+\+\})", ""), (r"\{--(?![^{]*--\})", "")).alias("text"))
+    return c.select("doc_id", markup.without_orphans("text").alias("text"))
 
 
 @family.over("annotated", f"SELECT doc_id, {_nest('text', [(PATTERNS['substitute'], r'\2'), (PATTERNS['insert'], r'\1'), (PATTERNS['delete'], '')])} AS text FROM c")

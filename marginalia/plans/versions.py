@@ -52,7 +52,11 @@ def three_way_merge(c):
     return diffs.merged(base, one.unionByName(two), "doc_id")[0]
 
 
-@family.over("documents")
+_ANCHOR = "trim(array_to_string(list_slice(string_split(coalesce(text, ''), ' '), 4, 7), ' '), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@family.over("documents", f"""SELECT doc_id, (length(coalesce(text, '')) + length('{{>>Ann: look<<}}') + length('{{>>↪ Bo: done<<}}'))::INT AS n,
+    [CASE WHEN {_ANCHOR} = '' THEN 'position-only' ELSE 'direct' END, 'reply'] AS strategies FROM c""")
 def place_comments(c):
     texts = c.select("doc_id", "text")
     words = F.slice(F.split("text", " "), 4, 4)
