@@ -49,13 +49,13 @@ def _overlap(a, b) -> bool:
 def conflicts(changes: DataFrame, key: str) -> DataFrame:
     """DIF-05: each change with the conflict it belongs to (null: none) and its place in it.
 
-    Greedy in the order of start, end, reviewer and sequence: a change takes
+    Greedy in the order of start, end, reviewer, sequence and texts: a change takes
     the later ones that conflict with it and are not taken yet; it is not a
     transitive closure.  One document's changes are one group.
     """
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["start", "end", "reviewer_ord", "seq"], kind="stable").itertuples(index=False))
+        rows = list(pdf.sort_values(["start", "end", "reviewer_ord", "seq", "type", "old_text", "new_text"], kind="stable").itertuples(index=False))
         taken, out, n = [False] * len(rows), [], 0
         for i, one in enumerate(rows):
             if taken[i]:

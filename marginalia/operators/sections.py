@@ -24,13 +24,14 @@ def matched(titles: DataFrame, config: DataFrame, title: str = "title") -> DataF
     config: file, header, aliases, ord; a table of the project's sections.
     """
     t = strip(F.lower(chain(title, (r"^#{1,6}\s+", ""))))
-    hw, tw = F.split(F.lower("header"), r"\s+"), F.split(t, r"\s+")
-    same = strip(F.lower("header")) == t
-    alias = F.exists("aliases", lambda a: strip(F.lower(a)) == t)
-    near = F.size(F.filter(hw, lambda w: F.array_contains(tw, w))) >= F.size(hw) * 0.7
-    distinct = titles.select(title).distinct()
-    pairs = distinct.join(F.broadcast(config) if config.count() <= 10_000 else config, same | F.coalesce(alias, F.lit(False)) | near)
-    best = pairs.groupBy(title).agg(F.min_by("file", "ord").alias("file"))
+    own = titles.select(title).distinct().select(title, t.alias("_t"))
+    names = F.array_append(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: strip(F.lower(a))), strip(F.lower("header")))
+    same = own.join(config.select("file", "ord", F.explode(names).alias("_t")), "_t").select(title, "file", "ord")
+    # shared words, counted: each word of the header that the title has
+    words_of = config.select("file", "ord", "header", F.split(F.lower("header"), r"\s+").alias("_w")).select("file", "ord", "header", F.size("_w").alias("_n"), F.explode("_w").alias("_word"))
+    has = own.select(title, F.explode(F.array_distinct(F.split("_t", r"\s+"))).alias("_word"))
+    near = has.join(words_of, "_word").groupBy(title, "file", "ord", "header", "_n").count().filter(F.col("count") >= F.col("_n") * 0.7).select(title, "file", "ord")
+    best = same.unionByName(near).groupBy(title).agg(F.min_by("file", "ord").alias("file"))
     return titles.join(best, title, "left")
 
 

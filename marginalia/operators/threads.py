@@ -43,7 +43,7 @@ def by_reviewer(found: DataFrame) -> DataFrame:
 def letter(found: DataFrame, *key: str, own: str = "Author") -> DataFrame:
     """AGG-14, SRT-04: one response letter per key, reviewers first."""
     item = F.format_string("**Comment %s** (line %s)\n\n> %s\n\n", F.col("n").cast("string"), F.col("line").cast("string"), F.col("text"))
-    w = Window.partitionBy(*key, "author").orderBy("line")
+    w = Window.partitionBy(*key, "author").orderBy("line", "text")  # of equal lines, so that reruns agree
     rows = found.filter(F.col("author") != own).withColumn("n", F.row_number().over(w)).withColumn("item", item)
     parts = rows.groupBy(*key, "author").agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("items"), F.count("*").alias("comments"))
     first = ~F.lower("author").contains("reviewer")

@@ -284,6 +284,12 @@ def journal_profiles(spark, sf_dir):
 
 # -- similarity of versions
 
+def _next_of_source(c):
+    """Documents with the next one of their source: ids are put in order by themselves, the texts join them."""
+    pairs = c.select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("other")).filter("other IS NOT NULL")
+    return pairs.join(c.select("doc_id", "text"), "doc_id").join(c.select(F.col("doc_id").alias("other"), F.col("text").alias("other_text")), "other")
+
+
 _SIM = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: length(w) > 2)"
 
 
@@ -291,9 +297,7 @@ _SIM = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: length(w)
     s AS (SELECT doc_id, other, list_distinct({_SIM.format('text')}) AS a, {_SIM.format('other_text')} AS b FROM p WHERE other IS NOT NULL)
     SELECT doc_id, other, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_filter(b, lambda w: list_contains(a, w))) / greatest(len(a), len(b)) END, 9) AS similarity FROM s""")
 def similarity_pairs(c):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    p = c.withColumn("other", F.lead("doc_id").over(w)).withColumn("other_text", F.lead("text").over(w)).filter("other IS NOT NULL")
-    return p.select("doc_id", "other", F.round(X.similarity("text", "other_text"), 9).alias("similarity"))
+    return _next_of_source(c).select("doc_id", "other", F.round(X.similarity("text", "other_text"), 9).alias("similarity"))
 
 
 @family.over("documents", f"""+ p AS (SELECT source, doc_id, text, lead(doc_id) OVER w AS other, concat(text, ' ', lead(text) OVER w) AS other_text FROM c WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
@@ -301,8 +305,7 @@ def similarity_pairs(c):
     SELECT doc_id, other FROM s WHERE len(a) > 0 AND len(b) > 0 AND len(list_filter(b, lambda w: list_contains(a, w))) / greatest(len(a), len(b)) > 0.5""")
 def base_match(c):
     """DIF-10."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    p = c.withColumn("other", F.lead("doc_id").over(w)).withColumn("other_text", F.concat("text", F.lit(" "), F.lead("text").over(w))).filter("other IS NOT NULL")
+    p = _next_of_source(c).withColumn("other_text", F.concat("text", F.lit(" "), "other_text"))
     return p.filter(X.similarity("text", "other_text") > 0.5).select("doc_id", "other")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown
 from ..operators import crossref, figures, merging, slides
+from . import relations
 from .base import Family, duck_matches, quote
 
 family = Family()
@@ -58,6 +59,20 @@ def conflict_text(c):
     return figures.conflict_text(merging.conflicts(c, "doc_id"), texts, "doc_id")
 
 
+def _shown_sql() -> str:
+    """The options of each conflict and what stands around it, as the operator writes them out."""
+    x = "CASE WHEN type = 'delete' THEN old_text ELSE new_text END"
+    what = "CASE type WHEN 'insert' THEN 'Insert: ' WHEN 'delete' THEN 'Delete: ' ELSE 'Replace → ' END"
+    option = f"concat('    ', place + 1, '. [', reviewer, '] ', {what}, chr(34), CASE WHEN length({x}) > 60 THEN left({x}, 60) || '...' ELSE {x} END, chr(34))"
+    each = f"""SELECT doc_id, conflict, min("start") AS a, max("end") AS b, string_agg({option}, chr(10) ORDER BY place) AS options, repeat('some text of the base. ', 300) AS t FROM g WHERE conflict IS NOT NULL GROUP BY 1, 2"""
+    parts = f"""SELECT *, trim(substr(t, greatest(a - 50, 0) + 1, least(a, 50))) AS before, substr(t, a + 1, b - a) AS original, trim(substr(t, b + 1, 50)) AS after FROM ({each})"""
+    shown = """concat_ws(chr(10), CASE WHEN before <> '' THEN '  ...' || before END, concat('  [ORIGINAL]: ', chr(34), CASE WHEN original = '' THEN '(insertion point)' ELSE original END, chr(34)), CASE WHEN after <> '' THEN '  ' || after || '...' END, '', '  Options:', options)"""
+    return relations.grouped(f"SELECT doc_id, conflict, {shown} AS shown FROM ({parts})")
+
+
+SQL["conflict_text"] = _shown_sql()
+
+
 @family.over("documents")
 def slides_parse(c):
     deck = F.concat(F.lit("---\ntitle: t\n---\n# One {.dark}\n- a\n  - b\n- c\n::: step\n"), F.col("source"), F.lit("\n:::\n---\n## Two\n"), F.col("text"))

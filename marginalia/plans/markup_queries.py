@@ -196,8 +196,11 @@ def _talk(c):
     return joined.select("conv_id", F.array_join(F.transform("m", lambda x: x["markup"]), " ").alias("text"))
 
 
-@family.over("talk", f"""SELECT conv_id, trim(a[1], chr(32)||chr(9)||chr(10)||chr(13)||chr(12)) AS author, regexp_replace(t[1], '^\\s+|\\s+$', '', 'g') AS text, (len(a) - 1)::INT AS replies
-    FROM (SELECT conv_id, regexp_extract_all(text, '{_AUTHORED}', 1) AS a, regexp_extract_all(text, '{_AUTHORED}', 2) AS t FROM ({TALK})) WHERE len(a) > 0""")
+THREADS = f"""SELECT conv_id, trim(a[1], chr(32)||chr(9)||chr(10)||chr(13)||chr(12)) AS author, regexp_replace(t[1], '^\\s+|\\s+$', '', 'g') AS text, (len(a) - 1)::INT AS replies
+    FROM (SELECT conv_id, regexp_extract_all(text, '{_AUTHORED}', 1) AS a, regexp_extract_all(text, '{_AUTHORED}', 2) AS t FROM ({TALK})) WHERE len(a) > 0"""
+
+
+@family.over("talk", THREADS)
 def threads_by_line(c):
     return threads.threads(_talk(c), "conv_id").select("conv_id", "author", "text", F.size("replies").alias("replies"))
 
@@ -207,7 +210,9 @@ def comments_by_reviewer(c):
     return threads.by_reviewer(threads.threads(_talk(c), "conv_id"))
 
 
-@family.over("talk")
+@family.over("talk", f"""SELECT project, concat('# Response to Reviewers', chr(10), chr(10), string_agg(body, '' ORDER BY NOT contains(lower(author), 'reviewer'), author)) AS letter, sum(n)::BIGINT AS comments
+    FROM (SELECT project, author, count(*) AS n, concat('## ', author, chr(10), chr(10), string_agg(concat('**Comment ', k, '** (line 1)', chr(10), chr(10), '> ', text, chr(10), chr(10)), '' ORDER BY k)) AS body
+    FROM (SELECT conv_id % 10 AS project, author, text, row_number() OVER (PARTITION BY conv_id % 10, author ORDER BY text) AS k FROM ({THREADS}) WHERE author <> 'system') GROUP BY 1, 2) GROUP BY 1""")
 def response_letters(c):
     return threads.letter(threads.threads(_talk(c), "conv_id").withColumn("project", F.col("conv_id") % 10), "project", own="system")
 

@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import anchors, citations, journals, merging, projects
 from ..sources import bibtex
 from . import corpora
-from .base import Family, table
+from .base import Family, table, with_corpus
 
 family = Family()
 QUERIES, SQL = family.queries, family.sql
@@ -108,21 +108,44 @@ def change_overlap_pairs(c):
     return merging.overlapping_pairs(c, "doc_id", "seq")
 
 
+#: DuckDB: the greedy grouping, one change after the other; near has the later changes that each one is in conflict with.
+GROUPS = f"""s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start", "end", reviewer_ord, seq, type, old_text, new_text) AS i FROM c),
+    near AS MATERIALIZED (SELECT a.doc_id, a.i, list(b.i ORDER BY b.i) FILTER (b.i IS NOT NULL) AS js FROM s a LEFT JOIN s b ON a.doc_id = b.doc_id AND a.i < b.i AND ({_OVER}) GROUP BY 1, 2),
+    walk AS (SELECT doc_id, 0::BIGINT AS i, []::BIGINT[] AS taken, 0 AS n, []::BIGINT[] AS own FROM (SELECT DISTINCT doc_id FROM c)
+        UNION ALL SELECT doc_id, i, list_concat(taken, own), n + (len(own) > 0)::INT, own FROM (SELECT w.doc_id, r.i, w.taken, w.n, CASE WHEN list_contains(w.taken, r.i) THEN [] ELSE list_filter(coalesce(r.js, []), lambda j: NOT list_contains(w.taken, j)) END AS own FROM walk w JOIN near r ON r.doc_id = w.doc_id AND r.i = w.i + 1)),
+    member AS (SELECT doc_id, n, unnest(list_prepend(i, own)) AS i, unnest(range(len(own) + 1)) AS place FROM walk WHERE len(own) > 0),
+    g AS MATERIALIZED (SELECT s.*, CASE WHEN m.n IS NOT NULL THEN concat('c', m.n) END AS conflict, coalesce(m.place, 0)::INT AS place FROM s LEFT JOIN member m ON m.doc_id = s.doc_id AND m.i = s.i)"""
+_SUMMARY = """SELECT doc_id, conflict, min("start")::INT AS "start", max("end")::INT AS "end", count(*)::BIGINT AS changes, arg_min(new_text, place) AS first_text, arg_max(new_text, place) AS latest_text FROM g WHERE conflict IS NOT NULL GROUP BY 1, 2"""
+
+
+def grouped(sql: str) -> str:
+    return with_corpus("changes", f"+ {GROUPS} {sql}").replace("WITH c", "WITH RECURSIVE c", 1)
+
+
 @family.over("changes")
 def conflict_groups(c):
     return merging.conflicts(c, "doc_id").select("doc_id", "reviewer", "seq", "conflict", "place")
 
 
+SQL["conflict_groups"] = grouped("SELECT doc_id, reviewer, seq, conflict, place FROM g")
+
+
 @family.over("changes")
 def conflict_resolutions(c):
     return merging.conflict_summary(merging.conflicts(c, "doc_id"), "doc_id")
 
 
+SQL["conflict_resolutions"] = grouped(_SUMMARY)
+
+
 @family.over("changes")
 def merge_stats(c):
     return merging.statistics(merging.conflicts(c, "doc_id"), "doc_id")
 
 
+SQL["merge_stats"] = grouped("SELECT doc_id, count(DISTINCT reviewer)::BIGINT AS reviewers, count(*)::BIGINT AS changes, count(*) FILTER (conflict IS NULL)::BIGINT AS free, count(DISTINCT conflict)::BIGINT AS conflicts FROM g GROUP BY 1")
+
+
 @family.over("changes", """SELECT doc_id, reviewer_ord, seq FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, "start", "end", type, new_text ORDER BY reviewer_ord, seq) AS r FROM c) WHERE r = 1""")
 def conflict_dedupe(c):
     return merging.deduplicated(c, "doc_id").select("doc_id", "reviewer_ord", "seq")
@@ -254,7 +277,13 @@ def anchor_tiers(c):
     return c.select("doc_id", "text", F.replace(F.substring("text", 8, 30), F.lit("e"), F.lit("E")).alias("a")).select("doc_id", s.alias("s")).select("doc_id", "s.strategy", "s.pos")
 
 
-@family.over("documents")
+_NORMAL = "regexp_replace(lower({0}), '\\s+', ' ', 'g')"
+_LIKE = f"""+ a AS (SELECT text, CASE WHEN doc_id % 3 = 0 THEN 'no such anchor anywhere here' ELSE replace(substr(text, 5, 40), ' ', '  ') END AS a FROM c),
+    q AS (SELECT CASE WHEN coalesce(a, '') = '' THEN 'unmatched' WHEN contains({_NORMAL.format('text')}, {_NORMAL.format('a')}) THEN 'clean'
+        WHEN contains({_NORMAL.format('text')}, 'such anchor anywhere') OR contains({_NORMAL.format('text')}, 'anchor anywhere here') THEN 'drift' ELSE 'unmatched' END AS quality FROM a) """
+
+
+@family.over("documents", _LIKE + "SELECT v.quality, coalesce(n, 0)::BIGINT AS n FROM (VALUES ('clean'), ('drift'), ('context-only'), ('ambiguous'), ('unmatched')) v(quality) LEFT JOIN (SELECT quality, count(*) AS n FROM q GROUP BY 1) USING (quality)")
 def anchor_quality_tally(c):
     a = F.when(F.col("doc_id") % 3 == 0, F.lit("no such anchor anywhere here")).otherwise(F.regexp_replace(F.substring("text", 5, 40), " ", "  "))
     s = anchors.strategy("a", "text")["strategy"]

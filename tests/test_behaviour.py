@@ -361,3 +361,62 @@ def test_words_of_a_manuscript(spark):
 def test_case_insensitive_authors(spark):
     assert one(spark, X.surname("a"), a="Smith, John and Li, Bo") == "Smith"
     assert one(spark, F.concat_ws("|", X.authors("a")), a="J. Smith and B. Li") == "J. Smith|B. Li"
+
+
+def without_orphans(text):
+    """SCL-06 by going through the text mark by mark."""
+    for sign in "+-~":
+        end, out, k = sign * 2 + "}", "", 0
+        while k < len(text):
+            if text.startswith(end, k) and "{" + sign * 2 not in text[text.rfind("}", 0, k) + 1 : k] and "{" + sign * 2 not in out[out.rfind("}") + 1 :]:
+                k += 3
+            else:
+                out, k = out + text[k], k + 1
+        text = out
+    return text
+
+
+@pytest.mark.parametrize(
+    "text, out",
+    [
+        ("a ++} b --} c ~~} d", "a  b  c  d"),
+        ("a {++b++} c {--d--} e {~~f~>g~~}", "a {++b++} c {--d--} e {~~f~>g~~}"),
+        ("a {++b {>>Ann: c<<}", "a b {>>Ann: c<<}"),
+        ("a {--b {++c++}", "a b {++c++}"),
+        ("a {~~b~>c", "a c"),
+        ("{++}", "{"),
+        ("plain", "plain"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_orphans(spark, text, out):
+    assert one(spark, markup.without_orphans("text"), text=text) == out
+
+
+def test_lone_ends_by_brute_force(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a", " ", "++}", "--}", "~~}", "}", "b"]) for _ in range(r.randrange(12))) for _ in range(300)]
+    got = docs(spark, *texts).select("doc_id", markup.without_orphans("text").alias("t")).orderBy("doc_id").collect()
+    assert [r["t"] for r in got] == [without_orphans(t) for t in texts]
+
+
+def test_strip_of_very_long_texts(spark):
+    plain = "words without an end " * 50_000
+    assert one(spark, markup.stripped("text"), text=plain) == plain
+    assert one(spark, markup.stripped("text"), text=plain + "{++x++}" + plain + "{--y--}") == plain + "x" + plain
+
+
+def test_headings_of_sections(spark):
+    config = spark.createDataFrame([("one.md", "Data and Study Area", ["sites"], 1), ("two.md", "Study Design", None, 2)], "file string, header string, aliases array<string>, ord int")
+    titles = spark.createDataFrame([("study area and data",), ("Sites",), ("study design",), ("the study area data",), ("nothing",), (None,)], "title string")
+    got = {r["title"]: r["file"] for r in sections.matched(titles, config).collect()}
+    assert got == {"study area and data": "one.md", "Sites": "one.md", "study design": "two.md", "the study area data": "one.md", "nothing": None, None: None}
+
+
+def test_conflicts_of_equal_keys(spark):
+    """Changes with the same place and number group alike whatever order they come in."""
+    rows = [(1, "R1", 1, 7, "replace", 0, 9, "old", f"new{k}") for k in range(6)]
+    names = "doc_id long, reviewer string, reviewer_ord int, seq long, type string, start int, end int, old_text string, new_text string"
+    one_way, other_way = (merging.conflict_summary(merging.conflicts(spark.createDataFrame(r, names), "doc_id"), "doc_id").collect() for r in (rows, rows[::-1]))
+    assert one_way == other_way
