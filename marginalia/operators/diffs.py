@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import diff
+from ..functions.text import chain
 from . import merging
 
 CHANGES = "array<struct<type:string,start:int,end:int,old_text:string,new_text:string>>"
@@ -75,3 +76,12 @@ def placed(texts: DataFrame, comments: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame({key: pdf[key], "text": pd.Series([g[0] for g in got], dtype=object), "report": pd.Series([g[1] for g in got], dtype=object)})
 
     return rows.mapInPandas(put, f"{key} {rows.schema[key].dataType.simpleString()}, {PLACED}")
+
+
+def realigned(texts: DataFrame, comments: DataFrame, key: str, authors: list[str] | None = None) -> DataFrame:
+    """DIF-13: the comments that stand in the texts go, those of the reviewed version are set in anew.
+
+    With `authors`, only these people's comments are set in.
+    """
+    bare = texts.select(key, chain("text", (r"\s*\{>>[\s\S]+?<<\}", "")).alias("text"))
+    return placed(bare, comments if authors is None else comments.filter(F.col("author").isin(authors)), key)

@@ -65,6 +65,18 @@ def place_comments(c):
     return diffs.placed(texts, comments.unionByName(reply), "doc_id").select("doc_id", F.length("text").alias("n"), F.transform("report", lambda r: r["strategy"]).alias("strategies"))
 
 
+@family.over("annotated", f"""SELECT doc_id, (length(text) + length('{{>>Ann: look<<}}'))::INT AS n, [CASE WHEN {_ANCHOR} = '' THEN 'position-only' ELSE 'direct' END] AS strategies
+    FROM (SELECT doc_id, regexp_replace(text, '\\s*\\{{>>[\\s\\S]+?<<\\}}', '', 'g') AS text FROM c)""")
+def comments_realigned(c):
+    """DIF-13: the corpus' own comments go, one comes, that of another author does not."""
+    bare = F.regexp_replace("text", r"\s*\{>>[\s\S]+?<<\}", "")
+    anchor = F.array_join(F.slice(F.split(bare, " "), 4, 4), " ")
+    own = [F.lit(v).alias(n) for v, n in (("1", "id"), ("Ann", "author"), ("look", "text"))]
+    comments = c.select("doc_id", F.lit(1).alias("ord"), *own, anchor.alias("anchor"), F.lit("").alias("before"), F.lit("").alias("after"), F.lit(0.1).alias("position"), F.lit(None).cast("string").alias("parent"))
+    others = comments.withColumn("ord", F.lit(2)).withColumn("id", F.lit("2")).withColumn("author", F.lit("Bo"))
+    return diffs.realigned(c.select("doc_id", "text"), comments.unionByName(others), "doc_id", authors=["Ann"]).select("doc_id", F.length("text").alias("n"), F.transform("report", lambda r: r["strategy"]).alias("strategies"))
+
+
 _SQL_STRIP = r"regexp_replace(regexp_replace(regexp_replace(text, '(?s)\{~~(.+?)~>(.+?)~~\}', '\2', 'g'), '(?s)\{\+\+(.+?)\+\+\}', '\1', 'g'), '(?s)\{--(.+?)--\}', '', 'g')"
 
 
