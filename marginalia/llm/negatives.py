@@ -409,8 +409,8 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
         "anchor_id",
         "label",
         "vec",
-        F.transform("p", lambda p: F.ceil((p["score"] * F.lit(least)).cast("decimal(38,0)") / F.lit(100)).cast("long")).alias("least"),
-        F.transform("p", lambda p: F.floor((p["score"] * F.lit(most)).cast("decimal(38,0)") / F.lit(100)).cast("long")).alias("most"),
+        F.transform("p", lambda p: F.ceil(p["score"].cast("decimal(20,0)") * F.lit(least) / F.lit(100)).cast("long")).alias("least"),
+        F.transform("p", lambda p: F.floor(p["score"].cast("decimal(20,0)") * F.lit(most) / F.lit(100)).cast("long")).alias("most"),
     )
     far = twice(common.materialize(windows, "windows"), tree, dealt, chunks, False, negatives)
     named = near.select("anchor_id", (F.col("nth") - 1).alias("window"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
