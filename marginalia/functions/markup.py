@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import chain, col, strip
+from .text import chain, col, running, strip
 
 #: The annotation grammar.
 INSERT = r"(?s)\{\+\+(.+?)\+\+\}"
@@ -30,17 +30,18 @@ def all_of(c: Column | str, pattern: str, group: int = 0) -> Column:
 def matches(c: Column | str, pattern: str, groups: int) -> Column:
     """array<struct<pos, match, g1, ...>>: matches with their offsets, in order.
 
-    An offset is the length of all text between the matches before it and of
-    these matches.
+    An offset is the sum of the lengths of what stands between the matches
+    before it and of these matches.
     """
-    whole, between = all_of(c, pattern), F.split(col(c), pattern, -1)
 
-    def at(x: Column, k: Column) -> Column:
-        before = F.length(F.array_join(F.slice(between, 1, k + 1), "")) + F.when(k > 0, F.length(F.array_join(F.slice(whole, F.lit(1), k), ""))).otherwise(0)
-        parts = [F.regexp_extract(x, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]
-        return F.struct(before.cast("int").alias("pos"), x.alias("match"), *parts)
+    def placed(whole: Column) -> Column:
+        between = F.transform(F.split(col(c), pattern, -1), F.length)
+        steps = running(F.zip_with(F.slice(between, F.lit(1), F.size(whole)), F.transform(whole, F.length), lambda b, w: b + w))
+        parts = lambda x: [F.regexp_extract(x, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)]
+        each = F.zip_with(whole, F.zip_with(steps, F.slice(between, F.lit(1), F.size(whole)), lambda s, b: s + b), lambda x, p: F.struct(p.alias("pos"), x.alias("match"), *parts(x)))
+        return F.when(F.size(whole) > 0, each).otherwise(F.slice(each, 1, 0))
 
-    return F.transform(whole, at)
+    return bound(all_of(c, pattern), placed)
 
 
 def strip_once(c: Column, keep_comments: bool = False) -> Column:
@@ -67,7 +68,7 @@ def stripped(c: Column | str, keep_comments: bool = False, passes: int = PASSES)
     some = r"(?=[{+\-~\]])(?:\{\+\+|\+\+\}|\{--|--\}|\{~~|~~\}|~>|\{==|\]\{\.mark\}" + (")" if keep_comments else r"|\{>>)")
 
     def once(s: Column, _: Column) -> Column:
-        return F.when(s["more"], _bound(strip_once(s["t"], keep_comments), lambda n: F.struct(n.alias("t"), (n != s["t"]).alias("more")))).otherwise(s)
+        return F.when(s["more"], bound(strip_once(s["t"], keep_comments), lambda n: F.struct(n.alias("t"), (n != s["t"]).alias("more")))).otherwise(s)
 
     def rest(t: Column) -> Column:
         begin = F.struct(t.alias("t"), t.rlike(some).alias("more"))
@@ -75,10 +76,10 @@ def stripped(c: Column | str, keep_comments: bool = False, passes: int = PASSES)
         return chain(text, (r"--\}|\+\+\}|~~\}", ""), (r"\{--|\{\+\+|\{~~", ""), (r"~>", ""), (r"\[(?![^\]\n]*\])", ""))
 
     text = col(c)
-    return _bound(F.regexp_extract(text, UNMARKED, 0), lambda head: F.when(F.length(head) == F.length(text), text).otherwise(F.concat(head, _bound(F.substr(text, F.length(head) + 1), rest))))
+    return bound(F.regexp_extract(text, UNMARKED, 0), lambda head: F.when(F.length(head) == F.length(text), text).otherwise(F.concat(head, bound(F.substr(text, F.length(head) + 1), rest))))
 
 
-def _bound(value: Column, function) -> Column:
+def bound(value: Column, function) -> Column:
     """function of a value that is computed once, however often the function names it."""
     return F.get(F.transform(F.array(value), function), F.lit(0))
 

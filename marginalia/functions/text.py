@@ -25,6 +25,19 @@ def chain(c: Column | str, *steps: tuple[str, str]) -> Column:
     return c
 
 
+def running(lengths: Column, chunk: int = 128) -> Column:
+    """Sums of the lengths before each one.  Chunks are summed first, so that the work stays near to linear."""
+
+    def sums(own: Column, base: Column) -> Column:
+        begin = F.struct(base.alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(own, begin, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["all"], s["at"]).alias("all")), lambda s: s["all"])
+
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(chunk)), lambda k: F.slice(lengths, k, F.lit(chunk)))
+    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, n: s + n))
+    based = F.transform(parts, lambda p, k: sums(p, F.aggregate(F.slice(totals, F.lit(1), k), F.lit(0), lambda s, n: s + n)))
+    return F.flatten(based)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at both ends; trim() of Spark takes blanks only."""
     return chain(c, (r"^\s+|\s+$", ""))

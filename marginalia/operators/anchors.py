@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..functions.text import chain, col
+from ..functions.text import chain, col, running, strip
 
 #: Least length of a partial anchor, and its words from most to least.
 PARTIAL, WINDOWS = 15, (6, 5, 4, 3)
+#: Where anchors are cut into parts, and the number of places from which on a part says nothing.
+SEPARATORS, RARE = (" ", ", ", ". ", " - ", " – "), 5
 
 
 def occurrences(text: Column | str, needle: Column | str) -> Column:
-    """EXT-31: offsets of all, also overlapping, occurrences; each search goes on behind the one before."""
+    """EXT-31: offsets of all, also overlapping, occurrences, in one scan of the text.
+
+    The text is cut in front of every occurrence; an occurrence stands where
+    the lengths of the pieces before it end.
+    """
     t, n = col(text), col(needle)
-    most = F.greatest(F.length(t) - F.length(n) + 1, F.lit(0))
-    found = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: F.substr(t, k, F.length(n)) == n)
-    return F.when((F.length(n) == 0) | (most == 0) | ~F.contains(t, n), F.array().cast("array<int>")).otherwise(F.transform(found, lambda k: k - 1))
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    lengths = F.transform(F.split(t, quoted, F.lit(-1)), F.length)
+    starts = running(lengths)
+    found = F.when(F.startswith(t, n), starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
+    return F.when((F.length(n) == 0) | ~F.contains(t, n), F.array().cast("array<int>")).otherwise(found)
 
 
 def first_at(text: Column | str, needle: Column | str) -> Column:
@@ -44,25 +52,122 @@ def normalized(c: Column | str) -> Column:
     return chain(c, (r"\s+", " "))
 
 
+def _hit(name: Column | str, matched: Column, positions: Column) -> Column:
+    name = F.lit(name) if isinstance(name, str) else name
+    return F.struct(name.alias("strategy"), matched.cast("string").alias("matched"), positions.cast("array<int>").alias("positions"))
+
+
+def _no_hit(name: str) -> Column:
+    return _hit(name, F.lit(None), F.array())
+
+
+def _bracketed(lt: Column, before: Column, after: Column, most: Column, least: Column, failed: Column | None) -> Column:
+    """The place between the end of `before` and the next beginning of `after`, if the gap is from `least` to `most`.
+
+    Where both stand but the gap is of another size, the result is `failed`, if given.
+    """
+    b, a = F.right(before, F.lit(50)), F.left(after, F.lit(50))
+    start = F.when(F.contains(lt, b), F.instr(lt, b) - 1 + F.length(b))
+
+    def gap(s: Column) -> Column:
+        between = F.call_function("locate", a, lt, s + 1) - 1 - s
+        fits = F.when((between >= least) & (between <= most), _hit("context-both", F.lit(None), F.array(s)))
+        return fits if failed is None else F.when(between >= 0, F.coalesce(fits, failed))
+
+    return F.when((before != "") & (after != "") & start.isNotNull(), markup.bound(start, gap))
+
+
+def _one_sided(lt: Column, before: Column, after: Column) -> list[Column]:
+    """Behind the last place of what stood before; else at the first place of what stood after."""
+    b, a = F.right(before, F.lit(30)), F.left(after, F.lit(30))
+    behind = F.length(lt) - F.length(F.call_function("substring_index", lt, b, F.lit(-1)))
+    return [
+        F.when((before != "") & F.contains(lt, b), _hit("context-before", F.lit(None), F.array(behind))),
+        F.when((after != "") & F.contains(lt, a), _hit("context-after", F.lit(None), F.array(first_at(lt, a)))),
+    ]
+
+
+def _window(a: Column, lt: Column, bt: Column) -> Column:
+    """A run of six to three words of an anchor of more than three, in the text or in the text without markup."""
+    words = F.split(a, r"\s+", -1)
+
+    def runs(n: int) -> Column:
+        all_of_n = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(words, k + 1, F.lit(n)), " ").alias("w")))
+        return F.when((F.size(words) > 3) & (F.size(words) >= n), all_of_n).otherwise(F.array().cast("array<struct<k: int, w: string>>"))
+
+    fit = F.filter(F.flatten(F.array(*map(runs, WINDOWS))), lambda r: (F.length(r["w"]) >= PARTIAL) & (F.contains(lt, F.lower(r["w"])) | F.contains(bt, F.lower(r["w"]))))
+
+    def hit(r: Column) -> Column:
+        w = F.lower(r["w"])
+        name = F.when(r["k"] == 0, "partial-start").otherwise("partial-window")
+        plain = F.contains(lt, w)
+        return F.when(r.isNotNull(), _hit(F.concat(name, F.when(plain, "").otherwise("-stripped")), r["w"], occurrences(F.when(plain, lt).otherwise(bt), w)))
+
+    return markup.bound(F.get(fit, F.lit(0)), hit)
+
+
+def _parts(a: Column, lt: Column) -> Column:
+    """The first part of the anchor, of four characters on, that stands in fewer than `RARE` places."""
+    cut = [F.when(F.contains(a, F.lit(sep)), F.split(a, rf"\Q{sep}\E", -1)).otherwise(F.array().cast("array<string>")) for sep in SEPARATORS]
+    long = F.array_distinct(F.filter(F.flatten(F.array(*cut)), lambda p: F.length(p) >= 4))
+    placed = F.transform(long, lambda p: F.struct(p.alias("p"), occurrences(lt, F.lower(p)).alias("at")))
+    return markup.bound(F.get(F.filter(placed, lambda x: F.size(x["at"]).between(1, RARE - 1)), F.lit(0)), lambda x: F.when(x.isNotNull(), _hit("split-match", x["p"], x["at"])))
+
+
+def found(anchor: Column | str, text: Column | str, before: Column | str | None = None, after: Column | str | None = None) -> Column:
+    """SCL-29: where an anchor is, struct<strategy, matched, positions>, by the first of six ways that hits.
+
+    direct: as it is, in any case of letters; normalized: with runs of white
+    space as one blank; stripped: in the text without markup; partial-...: a
+    run of its words; context-...: between, behind or before what surrounded
+    it (the gap from 30 % of the anchor's length to twice it and 50, at most
+    500; both sides with another gap mean that it was deleted); split-match: a
+    rare part of it.  An empty anchor goes by context alone, with a gap below
+    500.  Positions of `normalized` and `...stripped` are of those forms of
+    the text.  Later ways are only computed where earlier ones failed.
+    """
+    a, t = F.coalesce(col(anchor), F.lit("")), F.coalesce(col(text), F.lit(""))
+    b, f = (F.lower(F.coalesce(F.lit(None) if c is None else col(c), F.lit(""))) for c in (before, after))
+    n = F.length(a)
+
+    def within(lt: Column) -> Column:
+        la = F.lower(a)
+        nt, na = normalized(lt), normalized(la)
+
+        def bare(bt: Column) -> Column:
+            both = _bracketed(lt, b, f, F.least(F.lit(500), 2 * n + 50), F.floor(n * 0.3), _no_hit("failed"))
+            return F.coalesce(F.when(F.contains(bt, la), _hit("stripped", a, occurrences(bt, la))), _window(a, lt, bt), both, *_one_sided(lt, b, f), _parts(a, lt), _no_hit("failed"))
+
+        empty = F.coalesce(_bracketed(lt, b, f, F.lit(499), F.lit(0), None), *_one_sided(lt, b, f), _no_hit("empty-anchor"))
+        return (
+            F.when(strip(a) == "", empty)
+            .when(F.contains(lt, la), _hit("direct", a, occurrences(lt, la)))
+            .when(F.contains(nt, na), _hit("normalized", a, F.array(first_at(nt, na))))
+            .otherwise(markup.bound(F.lower(markup.stripped(t)), bare))
+        )
+
+    return markup.bound(F.lower(t), within)
+
+
 def strategy(anchor: Column | str, text: Column | str) -> Column:
-    """SCL-29, tiers 1 to 4: how an anchor is found in a text, struct<strategy, pos>; first that hits."""
-    a, t = col(anchor), col(text)
-    lower_a, lower_t = F.lower(a), F.lower(t)
-    bare = markup.stripped(t)
-    direct = F.when(F.contains(lower_t, lower_a), F.struct(F.lit("direct").alias("strategy"), first_at(lower_t, lower_a).alias("pos")))
-    na, nt = normalized(lower_a), normalized(lower_t)
-    spaced = F.when(F.contains(nt, na), F.struct(F.lit("normalized").alias("strategy"), first_at(nt, na).alias("pos")))
-    nb = normalized(F.lower(bare))
-    through = F.when(F.contains(nb, na), F.struct(F.lit("stripped").alias("strategy"), first_at(nb, na).alias("pos")))
-    words = F.filter(F.split(na, " "), lambda w: w != "")
-    tries = []
-    for n in WINDOWS:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        pieces = F.transform(starts, lambda k, n=n: F.array_join(F.slice(words, k, F.lit(n)), " "))
-        hit = F.get(F.filter(pieces, lambda p: (F.length(p) >= PARTIAL) & F.contains(nt, p)), F.lit(0))
-        tries.append(F.when(hit.isNotNull(), F.struct(F.lit("partial").alias("strategy"), first_at(nt, hit).alias("pos"))))
-    failed = F.struct(F.lit("failed").alias("strategy"), F.lit(-1).alias("pos"))
-    return F.when(F.coalesce(a, F.lit("")) == "", F.struct(F.lit("empty").alias("strategy"), F.lit(-1).alias("pos"))).otherwise(F.coalesce(direct, spaced, through, *tries, failed))
+    """How an anchor is found in a text without its context, struct<strategy, pos>; partial ones under one name."""
+    def short(x: Column) -> Column:
+        name = F.when(x["strategy"].startswith("partial"), "partial").when(x["strategy"] == "empty-anchor", "empty").otherwise(x["strategy"])
+        return F.struct(name.alias("strategy"), F.coalesce(F.get(x["positions"], F.lit(0)), F.lit(-1)).alias("pos"))
+
+    return markup.bound(found(anchor, text), short)
+
+
+def located(comments: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """SCL-29 over tables: comments (key, anchor, before, after and others) with strategy, matched, positions.
+
+    A text goes once to the list of its comments, not once to each of them.
+    """
+    rest = [c for c in comments.columns if c != key]
+    lists = comments.groupBy(key).agg(F.collect_list(F.struct(*rest)).alias("_comments"))
+    met = lists.join(texts.select(F.col(key).alias("_key"), F.col("text").alias("_text")), F.col(key).eqNullSafe(F.col("_key")))
+    each = F.transform("_comments", lambda c: F.struct(c.alias("c"), found(c["anchor"], F.col("_text"), c["before"], c["after"]).alias("f")))
+    return met.select(key, F.inline(each)).select(key, "c.*", "f.*")
 
 
 def quality(name: Column | str) -> Column:

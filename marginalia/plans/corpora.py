@@ -39,6 +39,13 @@ CORPORA = {
     "prose": """
         SELECT doc_id, concat('f', doc_id % 25, '.md') AS file, concat(coalesce(text, ''), chr(10), 'It is very clearly shown that we may really prove the end result.', chr(10), 'The report was finished to quickly test in terms of hedging; obviously.', chr(10), '```', chr(10), '--- x') AS text
         FROM {documents}""",
+    "anchored": """
+        SELECT doc_id, concat(coalesce(text, ''), chr(10), 'Lead words ', doc_id, ' before the gap. Here the {{++quite ++}}long marker phrase', doc_id, ' of some weight stands and words after it close paragraph ', doc_id, '.') AS text,
+               CASE doc_id % 9 WHEN 0 THEN replace(substring(text, 9, 30), 'e', 'E') WHEN 1 THEN replace(substring(text, 5, 40), ' ', '  ') WHEN 2 THEN concat('quite long marker phrase', doc_id) WHEN 3 THEN concat('xq zq marker phrase', doc_id, ' of some weight qx')
+                    WHEN 4 THEN 'here the quite long qx zx' WHEN 5 THEN 'vanished words of this size' WHEN 6 THEN 'vanished words of this size' WHEN 7 THEN concat('qxq, phrase', doc_id) ELSE CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'zzzz yyyy' END END AS anchor,
+               CASE doc_id % 9 WHEN 5 THEN 'Before the gap. ' WHEN 6 THEN concat('Lead words ', doc_id, ' ') ELSE '' END AS before,
+               CASE doc_id % 9 WHEN 5 THEN CASE WHEN doc_id % 2 = 0 THEN ' of some weight' ELSE 'Here' END WHEN 8 THEN CASE WHEN doc_id % 2 = 0 THEN 'close paragraph' ELSE '' END ELSE '' END AS after
+        FROM {documents}""",
     "changes": """
         SELECT CAST(floor(l_orderkey / 60) AS BIGINT) AS doc_id, concat('R', l_suppkey % 4) AS reviewer, CAST(l_suppkey % 4 AS INT) AS reviewer_ord, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq,
                CASE WHEN l_partkey % 5 = 0 THEN 'insert' WHEN l_partkey % 5 = 1 THEN 'delete' ELSE 'replace' END AS type,

@@ -1,6 +1,7 @@
 """Examples of what the operators must give."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,9 +237,50 @@ def test_placement():
     assert [r["strategy"] for r in report] == ["direct", "reply"]
 
 
-@pytest.mark.parametrize("anchor, text, name", [("long cold rain", "a long cold rain began", "direct"), ("long   cold\nrain", "a long cold rain began", "normalized"), ("then very long", "a {++then very ++}long cold rain began", "stripped"), ("methods we used random forest classification on the standardized data", "methods we used random forest classification with cross-validation", "partial"), ("absent words", "nothing here", "failed")])
-def test_anchors(spark, anchor, text, name):
-    assert one(spark, anchors.strategy("a", "t")["strategy"], a=anchor, t=text) == name
+SNOW = "The gauge by the {++lower ++}bridge froze twice last winter, so its readings were left out."
+BARE = SNOW.replace("{++", "").replace("++}", "")
+
+
+@pytest.mark.parametrize(
+    "anchor, before, after, name, positions",
+    [
+        ("BY THE", "", "", "direct", [SNOW.index("by the")]),
+        ("froze   twice\nlast", "", "", "normalized", [SNOW.index("froze")]),
+        ("the lower bridge", "", "", "stripped", [BARE.index("the lower")]),
+        ("froze twice last winter and thawed", "", "", "partial-start", [SNOW.index("froze")]),
+        ("it froze twice last winter", "", "", "partial-window", [SNOW.index("froze")]),
+        ("by the lower bridge and weir", "", "", "partial-start-stripped", [BARE.index("by the")]),
+        ("close by the lower bridge", "", "", "partial-window-stripped", [BARE.index("by the")]),
+        ("a thaw in spring", "last winter,", "were left out.", "context-both", [SNOW.index(" so its")]),
+        ("a thaw in the early spring of that year, which nobody in the valley saw", "froze twice ", "last winter", "failed", []),
+        ("a thaw", "last winter,", "", "context-before", [SNOW.index(" so its")]),
+        ("a thaw", "", "readings", "context-after", [SNOW.index("readings")]),
+        ("thaw, readings", "", "", "split-match", [SNOW.index("readings")]),
+        ("a thaw", "", "", "failed", []),
+        ("", "last winter,", "", "context-before", [SNOW.index(" so its")]),
+        ("  ", "", "", "empty-anchor", []),
+        (None, None, None, "empty-anchor", []),
+    ],
+)
+def test_anchors(spark, anchor, before, after, name, positions):
+    got = one(spark, anchors.found("a", "t", "b", "f"), a=anchor, t=SNOW, b=before, f=after)
+    assert (got["strategy"], got["positions"]) == (name, positions)
+
+
+def test_anchors_of_many_documents(spark):
+    """Comments of one text, of a text without comments, of a missing text; null keys meet; extra columns stay."""
+    texts = spark.createDataFrame([(1, SNOW), (2, "x"), (None, "lost rain"), (4, None)], "id long, text string")
+    rows = [(1, "froze", "", "", "a"), (1, "weir", "", "", "b"), (None, "rain", "", "", "c"), (4, "rain", None, None, "d"), (9, "rain", "", "", "e")]
+    got = anchors.located(spark.createDataFrame(rows, "id long, anchor string, before string, after string, author string"), texts, "id").collect()
+    assert sorted((r["author"], r["strategy"], r["positions"]) for r in got) == [("a", "direct", [SNOW.index("froze")]), ("b", "failed", []), ("c", "direct", [5]), ("d", "failed", [])]
+
+
+def test_offsets_of_many_matches(spark):
+    """Running lengths over more matches than a chunk of sums."""
+    text = "".join(f"{{++a{k}++}} é " for k in range(700))
+    got = one(spark, markup.matches("t", markup.INSERT, 1), t=text)
+    assert [(r["pos"], r["g1"]) for r in got] == [(m.start(), m[1]) for m in re.finditer(r"\{\+\+(.+?)\+\+\}", text)]
+    assert one(spark, anchors.occurrences("t", "n"), t=text, n="} ") == [m.start() for m in re.finditer("} ", text)]
 
 
 def test_occurrences(spark):
