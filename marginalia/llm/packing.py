@@ -35,7 +35,6 @@ from . import common, records
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length int, part int, nth long, ids binary"
-SEQUENCES = "sequence_id long, length int, ids binary, pieces array<struct<doc_id: long, piece: int, start: long, length: int, offset: int>>"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -205,6 +204,8 @@ def placed(cut: DataFrame, made: Plan) -> DataFrame:
     """Pieces with sequence_id and offset."""
     by_part = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(by_part), F.lit(0)).alias("first"))
+    # written, so that its size is known and decides how it is joined
+    starts = common.materialize(starts, "starts")
     ranked = cut.join(starts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids", (F.col("first") + F.col("nth")).alias("rank"))
     runs = made.lookup()
     schema = "doc_id long, piece int, start long, length int, ids binary, sequence_id long, offset int"
@@ -227,27 +228,22 @@ def placed(cut: DataFrame, made: Plan) -> DataFrame:
 
 
 def sequences(pieces_placed: DataFrame) -> DataFrame:
-    """SEQUENCES: the ids of each sequence (little-endian unsigned 32-bit, deflated) and the pieces in it, by offset.
+    """sequence_id, length, pieces: those of each sequence by offset, (offset, doc_id, piece, start, length, ids), ids deflated.
 
     A sequence has no more pieces than its capacity.
     """
     struct = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
-    grouped = pieces_placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(struct)).alias("in_order"))
-    schema = common.arrow_schema(SEQUENCES)
+    grouped = pieces_placed.groupBy("sequence_id").agg(F.sum("length").cast("int").alias("length"), F.sort_array(F.collect_list(struct)).alias("pieces"))
+    return grouped.select("sequence_id", "length", "pieces")
 
-    def join(batches):
-        for batch in batches:
-            out = []
-            for sequence, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.concatenate([records.unpack(p.pop("ids"))[1] for p in parts])
-                out.append({"sequence_id": sequence, "length": len(ids), "ids": zlib.compress(ids.tobytes(), 1), "pieces": parts})
-            yield pa.RecordBatch.from_pylist(out, schema)
 
-    return grouped.mapInArrow(join, SEQUENCES)
+def ids_of(parts: list) -> np.ndarray:
+    """The ids of a sequence, given its pieces."""
+    return np.concatenate([records.unpack(bytes(p["ids"]))[1] for p in parts])
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Whole documents as few packed sequences: SEQUENCES."""
+    """Whole documents as few packed sequences, a written table."""
     cut = pieces(docs, tokenizer_path, end_id, capacity)
     table = common.materialize(sequences(placed(cut, plan(cut, capacity))), "sequences")
     common.discard(cut)
@@ -257,16 +253,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, capacity:
 def contents(packed: DataFrame) -> DataFrame:
     """Every piece as it is read back from the packed sequences: RESULT."""
     schema = common.arrow_schema(RESULT)
+    flat = packed.select("sequence_id", F.inline("pieces")).select("doc_id", "piece", "start", "sequence_id", F.col("offset").cast("long").alias("offset"), "ids")
 
     def read(batches):
         for batch in batches:
-            out = []
-            for sequence, raw, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = zlib.decompress(raw)
-                for p in parts:
-                    own = ids[4 * p["offset"] : 4 * (p["offset"] + p["length"])]
-                    out.append((p["doc_id"], p["piece"], p["start"], len(own) // 4, zlib.crc32(own), sequence, p["offset"]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            own = [records.unpack(raw)[1] for raw in batch.column(5).to_pylist()]
+            length, crc = pa.array([len(i) for i in own], pa.int64()), pa.array([zlib.crc32(i) for i in own], pa.int64())
+            doc_id, piece, start, sequence, offset, _ = batch.columns
+            yield pa.RecordBatch.from_arrays([doc_id, piece, start, length, crc, sequence, offset], schema=schema)
 
-    return packed.select("sequence_id", "ids", "pieces").mapInArrow(read, RESULT)
+    return flat.mapInArrow(read, RESULT)

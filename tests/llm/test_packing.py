@@ -119,7 +119,7 @@ def test_sequences_hold_the_ids(spark, tokenizer):
     coder = records.Encoder(tokenizer, None)
     found = {}
     for s in packed:
-        ids = np.frombuffer(zlib.decompress(bytes(s["ids"])), "<u4")
+        ids = packing.ids_of(s["pieces"])
         assert len(ids) == s["length"] == sum(p["length"] for p in s["pieces"])
         for p in s["pieces"]:
             found[p["doc_id"], p["piece"]] = ids[p["offset"] : p["offset"] + p["length"]].tobytes()
