@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
-from array import array
+
+import numpy as np
+
+from .markdown import PREFIX
 
 TOKEN = re.compile(r"\s+|\w+|[^\w\s]")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$")
@@ -12,62 +15,131 @@ SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$")
 def edits(a: list, b: list) -> list[tuple[str, int, int, int, int]]:
     """(kind, a from, a to, b from, b to) with kinds equal, delete, insert: a shortest edit script.
 
-    Common ends are cut off first; the middle is done by the greedy method of
-    Myers (1986), with the furthest points of each step kept for the way back:
-    four bytes for each of the step + 1 diagonals that it moved on.
+    What the other side lacks can't be kept and is left out first.  The rest
+    is cut at the middle of a shortest way (Myers 1986, section 4b), and the
+    halves again, so that memory grows with the lengths alone.  Where both
+    happen at a place, the deletion comes first.
     """
-    start = 0
-    while start < len(a) and start < len(b) and a[start] == b[start]:
-        start += 1
-    tail = 0
-    while tail < len(a) - start and tail < len(b) - start and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    x_end, y_end = len(a) - tail, len(b) - tail
-    n, m = x_end - start, y_end - start
-    furthest, history = {1: 0}, []
-    found = None
-    for d in range(n + m + 1):
-        for k in range(-d, d + 1, 2):
-            x = furthest[k + 1] if k == -d or (k != d and furthest[k - 1] < furthest[k + 1]) else furthest[k - 1] + 1
-            y = x - k
-            while x < n and y < m and a[start + x] == b[start + y]:
-                x, y = x + 1, y + 1
-            furthest[k] = x
-            if x >= n and y >= m:
-                found = d
-                break
-        if found is not None:
-            break
-        history.append(array("i", [furthest[k] for k in range(-d, d + 1, 2)]))
-    steps, x, y = [], n, m
-    for d in range(found or 0, 0, -1):
-        # diagonal j of the step before stands at (j + d - 1) / 2
-        v, k = history[d - 1], x - y
-        before = k + 1 if k == -d or (k != d and v[(k + d) // 2 - 1] < v[(k + d) // 2]) else k - 1
-        px = v[(before + d - 1) // 2]
-        py = px - before
-        while x > px and y > py:
-            x, y = x - 1, y - 1
-            steps.append("=")
-        if x == px:
-            y -= 1
-            steps.append("+")
-        else:
-            x -= 1
-            steps.append("-")
-    steps += ["="] * min(x, y)
-    out: list[list] = []
+    kept_a, kept_b, x, y = _shared(a, b)
+    out: list[tuple[str, int, int, int, int]] = []
     i = j = 0
-    names = {"=": "equal", "-": "delete", "+": "insert"}
-    for s in ["="] * start + steps[::-1] + ["="] * tail:
-        di, dj = s != "+", s != "-"
-        if out and out[-1][0] == names[s]:
-            out[-1][2] += di
-            out[-1][4] += dj
-        else:
-            out.append([names[s], i, i + di, j, j + dj])
-        i, j = i + di, j + dj
-    return [tuple(o) for o in out]
+
+    def change(i2: int, j2: int) -> None:
+        if i2 > i:
+            out.append(("delete", i, i2, j, j))
+        if j2 > j:
+            out.append(("insert", i2, i2, j, j2))
+
+    for p, q, n in _kept(x, y):
+        for i2, j2 in zip(kept_a[p : p + n].tolist(), kept_b[q : q + n].tolist(), strict=True):
+            if (i2, j2) == (i, j) and out and out[-1][0] == "equal":
+                out[-1] = ("equal", out[-1][1], i2 + 1, out[-1][3], j2 + 1)
+            else:
+                change(i2, j2)
+                out.append(("equal", i2, i2 + 1, j2, j2 + 1))
+            i, j = i2 + 1, j2 + 1
+    change(len(a), len(b))
+    return out
+
+
+def _shared(a: list, b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the tokens that both sides have, and these tokens as numbers."""
+    names: dict = {}
+    x, y = (np.fromiter((names.setdefault(t, len(names)) for t in side), np.int64, len(side)) for side in (a, b))
+    there = np.zeros((2, len(names)), bool)
+    there[0, x], there[1, y] = True, True
+    both = there.all(axis=0)
+    at_a, at_b = np.flatnonzero(both[x]), np.flatnonzero(both[y])
+    return at_a, at_b, x[at_a], y[at_b]
+
+
+def _kept(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """(from in x, from in y, length) of what a shortest edit script keeps, in order."""
+    out, todo = [], [(0, len(x), 0, len(y))]
+    while todo:
+        i, i2, j, j2 = todo.pop()
+        if i2 < 0:  # a stretch that was found before
+            out.append((i, j, j2))
+            continue
+        head = _same(x[i:i2], y[j:j2])
+        if head:
+            out.append((i, j, head))
+        i, j = i + head, j + head
+        tail = _same(x[i:i2][::-1], y[j:j2][::-1])
+        if tail:
+            todo.append((i2 - tail, -1, j2 - tail, tail))
+        i2, j2 = i2 - tail, j2 - tail
+        if i < i2 and j < j2:
+            p, q, n = _middle(x[i:i2], y[j:j2])
+            todo.append((i + p + n, i2, j + q + n, j2))
+            if n:
+                todo.append((i + p, -1, j + q, n))
+            todo.append((i, i + p, j, j + q))
+    return out
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the common beginning."""
+    most, at, step = min(len(x), len(y)), 0, 16
+    while at < most:
+        end = min(most, at + step)
+        unlike = x[at:end] != y[at:end]
+        if unlike.any():
+            return at + int(unlike.argmax())
+        at, step = end, 2 * step
+    return most
+
+
+def _slide(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Move all points (u, v) along their diagonals as far as the tokens agree: most go a few steps, together."""
+    live = np.arange(len(u))
+    for _ in range(8 if len(u) > 8 else 0):
+        live = live[(u[live] < len(x)) & (v[live] < len(y))]
+        live = live[x[u[live]] == y[v[live]]]
+        if not len(live):
+            return
+        u[live] += 1
+        v[live] += 1
+    for k in live:
+        n = _same(x[u[k] :], y[v[k] :])
+        u[k] += n
+        v[k] += n
+
+
+def _middle(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
+    """(from in x, from in y, length) of the stretch in the middle of a shortest way through two unlike sides."""
+    n, m = len(x), len(y)
+    back_x, back_y = x[::-1], y[::-1]
+    most, off = (n + m + 1) // 2, (n + m + 1) // 2 + 1
+    ahead, behind = (np.full(2 * off + 2, -1, np.int64) for _ in range(2))
+    ahead[off + 1] = behind[off + 1] = 0
+    delta = n - m
+    for d in range(most + 1):
+        # diagonals that leave the box lead nowhere
+        k = np.arange(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2)
+        for own, other, p, q, forward in ((ahead, behind, x, y, True), (behind, ahead, back_x, back_y, False)):
+            right, down = own[off + k - 1] + 1, own[off + k + 1]
+            u = np.where((k == -d) | ((k != d) & (right <= down)), down, right)
+            u = np.minimum(u, n)
+            v = u - k
+            from_u = u.copy()
+            ok = (v >= 0) & (v <= m) & (u >= 0)
+            k_ok, u, v, from_u = k[ok], u[ok], v[ok], from_u[ok]
+            _slide(p, q, u, v)
+            own[off + k_ok] = u
+            if (delta % 2 != 0) == forward:
+                facing = delta - k_ok
+                reach = d - 1 if forward else d
+                near = np.abs(facing) <= reach
+                met = np.flatnonzero(near)[u[near] + other[off + facing[near]] >= n]
+                met = [t for t in met if other[off + facing[t]] >= 0]
+                if met:
+                    t = met[0]
+                    length = int(u[t] - from_u[t])
+                    if forward:
+                        return int(from_u[t]), int(from_u[t] - k_ok[t]), length
+                    return n - int(u[t]), m - int(v[t]), length
+    raise AssertionError("two ways always meet")
 
 
 def changes(old: str, new: str, by: str = "word") -> list[dict]:
@@ -107,43 +179,50 @@ def annotated(old: str, new: str) -> str:
     return "".join(out) + old[at:]
 
 
-#: What a diff must not cut: mathematics, citations, references, anchors, images.
-PROTECTED = re.compile(r"\$\$[\s\S]+?\$\$|\$[^$\n]+\$|\[@[^\]]+\]|@(?:fig|tbl|eq):[\w-]+|\{#[^}]+\}|!\[[^\]]*\]\([^)]*\)")
-#: Stand-ins for protected pieces: the supplementary private use areas, of 131,000 characters.
-FIRST = 0xF0000
+#: What a line may start with; runs of white space.
+MARK, SPACES = re.compile(PREFIX, re.ASCII), re.compile(r"\s+", re.ASCII)
 
 
-def protected_diff(old: str, new: str) -> str:
-    """DIF-02, SCL-22: paragraphs aligned, protected pieces as one token each, then annotated.
+def _first_line(paragraph: str) -> tuple[str, str]:
+    """The mark that a paragraph starts with, and the rest of its first line in lower case."""
+    line = paragraph.split("\n")[0]
+    m = MARK.match(line)
+    mark = m[0] if m else ""
+    return mark, line[len(mark) :].lower()
 
-    A paragraph of the old text goes with the best of the next three of the
-    new one that shares more than 0.3 of its words; others come or go whole.
-    """
-    pieces: dict[str, str] = {}
-
-    def hide(text: str) -> str:
-        return PROTECTED.sub(lambda m: pieces.setdefault(m[0], chr(FIRST + len(pieces))), text)
-
-    a, b = ([p for p in re.split(r"\n{2,}", hide(t)) if p.strip()] for t in (old, new))
-    out, j = [], 0
-    for p in a:
-        words = set(p.lower().split())
-        best, at = 0.3, None
-        for k in range(j, min(j + 3, len(b))):
-            other = set(b[k].lower().split())
-            share = len(words & other) / max(1, max(len(words), len(other)))
+
+def alignment(left: list[str], right: list[str], ahead: int = 3, least: float = 0.3) -> list[tuple[int, int | None, float | None]]:
+    """JOIN-15: (left, right, overlap) for each left paragraph, with a cursor over the right ones."""
+    out, at = [], 0
+    words = [SPACES.split(p.lower()) for p in right]
+    for i, p in enumerate(left):
+        mark, line = _first_line(p)
+        own = set(SPACES.split(line))
+        best, partner = least, None
+        for j in range(at, min(at + ahead, len(right))):
+            share = sum(w in own for w in words[j]) / max(len(own), len(words[j]))
             if share > best:
-                best, at = share, k
-        if at is None:
-            out.append("{--" + p + "--}")
+                best, partner = share, j
+        if partner is None and mark and at < len(right) and line[:20] in right[at].lower():
+            best, partner = 0.0, at
+        out.append((i, partner, None if partner is None else best))
+        if partner is not None:
+            at = partner + 1
+    return out
+
+
+def paragraphs_annotated(left: list[str], right: list[str], old: list[dict], new: list[str]) -> str:
+    """DIF-02 of aligned paragraphs; old (prefix, text) and new are the forms in which pairs are compared."""
+    out, at = [], 0
+    for i, j, _ in alignment(left, right):
+        if j is None:
+            out.append(left[i] if re.match(r"#{1,6}\s", left[i]) else "{--" + left[i] + "--}")
             continue
-        out += ["{++" + q + "++}" for q in b[j:at]]
-        out.append(annotated(p, b[at]))
-        j = at + 1
-    out += ["{++" + q + "++}" for q in b[j:]]
-    text = "\n\n".join(out)
-    back = {ord(mark): piece for piece, mark in pieces.items()}
-    return text.translate(back)
+        out += ["{++" + p + "++}" for p in right[at:j]]
+        before, text = old[i]["prefix"], old[i]["text"]
+        out.append(left[i] if text == new[j] else before + annotated(text, new[j]))
+        at = j + 1
+    return "\n\n".join([*out, *("{++" + p + "++}" for p in right[at:])])
 
 
 def single_spaced(text: str) -> str:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import diff
 from ..functions.text import chain
@@ -34,9 +37,9 @@ def _over(df: DataFrame, function, *columns: str):
     return apply(*columns)
 
 
-def annotated(versions: DataFrame, *keep: str, old: str = "old", new: str = "new", smart: bool = False) -> DataFrame:
-    """DIF-01 and, with `smart`, DIF-02."""
-    return versions.select(*keep, _over(versions, diff.protected_diff if smart else diff.annotated, old, new).alias("text"))
+def annotated(versions: DataFrame, *keep: str, old: str = "old", new: str = "new") -> DataFrame:
+    """DIF-01."""
+    return versions.select(*keep, _over(versions, diff.annotated, old, new).alias("text"))
 
 
 def single_spaced(docs: DataFrame, *keep: str) -> DataFrame:
@@ -62,20 +65,25 @@ PLACED = "text string, report array<struct<id:string,strategy:string,pos:int>>"
 def placed(texts: DataFrame, comments: DataFrame, key: str) -> DataFrame:
     """DIF-11: texts with their comments set in; a document's comments are what a task holds of it.
 
-    comments: key, ord, id, author, text, anchor, before, after, position, parent.
+    comments: key, ord, id, author, text, anchor, before, after, position,
+    parent.  Null keys meet null keys.  Keys stay in Arrow, so that large ones
+    come through whole beside nulls.
     """
     names = ("ord", "id", "author", "text", "anchor", "before", "after", "position", "parent")
-    own = comments.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("c"))
-    rows = texts.select(key, "text").join(own, key, "left")
+    own = comments.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_c"))
+    rows = texts.select(key, "text").join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "text", "_c")
+    made = T.StructType.fromDDL(PLACED)
+    schema = T.StructType([rows.schema[0], *made.fields])
+    arrow = to_arrow_schema(schema)
 
-    def put(frames):
+    def put(batches):
         from marginalia.functions.diff import placed
 
-        for pdf in frames:
-            got = [placed(t or "", [dict(x) if isinstance(x, dict) else x.asDict() for x in (c if c is not None else [])]) for t, c in zip(pdf["text"], pdf["c"], strict=True)]
-            yield pd.DataFrame({key: pdf[key], "text": pd.Series([g[0] for g in got], dtype=object), "report": pd.Series([g[1] for g in got], dtype=object)})
+        for batch in batches:
+            got = [placed(t or "", c or []) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], arrow.field(1).type), pa.array([g[1] for g in got], arrow.field(2).type)], schema=arrow)
 
-    return rows.mapInPandas(put, f"{key} {rows.schema[key].dataType.simpleString()}, {PLACED}")
+    return rows.mapInArrow(put, schema)
 
 
 def realigned(texts: DataFrame, comments: DataFrame, key: str, authors: list[str] | None = None) -> DataFrame:

@@ -46,6 +46,18 @@ CORPORA = {
                CASE doc_id % 9 WHEN 5 THEN 'Before the gap. ' WHEN 6 THEN concat('Lead words ', doc_id, ' ') ELSE '' END AS before,
                CASE doc_id % 9 WHEN 5 THEN CASE WHEN doc_id % 2 = 0 THEN ' of some weight' ELSE 'Here' END WHEN 8 THEN CASE WHEN doc_id % 2 = 0 THEN 'close paragraph' ELSE '' END ELSE '' END AS after
         FROM {documents}""",
+    "rewritten": """
+        SELECT doc_id, concat('# Opening of ', doc_id, chr(10), chr(10), old, chr(10), chr(10), '- a point of ', lang) AS old,
+               concat('Fresh words come first.', chr(10), chr(10), '# Opening of ', doc_id, chr(10), chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('Another paragraph stands in between here.', chr(10), chr(10)) ELSE '' END,
+                      CASE WHEN doc_id % 4 = 0 THEN substring(old, 1 + length(old) % 200) ELSE replace(old, ' the ', ' that ') END, chr(10), chr(10), 'a point of order') AS new
+        FROM (SELECT doc_id, lang, replace(coalesce(text, ''), chr(10), concat(chr(10), chr(10))) AS old FROM {documents})""",
+    "flattened": """
+        SELECT doc_id, text, concat(coalesce(text, ''), chr(10), chr(10), 'Site ', doc_id, chr(10), 'Rain Hill ', doc_id, ' some', chr(10), 'total ', doc_id, ' left', chr(10), chr(10), 'Words between.', chr(10), chr(10),
+               CASE WHEN doc_id % 3 = 0 THEN 'Nothing here' ELSE concat('Year ', doc_id, ' and sum ', doc_id) END) AS flat
+        FROM {documents}""",
+    "reworded": """
+        SELECT doc_id, text, concat(' {{~~[@A2020]~>(Author 2020)~~}} {{--$x$--}} so {{++(Author et al. 2021; Other 2022)++}}. {{~~[@B2001] old~>new~~}}{{++2020a).++}} end ', doc_id, '{{++ ++}} .') AS marked
+        FROM {documents}""",
     "changes": """
         SELECT CAST(floor(l_orderkey / 60) AS BIGINT) AS doc_id, concat('R', l_suppkey % 4) AS reviewer, CAST(l_suppkey % 4 AS INT) AS reviewer_ord, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq,
                CASE WHEN l_partkey % 5 = 0 THEN 'insert' WHEN l_partkey % 5 = 1 THEN 'delete' ELSE 'replace' END AS type,

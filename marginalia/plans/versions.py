@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sql
-from ..operators import diffs
+from ..functions import markup, protect
+from ..operators import diffs, paragraphs
 from . import corpora
-from .base import Family
+from .base import Family, with_corpus
 
 family = Family()
 QUERIES, SQL = family.queries, family.sql
@@ -27,8 +28,6 @@ def word_diff(c):
 @family.over("documents", r"SELECT doc_id, concat(text, ' More.') AS accepted, text AS rejected FROM c")
 def word_diff_round_trip(c):
     """An annotated diff gives the new text when all is accepted and the old one when all is rejected."""
-    from ..functions import markup
-
     v = c.select("doc_id", F.col("text").alias("old"), F.concat("text", F.lit(" More.")).alias("new"))
     d = diffs.annotated(v, "doc_id")
     return d.select("doc_id", markup.all_accepted("text").alias("accepted"), markup.all_rejected("text").alias("rejected"))
@@ -36,7 +35,67 @@ def word_diff_round_trip(c):
 
 @family.over("documents")
 def smart_diff(c):
-    return diffs.annotated(_versions(c), "doc_id", smart=True)
+    return paragraphs.smart(_versions(c), "doc_id")
+
+
+def _tidy(text: str) -> str:
+    """DuckDB: without empty paragraphs."""
+    return f"array_to_string(list_filter(string_split_regex({text}, '\\n\\n+'), lambda p: regexp_matches(p, '\\S')), chr(10) || chr(10))"
+
+
+@family.over("rewritten", f"SELECT doc_id, {_tidy('new')} AS accepted, {_tidy('old')} AS rejected FROM c")
+def smart_diff_round_trip(c):
+    """DIF-02: what is accepted gives the new paragraphs, what is rejected the old ones."""
+    made = paragraphs.smart(c, "doc_id")
+
+    def tidy(text):
+        return F.array_join(paragraphs.paragraphs(text), "\n\n")
+
+    return made.select("doc_id", tidy(markup.all_accepted("text")).alias("accepted"), tidy(markup.all_rejected("text")).alias("rejected"))
+
+
+_TABLE_1 = "concat('| Site ', doc_id, ' | Rain |', chr(10), '|---|---|', chr(10), '| Hill ', doc_id, ' | total ', doc_id, ' |')"
+_TABLE_2 = "concat('| Year ', doc_id, ' |', chr(10), '| sum ', doc_id, ' |')"
+
+
+@family.over("flattened", f"""SELECT doc_id, concat(coalesce(text, ''), chr(10), chr(10), {_TABLE_1}, chr(10), chr(10), chr(10), chr(10), 'Words between.', chr(10), chr(10),
+    CASE WHEN doc_id % 3 = 0 THEN 'Nothing here' ELSE concat({_TABLE_2}, chr(10), chr(10)) END) AS text FROM c""")
+def word_tables_set_in(c):
+    """DIF-03: a table in the middle, and one at the end that a third of the texts lack."""
+    first = F.concat(F.lit("| Site "), "doc_id", F.lit(" | Rain |\n|---|---|\n| Hill "), "doc_id", F.lit(" | total "), "doc_id", F.lit(" |"))
+    second = F.concat(F.lit("| Year "), "doc_id", F.lit(" |\n| sum "), "doc_id", F.lit(" |"))
+    tables = c.select("doc_id", F.posexplode(F.array(first, second)).alias("ord", "markdown"))
+    return paragraphs.tables_set_in(c.select("doc_id", "flat").withColumnRenamed("flat", "text"), tables, "doc_id")
+
+
+#: DuckDB: the same, told from the other side: which marks were put into the texts, and what they leave.
+@family.over("reworded", "SELECT doc_id, concat(coalesce(text, ''), ' [@A2020] $x$ so. [@B2001] {~~old~>new~~} end ', doc_id, '.') AS text FROM c")
+def citations_restored(c):
+    """SCL-21."""
+    return c.select("doc_id", F.concat(F.coalesce("text", F.lit("")), protect.citations_kept("marked")).alias("text"))
+
+
+#: DuckDB: a cursor over the right paragraphs; each left one takes the best of the next three, or with a mark the next one that holds its beginning.
+_ALIGN = r"""+ q AS (SELECT doc_id, list_filter(string_split_regex(old, '\n\n+'), lambda p: regexp_matches(p, '\S')) AS a, list_filter(string_split_regex(new, '\n\n+'), lambda p: regexp_matches(p, '\S')) AS b FROM c),
+    r AS (SELECT doc_id, a, b, list_transform(a, lambda p: regexp_extract(string_split(p, chr(10))[1], '^(#{1,6}\s+|\s*[-*+]\s+|\s*\d+\.\s+|>\s*)')) AS m FROM q),
+    p AS (SELECT doc_id, len(a) AS n, b, m, list_transform(a, lambda p, k: lower(substr(string_split(p, chr(10))[1], length(m[k]) + 1))) AS l,
+            list_transform(b, lambda p: string_split_regex(lower(p), '\s+')) AS w FROM r),
+    walk AS (SELECT doc_id, 0 AS i, 0::BIGINT AS place, NULL::STRUCT(o DOUBLE, j BIGINT) AS x FROM p
+        UNION ALL SELECT doc_id, i, CASE WHEN x.j IS NULL THEN place ELSE 1 - x.j END, x FROM (
+            SELECT v.doc_id, v.i + 1 AS i, v.place, coalesce(
+                list_sort(list_filter(list_transform(range(v.place, least(v.place + 3, len(p.b))), lambda j: {'o': len(list_filter(p.w[j + 1], lambda t: list_contains(string_split_regex(p.l[v.i + 1], '\s+'), t)))::DOUBLE / greatest(len(list_distinct(string_split_regex(p.l[v.i + 1], '\s+'))), len(p.w[j + 1])), 'j': -j}), lambda y: y.o > 0.3), 'DESC')[1],
+                CASE WHEN p.m[v.i + 1] <> '' AND v.place < len(p.b) AND contains(lower(p.b[v.place + 1]), left(p.l[v.i + 1], 20)) THEN {'o': 0.0::DOUBLE, 'j': -v.place} END) AS x
+            FROM walk v JOIN p ON p.doc_id = v.doc_id WHERE v.i < p.n))
+    SELECT doc_id, (i - 1)::INT AS "left", (-x.j)::INT AS "right", x.o AS overlap FROM walk WHERE i > 0"""
+
+
+@family.over("rewritten")
+def paragraph_alignment(c):
+    """JOIN-15."""
+    return paragraphs.aligned(c, "doc_id").select("doc_id", "left", "right", "overlap")
+
+
+SQL["paragraph_alignment"] = with_corpus("rewritten", _ALIGN).replace("WITH c", "WITH RECURSIVE c", 1)
 
 
 @family.over("documents")

@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import diff, markup
+from marginalia.functions import diff, markup, protect
 from marginalia.functions import text as X
-from marginalia.operators import anchors, annotations, citations, crossref, equations, journals, lines, merging, sections, style, threads
+from marginalia.operators import anchors, annotations, citations, crossref, diffs, equations, journals, lines, merging, paragraphs, sections, style, threads
 
 
 def one(spark, column, **values):
@@ -203,7 +203,6 @@ def test_diff():
     assert diff.changes("Rain fell", "Rain poured") == [{"type": "replace", "start": 5, "end": 9, "old_text": "fell", "new_text": "poured"}]
     assert diff.changes("Some heavy rain fell", "Some light rain fell")[0]["start"] == 5
     assert diff.changes("", "") == [] and diff.changes("a", "a") == []
-    assert diff.protected_diff("Take $r-s$ of it.", "Take $r-t$ of it.") == "Take {~~$r-s$~>$r-t$~~} of it."
 
 
 def test_shortest_scripts():
@@ -221,9 +220,80 @@ def test_shortest_scripts():
         assert [t for kind, _, _, j, j2 in script if kind != "delete" for t in b[j:j2]] == b
 
 
-def test_many_protected_pieces():
-    old, new = (" ".join(f"${x}{k}$ is" for k in range(7000)) + end for x, end in (("a", " so."), ("a", " not.")))
-    assert diff.protected_diff(old, new) == old[:-4] + " {~~so~>not~~}."
+def smart(spark, old, new, **kw):
+    return paragraphs.smart(spark.createDataFrame([(1, old, new)], "id int, old string, new string"), "id", **kw).first()["text"]
+
+
+@pytest.mark.parametrize(
+    "old, new, text",
+    [
+        ("Take $r-s$ of it.", "Take $r-t$ of it.", "Take {~~$r-s$~>$r-t$~~} of it."),
+        ("Rain fell.\n\nSnow lay on the pass.", "Rain fell.\n\nSnow lay on a pass.", "Rain fell.\n\nSnow lay on {~~the~>a~~} pass."),
+        ("# Snow\n\ngone", "other words", "# Snow\n\n{--gone--}\n\n{++other words++}"),
+        ("see \U000f0000 here [@Lund1987] and qqqq1x", "see \U000f0000 here [@Lund1987] or qqqq1x", "see \U000f0000 here [@Lund1987] {~~and~>or~~} qqqq1x"),
+        ("a[@A1]b [@A1]", "a[@A1]b", "a[@A1]b{-- [@A1]--}"),
+        (None, "came", "{++came++}"),
+        ("went", None, "{--went--}"),
+        (None, None, ""),
+    ],
+)
+def test_smart_diff(spark, old, new, text):
+    assert smart(spark, old, new) == text
+
+
+def test_smart_diff_of_what_a_word_processor_shows(spark):
+    old = "## Rain\n\nIt **rained** $x_1$ mm [@Lund1987] in May.\n\n- one more point"
+    got = smart(spark, old, "Rain\n\nIt rained x_1 mm (Lund 1987) in June.\n\none more point", shown=True)
+    assert got == "## Rain\n\nIt rained $x_1$ mm [@Lund1987] in {~~May~>June~~}.\n\n- one more point"
+
+
+def test_many_protected_pieces(spark):
+    old, new = (" ".join(f"${x}{k}$ is" for k in range(3000)) + end for x, end in (("a", " so."), ("a", " not.")))
+    assert smart(spark, old, new) == old[:-4] + " {~~so~>not~~}."
+
+
+def test_alignment():
+    left = ["first line of words", "- a mark of its own", "nothing like it", "last words here", ""]
+    right = ["put in before all", "first line of other words", "a mark of its", "last words there", "last words here"]
+    assert [x[:2] for x in diff.alignment(left, right)] == [(0, 1), (1, 2), (2, None), (3, 4), (4, None)]
+    assert diff.alignment(left, right)[0][2] == 4 / 5
+    assert diff.alignment(["- begins like the next"], ["x begins like the next one of many others that go on and on and on"])[0] == (0, 0, 0.0)
+    assert diff.alignment([], ["x"]) == [] and diff.alignment(["x"], []) == [(0, None, None)]
+
+
+def test_word_tables(spark):
+    text = "Before.\n\nSite Rain\nHill 12\n\nBehind."
+    table = "| Site | Rain |\n|---|---|\n| Hill | 12 |"
+    texts = spark.createDataFrame([(1, text), (2, "no such cells"), (None, "Site 12"), (4, None), (2**53 + 1, "Site 12 end")], "k long, text string")
+    tables = spark.createDataFrame([(1, 0, table), (2, 0, table), (None, 0, table), (4, 0, table), (2**53 + 1, 0, None), (2**53 + 1, 1, "no cells"), (2**53 + 1, 2, "||")], "k long, ord int, markdown string")
+    got = {r["k"]: r["text"] for r in paragraphs.tables_set_in(texts, tables, "k").collect()}
+    assert got == {1: f"Before.\n\n{table}\n\n\n\nBehind.", 2: "no such cells", None: f"{table}\n\n", 4: None, 2**53 + 1: "Site 12 end"}
+
+
+@pytest.mark.parametrize(
+    "text, kept",
+    [
+        ("a {--$x$--} b", "a $x$ b"),
+        ("a {~~[@A2020]~>(Author 2020)~~} b", "a [@A2020] b"),
+        ("a {~~[@A2020] old~>new~~} b", "a [@A2020] b"),
+        ("a{++(Author et al. 2021; Other 2022)++}.", "a."),
+        ("a{++ ++} .", "a."),
+        ("a {++real words++} b", "a {++real words++} b"),
+        ("x {~~[@~>(~~}Smith2020] y", "x [@Smith2020] y"),
+    ],
+)
+def test_citations_kept(spark, text, kept):
+    assert one(spark, protect.citations_kept("t"), t=text) == kept
+
+
+def test_placement_keeps_keys(spark):
+    """Large keys beside nulls; the comments of a null key meet its text."""
+    keys = [2**53 + 1, None, 2**53 + 3, 7]
+    texts = spark.createDataFrame([(k, "rain fell here") for k in keys], "k long, text string").coalesce(1)
+    names = "k long, ord int, id string, author string, text string, anchor string, before string, after string, position double, parent string"
+    rows = spark.createDataFrame([(k, 1, "1", "A", f"of {k}", "rain", "", "", 0.0, None) for k in keys[:3]], names)
+    got = {r["k"]: r["text"] for r in diffs.placed(texts, rows, "k").collect()}
+    assert got == {k: f"rain{{>>A: of {k}<<}} fell here" for k in keys[:3]} | {7: "rain fell here"}
 
 
 def test_single_space():
