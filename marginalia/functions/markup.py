@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import chain, col, running, strip
+from .text import bound, chain, col, running, strip
 
 #: The annotation grammar.
 INSERT = r"(?s)\{\+\+(.+?)\+\+\}"
@@ -79,11 +79,6 @@ def stripped(c: Column | str, keep_comments: bool = False, passes: int = PASSES)
     return bound(F.regexp_extract(text, UNMARKED, 0), lambda head: F.when(F.length(head) == F.length(text), text).otherwise(F.concat(head, bound(F.substr(text, F.length(head) + 1), rest))))
 
 
-def bound(value: Column, function) -> Column:
-    """function of a value that is computed once, however often the function names it."""
-    return F.get(F.transform(F.array(value), function), F.lit(0))
-
-
 def _without_lone_end(opener: str, closer: str):
     def kept(piece: Column) -> Column:
         before = F.left(piece, F.length(piece) - len(closer))

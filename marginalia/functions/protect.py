@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import markdown
-from .markup import bound
-from .text import chain, col
+from .text import bound, chain, col
 
 #: Tables, images with their anchors, anchors, references, mathematics, citations.
 TABLE = r"(?:^|\n)\|[^\n]*\|[ \t]*(?:\n\|[^\n]*\|[ \t]*)+"
@@ -33,7 +32,7 @@ def fence(*texts: Column | str) -> Column:
 
 def _interleaved(between: Column, inserted: Column) -> Column:
     """between[0] inserted[0] between[1] ...: one more of the former than of the latter."""
-    return F.array_join(F.transform(between, lambda b, k: F.concat(b, F.coalesce(F.get(inserted, k), F.lit("")))), "")
+    return F.array_join(F.zip_with(between, inserted, lambda b, x: F.concat(b, F.coalesce(x, F.lit("")))), "")
 
 
 def hidden(text: Column | str, known: Column, mark: Column, pattern: str = PROTECTED) -> Column:
@@ -67,7 +66,8 @@ def citations_recognized(text: Column | str, known: Column, mark: Column) -> Col
     own = F.filter(F.transform(known, lambda p, k: F.struct((k + 1).alias("n"), p.alias("piece"))), lambda p: p["piece"].startswith("[@"))
 
     def put(found: Column) -> Column:
-        names = F.transform(found, lambda p, k: F.when(k < F.size(own), F.concat(mark, F.get(own, k)["n"].cast("string"), F.lit("x"))).otherwise(p))
+        # one stand-in to each shown citation, as long as there are some
+        names = F.zip_with(found, F.slice(own, F.lit(1), F.size(found)), lambda p, o: F.coalesce(F.concat(mark, o["n"].cast("string"), F.lit("x")), p))
         return F.when(F.size(found) == 0, col(text)).otherwise(_interleaved(F.split(col(text), SHOWN_CITATION, -1), names))
 
     return bound(F.regexp_extract_all(col(text), F.lit(SHOWN_CITATION), F.lit(0)), put)

@@ -25,6 +25,11 @@ def chain(c: Column | str, *steps: tuple[str, str]) -> Column:
     return c
 
 
+def bound(value: Column, function) -> Column:
+    """function of a value that is computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def running(lengths: Column, chunk: int = 128) -> Column:
     """Sums of the lengths before each one.  Chunks are summed first, so that the work stays near to linear."""
 
@@ -32,10 +37,17 @@ def running(lengths: Column, chunk: int = 128) -> Column:
         begin = F.struct(base.alias("at"), F.array().cast("array<int>").alias("all"))
         return F.aggregate(own, begin, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["all"], s["at"]).alias("all")), lambda s: s["all"])
 
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(chunk)), lambda k: F.slice(lengths, k, F.lit(chunk)))
-    totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, n: s + n))
-    based = F.transform(parts, lambda p, k: sums(p, F.aggregate(F.slice(totals, F.lit(1), k), F.lit(0), lambda s, n: s + n)))
-    return F.flatten(based)
+    def chunks(all_of: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(all_of), F.lit(1)), F.lit(chunk)), lambda k: F.slice(all_of, k, F.lit(chunk)))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0), lambda s, n: s + n)
+
+    def based(parts: Column) -> Column:
+        totals = F.transform(parts, total)
+        return bound(totals, lambda t: F.flatten(F.transform(parts, lambda p, k: sums(p, total(F.slice(t, F.lit(1), k))))))
+
+    return bound(lengths, lambda all_of: bound(chunks(all_of), based))
 
 
 def strip(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markup
-from ..functions.text import chain, col, running, strip
+from ..functions.text import bound, chain, col, running, strip
 
 #: Least length of a partial anchor, and its words from most to least.
 PARTIAL, WINDOWS = 15, (6, 5, 4, 3)
@@ -74,7 +74,7 @@ def _bracketed(lt: Column, before: Column, after: Column, most: Column, least: C
         fits = F.when((between >= least) & (between <= most), _hit("context-both", F.lit(None), F.array(s)))
         return fits if failed is None else F.when(between >= 0, F.coalesce(fits, failed))
 
-    return F.when((before != "") & (after != "") & start.isNotNull(), markup.bound(start, gap))
+    return F.when((before != "") & (after != "") & start.isNotNull(), bound(start, gap))
 
 
 def _one_sided(lt: Column, before: Column, after: Column) -> list[Column]:
@@ -103,7 +103,7 @@ def _window(a: Column, lt: Column, bt: Column) -> Column:
         plain = F.contains(lt, w)
         return F.when(r.isNotNull(), _hit(F.concat(name, F.when(plain, "").otherwise("-stripped")), r["w"], occurrences(F.when(plain, lt).otherwise(bt), w)))
 
-    return markup.bound(F.get(fit, F.lit(0)), hit)
+    return bound(F.get(fit, F.lit(0)), hit)
 
 
 def _parts(a: Column, lt: Column) -> Column:
@@ -111,7 +111,7 @@ def _parts(a: Column, lt: Column) -> Column:
     cut = [F.when(F.contains(a, F.lit(sep)), F.split(a, rf"\Q{sep}\E", -1)).otherwise(F.array().cast("array<string>")) for sep in SEPARATORS]
     long = F.array_distinct(F.filter(F.flatten(F.array(*cut)), lambda p: F.length(p) >= 4))
     placed = F.transform(long, lambda p: F.struct(p.alias("p"), occurrences(lt, F.lower(p)).alias("at")))
-    return markup.bound(F.get(F.filter(placed, lambda x: F.size(x["at"]).between(1, RARE - 1)), F.lit(0)), lambda x: F.when(x.isNotNull(), _hit("split-match", x["p"], x["at"])))
+    return bound(F.get(F.filter(placed, lambda x: F.size(x["at"]).between(1, RARE - 1)), F.lit(0)), lambda x: F.when(x.isNotNull(), _hit("split-match", x["p"], x["at"])))
 
 
 def found(anchor: Column | str, text: Column | str, before: Column | str | None = None, after: Column | str | None = None) -> Column:
@@ -143,10 +143,10 @@ def found(anchor: Column | str, text: Column | str, before: Column | str | None
             F.when(strip(a) == "", empty)
             .when(F.contains(lt, la), _hit("direct", a, occurrences(lt, la)))
             .when(F.contains(nt, na), _hit("normalized", a, F.array(first_at(nt, na))))
-            .otherwise(markup.bound(F.lower(markup.stripped(t)), bare))
+            .otherwise(bound(F.lower(markup.stripped(t)), bare))
         )
 
-    return markup.bound(F.lower(t), within)
+    return bound(F.lower(t), within)
 
 
 def strategy(anchor: Column | str, text: Column | str) -> Column:
@@ -155,7 +155,7 @@ def strategy(anchor: Column | str, text: Column | str) -> Column:
         name = F.when(x["strategy"].startswith("partial"), "partial").when(x["strategy"] == "empty-anchor", "empty").otherwise(x["strategy"])
         return F.struct(name.alias("strategy"), F.coalesce(F.get(x["positions"], F.lit(0)), F.lit(-1)).alias("pos"))
 
-    return markup.bound(found(anchor, text), short)
+    return bound(found(anchor, text), short)
 
 
 def located(comments: DataFrame, texts: DataFrame, key: str) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown, protect
-from ..functions.markup import bound
-from ..functions.text import col, normalize_whitespace
+from ..functions.text import bound, col, normalize_whitespace
 
 ALIGNED = "array<struct<left: int, right: int, overlap: double>>"
 
@@ -82,7 +81,7 @@ def smart(versions: DataFrame, *keep: str, old: str = "old", new: str = "new", s
 
 
 def _cells(row: Column) -> Column:
-    return F.filter(F.transform(F.split(row, r"\|"), F.trim), lambda c: c != "")
+    return F.filter(F.transform(F.split(row, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
 
 
 def _with_table(text: Column, table: Column) -> Column:

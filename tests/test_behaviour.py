@@ -275,7 +275,7 @@ def test_word_tables(spark):
     [
         ("a {--$x$--} b", "a $x$ b"),
         ("a {~~[@A2020]~>(Author 2020)~~} b", "a [@A2020] b"),
-        ("a {~~[@A2020] old~>new~~} b", "a [@A2020] b"),
+        ("a {~~[@A2020] old~>new~~} b", "a [@A2020] {~~old~>new~~} b"),
         ("a{++(Author et al. 2021; Other 2022)++}.", "a."),
         ("a{++ ++} .", "a."),
         ("a {++real words++} b", "a {++real words++} b"),
