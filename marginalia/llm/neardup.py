@@ -94,8 +94,8 @@ def label(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, c (class, null without words), label."""
+def signatures(docs: DataFrame, n: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, other columns to be kept, c (class, null without words), label."""
 
     def sign(texts):
         from marginalia.llm.neardup import label, set_name, shingler
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
         sets = [shingler(n)(text) for text in texts]
         return [set_name(s) if len(s) else None for s in sets], [label(s) if len(s) else None for s in sets]
 
-    return common.map_text(docs, ["doc_id"], sign, "c string, label binary")
+    return common.map_text(docs, ["doc_id", *also], sign, "c string, label binary")
 
 
 def similarities(sets: list[np.ndarray]) -> np.ndarray:
@@ -261,10 +261,13 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return made.dropDuplicates(["c"])
 
 
-def groups(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(doc_id, c) of all rows; c, class_id, copies, links, text_links of all classes; and of each depth the links so far and their estimated share of all."""
+def groups(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """(doc_id, also..., c) of all rows; c, root, class_id, copies, links, text_links of all classes; and of each depth the links so far and their estimated share of all.
+
+    root names the group; class_id, its least doc_id, need not where unlike texts have one id.
+    """
     lowest = floor_depth(threshold, recall)
-    signed = common.materialize(signatures(docs, n), "signatures")
+    signed = common.materialize(signatures(docs, n, also), "signatures")
     live = signed.filter("c IS NOT NULL AND doc_id IS NOT NULL")
     classes = live.groupBy("c").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.min("label").alias("label"))
     classes = common.materialize(classes, "classes")
@@ -307,10 +310,10 @@ def groups(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     rooted = classes.select("c", "first", "copies").join(roots.select(F.col("id").alias("c"), "root").hint("merge"), "c", "left").join(counts.hint("merge"), "c", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "c"))
     least = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
-    out = rooted.join(least.hint("merge"), "root").select("c", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
+    out = rooted.join(least.hint("merge"), "root").select("c", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
     out = common.materialize(out, "groups")
     common.discard(sets, classes, *links, roots)
-    return signed.select("doc_id", "c"), out, levels
+    return signed.select("doc_id", *also, "c"), out, levels
 
 
 def link(docs: DataFrame, **options) -> DataFrame:
@@ -335,13 +338,34 @@ def link(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def row_key() -> Column:
+    """Rows with the same id and text are the same document."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64(F.lit(1), "text"), F.xxhash64(F.lit(2), "text"))
+
+
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: that with the least doc_id."""
-    linked = common.materialize(link(docs, **options), "linked")
-    drop = linked.filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    # rows that repeat the document that stays
-    twice = linked.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not twice:
+    """One row of each group: that with the least doc_id, and of several texts with this id one that the group holds.
+
+    Rows are told apart by id and text, so that an unlike text under the id of
+    a duplicate stays.  Of rows with the same id and text one stays.  Rows
+    without an id or without words stay.
+    """
+    (key,) = common.free_names(docs, "row_key")
+    keyed = docs.withColumn(key, row_key())
+    rows, found, _ = groups(keyed, also=(key,), **options)
+    named = rows.filter("c IS NOT NULL AND doc_id IS NOT NULL").join(found.select("c", "root").hint("merge"), "c")
+    named = common.materialize(named.select("doc_id", F.col(key).alias("k"), "root"), "named")
+    first = named.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("first")).select("first.k")
+    all_keys = named.groupBy("k").count()
+    # keys with what becomes of them: away, or one of several equal rows
+    fate = all_keys.join(first.withColumn("stays", F.lit(True)), "k", "left").filter("stays IS NULL OR count > 1")
+    fate = common.materialize(fate.select(F.col("k").alias("fate_key"), F.coalesce("stays", F.lit(False)).alias("fate_stays")), "fate")
+    kept = keyed.join(fate, F.col(key) == F.col("fate_key"), "left_anti").select(*docs.columns)
+    equal = common.materialize(fate.filter("fate_stays"), "equal")
+    if equal.isEmpty():
         return kept
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id IS NULL"))
+    several = keyed.join(equal, F.col(key) == F.col("fate_key"), "left_semi")
+    # rows of one key differ in other columns at most: the least stays
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = several.groupBy(key).agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return kept.unionByName(one)

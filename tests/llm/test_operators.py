@@ -787,6 +787,17 @@ def test_near_duplicates_odd(spark, odd, empty):
     assert neardup.link(empty).count() == 0
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    """Only what is a copy goes, whatever else has its id."""
+    a, b, c = ("the first text of some words and more of them", "quite another story about snow on the high pass", "a third thing that nobody else has ever said here")
+    rows = [(1, a, "x"), (2, b, "x"), (2, a, "x"), (3, b, "x"), (3, c, "x"), (3, c, "y"), (4, c, "x"), (None, a, "x"), (5, "", "x"), (5, "", "x"), (6, None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, row_key string")
+    kept = neardup.without_duplicates(table)
+    assert kept.columns == table.columns
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    assert got == sorted([(1, a, "x"), (2, b, "x"), (3, c, "x"), (None, a, "x"), (5, "", "x"), (5, "", "x"), (6, None, "x")], key=repr)
+
+
 # ---------------------------------------------------------------- 10
 
 
