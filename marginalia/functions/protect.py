@@ -30,23 +30,29 @@ def fence(*texts: Column | str) -> Column:
     return F.repeat(F.lit("q"), F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)) + 1)
 
 
-def _interleaved(between: Column, inserted: Column) -> Column:
+def interleaved(between: Column, inserted: Column) -> Column:
     """between[0] inserted[0] between[1] ...: one more of the former than of the latter."""
     return F.array_join(F.zip_with(between, inserted, lambda b, x: F.concat(b, F.coalesce(x, F.lit("")))), "")
 
 
+def replaced_by(text: Column | str, pattern: str, function) -> Column:
+    """Every match becomes what the function makes of it; function: match, and its number from 0 if it takes two."""
+    t = col(text)
+    return bound(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, t).otherwise(interleaved(F.split(t, pattern, -1), F.transform(found, function))))
+
+
 def hidden(text: Column | str, known: Column, mark: Column, pattern: str = PROTECTED) -> Column:
     """The text with every protected piece as one word: the fence, the piece's number in `known`, `x`."""
     found = F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
     names = F.transform(found, lambda p: F.concat(mark, F.array_position(known, p).cast("string"), F.lit("x")))
-    return F.when(F.size(found) == 0, col(text)).otherwise(_interleaved(F.split(col(text), pattern, -1), names))
+    return F.when(F.size(found) == 0, col(text)).otherwise(interleaved(F.split(col(text), pattern, -1), names))
 
 
 def shown(text: Column | str, known: Column, mark: Column) -> Column:
     """The text with all pieces back in their places."""
     stand_in = F.concat(mark, F.lit(r"(\d+)x"))
     found = F.regexp_extract_all(col(text), stand_in, F.lit(1))
-    return F.when(F.size(found) == 0, col(text)).otherwise(_interleaved(F.split(col(text), stand_in, F.lit(-1)), F.transform(found, lambda n: F.get(known, n.cast("int") - 1))))
+    return F.when(F.size(found) == 0, col(text)).otherwise(interleaved(F.split(col(text), stand_in, F.lit(-1)), F.transform(found, lambda n: F.get(known, n.cast("int") - 1))))
 
 
 def math_recognized(text: Column | str, known: Column, mark: Column) -> Column:
@@ -68,7 +74,7 @@ def citations_recognized(text: Column | str, known: Column, mark: Column) -> Col
     def put(found: Column) -> Column:
         # one stand-in to each shown citation, as long as there are some
         names = F.zip_with(found, F.slice(own, F.lit(1), F.size(found)), lambda p, o: F.coalesce(F.concat(mark, o["n"].cast("string"), F.lit("x")), p))
-        return F.when(F.size(found) == 0, col(text)).otherwise(_interleaved(F.split(col(text), SHOWN_CITATION, -1), names))
+        return F.when(F.size(found) == 0, col(text)).otherwise(interleaved(F.split(col(text), SHOWN_CITATION, -1), names))
 
     return bound(F.regexp_extract_all(col(text), F.lit(SHOWN_CITATION), F.lit(0)), put)
 
@@ -106,6 +112,6 @@ def citations_kept(text: Column | str) -> Column:
             change = F.when(was != now, F.concat(F.lit(" {~~"), was, F.lit("~>"), now, F.lit("~~}"))).otherwise(F.concat(F.lit(" "), new))
             return F.concat(cite, F.when((was == "") & (now == ""), "").otherwise(change))
 
-        return F.when(F.size(found) == 0, t).otherwise(_interleaved(F.split(t, LED, -1), F.transform(found, one)))
+        return F.when(F.size(found) == 0, t).otherwise(interleaved(F.split(t, LED, -1), F.transform(found, one)))
 
     return chain(bound(chain(text, *KEPT_FORMULAS), led), *FRAGMENTS)

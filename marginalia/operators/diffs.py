@@ -71,9 +71,14 @@ def placed(texts: DataFrame, comments: DataFrame, key: str) -> DataFrame:
     """
     names = ("ord", "id", "author", "text", "anchor", "before", "after", "position", "parent")
     own = comments.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_c"))
-    rows = texts.select(key, "text").join(own, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, "text", "_c")
-    made = T.StructType.fromDDL(PLACED)
-    schema = T.StructType([rows.schema[0], *made.fields])
+    rows = texts.select(key, "text").join(own, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return placed_lists(rows, key, "_c")
+
+
+def placed_lists(texts: DataFrame, key: str, comments: str) -> DataFrame:
+    """DIF-11 for texts (key, text) that have their comments beside them, as a sorted array."""
+    rows = texts.select(key, "text", comments)
+    schema = T.StructType([rows.schema[0], *T.StructType.fromDDL(PLACED).fields])
     arrow = to_arrow_schema(schema)
 
     def put(batches):

@@ -102,6 +102,12 @@ def _with_table(text: Column, table: Column) -> Column:
     return bound(place, lambda at: F.when((at["start"] > 0) & (at["end"] > 0), put(at)).otherwise(text))
 
 
+def with_tables(text: Column | str, tables: Column | str) -> Column:
+    """A text with the tables of an array of structs (markdown) set in, one after the other."""
+    own = F.coalesce(F.transform(col(tables), lambda t: F.coalesce(t["markdown"], F.lit(""))), F.array().cast("array<string>"))
+    return F.aggregate(own, F.coalesce(col(text), F.lit("")), lambda t, table: F.coalesce(_with_table(t, table), t))
+
+
 def tables_set_in(texts: DataFrame, tables: DataFrame, key: str) -> DataFrame:
     """DIF-03: texts (key, text) in which flattened tables stand as markdown again; tables are (key, ord, markdown).
 
@@ -110,6 +116,4 @@ def tables_set_in(texts: DataFrame, tables: DataFrame, key: str) -> DataFrame:
     """
     lists = tables.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("ord", "markdown"))).alias("_tables"))
     met = texts.join(lists, F.col(key).eqNullSafe(F.col("_key")), "left")
-    own = F.coalesce(F.transform("_tables", lambda t: F.coalesce(t["markdown"], F.lit(""))), F.array().cast("array<string>"))
-    made = F.aggregate(own, F.coalesce(F.col("text"), F.lit("")), lambda t, table: F.coalesce(_with_table(t, table), t))
-    return met.select(key, F.when(F.col("text").isNotNull(), made).alias("text"))
+    return met.select(key, F.when(F.col("text").isNotNull(), with_tables("text", "_tables")).alias("text"))

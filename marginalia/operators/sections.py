@@ -28,7 +28,7 @@ def matched(titles: DataFrame, config: DataFrame, title: str = "title") -> DataF
     names = F.array_append(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: strip(F.lower(a))), strip(F.lower("header")))
     same = own.join(config.select("file", "ord", F.explode(names).alias("_t")), "_t").select(title, "file", "ord")
     # shared words, counted: each word of the header that the title has
-    words_of = config.select("file", "ord", "header", F.split(F.lower("header"), r"\s+").alias("_w")).select("file", "ord", "header", F.size("_w").alias("_n"), F.explode("_w").alias("_word"))
+    words_of = config.select("file", "ord", "header").distinct().select("file", "ord", "header", F.split(F.lower("header"), r"\s+").alias("_w")).select("file", "ord", "header", F.size("_w").alias("_n"), F.explode("_w").alias("_word"))
     has = own.select(title, F.explode(F.array_distinct(F.split("_t", r"\s+"))).alias("_word"))
     near = has.join(words_of, "_word").groupBy(title, "file", "ord", "header", "_n").count().filter(F.col("count") >= F.col("_n") * 0.7).select(title, "file", "ord")
     best = same.unionByName(near).groupBy(title).agg(F.min_by("file", "ord").alias("file"))

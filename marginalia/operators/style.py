@@ -139,6 +139,69 @@ def unknown(found: DataFrame, dictionary: DataFrame, *key: str) -> DataFrame:
     return out.withColumn("is_name", looks_like_name("word")).drop("_w")
 
 
+#: An affix rule: words with `flag` take the affix instead of `strip`, if their end (or beginning) is like `condition`; `cross` ones go with the other kind, too.
+AFFIXES = "kind string, flag string, cross boolean, strip string, affix string, condition string"
+
+
+def _undone(words: DataFrame, rules: DataFrame, kind: str, names: list[str]) -> DataFrame:
+    """Rows of words (word, rest, names...) with what each rule of the kind makes their rest from: base, rule's flag and cross.
+
+    An affix is an end (or a beginning) of the word, so words meet rules by
+    equal affixes, not by trying all of them.
+    """
+    own = rules.filter(F.col("kind") == kind).select("flag", "cross", F.coalesce("strip", F.lit("")).alias("strip"), F.coalesce("affix", F.lit("")).alias("affix"), F.coalesce("condition", F.lit(".")).alias("condition"))
+    longest = own.agg(F.max(F.length("affix"))).first()[0] or 0
+    n = F.explode(F.sequence(F.lit(0), F.least(F.lit(longest), F.greatest(F.length("rest") - 1, F.lit(0))))).alias("n")
+    cut = words.select("word", "rest", *names, n)
+    end = F.right("rest", F.col("n")) if kind == "SFX" else F.left("rest", F.col("n"))
+    stem = F.left("rest", F.length("rest") - F.col("n")) if kind == "SFX" else F.substr("rest", F.col("n") + 1)
+    met = cut.select("word", *names, end.alias("affix"), stem.alias("stem")).join(own, "affix")
+    base = F.concat("stem", "strip") if kind == "SFX" else F.concat("strip", "stem")
+    fits = F.when(F.lit(kind == "SFX"), F.concat(F.lit("(?s)^.*"), "condition", F.lit("$"))).otherwise(F.concat(F.lit("(?s)^"), "condition"))
+    return met.withColumn("base", base).filter(F.regexp_like("base", fits)).select("word", "base", *names, "flag", "cross")
+
+
+def known_by_affixes(words: DataFrame, stems: DataFrame, rules: DataFrame) -> DataFrame:
+    """DIF-16: word and stem of the words that a stem dictionary with affix rules knows.
+
+    stems: word, flags (array of strings); rules: AFFIXES.  A word is a stem
+    itself, or a suffix or a prefix taken off leaves a stem that has its flag,
+    or both do where both rules are `cross`.  Case does not count.
+    """
+    w = words.select(F.lower("word").alias("word")).distinct()
+    known = stems.select(F.lower("word").alias("base"), F.coalesce("flags", F.array().cast("array<string>")).alias("flags"))
+    known = known.groupBy("base").agg(F.array_distinct(F.flatten(F.collect_list("flags"))).alias("flags"))
+    plain = w.withColumn("rest", F.col("word"))
+    suffixed, prefixed = (_undone(plain, rules, kind, []) for kind in ("SFX", "PFX"))
+    both = _undone(suffixed.filter("cross").select("word", F.col("base").alias("rest"), F.col("flag").alias("first")), rules, "PFX", ["first"]).filter("cross")
+    tried = w.select("word", F.col("word").alias("base"), F.array().cast("array<string>").alias("wanted"))
+    for rows, flags in ((suffixed, F.array("flag")), (prefixed, F.array("flag")), (both, F.array("first", "flag"))):
+        tried = tried.unionByName(rows.select("word", "base", flags.alias("wanted")))
+    met = tried.join(known, "base").filter(F.size(F.array_except("wanted", "flags")) == 0)
+    return met.groupBy("word").agg(F.min("base").alias("stem"))
+
+
+def unknown_by_affixes(found: DataFrame, stems: DataFrame, rules: DataFrame, *key: str) -> DataFrame:
+    """DIF-16: first uses of the words that neither are stems nor are made of one by the rules."""
+    first = first_uses(found, *key).withColumn("_w", F.lower("word"))
+    ok = known_by_affixes(first.select("word"), stems, rules).select(F.col("word").alias("_w"))
+    return first.join(ok, "_w", "left_anti").withColumn("is_name", looks_like_name("word")).drop("_w")
+
+
+def affix_rules(texts: DataFrame, text: str = "text") -> DataFrame:
+    """AFFIXES of affix files: their lines `SFX flag strip affix condition`, and `cross` of the heads `SFX flag Y n`."""
+    lines_ = texts.select(F.explode(F.split(text, r"\r?\n")).alias("l")).filter(F.col("l").rlike(r"^(SFX|PFX)\s"))
+    f = lines_.select(F.split(F.trim("l"), r"\s+").alias("f"))
+    heads = f.filter((F.size("f") == 4) & F.col("f")[2].isin("Y", "N")).select(F.col("f")[0].alias("kind"), F.col("f")[1].alias("flag"), (F.col("f")[2] == "Y").alias("cross")).distinct()
+    own = f.filter((F.size("f") > 4) | ((F.size("f") == 4) & ~F.col("f")[2].isin("Y", "N")))
+
+    def given(k: int) -> Column:
+        return F.when(F.col("f")[k] == "0", "").otherwise(F.split_part(F.col("f")[k], F.lit("/"), F.lit(1)))
+
+    rows = own.select(F.col("f")[0].alias("kind"), F.col("f")[1].alias("flag"), given(2).alias("strip"), given(3).alias("affix"), F.coalesce(F.get("f", F.lit(4)), F.lit(".")).alias("condition"))
+    return rows.join(heads, ["kind", "flag"], "left").select("kind", "flag", F.coalesce("cross", F.lit(False)).alias("cross"), "strip", "affix", "condition")
+
+
 def suggestions(wrong: DataFrame, dictionary: DataFrame, most: int = 2, top: int = 5) -> DataFrame:
     """SCL-26: the nearest dictionary words of each wrong word, at most `most` edits away.
 

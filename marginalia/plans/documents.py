@@ -180,6 +180,37 @@ def spelling_unknown(spark, sf_dir):
     return style.unknown(found, _dictionary(spark, sf_dir), "doc_id").select("doc_id", "line", "word", "is_name")
 
 
+#: An affix file; the flags of a stem are told by its length.
+AFFIX_FILE = """SFX S Y 3
+SFX S y ies [^aeiou]y
+SFX S 0 s [^sxzhy]
+SFX S 0 es [sxzh]
+SFX G Y 2
+SFX G e ing e
+SFX G 0 ing [^e]
+SFX N N 1
+SFX N 0 en .
+PFX U Y 1
+PFX U 0 un .
+"""
+_FLAGS = "CASE WHEN length(word) % 2 = 0 THEN 'SG' ELSE 'SNU' END"
+#: DuckDB goes the other way: all forms of all stems.
+_FORMS = f"""stems AS (SELECT word, {_FLAGS} AS flags FROM ({DICTIONARY})),
+    s AS (SELECT 'S' AS flag, true AS x, 'y' AS strip, 'ies' AS affix, '[^aeiou]y$' AS cond UNION ALL VALUES ('S', true, '', 's', '[^sxzhy]$'), ('S', true, '', 'es', '[sxzh]$'), ('G', true, 'e', 'ing', 'e$'), ('G', true, '', 'ing', '[^e]$'), ('N', false, '', 'en', '.$')),
+    ends AS (SELECT word, flags, x, concat(left(word, length(word) - length(strip)), affix) AS form FROM stems JOIN s ON contains(flags, flag) AND regexp_matches(word, cond)),
+    forms AS (SELECT word AS form FROM stems UNION SELECT form FROM ends UNION SELECT concat('un', word) FROM stems WHERE contains(flags, 'U') UNION SELECT concat('un', form) FROM ends WHERE x AND contains(flags, 'U'))"""
+
+
+@family.over(None, f"WITH c AS (SELECT * FROM documents), t AS ({TOKENS}), {_FORMS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(word) ORDER BY line, place) AS r FROM t) WHERE r = 1) SELECT doc_id, line::INT AS line, word FROM f WHERE lower(word) NOT IN (SELECT form FROM forms)")
+def spelling_affixes(spark, sf_dir):
+    """DIF-16 with a stem dictionary and affix rules."""
+    rules = style.affix_rules(spark.createDataFrame([(AFFIX_FILE,)], "text string"))
+    flags = F.when(F.length("word") % 2 == 0, F.array(F.lit("S"), F.lit("G"))).otherwise(F.array(F.lit("S"), F.lit("N"), F.lit("U")))
+    stems = _dictionary(spark, sf_dir).withColumn("flags", flags)
+    found = style.words(table(spark, sf_dir, "documents"), "doc_id")
+    return style.unknown_by_affixes(found, stems, rules, "doc_id").select("doc_id", "line", "word")
+
+
 _NAMES = "SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS w FROM part"
 
 

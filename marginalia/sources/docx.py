@@ -9,10 +9,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Namespaces of the parts.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -245,3 +249,48 @@ def read(documents: DataFrame, what: str) -> DataFrame:
                     yield pd.DataFrame({"path": pd.Series([path] * len(rows), dtype=object)} | {n: pd.Series([r[n] for r in rows]) for n in names})
 
     return documents.mapInPandas(parse, f"path string, {schema}")
+
+
+#: All that an import needs of a file, read at once.
+PARTS = """path string, error string, changed boolean, tracked string, plain string, tables array<struct<ord: int, markdown: string>>,
+    comments array<struct<ord: int, id: string, author: string, text: string, anchor: string, before: string, after: string, position: double, parent: string>>"""
+
+
+def parts_of(data: bytes) -> dict:
+    if not is_word(data):
+        return {"error": "not a Word document"}
+    places = {a["comment_id"]: a for a in anchors(data)}
+    found = []
+    for k, c in enumerate(comments(data)):
+        a = places.get(c["id"], {})
+        share = a["doc_position"] / a["doc_length"] if a.get("doc_length") else 0.0
+        found.append({"ord": k, "id": c["id"], "author": c["author"], "text": c["text"], "anchor": a.get("anchor", ""), "before": a.get("before", ""), "after": a.get("after", ""), "position": share, "parent": c["parent_id"]})
+    # a reply comes behind its parent, whichever stands first in the file
+    found.sort(key=lambda c: (c["parent"] is not None, c["ord"]))
+    for k, c in enumerate(found):
+        c["ord"] = k
+    counts = change_counts(data)
+    text = "\n\n".join("".join(t.text or "" for t in p.iter(f"{W}t")) for p, _ in paragraphs(data))
+    return {
+        "changed": counts["insertions"] + counts["deletions"] > 0, "tracked": tracked_text(data), "plain": text,
+        "tables": [{"ord": k, "markdown": t["markdown"]} for k, t in enumerate(tables(data))], "comments": found,
+    }
+
+
+def parts(documents: DataFrame) -> DataFrame:
+    """PARTS of documents (path, content); what can't be read is a row with an error."""
+    schema = T.StructType.fromDDL(PARTS)
+    arrow = to_arrow_schema(schema)
+
+    def parse(batches):
+        from marginalia.sources.docx import parts_of
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    row = parts_of(content or b"")
+                except (KeyError, ValueError, zipfile.BadZipFile, zlib.error, ET.ParseError) as e:
+                    row = {"error": f"{type(e).__name__}: {e}"}
+                yield pa.RecordBatch.from_pylist([{"path": path} | row], arrow)
+
+    return documents.select("path", "content").mapInArrow(parse, schema)

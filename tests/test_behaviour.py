@@ -365,6 +365,26 @@ def test_headings(spark):
     assert got == {"Intro": "introduction.md", "INTRODUCTION": "introduction.md", "Materials and Methods section": "methods.md", "Weather of the Valley": None}
 
 
+def test_affixes(spark):
+    """Suffixes, prefixes and both, with strips, conditions and flags; what no rule makes stays unknown."""
+    from marginalia.plans.documents import AFFIX_FILE
+
+    rules = style.affix_rules(spark.createDataFrame([(AFFIX_FILE,)], "text string"))
+    assert rules.count() == 7
+    stems = spark.createDataFrame([("city", ["S"]), ("Bake", ["G", "U"]), ("rock", ["S", "N", "U"]), ("fox", ["S"]), ("bake", ["S"]), ("plain", None)], "word string, flags array<string>")
+    asked = {"cities": "city", "citys": None, "Baking": "bake", "bakeing": None, "unbaking": "bake", "unrocks": "rock", "rocken": "rock", "unrocken": None, "unrock": "rock", "foxes": "fox", "foxs": None, "unfox": None, "plain": "plain", "plains": None, "bakes": "bake", "unbakes": "bake", "s": None, "un": None}
+    got = {r["word"]: r["stem"] for r in style.known_by_affixes(spark.createDataFrame([(w,) for w in asked], "word string"), stems, rules).collect()}
+    assert got == {w.lower(): stem for w, stem in asked.items() if stem}
+
+
+def test_headings_with_repeated_configuration(spark):
+    """Equal rows of the configuration don't add up to a match."""
+    rows = [("m.md", "Materials and Methods", [], 2)] * 3
+    config = spark.createDataFrame(rows, "file string, header string, aliases array<string>, ord int")
+    titles = spark.createDataFrame([("Methods",), ("Materials and Methods",)], "title string")
+    assert {r["title"]: r["file"] for r in sections.matched(titles, config).collect()} == {"Methods": None, "Materials and Methods": "m.md"}
+
+
 @pytest.mark.parametrize("doi, ok", [("10.5555/rain.1987", True), ("10.55/rain.1987", False), ("12.5555/rain.1987", False), ("", False)])
 def test_doi(spark, doi, ok):
     assert one(spark, X.is_doi("d"), d=doi) is ok
@@ -532,3 +552,47 @@ def test_conflicts_of_equal_keys(spark):
     names = "doc_id long, reviewer string, reviewer_ord int, seq long, type string, start int, end int, old_text string, new_text string"
     one_way, other_way = (merging.conflict_summary(merging.conflicts(spark.createDataFrame(r, names), "doc_id"), "doc_id").collect() for r in (rows, rows[::-1]))
     assert one_way == other_way
+
+
+REGISTRY = [("fig", "1", "rain", "Daily rain", "img/rain.png"), ("tbl", "S2", "sites", "Sites", "img/sites.png")]
+
+
+@pytest.mark.parametrize(
+    "text, restored",
+    [
+        ("see [Figure]{.mark} [1]{.mark} and [Table]{.mark}[S2]{.mark}", "see @fig:rain and @tbl:sites"),
+        ("see [Figure]{.mark} [9]{.mark}", "see @fig:fig9"),
+        ("see Fig. 1, table S2 and Figure 9", "see @fig:rain, @tbl:sites and Figure 9"),
+        ("Figure 1: a caption", "Figure 1: a caption"),
+        ("![Figure 1: old](media/a.png) then ![Fig. 1: again](media/b.png){#x}", "![Daily rain](img/rain.png){#fig:rain} then ![Daily rain](img/rain.png)"),
+        ("![Figure 7. own words](media/a.png){width=3}", "![own words](media/a.png)"),
+        ("![rain](a.png)\n\nFigure 7: said again", "![rain](a.png)"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_references_restored(spark, text, restored):
+    from marginalia.operators import importing
+
+    rows = spark.createDataFrame([("p", *r) for r in REGISTRY], "p string, kind string, num string, label string, caption string, path string")
+    own = spark.createDataFrame([(text,)], "t string").crossJoin(importing.registries(rows, "p"))
+    assert own.select(importing.references_restored("t", F.col("registry")).alias("v")).first()["v"] == restored
+
+
+def test_import_of_files(spark):
+    """Tracked, compared, plain and broken files in one job; references by each file's registry; counts."""
+    from marginalia.operators import importing
+    from marginalia.plans.word_queries import word_file
+
+    rows = [(f"{k}.docx", word_file(k, text)) for k, text in ((0, "As Figure 1 has it."), (1, "So it is\nsaid (Lund 1987)."), (2, "Alone."), (3, ""))] + [("empty.docx", b""), ("null.docx", None)]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    originals = spark.createDataFrame([("1.docx", "So it **is**\n\nsaid [@Lund1987].\n\nRain fell {++often ++}on the long pass today."), ("3.docx", "x"), ("9.docx", "no such file")], "path string, text string")
+    registry = spark.createDataFrame([("0.docx", "fig", "1", "rain", "Daily rain", "img/rain.png")], "path string, kind string, num string, label string, caption string, picture string")
+    got = {r["path"]: r for r in importing.imported(files, originals, registry).collect()}
+    assert len(got) == 6
+    assert got["0.docx"]["text"] == "As @fig:rain has it.\n\nRain {++heavily ++}fellx0{>>Ann: look<<} {--on--} here"
+    assert [got["0.docx"][c] for c in ("way", "insertions", "deletions", "substitutions", "comments")] == ["tracked", 1, 1, 0, 1]
+    assert got["1.docx"]["text"] == "So it **is**\n\nsaid [@Lund1987].\n\nRain fell {--often --}on {~~the~>a~~} long pass today."
+    assert got["2.docx"]["text"].startswith("Alone.\n\nMethods 2\n\n| Sitex2 | Rain |\n| --- | --- |\n| Hill | sumx2 |") and got["2.docx"]["way"] == "plain"
+    assert {p for p, r in got.items() if r["error"]} == {"3.docx", "empty.docx", "null.docx"} and got["3.docx"]["text"] is None
+    assert importing.imported(files.limit(0), originals).count() == 0
