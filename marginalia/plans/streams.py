@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import watch
@@ -13,14 +11,8 @@ family = Family()
 QUERIES, SQL = family.queries, family.sql
 
 
-def _run(spark, df, mode: str):
-    name = f"s{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
-    return spark.table(name)
+def _run(spark, df):
+    return watch.written(df, watch.shared_folder(spark))
 
 
 def _events(spark, sf_dir):
@@ -30,10 +22,20 @@ def _events(spark, sf_dir):
 
 @family.over(None, "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_event_windows(spark, sf_dir):
-    return _run(spark, watch.event_windows(_events(spark, sf_dir)), "complete")
+    """The last state of each window."""
+    rows = _run(spark, watch.event_windows(_events(spark, sf_dir)))
+    return rows.groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
 
 
 @family.over(None, "SELECT user_id, least(count(*), 50)::INT AS kept, max(event_id) AS newest FROM events GROUP BY 1")
 def stream_undo_sessions(spark, sf_dir):
-    out = _run(spark, watch.last_of_sessions(_events(spark, sf_dir)), "update")
+    out = _run(spark, watch.last_of_sessions(_events(spark, sf_dir)))
     return out.groupBy("user_id").agg(F.max("kept").alias("kept"), F.max("newest").alias("newest"))
+
+
+@family.over(None, """SELECT user_id, least(count(*), 50)::INT AS kept, max(event_id) AS newest FROM events GROUP BY 1
+    HAVING epoch_ms(max(ts)) + 6 * 3600 * 1000 < (SELECT epoch_ms(max(ts)) - 3600 * 1000 FROM events)""")
+def stream_sessions_closed(spark, sf_dir):
+    """Users whose state went for six idle hours before the watermark."""
+    out = _run(spark, watch.last_of_sessions(_events(spark, sf_dir), idle="6 hours"))
+    return out.filter("closed").select("user_id", "kept", "newest")

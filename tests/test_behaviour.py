@@ -596,3 +596,26 @@ def test_import_of_files(spark):
     assert got["2.docx"]["text"].startswith("Alone.\n\nMethods 2\n\n| Sitex2 | Rain |\n| --- | --- |\n| Hill | sumx2 |") and got["2.docx"]["way"] == "plain"
     assert {p for p, r in got.items() if r["error"]} == {"3.docx", "empty.docx", "null.docx"} and got["3.docx"]["text"] is None
     assert importing.imported(files.limit(0), originals).count() == 0
+
+
+def test_session_state_expires_and_resumes(spark, tmp_path):
+    """Idle users' state goes; a second run goes on behind the first, with what the first has kept."""
+    from marginalia.streaming import watch
+
+    def arrive(name, *rows):
+        made = spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        made.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    def run():
+        stream = watch.watched(spark, str(tmp_path / "in" / "*"), "event_id long, user_id long, ts timestamp")
+        rows = watch.written(watch.last_of_sessions(stream, most=2, idle="1 hour", late="10 minutes"), str(tmp_path / "out"))
+        return sorted((r["user_id"], r["kept"], r["newest"], r["closed"]) for r in rows.collect())
+
+    arrive("a", (1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-01 00:01:00"), (3, 7, "2024-01-01 00:02:00"), (4, 8, "2024-01-01 00:30:00"))
+    first = run()
+    assert first == [(7, 2, 3, False), (8, 1, 4, False)]
+    arrive("b", (5, 8, "2024-01-01 01:20:00"))
+    second = run()
+    assert set(second) - set(first) == {(8, 2, 5, False), (7, 2, 3, True)}
+    arrive("c", (6, 7, "2024-01-01 01:25:00"))
+    assert (7, 1, 6, False) in run()  # begins anew
