@@ -47,10 +47,29 @@ def unused(cited: DataFrame, bib: DataFrame) -> DataFrame:
 
 
 def duplicates(cited: DataFrame) -> DataFrame:
-    """AGG-03: keys cited more than once, with how often and where first and last."""
+    """AGG-03: keys cited more than once, with how often."""
     return cited.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def duplicate_uses(cited: DataFrame) -> DataFrame:
+    """AGG-03: the citations of keys that are cited more than once, a row each with the number: no key's places are gathered in one task."""
+    return cited.join(duplicates(cited), "key")
+
+
+def appended(found: DataFrame, more: DataFrame, doi: str = "doi") -> DataFrame:
+    """SET-05: all that was found, and of the other answers those whose DOI is not there yet, once each.
+
+    DOIs are compared without case and resolver prefix; answers without one
+    are never there yet.
+    """
+    name = F.lower(bare_doi(doi))
+    there = found.select(name.alias("_doi")).filter("_doi IS NOT NULL").distinct()
+    fresh = more.withColumn("_doi", name).join(there, "_doi", "left_anti")
+    whole = F.struct(*[F.col(c) for c in more.columns])
+    one = fresh.filter("_doi IS NOT NULL").groupBy("_doi").agg(F.min(whole).alias("_row")).select("_row.*")
+    return found.unionByName(one.select(*more.columns)).unionByName(fresh.filter("_doi IS NULL").select(*more.columns))
+
+
 def statistics(cited: DataFrame, bib: DataFrame) -> DataFrame:
     """AGG-02: one row.  Citations are counted per key first, so that the join moves keys only."""
     per_key = cited.groupBy("key").agg(F.count("*").alias("n"))

@@ -103,6 +103,29 @@ def conflict_summary(found: DataFrame, key: str) -> DataFrame:
     )
 
 
+def resolved(found: DataFrame, choices: DataFrame, key: str) -> DataFrame:
+    """DIF-08: of each conflict that has a choice (key, conflict, choice from 0) the change with that number, with whom it is resolved by.
+
+    A choice that the conflict does not have gives a row with an error.
+    """
+    own = found.filter("conflict IS NOT NULL")
+    asked = choices.select(F.col(key).alias("_key"), F.col("conflict").alias("_conflict"), "choice")
+    sizes = own.groupBy(key, "conflict").agg(F.count("*").alias("changes")).join(asked, F.col(key).eqNullSafe(F.col("_key")) & (F.col("conflict") == F.col("_conflict"))).select("_key", "_conflict", "choice", "changes")
+    bad = (F.col("choice") < 0) | (F.col("choice") >= F.col("changes")) | F.col("choice").isNull()
+    met = sizes.join(own, F.col("_key").eqNullSafe(F.col(key)) & (F.col("_conflict") == F.col("conflict")) & (F.col("place") == F.col("choice")), "left")
+    return met.select(
+        F.col("_key").alias(key), F.col("_conflict").alias("conflict"), "choice", "reviewer", "type", "start", "end", "old_text", "new_text",
+        F.when(bad, F.concat(F.lit("no such choice, there are "), "changes")).alias("error"),
+    )
+
+
+def unresolved(found: DataFrame, choices: DataFrame, key: str) -> DataFrame:
+    """DIF-08: conflicts without a valid choice."""
+    done = resolved(found, choices, key).filter("error IS NULL").select(F.col(key).alias("_key"), F.col("conflict").alias("_conflict"))
+    every = found.filter("conflict IS NOT NULL").select(key, "conflict").distinct()
+    return every.join(done, F.col(key).eqNullSafe(F.col("_key")) & (F.col("conflict") == F.col("_conflict")), "left_anti")
+
+
 def applied(texts: DataFrame, changes: DataFrame, key: str, annotate: bool = False) -> DataFrame:
     """DIF-07: texts with changes that do not touch each other, as they are or as annotations.
 

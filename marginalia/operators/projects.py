@@ -118,3 +118,16 @@ def changed_files(old: DataFrame, new: DataFrame, file: str = "file", text: str
 def history(states: DataFrame, *key: str, order: str = "seq", most: int = 10) -> DataFrame:
     """WIN-12: the last states of each document."""
     return states.withColumn("back", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter(F.col("back") <= most)
+
+
+#: What a build leaves beside the sources, by the title's short form or `paper`.
+OUTPUTS = (".docx", "_comments.docx", "-changes.docx")
+
+
+def without_outputs(files: DataFrame, titles: DataFrame, key: str) -> DataFrame:
+    """FLT-10: files (key, path) that are no build output of their project (key, title); a project without a title keeps all."""
+    slug = F.left(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-|-$", ""), F.lit(50))
+    own = titles.filter(F.coalesce(F.col("title"), F.lit("")) != "").select(F.col(key).alias("_key"), slug.alias("_slug")).filter("_slug <> ''").groupBy("_key").agg(F.min("_slug").alias("_slug"))
+    base = F.lower(F.regexp_extract("path", r"[^/\\]*$", 0))
+    names = [F.concat(stem, F.lit(end)) for stem in (F.col("_slug"), F.lit("paper")) for end in OUTPUTS]
+    return files.join(own, F.col(key).eqNullSafe(F.col("_key")), "left").filter(F.col("_slug").isNull() | ~base.isin(*names)).select(*files.columns)

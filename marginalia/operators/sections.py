@@ -111,3 +111,12 @@ def word_counts(sections: DataFrame, project: str, file: str) -> DataFrame:
 def ordered(config: DataFrame) -> DataFrame:
     """SRT-09: sections by order, those without one last."""
     return config.orderBy(F.coalesce("ord", F.lit(999)), "file")
+
+
+def chosen(found: DataFrame, names: list[str]) -> DataFrame:
+    """FLT-06: sections (file, header) that one of the names means: the file without .md, a part of it, or a part of the header."""
+    file, header = F.lower(F.regexp_replace("file", r"(?i)\.md$", "")), F.lower("header")
+    wanted = F.lit(False)
+    for name in (n.strip().lower() for n in names):
+        wanted = wanted | F.contains(file, F.lit(name)) | F.contains(header, F.lit(name))
+    return found.filter(wanted) if names else found

@@ -284,6 +284,12 @@ def citation_duplicates(spark, sf_dir):
     return citations.duplicates(_cited(spark, sf_dir))
 
 
+@family.over(None, _citing("SELECT doc_id, file, line::INT AS line, key, n::BIGINT AS n FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM cited) WHERE n > 1"))
+def citation_duplicate_uses(spark, sf_dir):
+    """AGG-03 with all places."""
+    return citations.duplicate_uses(_cited(spark, sf_dir)).select("doc_id", "file", "line", "key", "n")
+
+
 @family.over(None, _citing("""SELECT count(*)::BIGINT AS total, count(DISTINCT key)::BIGINT AS unique_keys, count(*) FILTER (key IN (SELECT key FROM bib))::BIGINT AS valid, count(*) FILTER (key NOT IN (SELECT key FROM bib))::BIGINT AS missing,
     count(DISTINCT key) FILTER (key NOT IN (SELECT key FROM bib))::BIGINT AS missing_keys, (SELECT count(*) FROM bib)::BIGINT AS bib_entries, (SELECT count(*) FROM bib WHERE key NOT IN (SELECT key FROM cited))::BIGINT AS unused FROM cited"""))
 def citation_stats(spark, sf_dir):

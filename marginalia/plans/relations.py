@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import anchors, citations, journals, merging, projects
+from ..operators import anchors, citations, journals, merging, projects, sections
 from ..sources import bibtex
 from . import corpora
 from .base import Family, table, with_corpus
@@ -66,6 +66,39 @@ def doi_best_match(spark, sf_dir):
     return citations.best_matches(scored).select("query_key", "doi", "score", "confidence")
 
 
+_ANSWER = "p_name AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 2 = 0 THEN concat('https://doi.org/10.1/P', p_size) ELSE concat('10.1/p', p_size) END AS doi"
+
+
+@family.over("part", f"""+ a AS (SELECT {_ANSWER} FROM c WHERE p_partkey % 3 = 0), b AS (SELECT {_ANSWER} FROM c WHERE p_partkey % 3 <> 0),
+    n AS (SELECT *, regexp_replace(lower(doi), '^https?://(dx\.)?doi\.org/', '') AS k FROM b)
+    SELECT title, doi FROM a UNION ALL SELECT title, doi FROM n WHERE k IS NULL
+    UNION ALL SELECT r.title, r.doi FROM (SELECT min({{'title': title, 'doi': doi}}) AS r FROM n WHERE k IS NOT NULL AND k NOT IN (SELECT regexp_replace(lower(doi), '^https?://(dx\.)?doi\.org/', '') FROM a WHERE doi IS NOT NULL) GROUP BY k)""")
+def answers_appended(c):
+    """SET-05: answers of one source and those of another that it lacks."""
+    k = F.col("p_partkey")
+    doi = F.when(k % 5 == 0, None).when(k % 2 == 0, F.concat(F.lit("https://doi.org/10.1/P"), "p_size")).otherwise(F.concat(F.lit("10.1/p"), "p_size"))
+    rows = c.select(F.col("p_name").alias("title"), doi.alias("doi"), k)
+    return citations.appended(rows.filter("p_partkey % 3 = 0").drop("p_partkey"), rows.filter("p_partkey % 3 <> 0").drop("p_partkey"))
+
+
+_FILES = "SELECT p_partkey, p_size AS project, concat('out/', CASE p_partkey % 4 WHEN 0 THEN concat('Title-of-', p_size, '.docx') WHEN 1 THEN concat('title-of-', p_size, '-changes.docx') WHEN 2 THEN 'Paper_comments.docx' ELSE concat('draft', p_partkey, '.docx') END) AS path FROM {}"
+
+
+@family.over("part", f"SELECT p_partkey FROM ({_FILES.format('c')}) WHERE p_partkey % 4 = 3 OR project % 7 = 0")
+def files_without_outputs(c):
+    """FLT-10: every seventh project has no title."""
+    files = c.sparkSession.sql(_FILES.format("{c}"), c=c)
+    titles = c.select(F.col("p_size").alias("project")).distinct().withColumn("title", F.when(F.col("project") % 7 == 0, None).otherwise(F.concat(F.lit("Title of: "), "project", F.lit("!"))))
+    return projects.without_outputs(files, titles, "project").select("p_partkey")
+
+
+@family.over("part", "SELECT p_partkey FROM c WHERE contains(lower(p_name), 'co') OR lower(p_brand) LIKE '%2%'")
+def sections_chosen(c):
+    """FLT-06."""
+    rows = c.select("p_partkey", F.concat("p_brand", F.lit(".MD")).alias("file"), F.col("p_name").alias("header"))
+    return sections.chosen(rows.withColumn("file", F.when(F.col("file").contains("2"), F.col("file")).otherwise("x.md")), ["2", " CO "]).select("p_partkey")
+
+
 @family.over("supplier", "SELECT s_suppkey, s_suppkey % 3 <> 2 AS ok, CASE s_suppkey % 3 WHEN 0 THEN concat('0000-0001-', lpad((s_suppkey % 10000)::VARCHAR, 4, '0'), '-123X') WHEN 1 THEN concat('0000-0002-', lpad((s_suppkey % 10000)::VARCHAR, 4, '0'), '-1234') ELSE concat('0000-2-', s_suppkey) END AS orcid FROM c")
 def orcid_valid(c):
     k = F.col("s_suppkey")
@@ -138,6 +171,36 @@ def conflict_resolutions(c):
 SQL["conflict_resolutions"] = grouped(_SUMMARY)
 
 
+def _choices(found):
+    """Choices for two of three conflicts, some of which there are not."""
+    return found.filter("conflict IS NOT NULL").select("doc_id", "conflict").distinct().filter("doc_id % 3 <> 0").withColumn("choice", (F.col("doc_id") % 4 - 1).cast("int"))
+
+
+#: DuckDB: the changes of each conflict by place, and the choice.
+_CHOSEN = """, n AS (SELECT doc_id, conflict, count(*) AS n, (doc_id % 4 - 1)::INT AS choice FROM g WHERE conflict IS NOT NULL GROUP BY doc_id, conflict)
+    SELECT n.doc_id, n.conflict, n.choice, g.reviewer, g.new_text, CASE WHEN n.choice < 0 OR n.choice >= n.n THEN concat('no such choice, there are ', n.n) END AS error
+    FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.conflict = n.conflict AND g.place = n.choice WHERE n.doc_id % 3 <> 0"""
+
+
+@family.over("changes")
+def conflicts_resolved(c):
+    """DIF-08: each conflict by the number of the change that was chosen."""
+    found = merging.conflicts(c, "doc_id")
+    return merging.resolved(found, _choices(found), "doc_id").select("doc_id", "conflict", "choice", "reviewer", "new_text", "error")
+
+
+SQL["conflicts_resolved"] = grouped(_CHOSEN)
+
+
+@family.over("changes")
+def conflicts_unresolved(c):
+    found = merging.conflicts(c, "doc_id")
+    return merging.unresolved(found, _choices(found), "doc_id")
+
+
+SQL["conflicts_unresolved"] = grouped("SELECT doc_id, conflict FROM g WHERE conflict IS NOT NULL GROUP BY 1, 2 HAVING doc_id % 3 = 0 OR doc_id % 4 - 1 < 0 OR doc_id % 4 - 1 >= count(*)")
+
+
 @family.over("changes")
 def merge_stats(c):
     return merging.statistics(merging.conflicts(c, "doc_id"), "doc_id")
