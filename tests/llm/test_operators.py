@@ -975,4 +975,4 @@ def test_pipeline(spark, data):
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()) == list(range(1, 14))
