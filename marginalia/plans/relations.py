@@ -70,9 +70,9 @@ _ANSWER = "p_name AS title, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey
 
 
 @family.over("part", f"""+ a AS (SELECT {_ANSWER} FROM c WHERE p_partkey % 3 = 0), b AS (SELECT {_ANSWER} FROM c WHERE p_partkey % 3 <> 0),
-    n AS (SELECT *, regexp_replace(lower(doi), '^https?://(dx\.)?doi\.org/', '') AS k FROM b)
+    n AS (SELECT *, regexp_replace(lower(doi), '^https?://(dx\\.)?doi\\.org/', '') AS k FROM b)
     SELECT title, doi FROM a UNION ALL SELECT title, doi FROM n WHERE k IS NULL
-    UNION ALL SELECT r.title, r.doi FROM (SELECT min({{'title': title, 'doi': doi}}) AS r FROM n WHERE k IS NOT NULL AND k NOT IN (SELECT regexp_replace(lower(doi), '^https?://(dx\.)?doi\.org/', '') FROM a WHERE doi IS NOT NULL) GROUP BY k)""")
+    UNION ALL SELECT r.title, r.doi FROM (SELECT min({{'title': title, 'doi': doi}}) AS r FROM n WHERE k IS NOT NULL AND k NOT IN (SELECT regexp_replace(lower(doi), '^https?://(dx\\.)?doi\\.org/', '') FROM a WHERE doi IS NOT NULL) GROUP BY k)""")
 def answers_appended(c):
     """SET-05: answers of one source and those of another that it lacks."""
     k = F.col("p_partkey")
