@@ -119,6 +119,20 @@ def match_score(title: str, journal: str, year: str, author: str, item_title: st
     return wrong + by_title + by_author + by_journal + by_year + F.least(F.coalesce(F.col(base), F.lit(0.0)), F.lit(10.0))
 
 
+def candidates(wanted: DataFrame, works: DataFrame, title: str = "title", item_title: str = "item_title") -> DataFrame:
+    """JOIN-19: pairs of a wanted work and a known one whose titles share a word of more than three letters, once each.
+
+    Titles meet by equal words; the keys of wanted and works are all their columns.
+    """
+
+    def long_words(c: str) -> Column:
+        return F.explode(F.array_distinct(F.filter(F.split(for_matching(c), r"\s+"), lambda w: F.length(w) > 3))).alias("_word")
+
+    a = wanted.select("*", long_words(title))
+    b = works.select("*", long_words(item_title))
+    return a.join(b, "_word").drop("_word").distinct()
+
+
 def best_matches(scored: DataFrame, query: str = "query_key", top: int = 1) -> DataFrame:
     """WIN-08: the best found work of each query, its lead and confidence."""
     from pyspark.sql import Window
