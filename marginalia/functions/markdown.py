@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import chain, col, strip
+from .text import bound, chain, col, strip
 
 #: LaTeX as a word processor shows it; the order matters.
 MATH = (
@@ -57,3 +57,28 @@ def latex_width(c: Column | str) -> Column:
     share = F.regexp_extract(w, r"^(\d*\.?\d*)\s*\\(?:text|line|column)width$", 1)
     percent = F.concat(F.round(F.when(share == "", 1.0).otherwise(share.try_cast("double")) * 100).cast("int").cast("string"), F.lit("%"))
     return F.when(w.rlike(r"^\d*\.?\d*\s*\\(text|line|column)width$"), percent).when(w.rlike(r"^\d+(\.\d+)?\s*(cm|mm|in|pt|px|%)$"), w)
+
+
+def braced(c: Column | str, command: str) -> Column:
+    """SCL-39: the argument in braces behind the first place of a command, braces inside of it balanced; null if there is none.
+
+    A fold over the characters counts the depth; what follows a backslash
+    counts as a letter.
+    """
+    text = col(c)
+    at = F.instr(text, command)
+    rest = F.regexp_replace(F.substr(text, at + len(command)), r"^\s+", "")
+    begin = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(False).alias("skip"), F.lit(0).alias("end"))
+
+    def step(s: Column, ch: Column) -> Column:
+        i = (s["i"] + 1).alias("i")
+        depth = F.when(s["skip"], s["depth"]).when(ch == "{", s["depth"] + 1).when(ch == "}", s["depth"] - 1).otherwise(s["depth"])
+        skip = ~s["skip"] & (ch == "\\")
+        end = F.when(~s["skip"] & (ch == "}") & (s["depth"] == 1), s["i"] + 1).otherwise(0)
+        return F.when(s["end"] > 0, s).otherwise(F.struct(i, depth.alias("depth"), skip.alias("skip"), end.alias("end")))
+
+    def inside(r: Column) -> Column:
+        end = F.aggregate(F.split(r, ""), begin, step, lambda s: s["end"])
+        return bound(end, lambda e: F.when(e > 0, F.substr(r, F.lit(2), e - 2)))
+
+    return F.when((at > 0) & rest.startswith("{"), bound(rest, inside))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import markup
+from ..functions import markdown, markup, protect
 from ..functions.text import chain, strip
 from . import crossref
 
@@ -38,6 +38,28 @@ def latex_figures(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), block.alias("block"), exotic.alias("exotic"))
 
 
+#: Fixed value: an image command with its options and its path.
+GRAPHICS = r"\\includegraphics\s*(?:\[([^\]]*)\])?\s*\{([^}]+)\}"
+
+
+def translated(text: Column | str) -> Column:
+    """SCL-39: figure blocks in LaTeX with one plain image as markdown images with caption, label and width; others stay."""
+
+    def one(block: Column) -> Column:
+        options, path = (F.regexp_extract(block, GRAPHICS, g) for g in (1, 2))
+        asked = F.nullif(F.regexp_extract(options, r"(?:^|,)\s*width\s*=\s*([^,]+)", 1), F.lit(""))
+        width = markdown.latex_width(asked)
+        plain = ~block.rlike(r"\\(subfloat|rotatebox)\b") & (F.regexp_count(block, F.lit(r"\\includegraphics\b")) == 1) & block.rlike(GRAPHICS) & (asked.isNull() | width.isNotNull())
+        caption = strip(F.coalesce(markdown.braced(block, "\\caption"), F.lit("")))
+        label = strip(markdown.braced(block, "\\label"))
+        name = F.when(label != "", F.concat(F.lit("#"), F.when(label.rlike(r"(?i)^[a-z]+:"), label).otherwise(F.concat(F.lit("fig:"), label))))
+        marks = F.concat_ws(" ", name, F.concat(F.lit("width="), width))
+        image = F.concat(F.lit("!["), caption, F.lit("]("), strip(path), F.lit(")"), F.when(marks != "", F.concat(F.lit(" {"), marks, F.lit("}"))).otherwise(""))
+        return F.when(plain, image).otherwise(block)
+
+    return protect.replaced_by(text, LATEX, one)
+
+
 def matched(original: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """JOIN-16: found images with the original each stands for, each original once.
 

@@ -30,6 +30,17 @@ def latex_figures(c):
     return figures.latex_figures(c.select("doc_id", F.concat("text", F.lit("\n"), block).alias("text")), "doc_id").select("doc_id", "line", "exotic")
 
 
+@family.over("documents", """SELECT doc_id, concat(text, chr(10), CASE doc_id % 3 WHEN 0 THEN concat('![A {nested {cap}} of ', doc_id, '](a.png) {#fig:l', doc_id, ' width=50%}') WHEN 1 THEN '![](b.png)'
+    ELSE concat('\\begin{figure}', chr(10), '\\includegraphics{a.png}\\subfloat{x}', chr(10), '\\end{figure}') END, ' end') AS text FROM c""".replace("\\\\", "\\"))
+def latex_translated(c):
+    """SCL-39: captions with braces inside, blocks without a caption, and blocks that stay."""
+    k = F.col("doc_id")
+    inner = F.when(k % 3 == 0, F.concat(F.lit("\\includegraphics[width=0.5\\textwidth]{a.png}\n\\caption {A {nested {cap}} of "), k, F.lit("}\n\\label{l"), k, F.lit("}")))
+    inner = inner.when(k % 3 == 1, "\\includegraphics{ b.png }").otherwise("\\includegraphics{a.png}\\subfloat{x}")
+    block = F.concat(F.lit("\\begin{figure}\n"), inner, F.lit("\n\\end{figure}"))
+    return c.select("doc_id", figures.translated(F.concat("text", F.lit("\n"), block, F.lit(" end"))).alias("text"))
+
+
 @family.over("papers", "SELECT doc_id, 0::INT AS f, 0::INT AS o, (CASE WHEN doc_id % 2 = 0 THEN 210 ELSE 110 END)::INT AS score FROM c")
 def image_matches(c):
     own = figures.images(c, "doc_id")

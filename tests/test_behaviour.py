@@ -619,3 +619,10 @@ def test_session_state_expires_and_resumes(spark, tmp_path):
     assert set(second) - set(first) == {(8, 2, 5, False), (7, 2, 3, True)}
     arrive("c", (6, 7, "2024-01-01 01:25:00"))
     assert (7, 1, 6, False) in run()  # begins anew
+
+
+@pytest.mark.parametrize("text, argument", [("x \\caption{a {b} c} d", "a {b} c"), ("\\caption \n{a \\} b}", "a \\} b"), ("\\caption[short]{a}", None), ("\\caption{open {", None), ("none", None), ("\\caption{}", ""), (None, None)])
+def test_braced_argument(spark, text, argument):
+    from marginalia.functions import markdown
+
+    assert one(spark, markdown.braced("t", "\\caption"), t=text) == argument
