@@ -186,3 +186,24 @@ def proportional(doc_position: Column | str, doc_length: Column | str, text: Col
     at = F.when(col(doc_length) > 0, F.floor(F.length(col(text)) * col(doc_position) / col(doc_length))).otherwise(0).cast("int")
     near = F.regexp_instr(F.substr(col(text), at + 1, F.lit(50)), F.lit(r"\s"))
     return F.when(near > 0, at + near - 1).otherwise(at)
+
+
+def snapped(text: Column | str, pos: Column | str, reach: int = 50) -> Column:
+    """SCL-32: the nearest white space within reach of an offset, of two equally near ones the later; else the offset itself."""
+    t, p = col(text), col(pos)
+    n = F.length(t)
+    ahead = F.regexp_instr(F.substr(t, p + 1, F.lit(reach + 1)), F.lit(r"\s")) - 1
+    start = F.greatest(p - reach, F.lit(0))
+    back = F.regexp_instr(F.reverse(F.substr(t, start + 1, p - start)), F.lit(r"\s"))
+    nearest = F.when((ahead >= 0) & ((back == 0) | (ahead <= back)), p + ahead).when(back > 0, p - back).otherwise(p)
+    return F.when(p <= 0, 0).when(p >= n, n).otherwise(nearest)
+
+
+def past_heading(text: Column | str, pos: Column | str) -> Column:
+    """SCL-32: an offset before the end of the first heading moves to the beginning of the text below it."""
+    t, p = col(text), col(pos)
+    heading = r"(?m)^#{1,6}\s.+$"
+    at = F.regexp_instr(t, F.lit(heading)) - 1
+    end = at + F.length(F.regexp_extract(t, heading, 0))
+    below = end + F.length(F.regexp_extract(F.substr(t, end + 1), r"^[\r\n]*", 0))
+    return F.when(at < 0, p).when((p > 0) & (p >= end), p).otherwise(below)

@@ -626,3 +626,27 @@ def test_braced_argument(spark, text, argument):
     from marginalia.functions import markdown
 
     assert one(spark, markdown.braced("t", "\\caption"), t=text) == argument
+
+
+def test_snapped_and_past_headings(spark):
+    """Against a walk over the characters, for every offset of some texts."""
+
+    def walk(t, p):
+        if p <= 0:
+            return 0
+        if p >= len(t):
+            return len(t)
+        for d in range(51):
+            for q in (p + d, p - d):
+                if 0 <= q < len(t) and t[q].isspace():
+                    return q
+        return p
+
+    texts = ["one two  three", "x" * 130 + " y", "a " + "b" * 120, "lead\n## Rain\n\n\nfell here", "# Only", "no heading"]
+    rows = [(t, p) for t in texts for p in range(-1, len(t) + 2)]
+    df = spark.createDataFrame(rows, "t string, p int").select("t", "p", anchors.snapped("t", "p").alias("s"), anchors.past_heading("t", "p").alias("h"))
+    for r in df.collect():
+        assert r["s"] == walk(r["t"], r["p"]), (r["t"], r["p"])
+        m = re.search(r"(?m)^#{1,6}\s.+$", r["t"])
+        inside = m and not (r["p"] > 0 and r["p"] >= m.end())
+        assert r["h"] == (m.end() + len(re.match(r"[\r\n]*", r["t"][m.end() :])[0]) if inside else r["p"])
