@@ -10,8 +10,10 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import xml
 from ..operators import importing
-from ..sources import docx
+from ..sources import docx, word_source
+from ..streaming.watch import shared_folder
 from .base import Family, table
 
 family = Family()
@@ -108,3 +110,80 @@ def word_tables(spark, sf_dir):
 def word_change_counts(spark, sf_dir):
     """SRC-13."""
     return docx.read(_files(spark, sf_dir), "change_counts").select("path", "insertions", "deletions")
+
+
+def edited_file(doc_id: int, text: str) -> bytes:
+    """Every line a paragraph behind changes of one of three forms; the first paragraph is a heading."""
+    old = "".join(f'<w:del w:id="1">{_r(x, "delText")}</w:del>' for x in ("old ", "words"))
+    new = "".join(f'<w:ins w:id="2">{_r(x)}</w:ins>' for x in ("new ", "text "))
+    before = (f"{old}{new}", f'{new}{_r(" ")}{old}', f'{old}<w:ins w:id="3">{_r("  ")}</w:ins>{_r("and ")}')[doc_id % 3]
+    field = "<w:r><w:instrText>PAGE</w:instrText></w:r>"
+    lines = re.sub(_CONTROL, " ", text or "").split("\n")
+    body = "".join(_p(f"{before}{field}{_r(line + '.')}", "" if k else "Heading2") for k, line in enumerate(lines))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        # other prefixes than the usual one
+        z.writestr("word/document.xml", f"<w:document {_W}><w:body>{body}</w:body></w:document>".replace("<w:", "<own:").replace("</w:", "</own:").replace(" w:", " own:").replace("xmlns:w=", "xmlns:own="))
+    return out.getvalue()
+
+
+_CLEAN = r"regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b-\x1f\t\x{FFFE}\x{FFFF}]', ' ', 'g')"
+_CHANGED = "CASE doc_id % 3 WHEN 2 THEN '{--old words--} and ' ELSE '{~~old words~>new text~~} ' END"
+
+
+@family.over(None, rf"""SELECT {_PATH}, concat('## ', array_to_string(list_transform(string_split({_CLEAN}, chr(10)), lambda l: regexp_replace(concat({_CHANGED}, l, '.'), ' {{2,}}', ' ', 'g')), chr(10) || chr(10))) AS text,
+    (CASE doc_id % 3 WHEN 2 THEN 0 ELSE 2 END * len(string_split(coalesce(text, ''), chr(10))))::INT AS insertions, (2 * len(string_split(coalesce(text, ''), chr(10))))::INT AS deletions FROM documents""")
+def word_native_text(spark, sf_dir):
+    """SRC-11: tracked changes on every line of every document, neighbours merged."""
+    @F.pandas_udf("binary")
+    def made(doc_id: pd.Series, text: pd.Series) -> pd.Series:
+        from marginalia.plans.word_queries import edited_file
+
+        return pd.Series([edited_file(int(k), t) for k, t in zip(doc_id, text, strict=True)])
+
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(".docx")).alias("path"), made("doc_id", "text").alias("content"))
+    return docx.read(files, "native_text")
+
+
+_TOKEN = r"""<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>|<\?[\s\S]*?\?>|<(?:[^!?>"'']|![^>"''\-\[])(?:[^>"'']|"[^"]*"|''[^'']*'')*>|<[\s\S]*|[^<]+"""
+
+
+@family.over(None, rf"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '{_TOKEN}')) AS raw, generate_subscripts(regexp_extract_all(html, '{_TOKEN}'), 1) AS seq FROM pages),
+    k AS (SELECT *, CASE WHEN NOT starts_with(raw, '<') THEN 'text' WHEN starts_with(raw, '<!--') THEN 'comment' WHEN starts_with(raw, '<![CDATA[') THEN 'cdata' WHEN starts_with(raw, '<?xml') THEN 'decl'
+        WHEN starts_with(raw, '<?') THEN 'pi' WHEN starts_with(raw, '</') THEN 'close' WHEN ends_with(raw, '/>') THEN 'selfclose' ELSE 'open' END AS kind,
+        (sum(length(raw)) OVER (PARTITION BY page_id ORDER BY seq))::INT AS "end" FROM t)
+    SELECT page_id, (seq - 1)::INT AS seq, kind, CASE WHEN kind IN ('open', 'close', 'selfclose') THEN regexp_extract(raw, '^</?([^\s/>]*)', 1) ELSE '' END AS name, "end" - length(raw)::INT AS "start", "end", raw FROM k""")
+def xml_tokens(spark, sf_dir):
+    """SRC-15: the tokens of all pages with their places."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(xml.tokens("html")).alias("seq", "t"))
+    return rows.select("page_id", "seq", "t.kind", F.concat_ws(":", F.nullif("t.prefix", F.lit("")), "t.local").alias("name"), "t.start", "t.end", "t.raw")
+
+
+def _from_files(spark, sf_dir, what):
+    """The Word files of all documents, written as such and read by the data source."""
+    folder = shared_folder(spark)
+    word_source.written(_files(spark, sf_dir), folder)
+    word_source.register(spark)
+    rows = spark.read.format("word").option("what", what).load(folder)
+    return rows.withColumn("path", F.substring_index("path", "/", -1))
+
+
+_FAILED = "SELECT concat('doc', doc_id, '.docx') AS path, {} 'ValueError: not a Word document' AS error FROM documents WHERE doc_id % 4 = 3"
+
+
+@family.over(None, f"SELECT {_PATH}, '5' AS id, 'Ann' AS author, 'look' AS text, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS error FROM documents WHERE doc_id % 4 = 0 UNION ALL " + _FAILED.format("NULL, NULL, NULL, NULL,"))
+def word_source_comments(spark, sf_dir):
+    """SRC-06 as a data source; files that can't be read are rows with an error."""
+    return _from_files(spark, sf_dir, "comments").select("path", "id", "author", "text", "parent_id", "error")
+
+
+@family.over(None, f"SELECT {_PATH}, 'Heading2' AS style, 2 AS level, concat('Methods ', doc_id) AS text, NULL::VARCHAR AS error FROM documents WHERE doc_id % 4 = 2 UNION ALL " + _FAILED.format("NULL, NULL, NULL,"))
+def word_source_headings(spark, sf_dir):
+    """SRC-08 as a data source."""
+    return _from_files(spark, sf_dir, "headings").select("path", "style", "level", "text", "error")
+
+
+@family.over(None, f"SELECT {_PATH}, concat('| Sitex', doc_id, ' | Rain |', chr(10), '| --- | --- |', chr(10), '| Hill | sumx', doc_id, ' |') AS markdown, NULL::VARCHAR AS error FROM documents WHERE doc_id % 4 = 2 UNION ALL " + _FAILED.format("NULL,"))
+def word_source_tables(spark, sf_dir):
+    """SRC-09 as a data source."""
+    return _from_files(spark, sf_dir, "tables").select("path", "markdown", "error")

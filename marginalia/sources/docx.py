@@ -164,7 +164,7 @@ def tables(data: bytes) -> list[dict]:
 
 
 def tracked_text(data: bytes) -> str:
-    """SRC-10/11: the text with tracked changes as annotations and headings as markdown."""
+    """SRC-10: the text with tracked changes as annotations and headings as markdown."""
     out = []
 
     def inline(e) -> str:
@@ -189,6 +189,81 @@ def tracked_text(data: bytes) -> str:
     return re.sub(r"\{--((?:(?!--\}).)*)--\}\{\+\+((?:(?!\+\+\}).)*)\+\+\}", r"{~~\1~>\2~~}", text, flags=re.S)
 
 
+def merged_marks(text: str) -> str:
+    """Runs of like marks as one; a deletion and an insertion with at most blanks between them, in either order, as a substitution."""
+    run = {"--": r"(?:\{--(?:(?!--\}).)*--\})+", "++": r"(?:\{\+\+(?:(?!\+\+\}).)*\+\+\})+"}
+    either = re.compile("|".join(rf"(?P<first{k}>{run[a]})(?: *(?P<second{k}>{run[b]}))?" for k, (a, b) in enumerate((("--", "++"), ("++", "--")))), re.S)
+
+    def inner(marks: str, sign: str) -> str:
+        s = re.escape(sign)
+        return "".join(re.findall(rf"\{{{s}(.*?){s}\}}", marks, re.S))
+
+    def one(m: re.Match) -> str:
+        k = 0 if m["first0"] is not None else 1
+        sign, other = ("--", "++")[:: 1 if k == 0 else -1]
+        first, second = inner(m[f"first{k}"], sign), m[f"second{k}"]
+        if second is None:
+            return f"{{{sign}{first}{sign}}}"
+        old, new = (first, inner(second, other))[:: 1 if k == 0 else -1]
+        return f"{{~~{old.rstrip()}~>{new.rstrip()}~~}}" + (" " if old.endswith(" ") or new.endswith(" ") else "")
+
+    return either.sub(one, text)
+
+
+def native_text(data: bytes) -> dict:
+    """SRC-11: text with tracked changes straight from the flow of the main part, its insertions and deletions counted.
+
+    Text counts inside of t and delText only, tabs and breaks inside of runs
+    only.  Blank changes become plain text; neighbouring changes are merged;
+    several blanks become one; blank paragraphs go.
+    """
+    root = part(data, "word/document.xml")
+    out, counts = [], {"ins": 0, "del": 0}
+    text, held, mode, level, runs, properties = [], [], None, 0, 0, 0
+
+    def put(x: str) -> None:
+        (held if mode else text).append(x)
+
+    # elements with whether they begin or end; a stack, as documents may be nested deeply
+    todo = [(root, True)] if root is not None else []
+    while todo:
+        e, begins = todo.pop()
+        tag = e.tag[len(W) :] if isinstance(e.tag, str) and e.tag.startswith(W) else ""
+        empty = len(e) == 0 and not e.text
+        if begins:
+            todo.append((e, False))
+            todo += [(x, True) for x in reversed(e)]
+            if tag == "p":
+                text, held, mode, level = [], [], None, 0
+            elif tag == "pStyle" and properties and re.search("heading", e.get(f"{W}val") or "", re.I):
+                digits = re.search(r"\d+", e.get(f"{W}val"))
+                level = int(digits[0]) if digits else 0
+            elif tag in ("t", "delText") and e.text:
+                put(e.text)
+            elif tag in ("tab", "br", "cr") and runs and not properties:
+                put("\t" if tag == "tab" else "\n")
+            elif tag in ("ins", "del") and not empty:
+                held, mode = [], tag
+        elif tag in ("ins", "del") and not empty:
+            change = "".join(held)
+            if change.strip():
+                counts[tag] += 1
+                sign = "++" if tag == "ins" else "--"
+                change = f"{{{sign}{change}{sign}}}"
+            text.append(change)
+            held, mode = [], None
+        elif tag == "p":
+            line = re.sub(" {2,}", " ", merged_marks("".join(text)))
+            if line.strip():
+                out.append("#" * level + " " + line.strip() if 1 <= level <= 6 else line)
+            text, held, mode, level = [], [], None, 0
+        if tag == "r":
+            runs += 1 if begins else -1
+        elif tag == "pPr":
+            properties += 1 if begins else -1
+    return {"text": "\n\n".join(out), "insertions": counts["ins"], "deletions": counts["del"]}
+
+
 def plain_text(data: bytes) -> str:
     """SRC-12."""
     return "".join(v for k, v in flow(data) if k == "text").strip()
@@ -225,6 +300,7 @@ READERS = {
     "headings": (headings, "style string, level int, text string, doc_position int"),
     "tables": (tables, "rows array<array<string>>, markdown string"),
     "tracked_text": (lambda d: [{"text": tracked_text(d)}], "text string"),
+    "native_text": (lambda d: [native_text(d)], "text string, insertions int, deletions int"),
     "plain_text": (lambda d: [{"text": plain_text(d)}], "text string"),
     "metadata": (lambda d: [metadata(d)], "title string, author string, created string, modified string"),
     "change_counts": (lambda d: [change_counts(d)], "insertions int, deletions int"),
