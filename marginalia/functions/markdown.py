@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .protect import replaced_by
 from .text import bound, chain, col, strip
 
 #: LaTeX as a word processor shows it; the order matters.
@@ -20,6 +21,14 @@ MARKS = (
 #: Fixed value: what a line may start with.
 PREFIX = r"^(#{1,6}\s+|\s*[-*+]\s+|\s*\d+\.\s+|>\s*)"
 
+#: Fixed value: a pipe table, its head with the line of dashes and its rows.
+TABLE = r"(?m)^(\|[^\n]+\|\r?\n\|[-:| ]+\|\r?\n)((?:\|[^\n]+\|\r?\n?)++)"
+#: Distributions as formulas; the order matters.
+DISTRIBUTIONS = (
+    (r"Half-Normal\(([^)]+)\)", r"\$\\text{Half-Normal}($1)\$"), (r"Normal\(([^)]+)\)", r"\$\\mathcal{N}($1)\$"), (r"Student-t\((\d+),\s*([^)]+)\)", r"\$t_{$1}($2)\$"),
+    (r"Gamma\(([^)]+)\)", r"\$\\text{Gamma}($1)\$"), (r"Exponential\(([^)]+)\)", r"\$\\text{Exp}($1)\$"),
+)
+
 
 def plain_math(c: Column | str) -> Column:
     """SCL-17."""
@@ -82,3 +91,33 @@ def braced(c: Column | str, command: str) -> Column:
         return bound(end, lambda e: F.when(e > 0, F.substr(r, F.lit(2), e - 2)))
 
     return F.when((at > 0) & rest.startswith("{"), bound(rest, inside))
+
+
+def tables_kept_whole(c: Column | str, nowrap: list[str], to: str = "pdf") -> Column:
+    """SCL-38: in columns whose header has one of the names, distributions become formulas, so that cells are not broken; for pdf and tex only.
+
+    Cells that are empty, or begin with a formula or a command, stay.  Tables
+    without such a column stay byte for byte; others end with a line feed.
+    """
+    names = [n.lower() for n in nowrap]
+    if to not in ("pdf", "tex") or not names:
+        return col(c)
+
+    def cell(x: Column) -> Column:
+        own = strip(x)
+        return F.when((own == "") | own.startswith("$") | own.startswith("\\"), x).otherwise(F.concat(F.lit(" "), chain(own, *DISTRIBUTIONS), F.lit(" ")))
+
+    def table(whole: Column) -> Column:
+        head = F.regexp_extract(whole, r"\A[^\n]*\n[^\n]*\n", 0)
+        titles = F.transform(F.split(F.split(whole, "\n", 2)[0], r"\|", -1), lambda t: F.lower(strip(t)))
+        # the first and the last piece of a row stand outside of the bars
+        wanted = F.transform(titles, lambda t, k: (k > 0) & (k < F.size(titles) - 1) & F.array_max(F.array(*(F.contains(t, F.lit(n)) for n in names))))
+        rows = F.filter(F.split(F.substr(whole, F.length(head) + 1), r"\r?\n", -1), lambda r: strip(r) != "")
+
+        def put(own: Column) -> Column:
+            row = lambda r: F.array_join(F.transform(F.split(r, r"\|", -1), lambda x, k: F.when(F.coalesce(F.get(own, k), F.lit(False)), cell(x)).otherwise(x)), "|")
+            return F.when(F.array_max(own), F.concat(head, F.array_join(F.transform(rows, row), "\n"), F.lit("\n"))).otherwise(whole)
+
+        return bound(wanted, put)
+
+    return replaced_by(c, TABLE, table)

@@ -143,3 +143,19 @@ def conflict_text(found: DataFrame, texts: DataFrame, key: str, around: int = 50
     original = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
     parts = [F.when(before != "", F.concat(F.lit("  ..."), before)), F.concat(F.lit('  [ORIGINAL]: "'), F.when(original == "", "(insertion point)").otherwise(original), F.lit('"')), F.when(after != "", F.concat(F.lit("  "), after, F.lit("...")))]
     return rows.select(key, "conflict", F.concat_ws("\n", *parts, F.lit(""), F.lit("  Options:"), F.array_join(F.transform("o", lambda x: x["option"]), "\n")).alias("shown"))
+
+
+def conflict_markers(found: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """SCL-34: each conflict's part of the text becomes its changes between markers, from the end of the text backwards; texts without conflicts stay."""
+    own = found.filter("conflict IS NOT NULL")
+    said = F.when(F.col("type") == "delete", F.concat(F.lit('[DELETED: "'), "old_text", F.lit('"]'))).otherwise(F.col("new_text"))
+    option = F.concat(F.lit("======= "), "reviewer", F.lit("\n"), said)
+    each = own.withColumn("option", option).groupBy(key, "conflict").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("place", "option"))).alias("o"))
+    marks = F.concat(F.lit("<<<<<<< CONFLICT "), "conflict", F.lit("\n"), F.array_join(F.transform("o", lambda x: x["option"]), "\n"), F.lit("\n>>>>>>> END "), "conflict")
+    ord_ = F.regexp_extract("conflict", r"\d+", 0).cast("int")
+    # the last first; of those that begin in one place the first first
+    row = F.struct((-F.col("start")).alias("back"), ord_.alias("ord"), "start", "end", marks.alias("marks"))
+    of_text = each.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(row)).alias("_c"))
+    put = lambda t, c: F.concat(F.substr(t, F.lit(1), c["start"]), c["marks"], F.substr(t, c["end"] + 1))
+    rows = texts.join(of_text, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return rows.select(key, F.when(F.col("_c").isNull(), F.col("text")).otherwise(F.aggregate("_c", F.col("text"), put)).alias("text"))

@@ -120,3 +120,36 @@ def chosen(found: DataFrame, names: list[str]) -> DataFrame:
     for name in (n.strip().lower() for n in names):
         wanted = wanted | F.contains(file, F.lit(name)) | F.contains(header, F.lit(name))
     return found.filter(wanted) if names else found
+
+
+def header(c: Column | str) -> Column:
+    """EXT-32: the first heading of level 1; empty if there is none."""
+    return strip(F.regexp_extract(c, r"(?m)^#[^\S\n]+([^\n]+)$", 1))
+
+
+def first_heading(c: Column | str) -> Column:
+    """EXT-32: the first heading of any level; empty if there is none."""
+    return strip(F.regexp_extract(c, r"(?m)^#{1,6}[^\S\n]+([^\n]+)$", 1))
+
+
+def derived(listed: DataFrame, texts: DataFrame, project: str) -> DataFrame:
+    """SRC-20: the configuration that a project's list of files stands for: project, file, header, aliases, ord.
+
+    listed: project, files (array, in order; null entries count as places).
+    texts: project, file, text.  The header is the file's first heading, else
+    its name in words.  A file that is listed twice has the later place.
+    """
+    each = listed.select(project, F.posexplode("files").alias("ord", "file")).filter("file IS NOT NULL").groupBy(project, "file").agg(F.max("ord").alias("ord"))
+    heads = texts.select(F.col(project).alias("_project"), F.col("file").alias("_file"), F.nullif(first_heading("text"), F.lit("")).alias("_head"))
+    name = F.regexp_replace(F.regexp_extract("file", r"[^/]*\z", 0), r"\.md\z", "")
+    words_of = F.transform(F.split(name, r"[-_\s]+", -1), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2))))
+    rows = each.join(heads, F.col(project).eqNullSafe(F.col("_project")) & (F.col("file") == F.col("_file")), "left")
+    return rows.select(project, "file", F.coalesce("_head", F.array_join(words_of, " ")).alias("header"), F.array().cast("array<string>").alias("aliases"), "ord")
+
+
+def resolved(explicit: DataFrame, listed: DataFrame, texts: DataFrame, project: str) -> DataFrame:
+    """SRC-20: a project's own configuration if it has one, else what its list of files stands for, with `origin`."""
+    have = explicit.select(F.col(project).alias("_have")).distinct()
+    lists = listed.join(have, F.col(project).eqNullSafe(F.col("_have")), "left_anti")
+    own = explicit.select(project, "file", "header", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "ord", F.lit("own").alias("origin"))
+    return own.unionByName(derived(lists, texts, project).withColumn("origin", F.lit("derived")))

@@ -58,6 +58,11 @@ CORPORA = {
     "reworded": """
         SELECT doc_id, text, concat(' {{~~[@A2020]~>(Author 2020)~~}} {{--$x$--}} so {{++(Author et al. 2021; Other 2022)++}}. {{~~[@B2001] old~>new~~}}{{++2020a).++}} end ', doc_id, '{{++ ++}} .') AS marked
         FROM {documents}""",
+    "priors": """
+        SELECT doc_id, concat(coalesce(text, ''), chr(10), chr(10), '| No | Table |', chr(10), '| of | dashes |', chr(10), chr(10), '| Normal(1) | none |', chr(10), '|--|--|', chr(10), '| Normal(2) | prior |', chr(10), chr(10),
+               '| Term | Prior ', doc_id, '| Rest | Shape|', chr(10), '|:---|:-: |---|-|', chr(10), '| a | Normal(0, ', doc_id, ') | Gamma(1, 2) |Gamma(', doc_id, ', 3)|', chr(10), '|b|Half-Normal(3) or Normal(4)| ', source, ' | |', chr(10),
+               '| c |Student-t(4,  0, 1) and Exponential(2)|', chr(10), '| d |$y$ Normal(1)| e | ', chr(92), 'beta |Normal(2)|', chr(10), '|Normal(3)||', lang, ' | flat|', CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) ELSE concat(chr(10), 'After. | Normal(1) |', chr(10)) END) AS text
+        FROM {documents}""",
     "changes": """
         SELECT CAST(floor(l_orderkey / 60) AS BIGINT) AS doc_id, concat('R', l_suppkey % 4) AS reviewer, CAST(l_suppkey % 4 AS INT) AS reviewer_ord, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq,
                CASE WHEN l_partkey % 5 = 0 THEN 'insert' WHEN l_partkey % 5 = 1 THEN 'delete' ELSE 'replace' END AS type,

@@ -352,4 +352,33 @@ def anonymize(c):
     return c.select("doc_id", X.anonymized(t, ["Ann Lee"]).alias("text"))
 
 
-
+#: DuckDB: the texts under names of files, four to a project; every third begins with a heading of level 2, every other of these has one of level 1 behind.
+_NAMED = """t AS (SELECT doc_id, doc_id // 4 AS project, concat('parts/', doc_id % 4, '_more-Words_', doc_id, '.md') AS file,
+    CASE doc_id % 3 WHEN 0 THEN concat('## Aims of ', doc_id, '  ', chr(10), coalesce(text, ''), chr(10), CASE WHEN doc_id % 2 = 0 THEN '# Late' ELSE '#hash' END) WHEN 1 THEN concat('####### seven', chr(10), coalesce(text, '')) ELSE text END AS text FROM c)"""
+
+
+def _named(c):
+    k = F.col("doc_id")
+    late = F.when(k % 2 == 0, "# Late").otherwise("#hash")
+    t = F.coalesce("text", F.lit(""))
+    text = F.when(k % 3 == 0, F.concat(F.lit("## Aims of "), k, F.lit("  \n"), t, F.lit("\n"), late)).when(k % 3 == 1, F.concat(F.lit("####### seven\n"), t)).otherwise(F.col("text"))
+    return c.select("doc_id", F.floor(k / 4).alias("project"), F.concat(F.lit("parts/"), k % 4, F.lit("_more-Words_"), k, F.lit(".md")).alias("file"), text.alias("text"))
+
+
+@family.over("documents", "+ " + _NAMED + r""" SELECT doc_id, trim(list_extract(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '^#\s+.+$')), 1)[2:]) AS header,
+    trim(regexp_replace(list_extract(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '^#{1,6}\s+.+$')), 1), '^#+', '')) AS heading FROM t""")
+def first_headings(c):
+    """EXT-32."""
+    return _named(c).select("doc_id", F.nullif(sections.header("text"), F.lit("")).alias("header"), F.nullif(sections.first_heading("text"), F.lit("")).alias("heading"))
+
+
+@family.over("documents", "+ " + _NAMED + r""", own AS (SELECT project, file, row_number() OVER (PARTITION BY project ORDER BY doc_id DESC)::INT - 1 AS ord, list_extract(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '^#{1,6}\s+.+$')), 1) AS head, doc_id FROM t)
+    SELECT project, file, coalesce(trim(regexp_replace(head, '^#+', '')), concat(doc_id % 4, ' More Words ', doc_id)) AS header, []::VARCHAR[] AS aliases, ord, 'derived' AS origin FROM own WHERE project % 5 <> 1
+    UNION ALL SELECT project, file, concat('Own ', doc_id), CASE WHEN doc_id % 2 = 0 THEN ['alias'] ELSE [] END, (doc_id % 4)::INT, 'own' FROM t WHERE project % 5 = 1""")
+def sections_resolved(c):
+    """SRC-20: every fifth project has a configuration, the others list their files from the last to the first."""
+    texts = _named(c)
+    own = texts.filter("project % 5 = 1").select("project", "file", F.concat(F.lit("Own "), "doc_id").alias("header"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("alias"))).alias("aliases"), (F.col("doc_id") % 4).cast("int").alias("ord"))
+    files = F.sort_array(F.collect_list(F.struct("doc_id", "file")), asc=False)
+    listed = texts.groupBy("project").agg(F.transform(files, lambda x: x["file"]).alias("files"))
+    return sections.resolved(own, listed, texts.select("project", "file", "text"), "project")

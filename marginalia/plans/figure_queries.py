@@ -84,6 +84,50 @@ def _shown_sql() -> str:
 SQL["conflict_text"] = _shown_sql()
 
 
+@family.over("changes")
+def conflict_markers(c):
+    texts = c.select("doc_id").distinct().withColumn("text", F.concat(F.repeat(F.lit("some text of the base. "), 300), F.col("doc_id").cast("string")))
+    return figures.conflict_markers(merging.conflicts(c, "doc_id"), texts, "doc_id")
+
+
+def _marked_sql() -> str:
+    """The conflicts of a text from the last to the first, each put into what the ones before gave."""
+    option = """concat('======= ', reviewer, chr(10), CASE WHEN type = 'delete' THEN concat('[DELETED: ', chr(34), old_text, chr(34), ']') ELSE new_text END)"""
+    each = f"""SELECT doc_id, conflict, min("start") AS s, max("end") AS e, concat('<<<<<<< CONFLICT ', conflict, chr(10), string_agg({option}, chr(10) ORDER BY place), chr(10), '>>>>>>> END ', conflict) AS m FROM g WHERE conflict IS NOT NULL GROUP BY 1, 2"""
+    lists = f"SELECT doc_id, list(struct_pack(s := s, e := e, m := m) ORDER BY s DESC, substr(conflict, 2)::INT) AS l FROM ({each}) GROUP BY 1"
+    begin = "struct_pack(s := 0, e := 0, m := concat(repeat('some text of the base. ', 300), d.doc_id))"
+    put = "lambda a, x: struct_pack(s := x.s, e := x.e, m := concat(left(a.m, x.s), x.m, substr(a.m, x.e + 1)))"
+    return relations.grouped(f"SELECT d.doc_id, list_reduce(list_prepend({begin}, coalesce(l, [])), {put}).m AS text FROM (SELECT DISTINCT doc_id FROM c) d LEFT JOIN ({lists}) l ON l.doc_id = d.doc_id")
+
+
+SQL["conflict_markers"] = _marked_sql()
+
+
+#: DuckDB: lines with the run of rows that they stand in, the head of the first table of each run, and the columns that are wanted.
+_TABLED = r"""+ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM c),
+    r AS (SELECT *, regexp_full_match(t, '\|.+\|') AS bar, regexp_full_match(t, '\|[-:| ]+\|') AS dash FROM l),
+    h AS (SELECT *, bar AND coalesce(lead(dash) OVER w, false) AND coalesce(lead(bar, 2) OVER w, false) AS head, sum((NOT bar)::INT) OVER w AS run FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    b AS (SELECT *, min(n) FILTER (bar AND head) OVER (PARTITION BY doc_id, run) AS top FROM h),
+    k AS (SELECT b.*, list_transform(string_split(x.t, '|'), lambda y, i: i > 1 AND i < len(string_split(x.t, '|')) AND regexp_matches(lower(y), 'prior|shape')) AS wanted FROM b LEFT JOIN b x ON x.doc_id = b.doc_id AND x.n = b.top),
+    d AS (SELECT doc_id, n, t, bar AND n > top + 1 AND list_bool_or(wanted) AS done, list_transform(string_split(t, '|'), lambda y, i: CASE WHEN coalesce(wanted[i], false) AND trim(y) <> '' AND left(trim(y), 1) NOT IN ('$', chr(92)) THEN concat(' ', __, ' ') ELSE y END) AS cells FROM k)
+    SELECT doc_id, string_agg(CASE WHEN done THEN array_to_string(cells, '|') ELSE t END, chr(10) ORDER BY n) || CASE WHEN arg_max(coalesce(done, false), n) THEN chr(10) ELSE '' END AS text FROM d GROUP BY 1"""
+
+
+def _tabled_sql() -> str:
+    """Names of distributions as formulas, one after the other."""
+    cell = "trim(y)"
+    for name, formula in (("Half-Normal", r"$\\text{Half-Normal}(\1)$"), ("Normal", r"$\\mathcal{N}(\1)$"), ("Student-t", ""), ("Gamma", r"$\\text{Gamma}(\1)$"), ("Exponential", r"$\\text{Exp}(\1)$")):
+        pattern, formula = (r"\(([^)]+)\)", formula) if formula else (r"\((\d+),\s*([^)]+)\)", r"$t_{\1}(\2)$")
+        cell = f"regexp_replace({cell}, '{name}{pattern}', '{formula}', 'g')"
+    return _TABLED.replace("__", cell)
+
+
+@family.over("priors", _tabled_sql())
+def tables_kept_whole(c):
+    """SCL-38: columns of priors and shapes."""
+    return c.select("doc_id", markdown.tables_kept_whole("text", ["Prior", "shape"]).alias("text"))
+
+
 @family.over("documents")
 def slides_parse(c):
     deck = F.concat(F.lit("---\ntitle: t\n---\n# One {.dark}\n- a\n  - b\n- c\n::: step\n"), F.col("source"), F.lit("\n:::\n---\n## Two\n"), F.col("text"))

@@ -6,9 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import diff, markup, protect
+from marginalia.functions import diff, markdown, markup, protect
 from marginalia.functions import text as X
-from marginalia.operators import anchors, annotations, citations, crossref, diffs, equations, journals, lines, merging, paragraphs, sections, style, threads
+from marginalia.operators import anchors, annotations, citations, crossref, diffs, equations, figures, journals, lines, merging, paragraphs, sections, style, threads
 
 
 def one(spark, column, **values):
@@ -650,3 +650,48 @@ def test_snapped_and_past_headings(spark):
         m = re.search(r"(?m)^#{1,6}\s.+$", r["t"])
         inside = m and not (r["p"] > 0 and r["p"] >= m.end())
         assert r["h"] == (m.end() + len(re.match(r"[\r\n]*", r["t"][m.end() :])[0]) if inside else r["p"])
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("| A | Prior |\n|--|--|\n| x | Normal(0, 1) |", "| A | Prior |\n|--|--|\n| x | $\\mathcal{N}(0, 1)$ |\n"),
+        ("| A | Other |\n|--|--|\n| x | Normal(0, 1) |", None),
+        ("| A | Prior |\n| x | Normal(0, 1) |", None),
+        ("| prior |\r\n|--|\r\n| Gamma(1) |\r\n|  |\r\nend", "| prior |\r\n|--|\r\n| $\\text{Gamma}(1)$ |\n|  |\nend"),
+        ("|a|PRIOR|\n|-|-|\n|Normal(1)|\n|Normal(1)|Student-t(3, a)|more|", "|a|PRIOR|\n|-|-|\n|Normal(1)|\n|Normal(1)| $t_{3}(a)$ |more|\n"),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_tables_kept_whole(spark, text, want):
+    df = spark.createDataFrame([(text,)], "x string")
+    assert df.select(markdown.tables_kept_whole("x", ["prior"])).first()[0] == (text if want is None else want)
+    assert df.select(markdown.tables_kept_whole("x", ["prior"], "docx")).first()[0] == text
+    assert df.select(markdown.tables_kept_whole("x", [])).first()[0] == text
+
+
+def test_long_table(spark):
+    rows = "".join(f"| {k} | Normal({k}) |\n" for k in range(20000))
+    got = spark.createDataFrame([("| a | prior |\n|-|-|\n" + rows,)], "x string").select(markdown.tables_kept_whole("x", ["prior"])).first()[0]
+    assert got == "| a | prior |\n|-|-|\n" + re.sub(r"Normal\((\d+)\)", r"$\\mathcal{N}(\1)$", rows)
+
+
+def test_conflict_markers(spark):
+    """Overlapping conflicts are put in from the last to the first, like slices of a string."""
+    names = "doc_id long, conflict string, place int, reviewer string, type string, start int, end int, old_text string, new_text string"
+    found = [(1, "c1", 0, "A", "replace", 4, 7, "two", "zwei"), (1, "c1", 1, "B", "delete", 4, 9, "two t", ""), (1, "c2", 1, "B", "insert", 8, 8, "", "in"), (1, "c2", 0, "A", "insert", 8, 8, "", "an"), (1, None, 0, "A", "insert", 0, 0, "", "free")]
+    texts = spark.createDataFrame([(1, "one two three"), (2, "untouched"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in figures.conflict_markers(spark.createDataFrame(found, names), texts, "doc_id").collect()}
+    text = "one two three"
+    for start, end, marks in ((8, 8, "<<<<<<< CONFLICT c2\n======= A\nan\n======= B\nin\n>>>>>>> END c2"), (4, 9, '<<<<<<< CONFLICT c1\n======= A\nzwei\n======= B\n[DELETED: "two t"]\n>>>>>>> END c1')):
+        text = text[:start] + marks + text[end:]
+    assert got == {1: text, 2: "untouched", 3: None}
+
+
+def test_sections_of_a_list(spark):
+    listed = spark.createDataFrame([("p", ["a_long-name.md", None, "b.md", "a_long-name.md"]), ("q", ["x.md"]), (None, ["b.md"])], "project string, files array<string>")
+    texts = spark.createDataFrame([("p", "b.md", "words\n### Third \n# First"), (None, "b.md", "#none\n# "), ("q", "x.md", "# X")], "project string, file string, text string")
+    own = spark.createDataFrame([("q", "y.md", "Why", None, None)], "project string, file string, header string, aliases array<string>, ord int")
+    got = {tuple(r) for r in sections.resolved(own, listed, texts, "project").withColumn("aliases", F.size("aliases")).collect()}
+    assert got == {("p", "a_long-name.md", "A Long Name", 0, 3, "derived"), ("p", "b.md", "Third", 0, 2, "derived"), (None, "b.md", "B", 0, 0, "derived"), ("q", "y.md", "Why", 0, None, "own")}
