@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import documents, figure_queries, markup_queries, relations, streams, versions, word_queries
+from . import documents, figure_queries, markup_queries, registry_queries, relations, streams, versions, word_queries
 
-FAMILIES = (markup_queries, documents, relations, figure_queries, versions, word_queries, streams)
+FAMILIES = (markup_queries, documents, relations, registry_queries, figure_queries, versions, word_queries, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
