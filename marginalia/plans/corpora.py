@@ -58,6 +58,17 @@ CORPORA = {
     "reworded": """
         SELECT doc_id, text, concat(' {{~~[@A2020]~>(Author 2020)~~}} {{--$x$--}} so {{++(Author et al. 2021; Other 2022)++}}. {{~~[@B2001] old~>new~~}}{{++2020a).++}} end ', doc_id, '{{++ ++}} .') AS marked
         FROM {documents}""",
+    "doubtful": """
+        SELECT doc_id, concat(coalesce(text, ''), chr(10), CASE doc_id % 24
+               WHEN 0 THEN concat('```r', chr(10), '{{>>in code<<}}') WHEN 1 THEN concat('```r', chr(10), 'x', chr(10), '```', chr(10), '{{>>behind code<<}}') WHEN 2 THEN '    {{>>set in<<}}'
+               WHEN 3 THEN 'a `b {{>>c<<}} d`' WHEN 4 THEN 'a `b` {{>>c<<}}' WHEN 5 THEN '{{--old {{>>in a deletion<<}}--}}'
+               WHEN 6 THEN '{{++new {{>>in an insertion<<}}++}}' WHEN 7 THEN '{{++new++}} {{>>behind one<<}} {{--old--}} {{>>and one<<}}' WHEN 8 THEN '{{>>look (figure/one)<<}}'
+               WHEN 9 THEN '{{>>rain.PNG<<}}' WHEN 10 THEN '{{>>{{#fig:a}}<<}}' WHEN 11 THEN '{{>>see https://x.org<<}}'
+               WHEN 12 THEN '{{>>Ann: see https://x.org<<}}' WHEN 13 THEN concat('{{>>www.', repeat('x', 150), '<<}}') WHEN 14 THEN '{{>>let it rain<<}}'
+               WHEN 15 THEN concat('{{>>', repeat('long ', 45), '<<}}') WHEN 16 THEN concat('{{>>Bo: ', repeat('long ', 45), '<<}}') WHEN 17 THEN concat('{{>>✓ ', repeat('long ', 45), '<<}}')
+               WHEN 18 THEN '{{>> figure of rain<<}}' WHEN 19 THEN '{{>>Ann: Figure of rain<<}}' WHEN 20 THEN concat('{{>>so ', chr(92), 'frac{{a}}<<}}')
+               WHEN 21 THEN '{{>>@Book{{x<<}}' WHEN 22 THEN '{{>>plain<<}}' WHEN 23 THEN '{{>>Ann: function (x)<<}}' END, chr(10), '{{>>last ', doc_id, '<<}}') AS text
+        FROM {documents}""",
     "priors": """
         SELECT doc_id, concat(coalesce(text, ''), chr(10), chr(10), '| No | Table |', chr(10), '| of | dashes |', chr(10), chr(10), '| Normal(1) | none |', chr(10), '|--|--|', chr(10), '| Normal(2) | prior |', chr(10), chr(10),
                '| Term | Prior ', doc_id, '| Rest | Shape|', chr(10), '|:---|:-: |---|-|', chr(10), '| a | Normal(0, ', doc_id, ') | Gamma(1, 2) |Gamma(', doc_id, ', 3)|', chr(10), '|b|Half-Normal(3) or Normal(4)| ', source, ' | |', chr(10),

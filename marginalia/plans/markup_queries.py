@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import markup
@@ -47,6 +49,26 @@ def annotation_counts(c):
     return annotations.counts(c, "doc_id")
 
 
+_DOUBT = r"""SELECT doc_id, pos, g1 AS content,
+    n(before, '(?m)^```|^~~~') > n(before, '(?m)```$|~~~$') OR regexp_matches(line, '^(\t|    )') OR n(line, '`') % 2 = 1 OR n(near, '\{--') > n(near, '--\}') OR n(near, '\{\+\+') > n(near, '\+\+\}')
+    OR regexp_matches(g1, '(?i)\(figures?/|\(images?/|\.png|\.jpg|\.jpeg|\.gif|\.svg|\.pdf') OR regexp_matches(g1, '\{#fig:|!\[') OR (NOT author AND regexp_matches(g1, '(?i)https?://|www\.') AND length(g1) < 150)
+    OR regexp_matches(g1, 'function\s*\(|=>|import\s+|export\s+|const\s+|let\s+|var\s+') OR (NOT author AND NOT regexp_matches(c, '^[✓✔]\s') AND length(g1) > 200)
+    OR regexp_matches(c, '(?i)^(Fig\.?|Figure|Table|Sankey|Diagram|Proportion|Distribution|Map|Chart|Graph|Plot|Panel)') OR regexp_matches(g1, '\\[a-z]+\{|\\frac|\\sum|\\int|\\begin\{') OR regexp_matches(g1, '(?i)@article\{|@book\{|@inproceedings\{') AS mistaken
+    FROM (SELECT *, trim(g1) AS c, regexp_matches(trim(g1), '^\p{L}[\p{L}\s\-''.]{0,30}:\s') AS author, right(substr(text, 1, pos), 2000) AS before, right(substr(text, 1, pos), 500) AS near, list_extract(string_split(right(substr(text, 1, pos), 2000), chr(10)), -1) AS line FROM (__))"""
+
+
+def _counted(sql: str) -> str:
+    """n(text, pattern) as DuckDB has it."""
+    return re.sub(r"\bn\((\w+), ('[^']*')\)", r"len(regexp_extract_all(\1, \2))", sql)
+
+
+@family.over("doubtful", _counted(_DOUBT).replace("__", duck_matches("doc_id", r"(?s)\{>>(.+?)<<\}")))
+def comments_mistaken(c):
+    """EXT-02: what looks like a comment, in each of its forms, and whether it is none."""
+    found = c.select("doc_id", "text", F.explode(markup.matches("text", markup.COMMENT, 1)).alias("m"))
+    return found.select("doc_id", "m.pos", F.col("m.g1").alias("content"), markup.is_false_comment("m.g1", "text", "m.pos").alias("mistaken"))
+
+
 _STRIP = [(r"(?s)\{~~(.+?)~>(.+?)~~\}", r"\2"), (r"(?s)\{\+\+(.+?)\+\+\}", r"\1"), (r"(?s)\{--(.+?)--\}", ""), (r"(?s)\{==(.+?)==\}", r"\1"), (r"(?s)\{>>(.+?)<<\}", ""), (r"\[([^\]]*)\]\{\.mark\}", r"\1"), (r"\{----\}", ""), (r"\{\+\+\+\+\}", ""), (r"\{--\s*--\}", ""), (r"\{\+\+\s*\+\+\}", ""), (r"~>[^{]*?~~\}", ""), (r"\{~~\{~~", "{~~"), (r"~~\}~~\}", "~~}")]
 
 
