@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import markdown, markup, protect
 from ..functions.text import chain, strip
@@ -80,17 +82,26 @@ def matched(original: DataFrame, found: DataFrame, key: str) -> DataFrame:
     score = points(F.col("a_label") == F.col("b_label"), BY_LABEL) + F.when(same, BY_CAPTION).otherwise(points(part, BY_PART)) + points(F.col("a_file") == F.col("b_file"), BY_FILE)
     scored = pairs.select(key, "f", "o", score.alias("score")).filter(F.col("score") >= ENOUGH)
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for f, own in pdf.sort_values(["f", "score", "o"], ascending=[True, False, True]).groupby("f", sort=True):
-            for o, s in zip(own["o"], own["score"], strict=True):
-                if o not in used:
+    schema = T.StructType([scored.schema[key], *T.StructType.fromDDL("f int, o int, score int").fields])
+    arrow = to_arrow_schema(schema)
+
+    def choose(batches):
+        last, used, done = None, None, None
+        for batch in batches:
+            rows = []
+            for k, f, o, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if used is None or k != last:
+                    last, used, done = k, set(), None
+                if f != done and o not in used:
                     used.add(o)
-                    out.append((pdf[key].iloc[0], f, o, s))
-                    break
-        return pd.DataFrame(out, columns=[key, "f", "o", "score"])
-
-    return scored.groupBy(key).applyInPandas(choose, f"{key} {scored.schema[key].dataType.simpleString()}, f int, o int, score int")
+                    done = f
+                    rows.append((k, f, o, s))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    n = int(original.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scored.select(key, *[F.col(c).cast("int").alias(c) for c in ("f", "o", "score")])
+    return rows.repartition(n, key).sortWithinPartitions(key, "f", F.desc("score"), "o").mapInArrow(choose, schema)
 
 
 def previews(docs: DataFrame, *keep: str, most: int = 10, context: int = 40) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Width of the buckets by which changes are compared.
 WIDTH = 256
+#: A place that is neither before nor behind any other.
+NOWHERE = float("nan")
 CHANGE = "reviewer string, type string, start int, end int, old_text string, new_text string"
 
 
@@ -36,14 +42,78 @@ def overlapping_pairs(changes: DataFrame, key: str, change_id: str) -> DataFrame
     return pairs.filter(overlap("a", "b")).select(key, "a_id", "b_id")
 
 
-def _overlap(a, b) -> bool:
-    if a.type == "insert" and b.type == "insert" and a.start == b.start:
-        return a.new_text != b.new_text
-    a_end = a.start if a.type == "insert" else a.end
-    b_end = b.start if b.type == "insert" else b.end
-    if a_end <= b.start or b_end <= a.start:
-        return False
-    return not (a.type == b.type and a.old_text == b.old_text and a.new_text == b.new_text)
+class _Leader:
+    """A change that no earlier one has taken, with those it has taken."""
+
+    __slots__ = ("closed", "end", "members", "new", "number", "old", "reach", "row", "start", "type")
+
+    def __init__(self, row, type_, start, end, old, new):
+        self.row, self.type, self.start, self.end, self.old, self.new = row, type_, start, end, old, new
+        # an insertion has no width: nothing that starts later can touch it
+        self.reach = start if type_ == "insert" else end
+        self.members, self.number, self.closed = 1, None, False
+
+
+class _Grouping:
+    """The greedy conflicts of one document, whose changes come in order; what is open is all that is kept."""
+
+    def __init__(self):
+        self.open: list[_Leader] = []
+        self.unsettled: deque[_Leader] = deque()
+        self.n = 0
+
+    def taken(self, row: int, type_, start, end, old, new) -> tuple[_Leader, int]:
+        """The leader of the next change, and the change's place behind it."""
+        expired = again = False
+        found = None
+        for one in self.open:
+            if start > one.reach:
+                one.closed = expired = True
+                continue
+            if one.type == "insert" and type_ == "insert" and one.start == start:
+                if one.new != new:
+                    found = one
+                    break
+                again = True
+                continue
+            if one.reach <= start or (start if type_ == "insert" else end) <= one.start:
+                continue
+            if one.type == type_ and one.old == old and one.new == new:
+                again = again or (one.start == start and one.end == end)
+                continue
+            found = one
+            break
+        if expired:
+            self.open = [one for one in self.open if not one.closed]
+        if found is not None:
+            found.members += 1
+            return found, found.members - 1
+        own = _Leader(row, type_, start, end, old, new)
+        # what is in conflict with one of several equal changes goes to the first of them
+        own.closed = again
+        if not again:
+            self.open.append(own)
+        self.unsettled.append(own)
+        return own, 0
+
+    def settle(self, ended: bool) -> int | None:
+        """Number the conflicts whose turn is known; the first row that still waits."""
+        waiting = self.unsettled
+        while waiting and (ended or waiting[0].closed or waiting[0].members > 1):
+            one = waiting.popleft()
+            if one.members > 1:
+                self.n += 1
+                one.number = f"c{self.n}"
+        return waiting[0].row if waiting else None
+
+
+def _values(column: pa.Array) -> list:
+    """A column as Python values, each different one made once."""
+    if pa.types.is_nested(column.type):
+        return column.to_pylist()
+    d = column.dictionary_encode()
+    values = [*d.dictionary.to_pylist(), None]  # the last one for nulls
+    return [values[k] for k in d.indices.fill_null(-1).to_numpy().tolist()]
 
 
 def conflicts(changes: DataFrame, key: str) -> DataFrame:
@@ -51,38 +121,45 @@ def conflicts(changes: DataFrame, key: str) -> DataFrame:
 
     Greedy in the order of start, end, reviewer, sequence and texts: a change takes
     the later ones that conflict with it and are not taken yet; it is not a
-    transitive closure.  One document's changes are one group.
+    transitive closure.  Tasks read sorted changes of many documents and keep
+    only what later changes can still touch.
     """
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values(["start", "end", "reviewer_ord", "seq", "type", "old_text", "new_text"], kind="stable").itertuples(index=False))
-        taken, out, n = [False] * len(rows), [], 0
-        for i, one in enumerate(rows):
-            if taken[i]:
-                continue
-            members = [i]
-            for j in range(i + 1, len(rows)):
-                if taken[j]:
-                    continue
-                if rows[j].start > one.end and one.type != "insert":
-                    break
-                if one.type == "insert" and rows[j].start > one.start:
-                    # an insertion has no width: nothing that starts later can touch it
-                    break
-                if _overlap(one, rows[j]):
-                    members.append(j)
-                    taken[j] = True
-            taken[i] = True
-            if len(members) > 1:
-                n += 1
-            out += [(rows[m], f"c{n}" if len(members) > 1 else None, k) for k, m in enumerate(members)]
-        made = pd.DataFrame([r for r, _, _ in out], columns=pdf.columns)
-        made["conflict"] = pd.Series([c for _, c, _ in out], dtype=object)
-        made["place"] = [k for _, _, k in out]
-        return made
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.schema.fields) + ", conflict string, place int"
-    return changes.groupBy(key).applyInPandas(group, schema)
+    schema = T.StructType([*changes.schema.fields, T.StructField("conflict", T.StringType()), T.StructField("place", T.IntegerType())])
+    arrow = to_arrow_schema(schema)
+    names = (key, "type", "start", "end", "old_text", "new_text")
+
+    def group(batches):
+        last, state, at = None, None, 0
+        held: deque = deque()  # (batch, number of its first row, leaders, places)
+
+        def ready(first):
+            while held and (first is None or held[0][1] + held[0][0].num_rows <= first):
+                batch, _, leaders, places = held.popleft()
+                made = [pa.array([one.number for one in leaders], pa.string()), pa.array(places, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], schema=arrow)
+
+        for batch in batches:
+            leaders, places = [], []
+            held.append((batch, at, leaders, places))
+            for k, type_, start, end, old, new in zip(*(_values(batch.column(batch.schema.get_field_index(n))) for n in names), strict=True):
+                if state is None or k != last:
+                    if state is not None:
+                        state.settle(True)
+                    last, state = k, _Grouping()
+                # what has no place is in conflict with all that it is not equal to
+                one, place = state.taken(at, type_, NOWHERE if start is None else start, NOWHERE if end is None else end, old, new)
+                leaders.append(one)
+                places.append(place)
+                at += 1
+            if state is not None:
+                yield from ready(state.settle(False))
+        if state is not None:
+            state.settle(True)
+        yield from ready(None)
+
+    n = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c).asc_nulls_last() for c in (key, "start", "end", "reviewer_ord", "seq", "type", "old_text", "new_text")]
+    return changes.repartition(n, key).sortWithinPartitions(*order).mapInArrow(group, schema)
 
 
 def deduplicated(free: DataFrame, key: str) -> DataFrame:
@@ -108,22 +185,26 @@ def resolved(found: DataFrame, choices: DataFrame, key: str) -> DataFrame:
 
     A choice that the conflict does not have gives a row with an error.
     """
-    own = found.filter("conflict IS NOT NULL")
-    asked = choices.select(F.col(key).alias("_key"), F.col("conflict").alias("_conflict"), "choice")
-    sizes = own.groupBy(key, "conflict").agg(F.count("*").alias("changes")).join(asked, F.col(key).eqNullSafe(F.col("_key")) & (F.col("conflict") == F.col("_conflict"))).select("_key", "_conflict", "choice", "changes")
+    own = found.filter("conflict IS NOT NULL").withColumnRenamed("conflict", "_own")
+    # equal choices stay as many rows as they are
+    asked = choices.groupBy(F.col(key).alias("_key"), F.col("conflict").alias("_conflict"), "choice").agg(F.count("*").alias("_times"))
+    row = F.struct("reviewer", "type", "start", "end", "old_text", "new_text")
+    met = asked.join(own, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_own") == F.col("_conflict")))
+    one = met.groupBy("_key", "_conflict", "choice", "_times").agg(F.count("*").alias("changes"), F.max(F.when(F.col("place") == F.col("choice"), row)).alias("_row"))
     bad = (F.col("choice") < 0) | (F.col("choice") >= F.col("changes")) | F.col("choice").isNull()
-    met = sizes.join(own, F.col("_key").eqNullSafe(F.col(key)) & (F.col("_conflict") == F.col("conflict")) & (F.col("place") == F.col("choice")), "left")
-    return met.select(
-        F.col("_key").alias(key), F.col("_conflict").alias("conflict"), "choice", "reviewer", "type", "start", "end", "old_text", "new_text",
+    each = one.withColumn("_each", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))
+    return each.select(
+        F.col("_key").alias(key), F.col("_conflict").alias("conflict"), "choice", "_row.*",
         F.when(bad, F.concat(F.lit("no such choice, there are "), "changes")).alias("error"),
     )
 
 
 def unresolved(found: DataFrame, choices: DataFrame, key: str) -> DataFrame:
     """DIF-08: conflicts without a valid choice."""
-    done = resolved(found, choices, key).filter("error IS NULL").select(F.col(key).alias("_key"), F.col("conflict").alias("_conflict"))
-    every = found.filter("conflict IS NOT NULL").select(key, "conflict").distinct()
-    return every.join(done, F.col(key).eqNullSafe(F.col("_key")) & (F.col("conflict") == F.col("_conflict")), "left_anti")
+    every = found.filter("conflict IS NOT NULL").groupBy(key, "conflict").agg(F.count("*").alias("changes"))
+    asked = choices.select(F.col(key).alias("_key"), F.col("conflict").alias("_conflict"), "choice")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("conflict") == F.col("_conflict"))
+    return every.join(asked, same & (F.col("choice") >= 0) & (F.col("choice") < F.col("changes")), "left_anti").select(key, "conflict")
 
 
 def applied(texts: DataFrame, changes: DataFrame, key: str, annotate: bool = False) -> DataFrame:
