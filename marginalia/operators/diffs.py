@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import batches as sizes
 from ..functions import diff
 from ..functions.text import chain
 from . import merging
@@ -25,6 +26,7 @@ def changes(versions: DataFrame, *keep: str, old: str = "old", new: str = "new",
 
         return pd.Series([changes(x or "", y or "", by) for x, y in zip(a, b, strict=True)])
 
+    sizes.small(versions.sparkSession)
     rows = versions.select(*keep, F.posexplode(find(old, new)).alias("seq", "c"))
     return rows.select(*keep, "seq", "c.*")
 
@@ -34,6 +36,7 @@ def _over(df: DataFrame, function, *columns: str):
     def apply(*series: pd.Series) -> pd.Series:
         return pd.Series([function(*[v or "" for v in row]) for row in zip(*series, strict=True)], dtype=object)
 
+    sizes.small(df.sparkSession)
     return apply(*columns)
 
 
@@ -88,6 +91,7 @@ def placed_lists(texts: DataFrame, key: str, comments: str) -> DataFrame:
             got = [placed(t or "", c or []) for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], arrow.field(1).type), pa.array([g[1] for g in got], arrow.field(2).type)], schema=arrow)
 
+    sizes.small(rows.sparkSession)
     return rows.mapInArrow(put, schema)
 
 
