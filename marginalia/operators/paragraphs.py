@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import markdown, protect
+from ..functions import batches, markdown, protect
 from ..functions.text import bound, col, normalize_whitespace
 
 ALIGNED = "array<struct<left: int, right: int, overlap: double>>"
@@ -39,6 +39,7 @@ def alignment(left: Column | str, right: Column | str) -> Column:
 
 def aligned(versions: DataFrame, *keep: str, old: str = "old", new: str = "new") -> DataFrame:
     """JOIN-15 as rows: keep, left, right, overlap, and the paragraphs."""
+    batches.small(versions.sparkSession)
     rows = versions.select(*keep, paragraphs(old).alias("_a"), paragraphs(new).alias("_b"))
     met = rows.select(*keep, "_a", "_b", F.inline(alignment("_a", "_b")))
     return met.select(*keep, "left", "right", "overlap", F.get("_a", F.col("left")).alias("old"), F.get("_b", F.col("right")).alias("new"))
@@ -60,20 +61,20 @@ def smart(versions: DataFrame, *keep: str, old: str = "old", new: str = "new", s
     if shown:
         rows = rows.withColumn("_new", protect.math_recognized("_new", known, mark)).withColumn("_new", protect.citations_recognized("_new", known, mark))
     rows = rows.select(*keep, "_known", "_mark", paragraphs("_old").alias("_a"), paragraphs("_new").alias("_b"))
+    batches.small(versions.sparkSession)
+    compared = ["_a", "_b"]
     if shown:
         bare = F.transform("_a", lambda p: F.struct(markdown.prefix(p)["prefix"].alias("prefix"), markdown.plain(p).alias("text")))
-        there = F.transform("_b", lambda p: normalize_whitespace(p))
-    else:
-        bare = F.transform("_a", lambda p: F.struct(F.lit("").alias("prefix"), p.alias("text")))
-        there = F.col("_b")
+        compared += [bare, F.transform("_b", lambda p: normalize_whitespace(p))]
 
     @F.pandas_udf("string")
-    def compare(lefts: pd.Series, rights: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+    def compare(*sides: pd.Series) -> pd.Series:
         from marginalia.functions.diff import paragraphs_annotated
 
-        return pd.Series([paragraphs_annotated(list(a), list(b), list(x), list(y)) for a, b, x, y in zip(lefts, rights, old, new, strict=True)], dtype=object)
+        # without other forms paragraphs are compared as they are, and go to Python once
+        return pd.Series([paragraphs_annotated(*map(list, row)) for row in zip(*sides, strict=True)], dtype=object)
 
-    made = rows.select(*keep, "_known", "_mark", compare("_a", "_b", bare, there).alias("_text"))
+    made = rows.select(*keep, "_known", "_mark", compare(*compared).alias("_text"))
     return made.select(*keep, protect.shown("_text", known, mark).alias("text"))
 
 
