@@ -84,8 +84,13 @@ def imported(files: DataFrame, originals: DataFrame | None = None, registry: Dat
     changes keep their comments out, as those stand in no text.
     """
     from ..sources import docx
+    from ..streaming.watch import shared_folder
 
-    found = docx.parts(files)
+    # read once for all that is made of it
+    folder = shared_folder(files.sparkSession)
+    parts = docx.parts(files)
+    parts.write.parquet(f"{folder}/parts")
+    found = files.sparkSession.read.schema(parts.schema).parquet(f"{folder}/parts")
     if registry is not None:
         owned = registries(registry.select(F.col("path").alias("_path"), "kind", "num", "label", "caption", F.col("picture").alias("path")), "_path")
         found = found.join(owned, F.col("path") == F.col("_path"), "left").drop("_path")

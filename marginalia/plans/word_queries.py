@@ -10,7 +10,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import xml
+from ..functions import batches, xml
 from ..operators import importing
 from ..sources import docx, word_source
 from ..streaming.watch import shared_folder
@@ -62,6 +62,7 @@ def _files(spark, sf_dir):
 
         return pd.Series([word_file(int(k), t) for k, t in zip(doc_id, text, strict=True)])
 
+    batches.small(spark)
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), "doc_id", F.lit(".docx")).alias("path"), made("doc_id", "text").alias("content"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import batches
+
 #: Bytes and files of a partition; a file larger than that is a partition of its own.
 PARTITION_BYTES, PARTITION_FILES = 64 << 20, 500
 #: Rows of a batch that is handed to Spark.
@@ -66,13 +68,13 @@ class WordReader(DataSourceReader):
         return packed(listed(self.path), self.bytes, self.files)
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        from marginalia.sources.docx import READERS, is_word
+        from marginalia.sources.docx import READERS, Opened, is_word
 
         system = fs.FileSystem.from_uri(self.path)[0] if ":/" in self.path else fs.LocalFileSystem()
         arrow, rows = to_arrow_schema(self.own), []
         for path in partition.paths:
             with system.open_input_stream(path) as f:
-                data = f.read()
+                data = Opened(f.read())
             try:
                 if not is_word(data) and self.what != "is_word":
                     raise ValueError("not a Word document")
@@ -116,10 +118,10 @@ def register(spark: SparkSession) -> None:
 def written(files: DataFrame, folder: str) -> int:
     """The documents (path, content) as files of a folder, each by a name of its own that appears whole; their number."""
 
-    def put(batches):
+    def put(parts):
         system, at = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
         system.create_dir(at, recursive=True)
-        for batch in batches:
+        for batch in parts:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 # a task that is run again, or beside another, writes the same bytes
                 part, whole = f"{at}/.{path}.{uuid.uuid4().hex}", f"{at}/{path}"
@@ -133,4 +135,5 @@ def written(files: DataFrame, folder: str) -> int:
                     system.delete_file(part)
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
+    batches.small(files.sparkSession)
     return files.select("path", "content").mapInArrow(put, "n long").groupBy().sum("n").first()[0] or 0  # a row for each batch, none of an empty table

@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import batches
 from marginalia.operators import citations, figures, merging
+from marginalia.plans.word_queries import word_file
+from marginalia.sources import docx
 
 COLUMNS = "doc_id long, reviewer string, reviewer_ord int, seq long, type string, start int, end int, old_text string, new_text string"
 
@@ -126,3 +129,25 @@ def test_copies_of_works_are_compared_once(spark):
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
     once = got._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" in once.lower()
+
+
+def test_a_file_is_parsed_once(monkeypatch):
+    data, calls, parse = word_file(0, "some text\nmore"), [], docx.ET.fromstring
+    monkeypatch.setattr(docx.ET, "fromstring", lambda text: calls.append(1) or parse(text))
+    assert docx.parts_of(data)["comments"][0]["anchor"] == "fellx0"
+    assert len(calls) == 2  # the text and the comments
+    assert docx.parts_of(b"none") == {"error": "not a Word document"}
+
+
+def test_batches_of_texts_are_small(spark):
+    """A worker holds some hundred texts or files, not ten thousand."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for ask, most in ((10_000, batches.ROWS), (0, batches.ROWS), (7, 7)):
+            spark.conf.set(name, ask)
+            files = spark.createDataFrame([(f"d{k}.docx", word_file(2, "x")) for k in range(3)], "path string, content binary")
+            assert docx.read(files, "headings").count() == 3
+            assert int(spark.conf.get(name)) == most
+    finally:
+        spark.conf.set(name, before)
