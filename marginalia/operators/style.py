@@ -102,6 +102,8 @@ CLEANUPS = (
     (r"\\[A-Za-z0-9_]+", ""),
     (r"[#*_~`>|]", " "),
 )
+#: Words of a dictionary that goes to all tasks whole.
+FEW_WORDS = 200_000
 WORD = r"[a-zA-Z][a-zA-Z']*[a-zA-Z]|[a-zA-Z]"
 
 
@@ -134,9 +136,10 @@ def first_uses(found: DataFrame, *key: str) -> DataFrame:
 
 def unknown(found: DataFrame, dictionary: DataFrame, *key: str) -> DataFrame:
     """DIF-16: words that the dictionary lacks, once each, with whether they look like names."""
-    first = first_uses(found, *key).withColumn("_w", F.lower("word"))
-    out = first.join(dictionary.select(F.col("word").alias("_w")).distinct(), "_w", "left_anti")
-    return out.withColumn("is_name", looks_like_name("word")).drop("_w")
+    known = dictionary.select(F.col("word").alias("_w")).distinct()
+    # known words go first, and where they are not sent to each other's tasks only lines are moved
+    rest = found.withColumn("_w", F.lower("word")).join(F.broadcast(known) if known.count() <= FEW_WORDS else known, "_w", "left_anti")
+    return first_uses(rest, *key).withColumn("is_name", looks_like_name("word")).drop("_w")
 
 
 #: An affix rule: words with `flag` take the affix instead of `strip`, if their end (or beginning) is like `condition`; `cross` ones go with the other kind, too.

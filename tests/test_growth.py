@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import batches
-from marginalia.operators import citations, figures, merging
+from marginalia.operators import citations, figures, merging, style
 from marginalia.plans.word_queries import word_file
 from marginalia.sources import docx
 
@@ -151,3 +151,13 @@ def test_batches_of_texts_are_small(spark):
             assert int(spark.conf.get(name)) == most
     finally:
         spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_words_do_not_move_to_a_small_dictionary(spark, monkeypatch, most):
+    monkeypatch.setattr(style, "FEW_WORDS", most)
+    found = spark.createDataFrame([(1, 2, 0, "Rain"), (1, 1, 3, "rain"), (1, 1, 4, "Snow"), (2, 1, 0, "snow"), (2, 1, 1, "the"), (2, 1, 2, "Hill")], "doc_id long, line int, place int, word string")
+    known = spark.createDataFrame([("the",), ("snow",), ("snow",)], "word string")
+    got = style.unknown(found, known, "doc_id")
+    assert sorted((r["doc_id"], r["line"], r["word"], r["is_name"]) for r in got.collect()) == [(1, 1, "rain", False), (2, 1, "Hill", True)]
+    assert ("LeftAnti, BuildRight" in plan(got)) or most == 0
