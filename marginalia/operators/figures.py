@@ -16,6 +16,8 @@ IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)(?:\{#(fig|tbl):([a-zA-Z0-9_-]+)[^}]*\})?"
 LATEX = r"(?s)\\begin\{figure\*?\}.*?\\end\{figure\*?\}"
 #: What an agreement of two images is worth, and what it takes to match them.
 BY_LABEL, BY_NUMBER, BY_CAPTION, BY_PART, BY_FILE, ENOUGH = 100, 90, 80, 40, 30, 40
+#: Code points of the pieces that texts are cut into where many places of one text are looked at.
+PIECE = 256
 
 
 def images(docs: DataFrame, *keep: str) -> DataFrame:
@@ -142,16 +144,28 @@ def loose_citations(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def conflict_text(found: DataFrame, texts: DataFrame, key: str, around: int = 50, most: int = 60) -> DataFrame:
-    """SCL-34: conflicts written out for a person to choose."""
+    """SCL-34: conflicts written out for a person to choose.
+
+    Texts are cut into pieces once, and a conflict reads those that it touches,
+    so that its cost does not go by the length of its text.
+    """
     t = F.concat(F.when(F.length("x") > most, F.concat(F.left("x", F.lit(most)), F.lit("..."))).otherwise(F.col("x")))
     own = found.filter("conflict IS NOT NULL").withColumn("x", F.when(F.col("type") == "delete", F.col("old_text")).otherwise(F.col("new_text")))
     what = F.when(F.col("type") == "insert", "Insert: ").when(F.col("type") == "delete", "Delete: ").otherwise("Replace → ")
     option = F.concat(F.lit("    "), (F.col("place") + 1).cast("string"), F.lit(". ["), "reviewer", F.lit("] "), what, F.lit('"'), t, F.lit('"'))
     each = own.withColumn("option", option).groupBy(key, "conflict").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("place", "option"))).alias("o"))
-    rows = each.join(texts.select(key, "text"), key)
-    before = strip(F.substr("text", F.greatest(F.col("start") - around, F.lit(0)) + 1, F.least("start", F.lit(around))))
-    after = strip(F.substr("text", F.col("end") + 1, F.lit(around)))
-    original = F.substr("text", F.col("start") + 1, F.col("end") - F.col("start"))
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    rows = each.join(texts.select(key, cut.alias("pieces")), key)
+    # places before the text count from its end, as in SQL: those, and what has no place, see the whole text
+    within = (F.col("start") >= 0) & (F.col("end") >= 0)
+    low = F.greatest(F.least(F.col("start") - around, F.col("end")), F.lit(0))
+    first, last = (F.floor(n.cast("long") / PIECE).cast("int") for n in (low, F.greatest("start", "end").cast("long") + around))
+    rows = rows.withColumn("near", F.when(within, F.array_join(F.slice("pieces", first + 1, last - first + 1), "")).otherwise(F.array_join("pieces", "")))
+    rows = rows.withColumn("off", F.when(within, first * PIECE).otherwise(0))
+    rows = rows.withColumn("before", strip(F.substr("near", F.greatest(F.col("start") - around, F.lit(0)) - F.col("off") + 1, F.least("start", F.lit(around)))))
+    rows = rows.withColumn("original", F.substr("near", F.col("start") - F.col("off") + 1, F.col("end") - F.col("start")))
+    rows = rows.withColumn("after", strip(F.substr("near", F.col("end") - F.col("off") + 1, F.lit(around))))
+    before, original, after = F.col("before"), F.col("original"), F.col("after")
     parts = [F.when(before != "", F.concat(F.lit("  ..."), before)), F.concat(F.lit('  [ORIGINAL]: "'), F.when(original == "", "(insertion point)").otherwise(original), F.lit('"')), F.when(after != "", F.concat(F.lit("  "), after, F.lit("...")))]
     return rows.select(key, "conflict", F.concat_ws("\n", *parts, F.lit(""), F.lit("  Options:"), F.array_join(F.transform("o", lambda x: x["option"]), "\n")).alias("shown"))
 

@@ -162,6 +162,17 @@ def conflicts(changes: DataFrame, key: str) -> DataFrame:
     return changes.repartition(n, key).sortWithinPartitions(*order).mapInArrow(group, schema)
 
 
+def stored(found: DataFrame, *columns: str) -> DataFrame:
+    """Columns of the changes that are in conflict, written once for all that is read of them."""
+    from ..streaming.watch import shared_folder
+
+    spark = found.sparkSession
+    own = found.filter("conflict IS NOT NULL").select(*columns)
+    folder = f"{shared_folder(spark)}/conflicts"
+    own.write.parquet(folder)
+    return spark.read.schema(own.schema).parquet(folder)
+
+
 def deduplicated(free: DataFrame, key: str) -> DataFrame:
     """SET-04: of equal changes without a conflict, that of the first reviewer."""
     w = Window.partitionBy(key, "start", "end", "type", "new_text").orderBy("reviewer_ord", "seq")
@@ -231,10 +242,10 @@ def applied(texts: DataFrame, changes: DataFrame, key: str, annotate: bool = Fal
 
 
 def statistics(found: DataFrame, key: str) -> DataFrame:
-    """AGG-16: reviewers, changes, conflicts of each document."""
+    """AGG-16: reviewers, changes, conflicts of each document; a conflict has one change at place 0."""
     return found.groupBy(key).agg(
         F.count_distinct("reviewer").alias("reviewers"),
         F.count("*").alias("changes"),
         F.count_if(F.col("conflict").isNull()).alias("free"),
-        F.count_distinct("conflict").alias("conflicts"),
+        F.count_if(F.col("conflict").isNotNull() & (F.col("place") == 0)).alias("conflicts"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import batches
 from marginalia.operators import citations, figures, merging, style
+from marginalia.plans import relations
 from marginalia.plans.word_queries import word_file
 from marginalia.sources import docx
 
@@ -161,3 +162,46 @@ def test_words_do_not_move_to_a_small_dictionary(spark, monkeypatch, most):
     got = style.unknown(found, known, "doc_id")
     assert sorted((r["doc_id"], r["line"], r["word"], r["is_name"]) for r in got.collect()) == [(1, 1, "rain", False), (2, 1, "Hill", True)]
     assert ("LeftAnti, BuildRight" in plan(got)) or most == 0
+
+
+@pytest.mark.parametrize("name", ["conflicts_resolved", "conflicts_unresolved"])
+def test_conflicts_are_made_once(spark, data, name):
+    """What asks for conflicts and what is asked of them read the same table."""
+    assert "MapInArrow" not in plan(relations.QUERIES[name](spark, data))
+
+
+def test_statistics_count_conflicts_by_their_first_change(spark):
+    found = merging.conflicts(spark.createDataFrame(made(11), COLUMNS), "doc_id")
+    got = merging.statistics(found, "doc_id")
+    # with one thing counted by its different values rows are not doubled for each
+    assert "Expand" not in plan(got)
+    want = found.groupBy("doc_id").agg(F.count_distinct("reviewer"), F.count("*"), F.count_if(F.col("conflict").isNull()), F.count_distinct("conflict"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def shown(text, start, end):
+    """Around and of a place, as SQL's substr has it where places are not before the text."""
+    before, after = text[max(start - 50, 0) : start].strip(), text[end : end + 50].strip()
+    rows = [f"  ...{before}"] if before else []
+    rows.append(f'  [ORIGINAL]: "{text[start:end] or "(insertion point)"}"')
+    return "\n".join([*rows, *([f"  {after}..."] if after else []), "", "  Options:"])
+
+
+@pytest.mark.parametrize("piece", [1, 7, 256])
+def test_conflicts_read_pieces_of_their_text(spark, monkeypatch, piece):
+    monkeypatch.setattr(figures, "PIECE", piece)
+    text = "".join(f"wärd {k}\U0001f600\n" for k in range(120))
+    places = [(0, 0), (0, 9), (3, 3), (49, 60), (250, 262), (300, 300), (255, 256), (256, 900), (len(text) - 1, len(text)), (len(text), len(text) + 9), (5000, 5001), (90, 40)]
+    places += [(-5, 3), (-60, -50), (None, 4), (None, None)]
+    rows = [(d, f"c{k}", p, f"R{p}", "replace", a, b, "old", "new" * 30) for d in (1, 2, 3) for k, (a, b) in enumerate(places) for p in (0, 1)]
+    found = spark.createDataFrame(rows, "doc_id long, conflict string, place int, reviewer string, type string, start int, end int, old_text string, new_text string")
+    texts = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    got = {(r["doc_id"], r["conflict"]): r["shown"] for r in figures.conflict_text(found, texts, "doc_id").collect()}
+    assert len(got) == 3 * len(places)
+    for d, own in ((1, text), (2, "")):
+        for k, (a, b) in enumerate(places):
+            if a is not None and a >= 0:
+                assert got[d, f"c{k}"].startswith(shown(own, a, b) + "\n    1. [R0]"), (d, a, b)
+    # places before the text count from its end; what has no place shows how the text begins
+    assert f'[ORIGINAL]: "{text[-4:]}"' in got[1, "c12"]
+    assert got[1, "c15"].startswith(f"  ...{text[:50].strip()}\n\n  Options:") and "ORIGINAL" not in got[3, "c1"]
