@@ -186,9 +186,13 @@ def known_by_affixes(words: DataFrame, stems: DataFrame, rules: DataFrame) -> Da
 
 def unknown_by_affixes(found: DataFrame, stems: DataFrame, rules: DataFrame, *key: str) -> DataFrame:
     """DIF-16: first uses of the words that neither are stems nor are made of one by the rules."""
-    first = first_uses(found, *key).withColumn("_w", F.lower("word"))
-    ok = known_by_affixes(first.select("word"), stems, rules).select(F.col("word").alias("_w"))
-    return first.join(ok, "_w", "left_anti").withColumn("is_name", looks_like_name("word")).drop("_w")
+    # no word is known but forms of the stems: as many as stems with and without each affix at most
+    kinds = rules.agg(F.count_if(F.col("kind") == "SFX"), F.count_if(F.col("kind") == "PFX")).first()
+    few = stems.count() * (1 + kinds[0]) * (1 + kinds[1]) <= FEW_WORDS
+    ok = known_by_affixes(found.select("word"), stems, rules).select(F.col("word").alias("_w"))
+    # known words go first, and where they are not sent to each other's tasks only lines are moved
+    rest = found.withColumn("_w", F.lower("word")).join(F.broadcast(ok) if few else ok, "_w", "left_anti")
+    return first_uses(rest, *key).withColumn("is_name", looks_like_name("word")).drop("_w")
 
 
 def affix_rules(texts: DataFrame, text: str = "text") -> DataFrame:

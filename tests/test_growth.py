@@ -205,3 +205,14 @@ def test_conflicts_read_pieces_of_their_text(spark, monkeypatch, piece):
     # places before the text count from its end; what has no place shows how the text begins
     assert f'[ORIGINAL]: "{text[-4:]}"' in got[1, "c12"]
     assert got[1, "c15"].startswith(f"  ...{text[:50].strip()}\n\n  Options:") and "ORIGINAL" not in got[3, "c1"]
+
+
+def test_known_forms_go_before_words_are_moved(spark):
+    found = spark.createDataFrame([(1, 2, 0, "Cat"), (1, 1, 3, "cats"), (1, 1, 4, "Dog"), (2, 1, 0, "dog"), (2, 1, 1, "uncat"), (2, 2, 2, "dog")], "doc_id long, line int, place int, word string")
+    stems = spark.createDataFrame([("cat", ["S"])], "word string, flags array<string>")
+    rules = style.affix_rules(spark.createDataFrame([("SFX S Y 1\nSFX S 0 s .\nPFX U Y 1\nPFX U 0 un .",)], "text string"))
+    got = style.unknown_by_affixes(found, stems, rules, "doc_id")
+    assert sorted((r["doc_id"], r["line"], r["word"], r["is_name"]) for r in got.collect()) == [(1, 1, "Dog", True), (2, 1, "dog", False), (2, 1, "uncat", False)]
+    assert "LeftAnti, BuildRight" in plan(got)
+    whole = plan(got).split("Physical Plan")[1]
+    assert whole.index("Window ") < whole.index("LeftAnti")  # first uses are looked for among what is left
