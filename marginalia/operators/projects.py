@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions import batches
+
+#: White space of Spark's patterns.
+WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def author_shares(blame: DataFrame, file: str = "file", author: str = "author") -> DataFrame:
@@ -45,13 +56,34 @@ def log_rows(log: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, p[0].alias("hash"), p[1].alias("date"), p[2].alias("author"), F.coalesce(F.get(p, F.lit(3)), F.lit("")).alias("message"))
 
 
-def word_count_diff(versions: DataFrame, key: str, old: str, new: str) -> DataFrame:
-    """AGG-10: words that went and came between two versions, as multisets."""
+def _changed_words(old: str | None, new: str | None) -> list[tuple[str | None, int]]:
+    """Words that one version has more often, and by how many; no word and 0 where there is none but words are."""
+    words, others = (WHITE.split(t) if t else [] for t in (old, new))
+    if not any(words) and not any(others):
+        return []
+    n = Counter(others)
+    n.subtract(words)
+    return [(w, k) for w, k in n.items() if w and k] or [(None, 0)]
 
-    def counted(c: str, sign: int) -> DataFrame:
-        return versions.select(key, F.explode(F.filter(F.split(c, r"\s+"), lambda w: w != "")).alias("w"), F.lit(sign).alias("s"))
 
-    change = counted(old, -1).unionByName(counted(new, 1)).groupBy(key, "w").agg(F.sum("s").alias("n"))
+def word_count_diff(versions: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """AGG-10: words that went and came between two versions, as multisets.
+
+    Words that a row has as often in both are left out where the row is read,
+    so that only changed ones are moved; rows of one key are added up.
+    """
+    schema = T.StructType([versions.schema[key], *T.StructType.fromDDL("w string, n long").fields])
+    arrow = to_arrow_schema(schema)
+
+    def count(rows):
+        for batch in rows:
+            found = [_changed_words(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            at = pa.array([k for k, own in enumerate(found) for _ in own], pa.int64())
+            w, n = (pa.array([x[k] for own in found for x in own], t) for k, t in ((0, pa.string()), (1, pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at).cast(arrow.types[0]), w, n], schema=arrow)
+
+    batches.small(versions.sparkSession)
+    change = versions.select(key, old, new).mapInArrow(count, schema).groupBy(key, "w").agg(F.sum("n").alias("n"))
     return change.groupBy(key).agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
 
 

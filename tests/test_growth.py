@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import batches
-from marginalia.operators import citations, figures, merging, style
+from marginalia.operators import citations, figures, merging, projects, style
 from marginalia.plans import relations
 from marginalia.plans.word_queries import word_file
 from marginalia.sources import docx
@@ -216,3 +216,19 @@ def test_known_forms_go_before_words_are_moved(spark):
     assert "LeftAnti, BuildRight" in plan(got)
     whole = plan(got).split("Physical Plan")[1]
     assert whole.index("Window ") < whole.index("LeftAnti")  # first uses are looked for among what is left
+
+
+def test_only_changed_words_are_moved(spark):
+    rows = [(1, "a  b\tb\x0bc d ", " b c d a x x"), (1, "x", None), (2, "same words", "words\nsame"), (3, None, None), (4, " \n", ""), (None, "p q", "q"), (None, "", "p p"), (5, "", " ")]
+    versions = spark.createDataFrame(rows, "doc_id long, old string, new string")
+    got = projects.word_count_diff(versions, "doc_id", "old", "new")
+    assert "explode" not in plan(got).split("Physical Plan")[1]
+
+    def counted(c, sign):
+        return versions.select("doc_id", F.explode(F.filter(F.split(c, r"\s+"), lambda w: w != "")).alias("w"), F.lit(sign).alias("s"))
+
+    change = counted("old", -1).unionByName(counted("new", 1)).groupBy("doc_id", "w").agg(F.sum("s").alias("n"))
+    want = change.groupBy("doc_id").agg(F.sum(F.greatest("n", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("removed"))
+    assert got.schema == want.schema
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert projects._changed_words("same words", "words same") == [(None, 0)]
