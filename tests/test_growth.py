@@ -132,6 +132,40 @@ def test_copies_of_works_are_compared_once(spark):
     assert "row_number" in once.lower()
 
 
+def nodes(node):
+    """The nodes of a plan that has run."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan") or "QueryStage" in name:
+        yield from nodes(node.executedPlan() if name.startswith("Adaptive") else node.plan())
+        return
+    yield node
+    children = node.children().iterator()
+    while children.hasNext():
+        yield from nodes(children.next())
+
+
+@pytest.mark.parametrize("top", [1, 3])
+def test_works_are_scored_term_by_term(spark, top):
+    """What all pairs give, without all pairs, also where works agree in part only."""
+    r = random.Random(top)
+    words = ["rain", "snow", "hills", "Rivers", "of", "lands"]
+    long = " ".join(f"word{k}" for k in range(11))  # shares of twelfths, which sums round
+    titles = [f"{a} {b}" for a in words for b in words] + [f"rain {long}", f"snow {long} hills", None]
+    journals, people = ["Nature", "nature", "Sea and Sky", "Sky Studies", None], ["Ann", "ANN", "Bo", "Ann Bo", "", None]
+    works = [(f"10.1/{k // 2:04}{'.suppl' if k % 9 == 0 else ''}", r.choice(titles), r.choice(journals), r.choice(people), r.choice([2000, 2001, 2005, None])) for k in range(900)]
+    wanted = [(k, r.choice(titles), r.choice(journals), r.choice(people), r.choice([2000, 2002, None])) for k in range(200)]
+    w = spark.createDataFrame(works, "doi string, item_title string, item_journal string, item_author string, item_year int").cache()
+    q = spark.createDataFrame(wanted, "query_key long, title string, journal string, author string, year int").cache()
+    columns = ["query_key", "doi", "score", "rank", "runner_up", "confidence"]
+    pairs = citations.candidates(q, w).withColumn("base", F.lit(0.0))
+    scored = pairs.withColumn("score", citations.match_score("title", "journal", "year", "author", "item_title", "item_journal", "item_year", "doi", "item_author", "base"))
+    want = citations.best_matches(scored, top=top).select(*columns).collect()
+    got = citations.best_known(q, w, top).select(*columns)
+    assert sorted(got.collect(), key=str) == sorted(want, key=str)
+    made = [n.metrics().get("numOutputRows").get().value() for n in nodes(got._jdf.queryExecution().executedPlan()) if "Join" in n.nodeName()]
+    assert made and max(made) * 3 < pairs.count() * top  # a few for each that is shown
+
+
 def test_a_file_is_parsed_once(monkeypatch):
     data, calls, parse = word_file(0, "some text\nmore"), [], docx.ET.fromstring
     monkeypatch.setattr(docx.ET, "fromstring", lambda text: calls.append(1) or parse(text))
