@@ -104,16 +104,18 @@ def imported(files: DataFrame, originals: DataFrame | None = None, registry: Dat
     set_in = diffs.placed_lists(tracked, "path", "comments").select("path", markdown.tidy("text").alias("text"), F.lit("tracked").alias("way"))
 
     flat = read.filter("NOT changed").select("path", "plain", "tables", own.alias("registry"))
+    shown = references_restored(paragraphs.with_tables("plain", "tables"), F.col("registry")).alias("shown")
     if originals is not None:
-        flat = flat.join(originals.select(F.col("path").alias("_path"), markup.stripped("text").alias("original")), F.col("path") == F.col("_path"), "left").drop("_path")
+        met = flat.join(originals.select(F.col("path").alias("_path"), markup.stripped("text").alias("original")), F.col("path") == F.col("_path"), "left")
+        # texts meet their originals once; those without one go along and are compared with nothing
+        met, one = met.select("path", "original", shown), F.col("original").isNotNull()
+        met = met.select("path", F.when(~one, F.col("shown")).alias("alone"), "original", F.when(one, F.col("shown")).alias("shown"))
+        against = paragraphs.smart(met, "path", "alone", old="original", new="shown", shown=True)
+        compared = markup.visible_comments(protect.citations_kept(markdown.tidy("text")))
+        rest = against.select("path", F.coalesce("alone", compared).alias("text"), F.when(F.col("alone").isNull(), "compared").otherwise("plain").alias("way"))
     else:
-        flat = flat.withColumn("original", F.lit(None).cast("string"))
-    shown = references_restored(paragraphs.with_tables("plain", "tables"), F.col("registry"))
-    flat = flat.select("path", "original", shown.alias("shown"))
-    alone = flat.filter("original IS NULL").select("path", F.col("shown").alias("text"), F.lit("plain").alias("way"))
-    against = paragraphs.smart(flat.filter("original IS NOT NULL"), "path", old="original", new="shown", shown=True)
-    compared = against.select("path", markup.visible_comments(protect.citations_kept(markdown.tidy("text"))).alias("text"), F.lit("compared").alias("way"))
-
-    done = set_in.unionByName(alone).unionByName(compared).withColumn("error", F.lit(None).cast("string")).unionByName(failed)
+        rest = flat.select("path", shown.alias("text"), F.lit("plain").alias("way"))
+
+    done = set_in.unionByName(rest).withColumn("error", F.lit(None).cast("string")).unionByName(failed)
     counts = [F.coalesce(F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))), F.lit(0)).alias(n) for n, p in (("insertions", r"\{\+\+"), ("deletions", r"\{--"), ("substitutions", r"\{~~"), ("comments", r"\{>>"))]
     return done.select("path", "text", "way", *[F.when(F.col("error").isNull(), c).otherwise(0).alias(n) for c, n in zip(counts, ("insertions", "deletions", "substitutions", "comments"), strict=True)], "error")

@@ -82,7 +82,7 @@ def word_import(spark, sf_dir):
     made = importing.imported(_files(spark, sf_dir), originals)
     full = F.size(F.filter(F.split("text", r"\n\n"), lambda p: p.rlike(r"\S")))
     return made.select(
-        "path", "way", F.when(F.col("text").isNotNull(), F.regexp_extract("text", r"[^\n]*\z", 0)).alias("tail"), F.when(F.col("way") == "tracked", full).alias("paragraphs"),
+        "path", "way", F.call_function("substring_index", "text", F.lit("\n"), F.lit(-1)).alias("tail"), F.when(F.col("way") == "tracked", full).alias("paragraphs"),
         F.when(F.col("way") == "plain", F.regexp_extract("text", r"(?s)\n\n(\|.*\|)\n\n", 1)).alias("tabled"), "error",
     )
 

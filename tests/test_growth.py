@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import batches
-from marginalia.operators import citations, figures, merging, projects, style
-from marginalia.plans import relations
+from marginalia.operators import citations, figures, importing, merging, projects, style
+from marginalia.plans import relations, word_queries
 from marginalia.plans.word_queries import word_file
 from marginalia.sources import docx
 
@@ -174,6 +174,47 @@ def test_a_file_is_parsed_once(monkeypatch):
     assert docx.parts_of(b"none") == {"error": "not a Word document"}
 
 
+def test_parts_are_those_that_an_import_takes():
+    """The text of a file is not read and written twice, with and without its changes."""
+    changed, flat = (docx.parts_of(word_file(k, "some text\nmore")) for k in (4, 2))
+    assert changed["tracked"].startswith("some text\n\nmore\n\nRain {++heavily ++}") and not {"plain", "tables"} & set(changed)
+    assert flat["plain"].startswith("some text\n\nmore") and len(flat["tables"]) == 1 and not {"tracked", "comments"} & set(flat)
+
+
+def test_an_import_looks_through_its_texts_once(spark, tmp_path):
+    """Long lines are not searched from each of their characters on; originals meet files in one join."""
+    rows = [(k, "word " * (40_000 if k < 4 else k) + ("\nlast " if k % 2 else "")) for k in range(12)] + [(13, None), (14, None), (16, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = word_queries.QUERIES["word_import"](spark, str(tmp_path))
+    whole = plan(got).split("Physical Plan")[1]
+    assert r"[^\n]*\z" not in whole and whole.count("SortMergeJoin") + whole.count("BroadcastHashJoin") == 1
+    rows = {int(r["path"][3:-5]): r for r in got.collect()}
+    assert len(rows) == 15
+    for k, r in rows.items():
+        tail = (f"Rain {{++heavily ++}}fellx{k}{{>>Ann: look<<}} {{--on--}} here", "Rain fell on {~~the~>a~~} long pass today.", f"End {k}.", None)[k % 4]
+        assert (r["tail"], r["way"]) == (tail, ("tracked", "compared", "plain", "failed")[k % 4])
+
+
+@pytest.mark.parametrize("registry", [False, True])
+def test_imports_without_and_with_originals(spark, registry):
+    """A file without an original, or whose original has no text, is plain text; each original of a file gives a row."""
+    files = spark.createDataFrame([(f"d{k}", word_file(k, f"See Figure {k} here.")) for k in (1, 5, 9, 13, 17, 2, 4, 7)], "path string, content binary")
+    same = "See Figure {} here.\n\nRain fell on a long pass today."
+    originals = spark.createDataFrame([("d1", same.format(1)), ("d5", None), ("d9", ""), ("d13", same.format(13)), ("d13", None), ("d4", "x"), ("d99", "y")], "path string, text string")
+    entries = spark.createDataFrame([("d1", "fig", 1, "rain", "Cap", "p.png"), ("d17", "fig", 17, "snow", "Cap", "p.png")], "path string, kind string, num int, label string, caption string, picture string") if registry else None
+    plain = [(f"d{k}", "plain", f"See Figure {k} here.\n\nRain fell on a long pass today.") for k in (5, 13, 17)]
+    got = [(r["path"], r["way"], r["text"]) for r in importing.imported(files, originals, entries).collect()]
+    if registry:
+        plain[2] = ("d17", "plain", "See @fig:snow here.\n\nRain fell on a long pass today.")
+    assert sorted(x for x in got if x[1] == "plain" and x[0] != "d2") == sorted(plain)
+    compared = {x[0]: x[2] for x in got if x[1] == "compared"}
+    assert sorted(compared) == ["d1", "d13", "d9"] and len(got) == 9
+    assert compared["d13"] == same.format(13) and compared["d9"] == "{++See Figure 9 here.++}\n\n{++Rain fell on a long pass today.++}"
+    assert ("{++" in compared["d1"] or "{~~" in compared["d1"]) == registry
+    none = {r["path"]: r["way"] for r in importing.imported(files).collect()}
+    assert none == {f"d{k}": "plain" for k in (1, 5, 9, 13, 17, 2)} | {"d4": "tracked", "d7": "failed"}
+
+
 def test_batches_of_texts_are_small(spark):
     """A worker holds some hundred texts or files, not ten thousand."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
