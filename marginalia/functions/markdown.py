@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .protect import replaced_by
-from .text import bound, chain, col, strip
+from .text import bound, chain, chain_marked, col, strip
 
 #: LaTeX as a word processor shows it; the order matters.
 MATH = (
@@ -18,6 +18,8 @@ MARKS = (
     (r"(?m)^---[\s\S]*?---\n*", ""), (r"(?m)^#{1,6}\s+", ""), (r"(\*\*|__)(.*?)\1", "$2"), (r"(\*|_)(.*?)\1", "$2"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", ""),
     (r"`([^`]+)`", "$1"), (r"```[\s\S]*?```", ""), (r"(?m)^>\s*", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"(?m)^[\s]*[-*+]\s+", ""), (r"(?m)^[\s]*\d+\.\s+", ""), (r"\|", " "), (r"(?m)^[-:]+$", ""), (r"\n{3,}", "\n\n"),
 )
+#: What each of these patterns needs some of.
+SOME_MARK = r"[-#*_\[`>+|:]|\d\.|\n{3}"
 #: Fixed value: what a line may start with.
 PREFIX = r"^(#{1,6}\s+|\s*[-*+]\s+|\s*\d+\.\s+|>\s*)"
 
@@ -48,7 +50,7 @@ def prefix(c: Column | str) -> Column:
 
 def tidy(c: Column | str) -> Column:
     """SCL-20, the markup part: a deletion beside an insertion is a substitution; broken and empty marks go."""
-    return chain(
+    return chain_marked(
         c,
         (r"\{--(.+?)--\}\s*\{\+\+(.+?)\+\+\}", "{~~$1~>$2~~}"),
         (r"\{\+\+(.+?)\+\+\}\s*\{--(.+?)--\}", "{~~$2~>$1~~}"),

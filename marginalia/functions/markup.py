@@ -19,8 +19,8 @@ RANKS = {"insert": 0, "delete": 1, "substitute": 2, "comment": 3}
 RESOLVED = ("[RESOLVED]", "[✓]")
 #: Passes over nested markup.
 PASSES = 20
-#: What stands before anything that looks like a marker.
-UNMARKED = r"(?s)\A.*?(?=\{(?:\+\+|--|~~|==|>>)|\+\+\}|--\}|~[~>]|<<\}|\[|\z)"
+#: Anything that looks like a marker.
+MARKER = r"(?=[{+\-~<\[])(?:\{(?:\+\+|--|~~|==|>>)|\+\+\}|--\}|~[~>]|<<\}|\[)"
 
 
 def all_of(c: Column | str, pattern: str, group: int = 0) -> Column:
@@ -76,7 +76,7 @@ def stripped(c: Column | str, keep_comments: bool = False, passes: int = PASSES)
         return chain(text, (r"--\}|\+\+\}|~~\}", ""), (r"\{--|\{\+\+|\{~~", ""), (r"~>", ""), (r"\[(?![^\]\n]*\])", ""))
 
     text = col(c)
-    return bound(F.regexp_extract(text, UNMARKED, 0), lambda head: F.when(F.length(head) == F.length(text), text).otherwise(F.concat(head, bound(F.substr(text, F.length(head) + 1), rest))))
+    return bound(F.get(F.split(text, MARKER, 2), F.lit(0)), lambda head: F.when(F.length(head) == F.length(text), text).otherwise(F.concat(head, bound(F.substr(text, F.length(head) + 1), rest))))
 
 
 def _without_lone_end(opener: str, closer: str):

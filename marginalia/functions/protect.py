@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import markdown
-from .text import bound, chain, col
+from .text import bound, chain, chain_marked, col
 
 #: Tables, images with their anchors, anchors, references, mathematics, citations.
 TABLE = r"(?:^|\n)\|[^\n]*\|[ \t]*(?:\n\|[^\n]*\|[ \t]*)+"
@@ -14,6 +14,8 @@ IMAGE = r"!\[[^\]]*\]\([^)]+\)(?:\{[^}]+\})?"
 MATH = r"\$\$[\s\S]+?\$\$|\$[^$\n]+\$"
 CITATION = r"\[@[^\]]+\]"
 PROTECTED = "|".join((IMAGE, MATH, CITATION, r"@(?:fig|tbl|eq):[\w-]+", r"\{#[^}]+\}"))
+#: Tables and all of these; what they begin with is looked for first.
+WHOLE = rf"(?=[\n|!$\[@{{])(?:{TABLE}|{PROTECTED})"
 #: Fixed value: a citation as a word processor shows it, (Author 2021), (Author et al. 2021; Other 2020a) and so on.
 _NAME, _MORE = r"[A-Z][a-zé]+(?:\s+et\s+al\.?)?", r"(?:\s*[&,;]\s*[A-Z][a-zé]+(?:\s+et\s+al\.?)?)*"
 SHOWN_CITATION = rf"\({_NAME}{_MORE}\s+\d{{4}}(?:[a-z])?(?:\s*[,;]\s*(?:{_NAME}\s+)?\d{{4}}(?:[a-z])?)*\)"
@@ -45,7 +47,7 @@ def hidden(text: Column | str, known: Column, mark: Column, pattern: str = PROTE
     """The text with every protected piece as one word: the fence, the piece's number in `known`, `x`."""
     found = F.regexp_extract_all(col(text), F.lit(pattern), F.lit(0))
     names = F.transform(found, lambda p: F.concat(mark, F.array_position(known, p).cast("string"), F.lit("x")))
-    return F.when(F.size(found) == 0, col(text)).otherwise(interleaved(F.split(col(text), pattern, -1), names))
+    return F.when((F.size(known) == 0) | (F.size(found) == 0), col(text)).otherwise(interleaved(F.split(col(text), pattern, -1), names))
 
 
 def shown(text: Column | str, known: Column, mark: Column) -> Column:
@@ -114,4 +116,4 @@ def citations_kept(text: Column | str) -> Column:
 
         return F.when(F.size(found) == 0, t).otherwise(interleaved(F.split(t, LED, -1), F.transform(found, one)))
 
-    return chain(bound(chain(text, *KEPT_FORMULAS), led), *FRAGMENTS)
+    return chain_marked(bound(chain_marked(text, *KEPT_FORMULAS), led), *FRAGMENTS)

@@ -12,7 +12,7 @@ from . import diffs, paragraphs
 #: References and captions as a word processor shows them.
 _KIND = r"Figure|Fig\.?|Table|Tbl\.?"
 MARKED = r"(?i)\[(Figure|Table|Fig\.?)\]\{\.mark\}\s*\[(\d+|S\d+)\]\{\.mark\}"
-PLAIN = rf"(?i)(?<!!){LEFT}({_KIND})\s+(\d+|S\d+){RIGHT}(?!\s*:)"
+PLAIN = rf"(?i)(?=[ft])(?<!!){LEFT}({_KIND})\s+(\d+|S\d+){RIGHT}(?!\s*:)"
 CAPTION_AGAIN = rf"(?i)(!\[[^\]]+\]\([^)]+\)(?:\{{[^}}]*\}})?)\s*\n+\s*(?:{_KIND})\s+\d+[:.]?\s*[^\n]+"
 PICTURE = rf"(?i)!\[({_KIND})\s+(\d+|S\d+)[:.]?\s*([^\]]*)\]\(([^)]+)\)(?:\{{[^}}]*\}})?"
 REGISTRY = "map<string, struct<label: string, caption: string, path: string>>"

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import batches, markdown, protect
-from ..functions.text import bound, col, normalize_whitespace
+from ..functions.text import bound, col, normalize_whitespace, strip
 
 ALIGNED = "array<struct<left: int, right: int, overlap: double>>"
 
@@ -53,7 +53,7 @@ def smart(versions: DataFrame, *keep: str, old: str = "old", new: str = "new", s
     word processor shows it: formulas and citations in it are recognized, and
     markdown's marks of the old version are no change.  Headings never go.
     """
-    pattern = protect.TABLE + "|" + protect.PROTECTED
+    pattern = protect.WHOLE
     rows = versions.select(*keep, F.coalesce(col(old), F.lit("")).alias("_old"), F.coalesce(col(new), F.lit("")).alias("_new"))
     rows = rows.select(*keep, "_old", "_new", protect.pieces("_old", "_new", pattern=pattern).alias("_known"), protect.fence("_old", "_new").alias("_mark"))
     known, mark = F.col("_known"), F.col("_mark")
@@ -64,7 +64,7 @@ def smart(versions: DataFrame, *keep: str, old: str = "old", new: str = "new", s
     batches.small(versions.sparkSession)
     compared = ["_a", "_b"]
     if shown:
-        bare = F.transform("_a", lambda p: F.struct(markdown.prefix(p)["prefix"].alias("prefix"), markdown.plain(p).alias("text")))
+        bare = F.transform("_a", lambda p: F.struct(markdown.prefix(p)["prefix"].alias("prefix"), F.when(p.rlike(markdown.SOME_MARK), markdown.plain(p)).otherwise(strip(p)).alias("text")))
         compared += [bare, F.transform("_b", lambda p: normalize_whitespace(p))]
 
     @F.pandas_udf("string")

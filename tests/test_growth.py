@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import batches
+from marginalia.functions import batches, markdown, markup, protect
+from marginalia.functions import text as X
 from marginalia.operators import citations, figures, importing, merging, projects, style
 from marginalia.plans import relations, word_queries
 from marginalia.plans.word_queries import word_file
@@ -215,6 +216,30 @@ def test_imports_without_and_with_originals(spark, registry):
     assert none == {f"d{k}": "plain" for k in (1, 5, 9, 13, 17, 2)} | {"d4": "tracked", "d7": "failed"}
 
 
+BITS = ["{--", "--}", "{++", "++}", "{~~", "~>", "~~}", "{>>", "<<}", "{==", "{", "[", "]", "[@kim2020]", "[@", "@fig:a", "$x$", "$", "(Kim 2020)", "; Kim 2021", "2020a).", "|", "| a |", "![", "{#t}", "- ", "# ", "1. ", "> ", "`", "**", "_", "---", ":"]
+BITS += ["Fig. 2", "figure  S3", "TABLE 1", "tbl 4:", "ſ", "K", "\U0001f600", "wörd", "a", "b ", " ", "  ", "\n", "\n\n\n", "\t", ".", " ,", ""]
+
+
+def test_marks_are_looked_for_first(spark, monkeypatch):
+    """Texts without what a search needs are not searched; the results are those of the searches alone."""
+    r = random.Random(8)
+    texts = ["".join(r.choice(BITS) for _ in range(r.randint(0, 16))) for _ in range(4000)] + [None, "", "plain words only"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").repartition(4).cache()
+    now = [markdown.tidy("x"), protect.citations_kept("x"), F.get(F.split("x", markup.MARKER, 2), F.lit(0))]
+    now += [F.regexp_extract_all("x", F.lit(p), F.lit(0)) for p in (protect.WHOLE, importing.PLAIN)]
+    now.append(F.when(F.col("x").rlike(markdown.SOME_MARK), markdown.plain("x")).otherwise(X.strip("x")))
+    monkeypatch.setattr(markdown, "chain_marked", X.chain)
+    monkeypatch.setattr(protect, "chain_marked", X.chain)
+    want = [markdown.tidy("x"), protect.citations_kept("x"), F.regexp_extract("x", rf"(?s)\A.*?(?={markup.MARKER}|\z)", 0)]
+    want += [F.regexp_extract_all("x", F.lit(p), F.lit(0)) for p in (protect.TABLE + "|" + protect.PROTECTED, importing.PLAIN.replace("(?=[ft])", ""))]
+    want.append(markdown.plain("x"))
+    for a, b in zip(now, want, strict=True):
+        assert df.select("x", a.alias("a"), b.alias("b")).filter("NOT a <=> b").collect() == []
+    known = protect.pieces("x", pattern=protect.WHOLE)
+    back = protect.shown(protect.hidden("x", known, protect.fence("x"), protect.WHOLE), known, protect.fence("x"))
+    assert df.select("x", back.alias("b")).filter("NOT x <=> b").collect() == []
+
+
 def test_batches_of_texts_are_small(spark):
     """A worker holds some hundred texts or files, not ten thousand."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
